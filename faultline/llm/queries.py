@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, lm_score, media, mixing, packing, sharding, simhash, toxicity
+from . import exact_dedup, langid, lm_score, media, mixing, packing, sharding, simhash, substring, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(_docs(spark, sf_dir))
+
+
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(_docs(spark, sf_dir))
 
@@ -50,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_lm_score, op3_exact_dedup, op4_toxicity, op5_mix_sources, op6_language_id, op7_shard, op8_media, op9_simhash, op10_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_exact_dedup, op4_toxicity, op5_mix_sources, op6_language_id, op7_shard, op8_media, op9_simhash, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
