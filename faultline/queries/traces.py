@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, intervals, lifetimes, ordered, residency, sampling, series
+from ..operators import graphs, intervals, lifetimes, liveness, ordered, residency, sampling, series
 from ..streaming import snapshots
 from . import TRACE_SQL, query, trace
 
@@ -307,3 +307,35 @@ SELECT CAST(epoch_us(start) AS BIGINT) AS start, pc, CAST(sum(d) OVER (PARTITION
 def occupancy_snapshot(read):
     rows = read("events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("thread"), F.col("event_type").alias("pc"))
     return snapshots.occupancy(rows, "ts", "1 day", "thread", "pc").withColumn("start", F.unix_micros("start"))
+
+
+def _program(read):
+    """Every thread's events as a small program: loads, register operations and stores over ten registers."""
+    t = trace(read)
+    op = F.element_at(F.array(*[F.lit(k) for k in ("and", "or", "xor", "add", "shl", "selp")]), (F.col("idx") % 6 + 1).cast("int"))
+    kind = F.when(F.col("kind") == "purchase", "store").when(F.col("kind") == "view", "load").when(F.col("kind") == "error", "branch").otherwise("inst")
+    reg = lambda c: F.concat(F.lit("r"), (c % 10).cast("string"))
+    n = F.when(op == "selp", 3).otherwise(2)
+    srcs = F.when(kind == "inst", F.slice(F.array(reg(F.col("addr")), reg(F.col("addr") + 3), reg(F.col("addr") + 5)), F.lit(1), n)).otherwise(F.array(reg(F.col("addr")), reg(F.col("addr") + 1)))
+    values = F.transform(srcs, lambda r: F.crc32(F.concat(r, F.col("idx").cast("string")).cast("binary")))
+    return t.select(
+        "thread", "cycle", F.col("idx").alias("index"), op.alias("op"), kind.alias("kind"), F.lit(32).alias("width"), reg(F.col("addr") + 7).alias("dst"), srcs.alias("srcs"), values.alias("values"),
+        (F.col("idx") * 40503 % 4294967296).alias("result"), (F.col("idx") * 9973 % 4294967296).alias("old"), F.when(F.col("idx") % 4 == 0, "p0").otherwise("").alias("pred"), (F.col("idx") % 8 != 0).alias("held"),
+        F.concat(F.lit("local"), F.col("thread").cast("string")).alias("scope"), (F.col("addr") * 4).alias("addr"), F.lit(4).alias("size"), F.when(F.col("idx") % 3 == 0, 1).alias("base"), F.lit(0).alias("data"), F.lit(1).alias("turns"),
+    )
+
+
+@query()
+def live_bits(read):
+    return _live(read)
+
+
+def _live(read):
+    outputs = [(f"local{t}", a) for t in range(2000) for a in range(64)]
+    rows = _program(read).withColumn("launch", F.col("thread"))
+    return liveness.live_records(rows, "launch", outputs, [(0, 512)])
+
+
+@query()
+def derived_rates(read):
+    return liveness.bit_rates(_live(read), ["site"])
