@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textnum import texts_of
+
 RATE = 8000
 #: Bytes of one stored sample (a block of 8-bit samples), and every how many a key frame stands.
 BLOCK, KEY_EVERY = 1024, 4
@@ -174,7 +176,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            rows = [_digest((t.as_buffer() if t.is_valid else b"") and t.as_buffer().to_pybytes()) for t in part.column(1)]
+            rows = [_digest(t) for t in texts_of(part.column(1))]
             columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(DIGEST)]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *DIGEST.names])
 

@@ -51,9 +51,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     after = order.rowsBetween(W.currentRow, W.unboundedFollowing)
     whole = F.sum("source_size").over(W.partitionBy(F.lit(1)))
     line = (whole - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    out = out.withColumn("line", line)
+    out = out.withColumns({"line": line, "rank": F.row_number().over(order)})
     # the first source whose cap lies above its line fixes the line for all that follow
-    final = F.min(F.when(F.col("ratio") > F.col("line"), F.struct("ratio", "line"))).over(W.partitionBy(F.lit(1)))
+    final = F.min(F.when(F.col("ratio") >= F.col("line"), F.struct("rank", "line"))).over(W.partitionBy(F.lit(1)))
     out = out.withColumn("final", final["line"])
     return out.withColumn("target", F.coalesce(F.least("cap", F.col("w") * F.col("final")), F.col("cap"))).select("source", "source_size", "target")
 
