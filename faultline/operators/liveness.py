@@ -52,25 +52,30 @@ FORWARD: dict[str, Callable[[list[int], int], int]] = {
 }
 
 
-def influence(op: str, values: list[int], width: int, live: int, which: int) -> int:
-    """Bits of source ``which`` whose flip changes a live result bit: closed forms, else each bit is tried."""
+def influence(op: str, values: list[int], width: int, live: int, which: int, *more: int) -> int:
+    """Bits of source ``which`` whose flip changes a live result bit: closed forms, else each bit is tried.
+
+    ``more`` are other sources that hold the same register and flip with it.
+    """
     live &= _ones(width)
     if not live:
         return 0
-    other = values[1 - which] if len(values) > 1 and which < 2 else 0
-    if op in ("mov", "not", "xor"):
-        return live
-    if op == "and":
-        return live & other
-    if op == "or":
-        return live & ~other & _ones(width)
+    if not more:
+        other = values[1 - which] if len(values) > 1 and which < 2 else 0
+        if op in ("mov", "not", "xor"):
+            return live
+        if op == "and":
+            return live & other
+        if op == "or":
+            return live & ~other & _ones(width)
     run = FORWARD.get(op)
     if run is None:
         raise ValueError(f"no rule for the live operator {op}")
     base, out = run(values, width) & _ones(width), 0
     for bit in range(width):
         flipped = list(values)
-        flipped[which] ^= 1 << bit
+        for k in (which, *more):
+            flipped[k] ^= 1 << bit
         if (run(flipped, width) ^ base) & live:
             out |= 1 << bit
     return out
@@ -167,8 +172,11 @@ def walk(events: list[dict], outputs: set[tuple[str, int]], ranges: list[tuple[i
                 state.bytes[key] = [a | b for a, b in zip(state.bytes[key], masks, strict=True)]
                 emit(e, "byte", f"{e['scope']}:{key[1]}", masks, 8)
             continue
-        for i in range(len(e["srcs"])):
-            read(e, i, [influence(e["op"], e["values"], e["width"], m, i) for m in live])
+        places: dict[str, list[int]] = {}
+        for i, name in enumerate(e["srcs"]):
+            places.setdefault(name, []).append(i)
+        for at in places.values():
+            read(e, at[0], [influence(e["op"], e["values"], e["width"], m, *at) for m in live])
     return out
 
 

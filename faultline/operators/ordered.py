@@ -93,3 +93,31 @@ def atomic_fold(df: DataFrame, address: list[str], order: list[str], op: str, va
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in address}, "atom": [now]})
 
     return df.groupBy(*address).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in address), "atom long"]))
+
+
+def elided(df: DataFrame, keys: list[str], masks: list[str], width: str) -> DataFrame:
+    """One pass over records: how many have an effect, and the bits of those that have none."""
+    none = F.lit(True)
+    for m in masks:
+        none &= F.col(m) == 0
+    return df.groupBy(*keys).agg(F.count_if(~none).alias("kept"), F.sum(F.when(none, F.col(width)).otherwise(0)).cast("long").alias("elided_bits"))
+
+
+def signatures(df: DataFrame, key: str, order: list[str], parts: list[str]) -> DataFrame:
+    """Keys with equal sequences share a signature: (key, signature, representative), the least key of each.
+
+    A key's sequence is hashed position by position and the hashes are added up, so no sequence
+    is gathered; ``order`` numbers the positions.
+    """
+    at = df.withColumn("_i", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    half = lambda seed: F.sum(F.xxhash64(F.lit(seed), "_i", *parts).cast("decimal(38,0)"))
+    made = at.groupBy(key).agg(half(1).alias("_a"), half(2).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    made = made.withColumn("signature", F.sha2(F.concat_ws(":", "_a", "_b", "_n"), 256)).select(key, "signature")
+    least = made.groupBy("signature").agg(F.min(key).alias("representative"))
+    return made.join(least, "signature")
+
+
+def only_match(df: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows with the value of their key, and how many it has; other than one is an error for the caller."""
+    found = table.groupBy(key).agg(F.min(value).alias(value), F.count_distinct(value).alias("matches"))
+    return df.join(found, key, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))

@@ -97,9 +97,9 @@ def padded_left(df: DataFrame, keys: list[str], position: str, value: str) -> Da
     """Series of unequal length aligned at their ends, missing starts filled with 0."""
     n = F.max(position)
     sizes = df.groupBy(*keys).agg((n + 1).alias("_n"))
-    longest = sizes.agg(F.max("_n").alias("_most"))
-    moved = df.join(sizes, keys).crossJoin(F.broadcast(longest)).withColumn(position, F.col(position) + F.col("_most") - F.col("_n")).select(*keys, position, value)
-    fill = sizes.crossJoin(F.broadcast(longest)).where("_most > _n").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_most") - F.col("_n") - 1).cast("long"))).alias(position), F.lit(0).cast(df.schema[value].dataType).alias(value))
+    most = sizes.agg(F.max("_n")).first()[0] or 0
+    moved = df.join(sizes, keys).withColumn(position, F.col(position) + most - F.col("_n")).select(*keys, position, value)
+    fill = sizes.where(F.col("_n") < most).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), (most - F.col("_n") - 1).cast("long"))).alias(position), F.lit(0).cast(df.schema[value].dataType).alias(value))
     return moved.unionByName(fill)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import point_in_interval
+
 
 def pow2_bin(v: Column) -> Column:
     """0 for 0, else one more than the floor of log2."""
@@ -119,10 +121,9 @@ def line_rollup(profile: DataFrame, line_map: DataFrame, line: str, source: str,
     return profile.join(line_map, line).groupBy(source).agg(F.sum(total).alias("total"), F.max(total).alias("most"), F.coalesce(F.try_divide(F.sum(part).cast("double"), F.sum(total).cast("double")), F.lit(0.0)).alias("ratio"))
 
 
-def exposed_latency(stalls: DataFrame, flights: DataFrame, keys: list[str], at: str, start: str, end: str, line: str) -> DataFrame:
-    """A stall cycle counts for every instruction in flight."""
-    met = stalls.join(flights, [*keys]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end)))
-    return met.groupBy(line).agg(F.count(F.lit(1)).alias("exposed"))
+def exposed_latency(stalls: DataFrame, flights: DataFrame, keys: list[str], at: str, start: str, end: str, line: str, bucket: int | None = None) -> DataFrame:
+    """A stall cycle counts for every instruction in flight; with ``bucket``, they meet by key and time bucket."""
+    return point_in_interval(stalls, flights, keys, at, start, end, "inner", bucket).groupBy(line).agg(F.count(F.lit(1)).alias("exposed"))
 
 
 def segment_size(data_bytes: Column) -> Column:

@@ -119,3 +119,11 @@ def transcendental(read):
 def float_operators(read):
     rows = read("part").select(F.col("p_partkey").alias("k"), floats.to_bits(F.col("p_retailprice")).alias("a"), floats.to_bits(F.col("p_size").cast("double")).alias("b"), floats.to_bits((F.col("p_size") * 30).cast("double")).alias("c"))
     return rows.select("k", floats.from_bits(floats.f32("add", F.col("a"), F.col("b"))).alias("fadd"), floats.from_bits(floats.f32("mul", F.col("a"), F.col("b"))).alias("fmul"), floats.setp("lt", F.col("a"), F.col("c"), 32).alias("flt"))
+
+
+@query(f"""WITH {INPUT_SQL} SELECT k, p, s, CAST(((x >> 8) & 255) | (((y >> 16) & 255) << 8) | ((x & 255) << 16) | ((CASE WHEN (y >> 24) >= 128 THEN 255 ELSE 0 END)::BIGINT << 24) AS BIGINT) AS prmt,
+ CAST(least(greatest({S32.format('x')}, {S32.format('y')}), n) & 4294967295 AS BIGINT) AS vmax_min, CAST(greatest(least({S32.format('x')}, {S32.format('y')}), n) & 4294967295 AS BIGINT) AS vmin_max,
+ (y & (4294967295 - 4080)) | ((x & 255) << 4) AS bfi FROM i""")
+def byte_and_video(read):
+    x, y, n = map(_c, "xyn")
+    return _over(read, prmt=B.prmt(x, y, F.lit(0xF061).cast("long")), vmax_min=B.vminmax("max", x, y, n, "min"), vmin_max=B.vminmax("min", x, y, n, "max"), bfi=B.bfi(x, y, F.lit(4).cast("long"), F.lit(8).cast("long"), 32))

@@ -177,7 +177,7 @@ def exposed_latency(read):
     t = trace(read)
     stalls = t.where("kind = 'error'").select("thread", F.col("cycle").alias("at"))
     flights = t.where("kind <> 'error'").select("thread", F.col("addr").alias("line"), F.col("cycle").alias("start"), (F.col("cycle") + 86_400_000_000).alias("stop"))
-    return S.exposed_latency(stalls, flights, ["thread"], "at", "start", "stop", "line")
+    return S.exposed_latency(stalls, flights, ["thread"], "at", "start", "stop", "line", bucket=86_400_000_000)
 
 
 @query(f"""WITH {TRACE_SQL} SELECT max(thread) AS max_thread, max(thread // 32) AS max_warp, bool_or(kind = 'error') AS has_error, list_sort(list(DISTINCT addr % 4)) AS sms, count(DISTINCT cycle) AS cycles FROM t""")

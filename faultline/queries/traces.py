@@ -276,9 +276,9 @@ n AS (SELECT min(cycle) AS lo, (max(cycle) - min(cycle)) // 1000000 AS span FROM
 SELECT trial, d.thread, moment, CASE WHEN version IS NOT NULL AND moment < last_read THEN 'dcr' ELSE 'benign' END AS class FROM d LEFT JOIN w ON d.thread = w.thread AND start <= moment AND (stop IS NULL OR moment < stop)""")
 def sampled_campaign(read):
     t = trace(read)
-    span = t.agg(F.min("cycle").alias("lo"), F.floor((F.max("cycle") - F.min("cycle")) / 1_000_000).alias("span"))
-    draws = sampling.hash_draws(t.sparkSession, 2000, [150, 100_000]).crossJoin(F.broadcast(span))  # one row
-    points = draws.select("trial", (F.col("x0") + 1).alias("thread"), (F.col("lo") + F.floor(F.col("x1") * F.col("span") / 100_000) * 1_000_000).alias("moment"))
+    lo, hi = t.agg(F.min("cycle"), F.max("cycle")).first()
+    draws = sampling.hash_draws(t.sparkSession, 2000, [150, 100_000])
+    points = draws.select("trial", (F.col("x0") + 1).alias("thread"), (lo + F.floor(F.col("x1") * ((hi - lo) // 1_000_000) / 100_000) * 1_000_000).alias("moment"))
     held = intervals.point_in_interval(points, _versions(read), ["thread"], "moment", "start", "end")
     return held.select("trial", "thread", "moment", F.coalesce(lifetimes.liveness_class(F.col("moment"), F.col("last_read")), F.lit("benign")).alias("class"))
 
@@ -339,3 +339,65 @@ def _live(read):
 @query()
 def derived_rates(read):
     return liveness.bit_rates(_live(read), ["site"])
+
+
+@query(f"WITH {TRACE_SQL} SELECT addr % 10 AS reg, list_sort(list(DISTINCT thread)) AS uids FROM t GROUP BY 1")
+def register_uids(read):
+    return trace(read).groupBy((F.col("addr") % 10).alias("reg")).agg(F.sort_array(F.collect_set("thread")).alias("uids"))
+
+
+@query("""SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_linestatus = 'O') AND NOT (l_returnflag = 'A' AND l_linestatus = 'F')""")
+def invalid_combinations(read):
+    rows = read("lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").distinct()
+    invalid = rows.sparkSession.createDataFrame([("R", "O"), ("A", "F")], "l_returnflag string, l_linestatus string")
+    return rows.join(invalid, ["l_returnflag", "l_linestatus"], "left_anti")
+
+
+@query("""WITH m AS (SELECT ps AS key, min(s) AS brand, count(DISTINCT s) AS matches FROM (SELECT p_size AS ps, p_brand AS s FROM part WHERE p_partkey % 50 = 0) GROUP BY 1)
+SELECT n_nationkey AS key, brand, coalesce(matches, 0) AS matches FROM nation LEFT JOIN m ON n_nationkey = key""")
+def unique_program(read):
+    table = read("part").where("p_partkey % 50 = 0").select(F.col("p_size").alias("key"), F.col("p_brand").alias("brand"))
+    return ordered.only_match(read("nation").select(F.col("n_nationkey").alias("key")), table, "key", "brand")
+
+
+@query("""SELECT o_custkey, max(o_orderdate) AS latest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run FROM orders GROUP BY 1""")
+def latest_run(read):
+    return read("orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("run"))
+
+
+@query(f"""WITH {TRACE_SQL} SELECT thread, count(*) FILTER (addr % 4 <> 0 OR idx % 3 <> 0) AS kept, CAST(coalesce(sum(addr % 33) FILTER (addr % 4 = 0 AND idx % 3 = 0), 0) AS BIGINT) AS elided_bits FROM t GROUP BY thread""")
+def zero_effect_elision(read):
+    rows = trace(read).select("thread", (F.col("addr") % 4).alias("observed"), (F.col("idx") % 3).alias("due"), (F.col("addr") % 33).alias("width"))
+    return ordered.elided(rows, ["thread"], ["observed", "due"], "width")
+
+
+@query(f"""WITH {TRACE_SQL} SELECT addr AS pc, cycle // {DAY} AS sample, count(*) AS n, CAST(sum(thread) AS BIGINT) AS total FROM t GROUP BY 1, 2""")
+def pc_cycle_matrix(read):
+    return trace(read).groupBy(F.col("addr").alias("pc"), F.floor(F.col("cycle") / DAY).alias("sample")).agg(F.count(F.lit(1)).alias("n"), F.sum("thread").alias("total"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS k, list(l_partkey % 3 ORDER BY l_partkey, l_suppkey, l_linenumber) AS q FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem) GROUP BY 1)
+SELECT k, min(k) OVER (PARTITION BY q) AS representative FROM s""")
+def thread_signatures(read):
+    rows = read("lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey", "l_suppkey", "l_linenumber").distinct().withColumn("v", F.col("l_partkey") % 3)
+    return ordered.signatures(rows, "k", ["l_partkey", "l_suppkey", "l_linenumber"], ["v"]).select("k", "representative")
+
+
+@query("""SELECT l_partkey AS key FROM lineitem WHERE l_linestatus = 'O' EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F'""")
+def key_difference(read):
+    side = lambda s: read("lineitem").where(F.col("l_linestatus") == s).select(F.col("l_partkey").alias("key"))
+    return side("O").exceptAll(side("F"))
+
+
+@query("""WITH a AS (SELECT p_partkey AS k, p_partkey * 7 AS lo, p_partkey * 7 + p_size AS hi, (p_partkey * 7) // 64 * 64 + 16 AS base FROM part)
+SELECT k, greatest(lo, base) AS first, least(hi, base + 32) AS "end" FROM a WHERE greatest(lo, base) < least(hi, base + 32)""")
+def range_intersection(read):
+    at = F.col("p_partkey") * 7
+    rows = read("part").select(F.col("p_partkey").alias("k"), at.alias("lo"), (at + F.col("p_size")).alias("hi"), (F.floor(at / 64) * 64 + 16).alias("base"))
+    return rows.select("k", F.greatest("lo", "base").alias("first"), F.least(F.col("hi"), F.col("base") + 32).alias("end")).where(F.col("first") < F.col("end"))
+
+
+@query(f"WITH {TRACE_SQL}, c AS (SELECT cycle // {HOUR} AS cycle, thread % 5 AS core, count(*) AS n FROM t GROUP BY 1, 2) SELECT cycle, CAST(sum(n) AS BIGINT) AS multiplicity FROM c GROUP BY 1")
+def merged_multiplicity(read):
+    cores = trace(read).groupBy(F.floor(F.col("cycle") / HOUR).alias("cycle"), (F.col("thread") % 5).alias("core")).agg(F.count(F.lit(1)).alias("n"))
+    return cores.groupBy("cycle").agg(F.sum("n").alias("multiplicity"))
