@@ -50,9 +50,14 @@ def fold(column: str | Column, divisor: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(divisor))
 
 
-def with_row(df: DataFrame, *more: Column) -> DataFrame:
-    """All of a row's columns inside the struct ``_row``, so that names cannot clash."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *more)
+def uniform(name: str, seed: int) -> Column:
+    """A hash of a column as a number in [0, 1)."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(name), F.lit(seed)), 11) / float(1 << 53)
+
+
+def share_for(wanted: int, there: int) -> float:
+    """A share of ``there`` rows that holds ``wanted`` of them with room to spare: tasks send no more on."""
+    return min(1.0, (3 * wanted + 100) / max(there, 1))
 
 
 def numbered(df: DataFrame, group: str, order: list[str], rows: int, name: str, per_task: int = 50_000) -> DataFrame:

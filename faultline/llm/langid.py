@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, share_for, uniform
 
 DOCS, RUN, DICTIONARY = 400, 400, 96_000
 BLOCK, LEVEL = 16_384, 3
@@ -43,11 +43,15 @@ NARROW, SCALE = 0.01, 0.05
 def dictionaries(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
     """Of each language, up to ``DICTIONARY`` bytes of lower-case training text."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, 3) != 1))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(3)).alias("h"))
-    sized = rows.withColumn("runs", F.expr(f"transform(sequence(0, least(3, length(text) div {RUN})), i -> lower(regexp_replace(substr(text, cast(i * greatest({RUN}, length(text) div 4) + 1 as int), {RUN}), '[^\\\\p{{L}}]+', ' ')))"))
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    kept = sized.select("lang", "h", "runs").withColumn("nth", nth).where(F.col("nth") <= DOCS)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("_id"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return {}
+    few = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], share_for(DOCS, r["n"]))])
+    rows = rows.withColumn("h", uniform("_id", 3)).where(F.col("h") < few[F.col("lang")])
+    runs = F.expr(f"transform(sequence(0, least(3, length(text) div {RUN})), i -> lower(regexp_replace(substr(text, cast(i * greatest({RUN}, length(text) div 4) + 1 as int), {RUN}), '[^\\\\p{{L}}]+', ' ')))")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))
+    kept = rows.withColumn("nth", nth).where(F.col("nth") <= DOCS).select("lang", "nth", runs.alias("runs"))
     # the more frequent language first: it wins ties
     out: dict[str, list[str]] = {r["lang"]: [] for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))}
     for r in kept.select("lang", "nth", "runs").orderBy("lang", F.desc("nth")).collect():

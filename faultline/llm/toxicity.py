@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, share_for, uniform
 from .textnum import runs, texts_of, words, xxh64
 
 ROWS = 20_000
@@ -154,7 +154,8 @@ def regression(of: np.ndarray, at: np.ndarray, n: int, m: int, y: np.ndarray, l2
 def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(toxic, text) of at most ``ROWS`` labelled rows outside the held-out fold."""
     few = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id", 3) != 1))
-    few = few.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("toxic").alias("_toxic")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(ROWS)
+    few = few.groupBy(F.col("doc_id").alias("_label_id")).agg(F.max("toxic").alias("_toxic"))
+    few = few.where(uniform("_label_id", 4) < share_for(ROWS, labels.count())).orderBy(uniform("_label_id", 4), "_label_id").limit(ROWS)
     bare = df.select(F.col(id_col).alias("_i"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     return bare.join(F.broadcast(few), F.col("_i") == F.col("_label_id")).select("_toxic", "_t")
 
