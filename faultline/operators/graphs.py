@@ -34,9 +34,9 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame
         step = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("root", "near").alias("root"))
         jump = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
         after = keep(step.join(jump, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root")))
-        changed = after.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
+        settled = after.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
         labels = after
-        if changed:
+        if settled:
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

@@ -25,8 +25,8 @@ def tolerant_numbers(read):
 @query("""SELECT o_orderkey, o_orderpriority AS code, CAST(substr(o_orderpriority, 1, 1) AS INT) AS level, CASE WHEN o_orderpriority LIKE '%URGENT%' THEN 'SDC' WHEN o_orderpriority LIKE '%LOW%' THEN 'Masked' ELSE 'Others' END AS label FROM orders""")
 def outcome_labels(read):
     name = F.when(F.col("o_orderpriority").contains("URGENT"), "an sdc due to").when(F.col("o_orderpriority").contains("LOW"), "MASKED run").otherwise("nothing")
-    key, _ = C.first_text(F.lit(""), F.col("o_orderpriority")), None
-    return read("orders").select("o_orderkey", key.alias("code"), T.key_values(F.col("o_orderpriority"), "-")[0].cast("int").alias("level"), C.outcome_label(name).alias("label"))
+    code = C.first_text(F.lit(""), F.col("o_orderpriority"))
+    return read("orders").select("o_orderkey", code.alias("code"), T.key_values(F.col("o_orderpriority"), "-")[0].cast("int").alias("level"), C.outcome_label(name).alias("label"))
 
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'shared' WHEN n_nationkey % 3 = 1 THEN 'global' ELSE 'other' END AS by_substring, CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN 'global' ELSE NULL END AS by_alias,
@@ -72,7 +72,7 @@ def interval_log_reshape(read):
 
 @query("""SELECT conv_id, max(turn) FILTER (role = 'user') AS last_user, bool_or(role = 'user') AS success, count(*) AS n FROM conversations GROUP BY conv_id""")
 def run_summary(read):
-    log = read("conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line"), F.concat(F.when(F.col("role") == "user", F.concat(F.lit("Success cycle = "), F.col("turn").cast("string"))).otherwise("-")).alias("value"))
+    log = read("conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line"), F.when(F.col("role") == "user", F.concat(F.lit("Success cycle = "), F.col("turn").cast("string"))).otherwise("-").alias("value"))
     out = T.run_summaries(log)
     sizes = log.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     return out.join(sizes, "file").select(F.col("file").cast("long").alias("conv_id"), F.col("last_cycle").alias("last_user"), "success", "n")
