@@ -208,6 +208,20 @@ def test_repeats_odd_tables(empty, clashing):
     assert substring.repeats(clashing).count() > 0
 
 
+def test_repeats_around_a_frequent_line(spark):
+    """Two documents share 50 to 55 words that hold a line of 40 to 45 words which stands in many documents before them."""
+    rng, rows, wanted = random.Random(6), [], set()
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(30):
+        line, ahead, after = some(rng.choice([40, 45])), some(5), some(5)
+        rows += [(k * 100 + i, " ".join(some(40) + line + some(40))) for i in range(6)]
+        # in the last document of some groups the line stands alone before it stands in the passage
+        rows += [(k * 100 + i, " ".join((some(30) + line if i == 51 and k % 3 == 0 else []) + some(50) + ahead + line + after + some(50))) for i in (50, 51)]
+        wanted.add((k * 100 + 51, k * 100 + 50))
+    got = {(r.doc_id, r.match_doc_id) for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == wanted
+
+
 @pytest.mark.parametrize("edits", [0, 1, 3])
 def test_passages(edits):
     rng = np.random.default_rng(edits)
