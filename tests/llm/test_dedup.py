@@ -231,3 +231,37 @@ def test_passages(edits):
         y[170 + 40 * k : 173 + 40 * k] = -k - 1
     (i, j, k, m, likeness), *rest = substring.passages(x, y, 50)
     assert (i, j, k, m) == (100, 249, 150, 299) and not rest and likeness >= 0.8
+
+
+def _longest_brute(x, y, shift):
+    """Length in x of the longest part of similarity 0.8 and 46 shingles, where y is x with replaced words."""
+    best, there = 0, [a == b for a, b in zip(x, y[shift:], strict=False)]
+    for i in range(len(x)):
+        p, q = set(), set()
+        for j in range(i, len(x)):
+            p.add(x[j])
+            q.add(y[shift + j])
+            if there[i] and there[j] and j - i + 1 >= max(46, best + 1) and len(p & q) / len(p | q) >= 0.8:
+                best = j - i + 1
+    return best
+
+
+def _replaced(n, edits, seed):
+    """Shingles of n random words, and of the same words with some replaced, with other text around."""
+    rng = random.Random(seed)
+    a = [rng.getrandbits(40) for _ in range(n)]
+    b = [rng.getrandbits(40) if i in edits else v for i, v in enumerate(a)]
+    head = [rng.getrandbits(40) for _ in range(30)]
+    cut = lambda w: [hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)]
+    return cut(a), cut(head + b + head)
+
+
+EDITS = [(80, [38, 39, 40]), (90, [42, 45]), (240, [*range(2, 40, 4), 50, 100, 150, 200]), *[(150, sorted(random.Random(s).sample(range(150), 3 + s % 9))) for s in range(30)]]
+
+
+@pytest.mark.parametrize("n, edits", EDITS)
+def test_passages_are_the_longest_alike(n, edits):
+    x, y = _replaced(n, set(edits), n)
+    found = substring.passages(np.array(x), np.array(y), 30)
+    assert max((j - i + 1 for i, j, *_ in found), default=0) == _longest_brute(x, y, 30)
+    assert all(r[4] >= 0.8 for r in found)
