@@ -3,9 +3,8 @@
 1. One pass over the training fold counts words, subword ids and pairs of ids; counts are
    added up by key, so the vocabulary stays distributed.
 2. Classes and priors of the model (lm.py) come from these counts, of all training text.
-   The network itself is trained by tasks that each read ``TRAINER_WORDS`` words of a sample
-   that grows with the corpus (``RATE`` of the training words, ``LEAST`` words at least);
-   their weights are averaged, ``ROUNDS`` times.
+   The network itself is trained on the same text, by tasks that each read about
+   ``TRAINER_WORDS`` words; their weights are averaged, ``ROUNDS`` times.
 3. One pass over all documents scores every token once. Counts of words that make up at
    least 1 / ``HEAVY`` of all training words (so at most ``HEAVY`` words) are broadcast; a
    document's other words are joined with the vocabulary by hash and summed per document.
@@ -41,9 +40,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONGEST = 200
 SHIFT = 1 << 17
-#: A trainer per so many sampled words.
+#: A trainer per so many training words.
 TRAINER_WORDS, ROUNDS = 600_000, 3
-RATE, LEAST = 0.01, 1_200_000
 HEAVY, PAIRS = 1_000_000, 800_000
 SEED = 42
 
@@ -231,10 +229,10 @@ def _averaged(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column("part")[0].as_py()]), pa.array([whole], pa.binary()), pa.array([int(n.sum())])], names=["part", "p", "n"])
 
 
-def _train(sample: DataFrame, ranks: Broadcast, lexicon: Broadcast, trainers: int, rounds: int) -> dict[str, np.ndarray]:
+def _train(training: DataFrame, ranks: Broadcast, lexicon: Broadcast, trainers: int, rounds: int) -> dict[str, np.ndarray]:
     """Train by ``trainers`` tasks and average, ``rounds`` times."""
-    spark = sample.sparkSession
-    dealt = sample.select(F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(trainers)).alias("part"), F.col("_id").cast("string").alias("_id"), F.coalesce("_text", F.lit("")).alias("_text"))
+    spark = training.sparkSession
+    dealt = training.select(F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(trainers)).alias("part"), F.col("_id").cast("string").alias("_id"), F.coalesce("_text", F.lit("")).alias("_text"))
     weights = lm.fresh(len(lexicon.value.prior))
     for _ in range(rounds):
         start = spark.sparkContext.broadcast(weights)
@@ -329,9 +327,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_p
     scale = n + 0.5 * (v + 1)
     lexicon = _lexicon(counts, max(ranks.value.values()) + 2)
     shared = sc.broadcast(lexicon)
-    rate = min(1.0, max(RATE, LEAST / max(word_count, 1)))
-    chosen = F.pmod(F.xxhash64("_id", F.lit(8)), F.lit(1_000_000)) < int(rate * 1_000_000)
-    weights = _train(training.where(chosen).select("_id", "_text"), ranks, shared, max(1, round(rate * word_count / TRAINER_WORDS)), rounds)
+    weights = _train(training.select("_id", "_text"), ranks, shared, max(1, round(word_count / TRAINER_WORDS)), rounds)
     least = n / HEAVY
     top = _columns(counts.where((F.col("kind") == 0) & (F.col("n") >= least)).select("key", "n"))  # HEAVY rows at most
     key = np.ascontiguousarray(top["key"]).view(np.uint64)

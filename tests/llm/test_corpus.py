@@ -358,6 +358,21 @@ def test_lm_beats_the_base_on_held_out(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_trains_on_all_training_text(spark, monkeypatch):
+    """Every training document reaches a trainer, also in a table of over a million words."""
+    seen = {}
+
+    def spied(training, ranks, lexicon, trainers, rounds):
+        seen.update(ids={r._id for r in training.select("_id").collect()}, trainers=trainers)
+        return lm.fresh(len(lexicon.value.prior))
+
+    monkeypatch.setattr(lm_score, "_train", spied)
+    df = spark.range(2500).selectExpr("id AS doc_id", "repeat(concat('w', id % 7, ' of '), 400) AS text")
+    lm_score.score(df)
+    held = {i for i in range(2500) if zlib.crc32(str(i).encode()) % 5 == 1}
+    assert seen["ids"] == set(range(2500)) - held and seen["trainers"] == round(800 * len(seen["ids"]) / lm_score.TRAINER_WORDS)
+
+
 def test_lm_odd_tables(empty, clashing):
     assert lm_score.score(empty).count() == 0
     assert lm_score.score(clashing, rounds=1).count() == clashing.count()
