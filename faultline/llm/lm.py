@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 BLOCK, DIM, HIDDEN = 16, 16, 32
-SINGLES, CLUSTERS = 96, 31
+SINGLES, CLUSTERS = 120, 39
 CLASSES = SINGLES + CLUSTERS + 1
 #: Tokens with embeddings of their own; two more rows stand for all other tokens and for the start.
 KNOWN = 4096
@@ -36,6 +36,10 @@ class Lexicon:
     pair: np.ndarray
     times: np.ndarray
     follow: np.ndarray
+    #: Per id before and class the sum of all pairs' counts; without it, ``follow`` stands for it.
+    whole: np.ndarray | None = None
+    #: Pairs counted less often than this are not in ``pair``.
+    least: float = 1.0
 
     @property
     def other(self) -> int:
@@ -45,15 +49,24 @@ class Lexicon:
     def start(self) -> int:
         return len(self.prior) - 1
 
+    def counted(self, key: np.ndarray) -> np.ndarray:
+        """Counts of the pairs ``key`` that are in ``pair``, 0 of others."""
+        if not len(self.pair):
+            return np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        return np.where(self.pair[at] == key, self.times[at], 0)
 
     def within(self, before: np.ndarray, ids: np.ndarray, shift: int) -> np.ndarray:
-        """log10 share of each id within its class after ``before``: pair counts over the class's own shares."""
+        """log10 share of each id within its class after ``before``: pair counts over the class's own shares.
+
+        A pair that is not in ``pair`` counts as 0 here.
+        """
         share, row = self.inside[ids], self.row[before]
+        if self.whole is not None:
+            return np.log10((self.counted(before * shift + ids) + TRUST * 10**share) / (self.whole[before, self.cls[ids]] + TRUST))
         if not len(self.pair):
             return share
-        key = before * shift + ids
-        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-        n = np.where(self.pair[at] == key, self.times[at], 0)
+        n = self.counted(before * shift + ids)
         of = np.where(row == self.other, 0, self.follow[row, self.cls[ids]])
         return np.log10((n + TRUST * 10**share) / (of + TRUST))
 

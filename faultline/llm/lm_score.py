@@ -8,6 +8,7 @@
 3. One pass over all documents scores every token once. Counts of words that make up at
    least 1 / ``HEAVY`` of all training words (so at most ``HEAVY`` words) are broadcast; a
    document's other words are joined with the vocabulary by hash and summed per document.
+   So it is with pairs of ids, of which those of at least 1 / ``PAIRS`` are broadcast.
 
 The model's text is the sequence of lower-cased words, each with a leading space, cut into
 the subword ids of a public tokenizer, and one end id. Its score is the log10 probability of
@@ -42,7 +43,7 @@ LONGEST = 200
 SHIFT = 1 << 17
 #: A trainer per so many training words.
 TRAINER_WORDS, ROUNDS = 600_000, 3
-HEAVY, PAIRS = 1_000_000, 800_000
+HEAVY = PAIRS = 1_000_000
 SEED = 42
 
 
@@ -194,12 +195,29 @@ def _lexicon(counts: DataFrame, ids: int) -> lm.Lexicon:
     least = max(1, total.sum() / PAIRS)
     often = _columns(pairs.where(F.col("n") >= least).select((F.col("prev") * SHIFT + F.col("id")).alias("key"), "n"))  # PAIRS rows at most
     key, times = often["key"], often["n"].astype(np.float64)
-    usable = start[key // SHIFT] != known
-    order = np.argsort(key[usable])
-    key, times = key[usable][order], times[usable][order]
-    kept = np.zeros(follow.shape)
-    np.add.at(kept, (start[key // SHIFT], cls[key % SHIFT]), times)
-    return lm.Lexicon(start, cls, inside, lm.prior_of(follow), key, times, kept)
+    order = np.argsort(key)
+    found = named(cls, np.arange(ids))
+    whole = np.zeros((ids, lm.CLASSES), np.float32)
+    whole[found["prev_as"], found["id_as"]] = found["n"]
+    return lm.Lexicon(start, cls, inside, lm.prior_of(follow), key[order], times[order], follow, whole, float(least))
+
+
+def _rare_pairs(counts: DataFrame, lexicon: lm.Lexicon) -> DataFrame:
+    """(key, gain) of the pairs that are not broadcast: what their counts add to the log10 share within the class."""
+    spark = counts.sparkSession
+    share = lm.TRUST * 10.0**lexicon.inside
+    shares = F.broadcast(spark.createDataFrame(pa.table({"id": np.arange(len(share)), "share": share})))
+    pairs = counts.where((F.col("kind") == 1) & (F.col("n") < lexicon.least)).select("key", "n", (F.col("key") % SHIFT).alias("id"))
+    return pairs.join(shares, "id").select("key", F.log10(1 + F.col("n") / F.col("share")).alias("gain"))
+
+
+def _counts_of(doc: np.ndarray, key: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Of each of n documents the distinct keys and how often each occurs."""
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    one = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.empty(0, np.int64)
+    edge = pa.array(np.searchsorted(doc[one], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(edge, pa.array(key[one].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(np.diff(np.append(one, len(key)))))
 
 
 def _packed(p: dict[str, np.ndarray]) -> bytes:
@@ -289,11 +307,6 @@ def _scored(df: DataFrame, ranks: Broadcast, model: Broadcast, heavy: Broadcast,
                     base = np.bincount(doc[hit], score_of[at[hit]], n)
                 else:
                     base = np.zeros(n)
-                light, far = np.lexsort((h[~hit], doc[~hit])), doc[~hit]
-                lh, ld = h[~hit][light], far[light]
-                one = np.flatnonzero(np.append(True, (lh[1:] != lh[:-1]) | (ld[1:] != ld[:-1]))) if len(lh) else np.empty(0, np.int64)
-                times = np.diff(np.append(one, len(lh)))
-                edge = pa.array(np.searchsorted(ld[one], np.arange(n + 1)).astype(np.int32))
                 ids, first = sequences(coder, w, h)
                 rows, real, place = lm.blocks_of(words_of.row[ids], first, words_of.start)
                 classes = np.zeros(rows.size, np.int64)
@@ -302,13 +315,16 @@ def _scored(df: DataFrame, ranks: Broadcast, model: Broadcast, heavy: Broadcast,
                 before = np.concatenate([[0], ids[:-1]])
                 before[first[:-1]] = coder.end
                 got += words_of.within(before, ids, SHIFT)
+                pair = before * SHIFT + ids
+                # pairs that may be among those not broadcast: its class does follow the id before
+                far = (words_of.counted(pair) == 0) & (words_of.whole[before, words_of.cls[ids]] > 0) & (words_of.least > 1)
                 columns = [
                     batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(size + 1), pa.array(np.bincount(doc[hit], minlength=n)), pa.array(base), pa.array(np.add.reduceat(got, first[:-1])),
-                    pa.ListArray.from_arrays(edge, pa.array(lh[one].view(np.int64))), pa.ListArray.from_arrays(edge, pa.array(times)),
+                    *_counts_of(doc[~hit], h[~hit], n), *_counts_of(np.repeat(np.arange(n), np.diff(first))[far], pair[far], n),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "held_out", "n_tokens", "known", "base", "score", "light", "times"])
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "held_out", "n_tokens", "known", "base", "score", "light", "times", "pairs", "pair_times"])
 
-    out = df.mapInArrow(run, f"_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, light array<long>, times array<long>")
+    out = df.mapInArrow(run, f"_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, light array<long>, times array<long>, pairs array<long>, pair_times array<long>")
     return materialize(out.withColumn("_uid", F.monotonically_increasing_id()), "lm-rows")
 
 
@@ -337,9 +353,11 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_p
     light = rows.select("_uid", F.explode(F.arrays_zip("light", "times")).alias("x")).select("_uid", F.col("x.light").alias("key"), F.col("x.times").alias("times"))
     rare = counts.where((F.col("kind") == 0) & (F.col("n") < least)).select("key", F.col("n").alias("c"))
     found = light.join(rare, "key", "left").groupBy("_uid").agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / scale)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = rows.drop("light", "times").join(found, "_uid", "left")
+    met = rows.select("_uid", F.explode(F.arrays_zip("pairs", "pair_times")).alias("x")).select("_uid", F.col("x.pairs").alias("key"), F.col("x.pair_times").alias("times"))
+    gains = met.join(_rare_pairs(counts, lexicon), "key").groupBy("_uid").agg(F.sum(F.col("times") * F.col("gain")).alias("gained"))
+    out = rows.drop("light", "times", "pairs", "pair_times").join(found, "_uid", "left").join(gains, "_uid", "left")
     end = float(np.log10((ends + 0.5) / scale))
     return out.select(
         F.col("_id").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) + end).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + end).alias("base_score"), (F.col("score") + F.coalesce("gained", F.lit(0.0))).alias("score"),
     )

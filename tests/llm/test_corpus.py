@@ -358,6 +358,19 @@ def test_lm_beats_the_base_on_held_out(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_lm_keeps_rare_pairs(spark, monkeypatch):
+    """Pairs that are joined apart count as those that are broadcast, also among ids that share a class."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(600)]
+    rows = [(i, " ".join(vocabulary[int(600 * rng.random() ** 2)] for _ in range(100)), "en", "a", 0) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    scores = lambda: {r.doc_id: r.score for r in lm_score.score(df, rounds=1).collect()}
+    want = scores()
+    monkeypatch.setattr(lm_score, "PAIRS", 200)
+    assert scores() == pytest.approx(want, rel=1e-6)
+
+
 def test_lm_trains_on_all_training_text(spark, monkeypatch):
     """Every training document reaches a trainer, also in a table of over a million words."""
     seen = {}
