@@ -187,10 +187,13 @@ def _as_long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def live_records(events: DataFrame, group: str, outputs: list[tuple[str, int]], ranges: list[tuple[int, int]] = ()) -> DataFrame:
-    """``walk`` per group; rows: group, then ``RECORD``. Columns of ``events``: as in ``walk``, and cycle."""
+def live_records(events: DataFrame, group: str, outputs: list[tuple[str | None, int]], ranges: list[tuple[int, int]] = ()) -> DataFrame:
+    """``walk`` per group; rows: group, then ``RECORD``. Columns of ``events``: as in ``walk``, and cycle.
+
+    An output whose scope is None is one of every scope that the group's events name.
+    """
     kind = events.schema[group].dataType.simpleString()
-    wanted = set(outputs)
+    named, everywhere = {o for o in outputs if o[0] is not None}, [a for scope, a in outputs if scope is None]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["cycle", "index"], kind="stable").to_dict("records")
@@ -200,6 +203,7 @@ def live_records(events: DataFrame, group: str, outputs: list[tuple[str, int]],
             for k in ("addr", "size", "data", "result", "old", "turns", "width"):
                 r[k] = 0 if pd.isna(r[k]) else int(r[k])
             r["pred"] = r["pred"] or None
+        wanted = named | {(scope, a) for scope in pdf["scope"].unique() for a in everywhere}
         found = pd.DataFrame(walk(rows, wanted, list(ranges)), columns=["thread", "index", "site", "name", "width", "observed", "due", "trace"])
         for k in ("observed", "due", "trace"):
             found[k] = found[k].map(_as_long).astype("int64")

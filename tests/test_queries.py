@@ -49,6 +49,21 @@ def test_runs(spark, name):
     assert engine.QUERIES[name](spark, SF).count() > 0
 
 
+def test_live_bits_of_every_thread(spark):
+    """Threads of any number have compared outputs."""
+    from pyspark.sql import functions as F
+
+    from faultline.queries import traces
+
+    def observed(shift):
+        read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").withColumn("user_id", F.col("user_id") + shift)
+        rows = traces._live(read).select((F.col("thread") - shift).alias("thread"), "index", "site", "observed", "due", "trace")
+        return sorted(map(tuple, rows.collect()))
+
+    want = observed(0)
+    assert any(r[3] for r in want) and observed(5000) == want
+
+
 def test_entry_without_the_optional_parts(spark):
     import __spark_entry__
 
