@@ -28,16 +28,47 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``materialize``, with the path of the written table."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     It cuts lineage like ``checkpoint()``, survives lost executors, and gives the
     planner file sizes, so that a small result is broadcast only when its size allows it.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``stored`` has written and nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: A key is hot if it holds more than this share of all rows: at most 1 / HOT_SHARE keys are.
+HOT_SHARE = 0.001
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row per value of ``key`` (never null).
+
+    ``n``: the column of facts that counts the rows of the key, ``total``: all rows. Keys with
+    over ``HOT_SHARE`` of all rows, at most 1 / HOT_SHARE, are broadcast, so their rows are not
+    shuffled; the others meet by hash.
+    """
+    hot = F.col(n) > total * HOT_SHARE
+    few = facts.where(hot).select(F.col(key).alias("_hot"), F.struct(*[c for c in facts.columns if c != key]).alias("_fact"))
+    marked = rows.join(F.broadcast(few), rows[key] == few["_hot"], "left")
+    names = [c for c in facts.columns if c != key]
+    met = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_fact.{c}").alias(c) for c in names])
+    others = marked.where("_hot is null").select(*rows.columns).join(facts.where(~hot), key, how)
+    return met.unionByName(others.select(*rows.columns, *names))
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -61,18 +92,27 @@ def share_for(wanted: int, there: int) -> float:
 
 
 def numbered(df: DataFrame, group: str, order: list[str], rows: int, name: str, per_task: int = 50_000) -> DataFrame:
-    """A gapless number from 0 within each ``group``, without sorting a whole group in one task.
+    """A gapless number from 0 within each ``group`` in the order of ``order``, nulls first.
 
-    Rows are dealt into hash buckets of about ``per_task`` rows by the columns ``order``;
-    bucket counts are summed up before, and only a bucket is sorted at once.
+    Rows are dealt into ranges of about ``per_task`` rows; range counts are summed up before, and
+    only a range is sorted at once. Rows that tie in all of ``order`` are dealt apart, too.
     """
     from pyspark.sql import Window as W
 
-    buckets = max(1, -(-rows // per_task))
-    dealt = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    before = F.sum("_n").over(W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    starts = dealt.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    starts = starts.select(F.col(group).alias("_g"), F.col("_b").alias("_gb"), F.coalesce(before, F.lit(0)).alias("_start"))
+    ranges = max(1, -(-rows // per_task))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = materialize(tied.repartitionByRange(ranges, group, *order, "_tie").withColumn("_b", F.spark_partition_id()), f"numbered-{name}")
+    before = F.sum("_n").over(W.partitionBy("_g").orderBy("_gb").rowsBetween(W.unboundedPreceding, -1))
+    starts = dealt.groupBy(F.col(group).alias("_g"), F.col("_b").alias("_gb")).agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select("_g", "_gb", F.coalesce(before, F.lit(0)).alias("_start"))
     joined = dealt.join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_gb")))
-    rank = F.row_number().over(W.partitionBy("_g", "_gb").orderBy(*order))
-    return joined.withColumn(name, (F.col("_start") + rank - 1).cast("long")).drop("_b", "_g", "_gb", "_start")
+    rank = F.row_number().over(W.partitionBy("_g", "_gb").orderBy(*order, "_tie"))
+    return joined.withColumn(name, (F.col("_start") + rank - 1).cast("long")).drop("_b", "_g", "_gb", "_start", "_tie")
+
+
+def ranked(df: DataFrame, value: str, name: str) -> DataFrame:
+    """The distinct values that are not null with their share of smaller ones in [0, 1), in order."""
+    values = df.where(F.col(value).isNotNull()).select(value).distinct().withColumn("_one", F.lit(0))
+    values = materialize(values, f"values-{name}")
+    n = values.count()
+    return numbered(values, "_one", [value], n, name).select(value, (F.col(name) / max(n, 1)).alias(name))

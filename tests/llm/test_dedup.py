@@ -11,7 +11,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from faultline.llm import components, exact_dedup, simhash, substring, textnum
+from pyspark.sql import functions as F
+
+from faultline.llm import common, components, exact_dedup, simhash, substring, textnum
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -41,13 +43,26 @@ def test_exact_groups(odd, odd_rows):
     assert sorted(got, key=str) == exact_brute(odd_rows)
 
 
-def test_exact_groups_in_parts(odd, odd_rows, monkeypatch):
-    """Groups over the hot limit are joined in salted parts."""
-    monkeypatch.setattr(exact_dedup, "HOT", 5)
+@pytest.mark.parametrize("share", [0.0, 0.5])
+def test_exact_groups_hot_and_not(odd, odd_rows, monkeypatch, share):
+    """Hot digests are salted, the others are not; either way the result is the same."""
+    monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    monkeypatch.setattr(exact_dedup, "SALTS", 2)
     got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(odd).collect()]
     assert sorted(got, key=str) == exact_brute(odd_rows)
 
 
+def test_exact_groups_where_digests_collide(odd, odd_rows, monkeypatch):
+    """Texts of one digest but different content are kept apart, by full comparison."""
+    weak = lambda norm: F.concat(F.lit("x"), (F.length(norm) % 7).cast("string"))
+    monkeypatch.setattr(exact_dedup, "_digest", weak)
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(odd).collect()]
+    assert sorted(got, key=str) == sorted([x[:4] for x in exact_brute(odd_rows)], key=str)
+    kept = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in exact_dedup.keep_exact(odd).collect()]
+    assert len(kept) == len(set(kept)) == len({re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in odd_rows})
+
+
 def test_exact_odd_tables(empty, clashing):
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.keep_exact(empty).count() == 0
     kept = exact_dedup.keep_exact(clashing)
@@ -106,6 +121,44 @@ def test_links_against_all_pairs(spark):
     assert got == want and want
 
 
+def connected(nodes, edges):
+    parent = {x: x for x in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[find(a)] = find(b)
+    groups = defaultdict(set)
+    for x in nodes:
+        groups[find(x)].add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_dense_segments_connect_the_same(spark, monkeypatch, radius):
+    """Where many fingerprints share a segment, fewer links connect what all pairs connect."""
+    rng = random.Random(radius)
+    monkeypatch.setattr(simhash, "DENSE", 4)
+    prints = set()
+    for _ in range(12):
+        high, low = rng.getrandbits(32), rng.getrandbits(32)
+        for _ in range(25):
+            flips = rng.sample(range(32), rng.randrange(0, 5))
+            x = low
+            for i in flips:
+                x ^= 1 << i
+            y = high ^ (1 << rng.randrange(32) if rng.random() < 0.4 else 0)
+            prints |= {y << 32 | x, x << 32 | y}
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in prints)
+    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "_fp long"), radius).collect()]
+    close = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count() <= radius
+    assert all(a < b and close(a, b) for a, b in got)
+    assert connected(signed, got) == connected(signed, [(x, y) for i, x in enumerate(signed) for y in signed[i + 1 :] if close(x, y)])
+
+
 def near_brute(rows):
     prints = [fingerprint_brute(r[1]) for r in rows]
     parent = list(range(len(rows)))
