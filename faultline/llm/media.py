@@ -106,19 +106,50 @@ def _ints(data: memoryview, at: int, n: int, kind: str = ">u4") -> np.ndarray:
     return np.frombuffer(data, dtype=kind, count=n, offset=at).astype(np.int64)
 
 
-def read_media(data: bytes) -> dict:
-    """Codec, time scale, duration, sample ranges and key frames of the first track with samples."""
-    view, found = memoryview(data), {}
+def _tracks(view: memoryview) -> list[dict[bytes, tuple[int, int]]]:
+    """The boxes inside each track of a file by kind, in file order."""
+    out: list[dict[bytes, tuple[int, int]]] = []
     for path, a, b in boxes(view):
-        found.setdefault(path.rpartition(b"/")[2], (a, b))
+        if path == b"moov/trak":
+            out.append({})
+        elif path.startswith(b"moov/trak/"):
+            out[-1].setdefault(path.rpartition(b"/")[2], (a, b))
+    return out
+
+
+def _sizes(view: memoryview, found: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """Sample sizes from stsz, or from the compact stz2 with fields of 4, 8 or 16 bits."""
+    u32 = lambda at: struct.unpack_from(">I", view, at)[0]
+    if b"stsz" in found:
+        a = found[b"stsz"][0]
+        same, n = u32(a + 4), u32(a + 8)
+        return np.full(n, same, np.int64) if same else _ints(view, a + 12, n)
+    a = found[b"stz2"][0]
+    bits, n = view[a + 7], u32(a + 8)
+    if bits == 4:
+        pairs = _ints(view, a + 12, -(-n // 2), "u1")
+        return np.stack([pairs >> 4, pairs & 15], 1).ravel()[:n]
+    return _ints(view, a + 12, n, {8: "u1", 16: ">u2"}[bits])
+
+
+def read_media(data: bytes) -> dict:
+    """Codec, time scale, duration, sample ranges and key frames of the first track with samples.
+
+    Tables are those of that track alone; where no track has samples, the first one counts.
+    """
+    view = memoryview(data)
+    tracks = _tracks(view)
+    if not tracks:
+        raise ValueError("no track")
+    filled = [t for t in tracks if (b"stsz" in t or b"stz2" in t) and len(_sizes(view, t))]
+    found = (filled or tracks)[0]
     u32 = lambda at: struct.unpack_from(">I", view, at)[0]
     a = found[b"mdhd"][0]
     scale, duration = (u32(a + 20), struct.unpack_from(">Q", view, a + 24)[0]) if view[a] == 1 else (u32(a + 12), u32(a + 16))
     a = found[b"stsd"][0]
     codec = bytes(view[a + 12 : a + 16]).decode("latin-1").strip()
-    a = found[b"stsz"][0]
-    same, n = u32(a + 4), u32(a + 8)
-    sizes = np.full(n, same, np.int64) if same else _ints(view, a + 12, n)
+    sizes = _sizes(view, found)
+    n = len(sizes)
     a, wide = (found[b"co64"][0], True) if b"co64" in found else (found[b"stco"][0], False)
     chunks = _ints(view, a + 8, u32(a + 4), ">u8" if wide else ">u4")
     a = found[b"stsc"][0]

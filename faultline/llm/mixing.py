@@ -2,32 +2,34 @@
 
 Size of a document: its words. Sources in code-point order, null last, weigh 5, 2, 1,
 repeating, and share all sizes; a target stops at ``CAP`` times its source's size and the
-excess is shared again by weight. A source gives complete epochs first; what remains is
-filled in the order of exponential keys ``-ln(u) / quality``, u being a hash of the id, by
-prefix sums. Keys are dealt into ranges, so only the one range of a source that its budget
-ends in is sorted; in it, documents that no longer fit are passed over, and at last the one
-that brings the total nearest is added.
-
-Defined cases: a null text has size 0; a null source is a source; a null id hashes as null;
-repeated rows are drawn alike, each counts; a source without words has target 0 and its
-documents come once for every complete epoch of none, so never; an empty table gives an
-empty table; other columns are ignored by ``mix`` and carried by ``mixed``.
+excess is shared again by weight. A source gives complete epochs first. What remains of its
+target is filled in the order of exponential keys ``-ln(u) / quality``, u being a hash of the
+id: by prefix sums every document that still fits is taken, one that does not is passed over.
+So a source stays below its target by less than the smallest document that it leaves out.
+
+Where the prefix sum of a source first exceeds its room is found by sums over ``BINS`` bins of
+keys, refined until the bin holds at most ``PER_RANGE`` documents; only that bin is walked one
+by one. Then the same is asked of the later, smaller documents that fit what is left.
+
+Defined cases: a null text has size 0; a null source is a source; a null id is drawn by its
+text; repeated rows are drawn alike, each counts; a document without words is never taken, nor
+is a source without words, whose target is 0; an empty table gives an empty table; other
+columns are ignored by ``mix`` and carried by ``mixed``.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_or_empty
+from .common import WORD, materialize, text_or_empty, with_facts
 
 CYCLE = (5.0, 2.0, 1.0)
 CAP = 3.0
-#: Documents of a key range.
-PER_RANGE = 5_000
+#: Bins of keys of one source, and how many documents of one are walked in a task.
+BINS, PER_RANGE = 1_000, 5_000
 SEED = 11
 
 
@@ -58,84 +60,129 @@ def targets(sizes: DataFrame) -> DataFrame:
     return out.withColumn("target", F.coalesce(F.least("cap", F.col("w") * F.col("final")), F.col("cap"))).select("source", "source_size", "target")
 
 
-def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one key range, in key order, up to ``room`` words."""
-    pdf = pdf.sort_values(["_key", "_size"], kind="stable").reset_index(drop=True)
-    sizes, room = pdf["_size"].to_numpy(), float(pdf["_room"].iloc[0])
-    taken, left = np.zeros(len(sizes), bool), room
-    for i, s in enumerate(sizes):
-        if s <= left:
-            taken[i], left = True, left - s
-    if not taken.all() and left > 0:
-        rest = np.flatnonzero(~taken)
-        best = rest[np.argmin(np.abs(sizes[rest] - left))]
-        taken[best] = abs(sizes[best] - left) < left
-    out = pdf[taken].groupby(["_id", "_key", "_size"], dropna=False, sort=False).size().rename("_picked").reset_index()
-    return out.assign(_source=pdf["_source"].iloc[0])[["_source", "_id", "_key", "_size", "_picked"]]
-
-
-def _plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows: (_id, _source, _size, _key, _v). Per source (epochs, cut range, ...), and what is picked in cut ranges."""
-    light = materialize(rows, "mix-light")
-    n = light.count()
-    ranges = max(1, -(-n // PER_RANGE))
-    light = light.withColumn("_range", _range(ranges))
-    sums = materialize(light.groupBy("_source", "_range").agg(F.sum("_size").alias("_sum")), "mix-sums")
-    goals = targets(sums.groupBy(F.col("_source").alias("source")).agg(F.sum("_sum").alias("source_size")))
-    size = F.greatest(F.col("source_size"), F.lit(1))
-    epochs = F.floor(F.col("target") / size + 1e-9)
-    goals = goals.withColumn("epochs", epochs).withColumn("room", F.greatest(F.lit(0.0), F.round(F.col("target") - F.col("epochs") * F.col("source_size"), 6)))
-    up_to = F.sum("_sum").over(W.partitionBy("_source").orderBy("_range"))
-    cuts = sums.withColumn("_upto", up_to).join(goals, F.col("_source").eqNullSafe(F.col("source"))).where(F.col("_upto") > F.col("room"))
-    cuts = cuts.groupBy("_source").agg(F.min(F.struct("_range", (F.col("_upto") - F.col("_sum")).alias("before"))).alias("cut"))
-    goals = goals.join(cuts, F.col("source").eqNullSafe(F.col("_source")), "left")
-    goals = goals.select("source", "source_size", "target", "epochs", "room", F.coalesce("cut._range", F.lit(ranges)).alias("cut_range"), F.coalesce("cut.before", F.lit(0)).alias("before"))
-    goals = materialize(goals.withColumn("ranges", F.lit(ranges)), "mix-goals")
-    ends = goals.select("source", "cut_range", (F.col("room") - F.col("before")).alias("_room")).where("_room > 0")
-    inside = light.join(ends, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_range") == F.col("cut_range")))
-    inside = inside.select("_id", "_source", "_size", "_key", "_room")
-    kinds = {f.name: f.dataType.simpleString() for f in inside.schema}
-    picked = inside.groupBy("_source").applyInPandas(_fill, f"_source {kinds['_source']}, _id {kinds['_id']}, _key double, _size long, _picked long")
-    return goals, materialize(picked, "mix-picked")
+#: What tells rows apart; rows that agree in all of these are drawn alike.
+UNIT = ["_s", "_id", "_key", "_size", "_tx"]
 
 
-def _range(ranges: Column | int) -> Column:
-    return F.least(F.floor(F.col("_v") * ranges), F.lit(ranges) - 1 if isinstance(ranges, int) else ranges - 1).cast("long")
+def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Documents of one bin of keys, in key order, each as often as it still fits."""
+    pdf = pdf.sort_values(["_key", "_size", "_tx"], kind="stable").reset_index(drop=True)
+    left, picked = float(pdf["_left"].iloc[0]), []
+    for size, copies in zip(pdf["_size"].tolist(), pdf["_copies"].tolist(), strict=True):
+        n = min(copies, int(left // size))
+        picked.append(n)
+        left -= n * size
+    return pdf.assign(_picked=picked)[[*UNIT, "_picked"]]
+
+
+def _window() -> list[Column]:
+    return [F.sum(F.col("_size") * F.col("_copies")).alias("_sum"), F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi")]
+
+
+def _cut(units: DataFrame, state: DataFrame, total: int) -> DataFrame:
+    """state: (_s, _rows, _from, _room). Adds to it: (_lo, _hi], the bin of keys in which the prefix
+    sum of the documents that fit the room exceeds it, the sum ``_before`` of those in front of it,
+    and their number ``_n``. Without such a bin _lo is null: all fit. Sources without any that fit are left out."""
+    fits = (F.col("_key") > F.col("_from")) & (F.col("_size") <= F.col("_room"))
+    met = with_facts(units, state, "_s", "_rows", total).where(fits)
+    first = met.groupBy("_s").agg(*_window()).withColumn("_before", F.lit(0).cast("long"))
+    now = materialize(state.join(first, "_s"), "mix-cut")
+    while True:
+        wide = (F.col("_sum") + F.col("_before") > F.col("_room")) & (F.col("_n") > PER_RANGE) & (F.col("_lo") < F.col("_hi"))
+        if now.where(wide).isEmpty():
+            break
+        asked = now.where(wide).select("_s", "_rows", "_from", "_room", F.col("_lo").alias("_least"), F.col("_hi").alias("_most"), F.col("_before").alias("_ahead"))
+        met = with_facts(units, asked, "_s", "_rows", total).where(fits & F.col("_key").between(F.col("_least"), F.col("_most")))
+        at = F.least(F.floor((F.col("_key") - F.col("_least")) / (F.col("_most") - F.col("_least")) * BINS), F.lit(BINS - 1))
+        bins = met.groupBy("_s", at.alias("_bin"), "_ahead", "_room").agg(*_window())
+        upto = F.sum("_sum").over(W.partitionBy("_s").orderBy("_bin"))
+        bins = bins.withColumn("_before", F.col("_ahead") + upto - F.col("_sum")).where(F.col("_before") + F.col("_sum") > F.col("_room"))
+        found = bins.groupBy("_s").agg(F.min_by(F.struct("_sum", "_n", "_lo", "_hi", "_before"), "_bin").alias("c")).select("_s", "c.*")
+        narrow = now.where(wide).select("_s", "_rows", "_from", "_room").join(found, "_s")
+        now = materialize(now.where(~wide).unionByName(narrow), "mix-cut")
+    over = F.col("_sum") + F.col("_before") > F.col("_room")
+    return now.withColumns({"_lo": F.when(over, F.col("_lo")), "_hi": F.when(over, F.col("_hi"))})
+
+
+def _plan(units: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """units: one row per ``UNIT`` with ``_source`` and its ``_copies``.
+
+    (goals, picked, rows): per source its sizes, target, epochs, and the passes, each of which took
+    all of at most ``room`` words with keys between ``after`` and ``upto``, and asked one by one those
+    from ``upto`` to ``end``; the documents taken one by one; all rows.
+    """
+    sums = materialize(units.groupBy("_s").agg(F.first("_source").alias("source"), F.sum(F.col("_size") * F.col("_copies")).alias("source_size"), F.sum("_copies").alias("_rows")), "mix-sums")
+    total = sums.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    goals = targets(sums.select("source", "source_size"))
+    goals = sums.join(goals.select(F.col("source").alias("_g"), "target"), F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) + 1e-9)).otherwise(0)
+    goals = goals.withColumn("epochs", epochs).withColumn("room", F.greatest(F.lit(0.0), F.round(F.col("target") - F.col("epochs") * F.col("source_size"), 6)))
+    goals = materialize(goals, "mix-goals")
+    some = units.where("_size > 0")
+    state = goals.where("room >= 1").select("_s", "_rows", F.lit(-1.0).alias("_from"), F.col("room").alias("_room"))
+    passes, picked = [], []
+    while True:
+        cut = materialize(_cut(some, state, total), "mix-pass")
+        if cut.isEmpty():
+            break
+        passes.append(cut.select("_s", F.struct(F.col("_from").alias("after"), F.coalesce("_lo", F.lit(float("inf"))).alias("upto"), F.col("_hi").alias("end"), F.col("_room").alias("room")).alias("p")))
+        open_ = cut.where("_lo is not null").select("_s", "_rows", "_from", "_room", "_lo", "_hi", (F.col("_room") - F.col("_before")).alias("_left"))
+        inside = with_facts(some, open_, "_s", "_rows", total).where((F.col("_key") > F.col("_from")) & F.col("_key").between(F.col("_lo"), F.col("_hi")) & (F.col("_size") <= F.col("_room")))
+        inside = inside.select(*UNIT, "_copies", "_left")
+        kinds = {f.name: f.dataType.simpleString() for f in inside.schema}
+        taken = inside.groupBy("_s").applyInPandas(_fill, ", ".join(f"{c} {kinds[c]}" for c in UNIT) + ", _picked long")
+        picked.append(materialize(taken, "mix-picked"))
+        used = picked[-1].groupBy("_s").agg(F.sum(F.col("_picked") * F.col("_size")).alias("_used"))
+        state = open_.join(used, "_s").select("_s", "_rows", F.col("_hi").alias("_from"), (F.col("_left") - F.col("_used")).alias("_room"))
+        state = materialize(state.where("_room >= 1"), "mix-state")
+    kept = some.select(*UNIT, F.lit(0).cast("long").alias("_picked")).limit(0)
+    for p in picked:
+        kept = kept.unionByName(p.where("_picked > 0"))
+    nothing = goals.select("_s", F.struct(F.lit(0.0).alias("after"), F.lit(0.0).alias("upto"), F.lit(0.0).alias("end"), F.lit(0.0).alias("room")).alias("p")).limit(0)
+    for p in passes:
+        nothing = nothing.unionByName(p)
+    whole = nothing.groupBy("_s").agg(F.collect_list("p").alias("passes"))  # a few passes a source
+    goals = goals.join(whole, "_s", "left").drop("room")
+    return materialize(goals, "mix-plan"), kept, total
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(SEED)), 11) + 0.5) / float(1 << 53)
-    df = df.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": size})
+    df = df.withColumns({"_id": F.col(id_col), "_source": F.col(source_col), "_size": size, "_tx": F.xxhash64(text_or_empty(text_col))})
+    name = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("null:"), F.col("_tx").cast("string")))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{SEED}:"), name).cast("binary")), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     w = quality(text_or_empty(text_col), F.col("_size")) if weight is None else F.greatest(weight, F.lit(1e-9))
-    df = df.withColumn("_key", -F.log(u) / w)
-    return df.withColumn("_v", 1 - F.exp(-F.col("_key")))
+    return df.withColumns({"_key": -F.log(u) / w, "_s": F.coalesce(F.concat(F.lit("s"), F.col("_source").cast("string")), F.lit("null"))})
 
 
 def _decided(rows: DataFrame, light: DataFrame) -> DataFrame:
-    goals, picked = _plan(light)
-    out = rows.join(goals, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_range", _range(F.col("ranges")))
-    at_cut = F.col("_range") == F.col("cut_range")
-    plain = out.where(~at_cut).withColumn("times", F.col("epochs") + F.when(F.col("_range") < F.col("cut_range"), 1).otherwise(0))
-    p = picked.select(F.col("_source").alias("p_source"), F.col("_id").alias("p_id"), F.col("_key").alias("p_key"), F.col("_size").alias("p_size"), "_picked")
-    same = F.col("_source").eqNullSafe(F.col("p_source")) & F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_key") == F.col("p_key")) & (F.col("_size") == F.col("p_size"))
-    nth = F.row_number().over(W.partitionBy("_source", "_id", "_key", "_size").orderBy(F.lit(1)))
-    cut = out.where(at_cut).join(p, same, "left").withColumn("_nth", nth)
-    cut = cut.withColumn("times", F.col("epochs") + F.when(F.col("_nth") <= F.coalesce("_picked", F.lit(0)), 1).otherwise(0))
-    return plain.unionByName(cut.select(*plain.columns))
+    """``rows`` (with the columns of ``UNIT``) with their source's goals and how many ``times`` each is taken."""
+    units = materialize(light.groupBy(*UNIT).agg(F.first("_source").alias("_source"), F.count(F.lit(1)).alias("_copies")), "mix-units")
+    goals, picked, total = _plan(units)
+    out = with_facts(rows, goals, "_s", "_rows", total)
+    whole = F.coalesce(F.exists("passes", lambda p: (F.col("_key") > p["after"]) & (F.col("_key") < p["upto"]) & (F.col("_size") <= p["room"])), F.lit(False))
+    asked = F.coalesce(F.exists("passes", lambda p: F.col("_key").between(p["upto"], p["end"]) & (F.col("_size") <= p["room"])), F.lit(False))
+    out = out.withColumns({"_whole": whole & (F.col("_size") > 0), "_asked": asked & (F.col("_size") > 0)}).drop("passes")
+    few = picked.select(*[F.col(c).alias(f"p{c}") for c in UNIT], "_picked")
+    same = (F.col("_s") == F.col("p_s")) & F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_key") == F.col("p_key")) & (F.col("_size") == F.col("p_size")) & (F.col("_tx") == F.col("p_tx"))
+    # only the few rows that were asked one by one meet what was picked; of rows that are drawn alike some may be
+    alike = out.where("_asked").join(few, same, "left").drop(*[f"p{c}" for c in UNIT])
+    alike = alike.withColumn("_nth", F.row_number().over(W.partitionBy(*UNIT).orderBy(F.monotonically_increasing_id())))
+    others = out.where("not _asked").withColumns({"_picked": F.lit(None).cast("long"), "_nth": F.lit(None).cast("int")})
+    times = F.col("epochs") + F.when(F.col("_whole") | F.coalesce(F.col("_nth") <= F.col("_picked"), F.lit(False)), 1).otherwise(0)
+    return others.unionByName(alike).withColumn("times", F.when(F.col("_size") > 0, times).otherwise(0))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, taken."""
-    light = materialize(_keyed(df, id_col, text_col, source_col, weight).select("_id", "_source", "_size", "_key", "_v"), "mix-rows")
+    light = materialize(_keyed(df, id_col, text_col, source_col, weight).select(*UNIT, "_source"), "mix-rows")
     out = _decided(light, light)
     return out.select(F.col("_id").alias("doc_id"), "source", F.col("_size").alias("size"), "source_size", "target", (F.col("times") * F.col("_size")).cast("long").alias("taken"))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
     """The mixture: each row of ``df`` as often as it is taken."""
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(source_col).alias("_s"))
-    keyed = _keyed(rows, "_i", "_t", "_s", weight).drop("_i", "_t", "_s")
-    light = keyed.select("_id", "_source", "_size", "_key", "_v")
-    out = _decided(keyed, light).where("times > 0")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(source_col).alias("_src"))
+    keyed = _keyed(rows, "_i", "_t", "_src", weight).drop("_i", "_t", "_src")
+    out = _decided(keyed, keyed.select(*UNIT, "_source")).where("times > 0")
     return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("_row.*")

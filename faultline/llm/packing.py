@@ -3,8 +3,9 @@
 Lengths are words plus one end mark; a document longer than ``max_len`` becomes several
 pieces, whole. The global histogram of piece lengths (at most ``max_len`` rows) goes to the
 driver, where dynamic programming chooses the ``buckets`` boundaries with the least padding.
-Inside a bucket, pieces are numbered without gaps by hash ranges, and each run of
-``budget // boundary`` numbers forms one batch, so a batch never exceeds the token budget.
+Inside a bucket, pieces are numbered without gaps in the order of ids, and each run of
+``budget // boundary`` numbers forms one batch, so a batch never exceeds the token budget,
+which is at least ``max_len``.
 
 Defined cases: a null or empty text is one piece of length 1 (the end mark); a null id is
 carried; repeated rows are packed each; an empty table gives an empty table; other columns
@@ -62,6 +63,8 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_le
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """One row per piece: doc_id, piece, start, n_tokens, bucket, padded_len, batch_id, position."""
+    if budget < max_len:
+        raise ValueError(f"a budget of {budget} does not hold a piece of {max_len}")
     cut = materialize(pieces(df, id_col, text_col, max_len), "pack-pieces")
     counted = {r["n_tokens"]: r["n"] for r in cut.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # max_len rows at most
     edges = boundaries(counted, buckets) or [max_len]
@@ -71,6 +74,6 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_len:
     edge = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("bucket") + 1)
     out = cut.withColumn("bucket", bucket).withColumn("padded_len", edge.cast("long"))
     out = numbered(out, "bucket", ["doc_id", "piece", "n_tokens"], sum(counted.values()), "_slot")
-    per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded_len")))
+    per_batch = F.floor(F.lit(budget) / F.col("padded_len"))
     out = out.withColumn("batch_id", F.floor(F.col("_slot") / per_batch)).withColumn("position", F.col("_slot") % per_batch)
     return out.select("doc_id", "piece", "start", "n_tokens", "bucket", "padded_len", "batch_id", F.col("position").cast("long").alias("position"))

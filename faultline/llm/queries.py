@@ -70,4 +70,70 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n) AS text_sha256 FROM g
     """,
+    "op5_mix_sources": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+        ), k AS (
+            SELECT doc_id, source, size, -ln((CAST('0x' || substr(md5('11:' || doc_id), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+                / (exp(-abs(length(t) / greatest(size, 1) - 6.5) / 6.5) * 0.95 + 0.05) AS key
+            FROM d
+        ), g AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+        ), w AS (
+            SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3.0::DOUBLE * source_size AS cap FROM g
+        ), o AS (
+            SELECT *, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS rank,
+                (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS line FROM w
+        ), f AS (
+            SELECT *, first_value(line) OVER (ORDER BY CASE WHEN cap / w >= line THEN rank END NULLS LAST) AS final FROM o
+        ), goal AS (
+            SELECT source, source_size, coalesce(least(cap, w * final), cap) AS target FROM f
+        ), e AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS epochs FROM goal
+        ), r AS (
+            SELECT k.doc_id, k.source, k.size, row_number() OVER (PARTITION BY k.source ORDER BY k.key, k.size) AS i, greatest(0, round(target - epochs * source_size, 6)) AS room
+            FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source WHERE k.size > 0
+        ), walk(source, i, doc_id, took, room) AS (
+            SELECT source, i, doc_id, size <= room, CASE WHEN size <= room THEN room - size ELSE room END FROM r WHERE i = 1
+            UNION ALL
+            SELECT r.source, r.i, r.doc_id, r.size <= walk.room, CASE WHEN r.size <= walk.room THEN walk.room - r.size ELSE walk.room END
+            FROM walk JOIN r ON r.source IS NOT DISTINCT FROM walk.source AND r.i = walk.i + 1
+        )
+        SELECT k.doc_id, k.source, CAST(k.size AS BIGINT) AS size, e.source_size, e.target, CAST(k.size * (e.epochs + CASE WHEN walk.took THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source LEFT JOIN walk ON walk.doc_id = k.doc_id AND walk.source IS NOT DISTINCT FROM k.source
+    """,
+    "op10_packing": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n FROM documents
+        ), p AS (
+            SELECT doc_id, unnest(range(0, (n - 1) // 2048 + 1)) AS piece, n FROM d
+        ), cut AS (
+            SELECT doc_id, piece, piece * 2048 AS start, least(n - piece * 2048, 2048) AS n_tokens FROM p
+        ), h AS (
+            SELECT row_number() OVER (ORDER BY n_tokens) AS j, n_tokens AS len, sum(count(*)) OVER (ORDER BY n_tokens) AS n, sum(count(*) * n_tokens) OVER (ORDER BY n_tokens) AS t FROM cut GROUP BY n_tokens
+        ), k AS (
+            SELECT j, len, CAST(n AS BIGINT) AS n, CAST(t AS BIGINT) AS t FROM h UNION ALL SELECT 0, 0, 0, 0
+        ), dp(step, j, cost, came) AS (
+            SELECT 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+            UNION ALL
+            SELECT * FROM (
+                SELECT a.step + 1, y.j, min(a.cost + y.len * (y.n - x.n) - (y.t - x.t)), arg_min(x.j, (a.cost + y.len * (y.n - x.n) - (y.t - x.t), x.j))
+                FROM dp a JOIN k x ON x.j = a.j JOIN k y ON y.j > x.j WHERE a.step < 12 GROUP BY a.step, y.j)
+        ), best AS (
+            SELECT least(12, max(j)) AS steps, max(j) AS m FROM k
+        ), back(step, j) AS (
+            SELECT steps, m FROM best WHERE m > 0
+            UNION ALL
+            SELECT back.step - 1, dp.came FROM back JOIN dp ON dp.step = back.step AND dp.j = back.j WHERE back.step > 1
+        ), edges AS (
+            SELECT row_number() OVER (ORDER BY len) - 1 AS bucket, len, coalesce(lag(len) OVER (ORDER BY len), 0) AS low FROM back JOIN k USING (j)
+        ), placed AS (
+            SELECT doc_id, piece, start, n_tokens, bucket, len, 16384 // len AS per, row_number() OVER (PARTITION BY bucket ORDER BY doc_id NULLS FIRST, piece) - 1 AS slot
+            FROM cut JOIN edges ON n_tokens > low AND n_tokens <= len
+        )
+        SELECT doc_id, CAST(piece AS BIGINT) AS piece, CAST(start AS BIGINT) AS start, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(bucket AS INT) AS bucket, CAST(len AS BIGINT) AS padded_len,
+            CAST(slot // per AS BIGINT) AS batch_id, CAST(slot % per AS BIGINT) AS position
+        FROM placed
+    """,
 }

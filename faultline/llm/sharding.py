@@ -1,11 +1,11 @@
 """Sharding by a k-d tree over document metadata.
 
 Documents with equal texts form one atom and stay together. Atoms have three metadata
-dimensions, scaled to [0, 1): source, language and log size, each followed by the text's hash
-so that ties can be cut anywhere. The tree splits a node at the weighted (byte) median along
-its widest dimension until a leaf holds the target bytes; medians come from distributed
-histograms that are refined bin by bin, for all nodes of a level at once, so only
-``nodes x BINS`` sums reach the driver. An atom that alone exceeds the target bytes gets a
+dimensions, scaled to [0, 1): the ranks of source and language among all their values, in order,
+and log size, each followed by the text's hash so that ties can be cut anywhere. The tree splits
+a node at the weighted (byte) median along its widest dimension until a leaf holds the target
+bytes; medians come from distributed histograms that are refined bin by bin until the cut is
+exact, for all nodes of a level at once, so only ``nodes x BINS`` sums reach the driver. An atom that alone exceeds the target bytes gets a
 shard of its own first, at most one per shard.
 
 Law: ``bytes`` (sizes near equal, up to the largest atom). Slots count from 0 without gaps.
@@ -22,15 +22,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, numbered, text_or_empty
+from .common import materialize, numbered, ranked, text_or_empty, with_facts
 
 SHARDS = 16
 BINS = 1024
-#: A split may miss its share by this part of the node's bytes; bins are refined until then.
-TOLERANCE = 0.002
 DIMENSIONS = ("_d0", "_d1", "_d2")
-#: Keys are integers below 2**KEY_BITS: 22 bits of the value, then bits of the text's hash.
-VALUE_BITS, KEY_BITS = 22, 52
+#: Keys are integers below 2**KEY_BITS: 24 bits of the value, then bits of the text's hash.
+VALUE_BITS, KEY_BITS = 24, 60
 
 
 @dataclass
@@ -53,14 +51,6 @@ def _key(value: Column) -> Column:
     return F.shiftleft(scaled, KEY_BITS - VALUE_BITS) + F.shiftrightunsigned(F.xxhash64("_atom", F.lit(5)), 64 - (KEY_BITS - VALUE_BITS))
 
 
-def _name(value: Column) -> Column:
-    """A string as a number in [0, 1) that mostly keeps order: its first 3 bytes."""
-    b = F.rpad(F.coalesce(value.cast("string"), F.lit("")), 3, "\0")
-    number = F.conv(F.substring(F.hex(b.cast("binary")), 1, 6), 16, 10).cast("double") / float(1 << 24)
-    tail = F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) / float(1 << 32) / 4096
-    return F.least(number + tail, F.lit(0.9999999))
-
-
 def _node_of(tree: Node, wanted: list[Node]) -> Column:
     """The number in ``wanted`` of the node that a row falls into, by nested tests."""
     at = {id(n): i for i, n in enumerate(wanted)}
@@ -100,10 +90,13 @@ def _split(atoms: DataFrame, tree: Node, nodes: list[Node]) -> None:
         rows = atoms.withColumn("_node", of).where(F.col("_node").isin(list(span))).withColumn("_value", value)
         rows = rows.withColumn("_bin", F.floor((F.col("_value") - low) / width)).where(f"_bin >= 0 and _bin < {BINS}")
         sums: dict[int, dict[int, int]] = {i: {} for i in span}
-        for r in rows.groupBy("_node", "_bin").agg(F.sum("_weight").alias("w")).collect():  # BINS rows a node at most
+        ends: dict[int, dict[int, tuple[int, int]]] = {i: {} for i in span}
+        found = rows.groupBy("_node", "_bin").agg(F.sum("_weight").alias("w"), F.min("_value").alias("least"), F.max("_value").alias("most"))
+        for r in found.collect():  # BINS rows a node at most
             sums[r["_node"]][r["_bin"]] = r["w"]
+            ends[r["_node"]][r["_bin"]] = (r["least"], r["most"])
         for i, (lo, hi) in list(span.items()):
-            step, node = max(1, -(-(hi - lo) // BINS)), nodes[i]
+            node = nodes[i]
             whole.setdefault(i, sum(sums[i].values()))
             goal, run = whole[i] * (node.shards // 2) / node.shards, before[i]
             for b in sorted(sums[i]):
@@ -114,22 +107,24 @@ def _split(atoms: DataFrame, tree: Node, nodes: list[Node]) -> None:
                 cut[i] = hi
                 del span[i]
                 continue
-            after = run + sums[i][b]
-            near, at = min((abs(run - goal), lo + b * step), (abs(after - goal), lo + (b + 1) * step))
-            if near <= TOLERANCE * whole[i] or step == 1:
-                cut[i] = at
+            least, most = ends[i][b]
+            if least == most:  # one value, whose side is the nearer one
+                cut[i] = least if abs(run - goal) <= abs(run + sums[i][b] - goal) else least + 1
                 del span[i]
             else:
-                span[i], before[i] = (lo + b * step, min(hi, lo + (b + 1) * step)), run
+                span[i], before[i] = (least, most + 1), run
     for i, node in enumerate(nodes):
         node.cut, half = cut[i], node.shards // 2
         node.low, node.high = Node(node.first, half), Node(node.first + half, node.shards - half)
 
 
 def atoms_of(rows: DataFrame) -> DataFrame:
-    out = rows.groupBy("_atom").agg(F.sum("_size").alias("_weight"), F.min("_source").alias("_source"), F.min("_lang").alias("_lang"), F.max("_size").alias("_bytes"))
-    values = (_name(F.col("_source")), _name(F.col("_lang")), F.least(F.log2(F.col("_bytes") + 1) / 40, F.lit(0.9999999)))
-    return out.withColumns({d: _key(v) for d, v in zip(DIMENSIONS, values, strict=True)}).drop("_source", "_lang", "_bytes")
+    """One row per distinct text (by hash): its bytes with all copies, the keys of its dimensions, its rows."""
+    out = rows.groupBy("_atom").agg(F.sum("_size").alias("_weight"), F.min("_source").alias("_source"), F.min("_lang").alias("_lang"), F.max("_size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
+    for c in ("_source", "_lang"):  # one row per distinct value; null ranks with the least
+        out = out.join(ranked(rows, c, f"{c}_rank"), c, "left").withColumn(f"{c}_rank", F.coalesce(f"{c}_rank", F.lit(0.0)))
+    values = (F.col("_source_rank"), F.col("_lang_rank"), F.least(F.log2(F.col("_bytes") + 1) / 40, F.lit(0.9999999)))
+    return out.select("_atom", "_weight", "_n", *[_key(v).alias(d) for d, v in zip(DIMENSIONS, values, strict=True)])
 
 
 def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
@@ -163,8 +158,8 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     to = F.element_at(F.array(*[F.lit(n.first) for n in leaves]), _node_of(tree, leaves) + 1)
     for k, atom in enumerate(own):
         to = F.when(F.col("_atom") == F.lit(atom), F.lit(shards - len(own) + k)).otherwise(to)
-    placed = rows.join(atoms.select("_atom", to.cast("int").alias("shard")), "_atom")
-    out = numbered(placed, "shard", ["_id", "_atom"], count, "slot")
+    placed = with_facts(rows, atoms.select("_atom", "_n", to.cast("int").alias("shard")), "_atom", "_n", count)
+    out = numbered(placed.drop("_n"), "shard", ["_id", "_atom"], count, "slot")
     return out.select(
         F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )

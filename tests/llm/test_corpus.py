@@ -12,6 +12,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import Row
 
 from faultline.llm import langid, lm, lm_score, media, mixing, packing, sharding, toxicity
 
@@ -42,6 +44,25 @@ def targets_brute(sizes):
     return target
 
 
+def mix_brute(rows, want):
+    """Complete epochs, then document by document in key order whatever still fits."""
+    sizes, drawn = defaultdict(int), defaultdict(list)
+    for doc_id, text, _, source, _ in rows:
+        text, n = text or "", size_of(text)
+        sizes[source] += n
+        u = (int(hashlib.md5(f"11:{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        drawn[source].append((-math.log(u) / (math.exp(-abs(len(text) / max(n, 1) - 6.5) / 6.5) * 0.95 + 0.05), n, doc_id))
+    out = []
+    for source, docs in drawn.items():
+        epochs = math.floor(want[source] / sizes[source] + 1e-9) if sizes[source] else 0
+        room = round(want[source] - epochs * sizes[source], 6)
+        for _, n, doc_id in sorted(docs):
+            fits = n <= room
+            room -= n * fits
+            out.append(Row(doc_id=doc_id, source=source, size=n, source_size=sizes[source], target=want[source], taken=n * (epochs + fits)))
+    return out
+
+
 def test_mix(odd, odd_rows):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(odd_rows)
@@ -54,22 +75,27 @@ def test_mix(odd, odd_rows):
         assert r["size"] == size_of(next(x[1] for x in odd_rows if x[0] == r.doc_id)) and r.source_size == sizes[r.source]
         assert r.target == pytest.approx(want[r.source]) and r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
         taken[r.source] += r.taken
+    assert sorted(map(str, rows)) == sorted(map(str, mix_brute(odd_rows, want)))
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= max([size_of(x[1]) for x in odd_rows if x[3] == s]) / 2 + 1
+        left = [r["size"] for r in rows if r.source == s and r["size"] and r.taken < 3 * r["size"] and r.taken <= want[s] // max(sizes[s], 1) * r["size"]]
+        assert 0 <= want[s] - taken[s] < min(left, default=2)
     again = mixing.mix(odd.repartition(2)).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
-def test_mix_in_ranges(odd, odd_rows, monkeypatch):
-    """Many key ranges give totals as near."""
-    monkeypatch.setattr(mixing, "PER_RANGE", 5)
-    rows = mixing.mix(odd).collect()
-    taken, target = defaultdict(int), {}
-    for r in rows:
-        taken[r.source] += r.taken
-        target[r.source] = r.target
-    for s in target:
-        assert abs(taken[s] - target[s]) <= max(size_of(x[1]) for x in odd_rows if x[3] == s)
+def test_mix_in_bins(odd, odd_rows, monkeypatch):
+    """Few bins of keys, refined down to single documents, give the same mixture."""
+    want = sorted(map(str, mixing.mix(odd).collect()))
+    monkeypatch.setattr(mixing, "PER_RANGE", 1)
+    monkeypatch.setattr(mixing, "BINS", 3)
+    assert sorted(map(str, mixing.mix(odd).collect())) == want
+
+
+def test_mix_without_words(spark):
+    """A source without words is never taken."""
+    df = spark.createDataFrame([(1, " ", "en", "a", 1), (2, None, "en", "a", 0), (3, "one two three", "en", "b", 0), (4, "four", "en", "b", 0)], SCHEMA)
+    assert {r.doc_id: (r.taken, r.target) for r in mixing.mix(df).collect()} == {1: (0, 0.0), 2: (0, 0.0), 3: (3, 4.0), 4: (1, 4.0)}
+    assert sorted(r.doc_id for r in mixing.mixed(df).collect()) == [3, 4]
 
 
 def test_mix_odd_tables(empty, clashing):
@@ -117,6 +143,57 @@ def test_shards_are_near_equal(spark):
     assert len(got) == 16 and max(got.values()) < 1.05 * mean and min(got.values()) > 0.95 * mean
 
 
+def tree_brute(rows, shards):
+    """The same k-d tree over atoms in memory: {text: shard}."""
+    rank = lambda k: {v: i / len({r[k] for r in rows if r[k] is not None}) for i, v in enumerate(sorted({r[k] for r in rows if r[k] is not None}))}
+    source, lang, atoms = rank(3), rank(2), {}
+    for _, text, la, so, _ in rows:
+        x = atoms.setdefault(text, [0, "~", "~"])
+        x[0], x[1], x[2] = x[0] + len(text.encode()) + 1, min(x[1], so), min(x[2], la)
+    scaled = lambda v: min(int(v * 2**24), 2**24 - 1)
+    points = []
+    for text, (weight, so, la) in atoms.items():
+        low = sharding_hash(text)
+        size = math.log2(len(text.encode()) + 2) / 40
+        points.append((weight, *[(scaled(v) << 36) + low for v in (source[so], lang[la], size)], text))
+    root = [max(p[k] for p in points) + 1 - min(p[k] for p in points) for k in (1, 2, 3)]
+    out = {}
+
+    def split(points, first, n):
+        if n == 1:
+            out.update({p[4]: first for p in points})
+            return
+        wide = [(max(p[k] for p in points) + 1 - min(p[k] for p in points)) / root[k - 1] for k in (1, 2, 3)]
+        k = wide.index(max(wide)) + 1
+        points = sorted(points, key=lambda p: p[k])
+        goal, run = sum(p[0] for p in points) * (n // 2) / n, 0
+        for i, p in enumerate(points):
+            if run + p[0] >= goal:
+                cut = i if abs(run - goal) <= abs(run + p[0] - goal) else i + 1
+                break
+            run += p[0]
+        split(points[:cut], first, n // 2)
+        split(points[cut:], first + n // 2, n - n // 2)
+
+    split(points, 0, shards)
+    return out
+
+
+def sharding_hash(text):
+    """Spark's hash of the hash of a text, as the operator breaks ties with it."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return xxhash.xxh64_intdigest((5).to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) >> 28
+
+
+def test_shard_is_the_tree(spark):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, rng.randrange(5, 60)), rng.choice(["en", "de", "fr"]), rng.choice(["src1", "src10", "src2", "zz"]), 0) for i in range(600)]
+    rows += [(1000 + i, *rows[i][1:]) for i in range(40)]
+    want = tree_brute(rows, 16)
+    got = {r.doc_id: r.shard for r in sharding.shard(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[0]: want[r[1]] for r in rows}
+
+
 def test_shard_odd_tables(empty, clashing):
     assert sharding.shard(empty).count() == 0
     assert sharding.shard(clashing).count() == clashing.count()
@@ -175,6 +252,36 @@ def test_media_round_trip():
             assert stored[o : o + s] == data[k * media.BLOCK : k * media.BLOCK + s]
 
 
+def track(kind, samples, keys, at):
+    """A track of given samples, all in one chunk at ``at``; key frames only where ``keys`` is given."""
+    box, full = media._box, media._full
+    words = lambda *n: b"".join(x.to_bytes(4, "big") for x in n)
+    sync = [full(b"stss", words(len(keys), *keys))] if keys else []
+    tables = box(
+        b"stbl", full(b"stsd", words(1), box(kind, bytes(8))), full(b"stts", words(1, len(samples), 1)), *sync, full(b"stsc", words(1, 1, max(len(samples), 1), 1)),
+        full(b"stsz", words(0, len(samples), *map(len, samples))), full(b"stco", words(1, at)),
+    )
+    return box(b"trak", box(b"mdia", full(b"mdhd", words(0, 0, 1000, len(samples)), bytes(4)), box(b"minf", tables)))
+
+
+def test_media_with_several_tracks():
+    """Tables are those of one track: the first with samples, whatever the others hold."""
+    audio, video = [b"aa", b"bbb", b"c"], [b"%02d" % i for i in range(30)]
+    for tracks, codec, n, keys in ((["sowt", "avc1"], "sowt", 3, 3), (["none", "avc1", "sowt"], "avc1", 30, 2)):
+        made = {"sowt": (b"sowt", audio, ()), "avc1": (b"avc1", video, (1, 25)), "none": (b"text", [], ())}
+        data = media._box(b"ftyp", b"isom") + media._box(b"moov", *[track(*made[t], 1000) for t in tracks])
+        info = media.read_media(data)
+        assert (info["codec"], len(info["sizes"]), len(info["keys"]), info["offsets"][0]) == (codec, n, keys, 1000)
+        assert info["offsets"][info["keys"]].tolist() == [1000 + sum(map(len, dict(sowt=audio, avc1=video)[codec][:k])) for k in info["keys"]]
+
+
+def test_media_compact_sizes():
+    words = lambda *n: b"".join(x.to_bytes(4, "big") for x in n)
+    for bits, data in ((4, b"\x12\x30"), (8, bytes([1, 2, 3])), (16, bytes([0, 1, 0, 2, 0, 3]))):
+        body = words(0, bits, 3) + data
+        assert media._sizes(memoryview(body), {b"stz2": (0, len(body))}).tolist() == [1, 2, 3]
+
+
 def test_media_digest(spark, odd, odd_rows, empty, clashing):
     rows = {r.doc_id: r for r in media.media_digest(odd).collect()}
     for doc_id, text, *_ in odd_rows:
