@@ -60,14 +60,15 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int,
 
     ``n``: the column of facts that counts the rows of the key, ``total``: all rows. Keys with
     over ``HOT_SHARE`` of all rows, at most 1 / HOT_SHARE, are broadcast, so their rows are not
-    shuffled; the others meet by hash.
+    shuffled; the others meet by hash in a merge join, never by a broadcast of whichever side
+    happens to compress well.
     """
     hot = F.col(n) > total * HOT_SHARE
     few = facts.where(hot).select(F.col(key).alias("_hot"), F.struct(*[c for c in facts.columns if c != key]).alias("_fact"))
     marked = rows.join(F.broadcast(few), rows[key] == few["_hot"], "left")
     names = [c for c in facts.columns if c != key]
     met = marked.where("_hot is not null").select(*rows.columns, *[F.col(f"_fact.{c}").alias(c) for c in names])
-    others = marked.where("_hot is null").select(*rows.columns).join(facts.where(~hot), key, how)
+    others = marked.where("_hot is null").select(*rows.columns).hint("merge").join(facts.where(~hot), key, how)
     return met.unionByName(others.select(*rows.columns, *names))
 
 

@@ -20,7 +20,7 @@ from .common import discard, stored, with_facts
 def _to_least(links: DataFrame, n: int) -> DataFrame:
     """Links (u, v) with the least neighbour of u, or u itself: (u, v, least)."""
     least = links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"), F.count(F.lit(1)).alias("_links"))
-    return with_facts(links, least.hint("merge"), "u", "_links", n).drop("_links")
+    return with_facts(links, least, "u", "_links", n).drop("_links")
 
 
 def _kept(links: DataFrame) -> tuple[DataFrame, str, tuple]:

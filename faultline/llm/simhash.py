@@ -110,14 +110,15 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     table = prints.select("_fp", F.explode(_segments()).alias("s")).select("_fp", F.col("s.key").alias("_key"), F.col("s.rest").alias("_rest"))
     ball = [0, *[1 << i for i in range(32)]] if radius >= 2 else [0]
     probes = table.withColumn("_flip", F.explode(_flips(ball))).select("_fp", F.col("_key").bitwiseXOR(F.col("_flip")).alias("_key"), "_rest", (F.col("_flip") != 0).alias("_off"))
+    # merge joins: exploded keys are many though their compressed size is small, so they must not be broadcast
     dense = materialize(table.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DENSE), "simhash-dense")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     if dense.isEmpty():
-        met = probes.select(F.col("_fp").alias("a"), "_key").join(table.select(F.col("_fp").alias("b"), "_key"), "_key")
+        met = probes.select(F.col("_fp").alias("a"), "_key").hint("merge").join(table.select(F.col("_fp").alias("b"), "_key"), "_key")
         return met.where(near).select("a", "b").distinct()
-    sparse = table.select(F.col("_fp").alias("b"), "_key").join(dense, "_key", "left_anti")
-    met = probes.select(F.col("_fp").alias("a"), "_key").join(sparse, "_key").where(near).select("a", "b")
-    return met.unionByName(_dense_links(probes.join(dense.select("_key"), "_key"), radius)).distinct()
+    sparse = table.select(F.col("_fp").alias("b"), "_key").hint("merge").join(dense, "_key", "left_anti")
+    met = probes.select(F.col("_fp").alias("a"), "_key").hint("merge").join(sparse, "_key").where(near).select("a", "b")
+    return met.unionByName(_dense_links(probes.hint("merge").join(dense.select("_key"), "_key"), radius)).distinct()
 
 
 def _dense_links(probes: DataFrame, radius: int) -> DataFrame:
@@ -148,7 +149,7 @@ def _named(light: DataFrame, least: Column) -> tuple[DataFrame, int]:
     """(_fp, _n, _best) of every distinct fingerprint: its rows, and the ``least`` of its component's; all rows."""
     prints = materialize(light.groupBy("_fp").agg(F.min(least).alias("_least"), F.count(F.lit(1)).alias("_n")), "simhash-prints")
     roots = components(links(prints.select("_fp")))
-    rooted = prints.join(roots.select(F.col("node").alias("_fp"), "root"), "_fp", "left").withColumn("_root", F.coalesce("root", "_fp")).drop("root")
+    rooted = prints.hint("merge").join(roots.select(F.col("node").alias("_fp"), "root"), "_fp", "left").withColumn("_root", F.coalesce("root", "_fp")).drop("root")
     rooted = materialize(rooted, "simhash-rooted")
     names = rooted.groupBy("_root").agg(F.min("_least").alias("_best"), F.count(F.lit(1)).alias("_prints"))
     sums = rooted.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
