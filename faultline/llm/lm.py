@@ -2,11 +2,15 @@
 
 A token is predicted as its class and then itself: frequent tokens are classes of their own,
 the others share classes, in which corpus counts decide. The class comes from one attention
-layer over the preceding tokens (at least 16, at most 31) with learned distances, the last two
+layer over the preceding tokens (at least 17, at most 32) with learned distances, the last two
 tokens' embeddings, a feed-forward layer, and the corpus's counts of classes after tokens.
 
 Sequences are cut into blocks of ``BLOCK`` tokens. Each block is scored once, with the block
-before it as context: overlapping windows, batched, under a causal mask.
+before it as context: overlapping windows, batched, under a causal mask. Blocks are taken in
+runs as they stand, so every token's embeddings are read once and serve both windows.
+
+In float32 both softmaxes raise 2 by ``powers``, which is linear between whole exponents. It is
+positive and increasing, so what it is divided by its sum is a distribution as exact as any.
 """
 
 from __future__ import annotations
@@ -56,18 +60,15 @@ class Lexicon:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.times[at], 0)
 
-    def within(self, before: np.ndarray, ids: np.ndarray, shift: int) -> np.ndarray:
-        """log10 share of each id within its class after ``before``: pair counts over the class's own shares.
-
-        A pair that is not in ``pair`` counts as 0 here.
-        """
+    def within(self, before: np.ndarray, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 share of each id within its class after ``before``: pair counts ``n`` over the class's own shares."""
         share, row = self.inside[ids], self.row[before]
         if self.whole is not None:
-            return np.log10((self.counted(before * shift + ids) + TRUST * 10**share) / (self.whole[before, self.cls[ids]] + TRUST))
-        if not len(self.pair):
+            of = self.whole[before, self.cls[ids]]
+        elif len(self.pair):
+            of = np.where(row == self.other, 0, self.follow[row, self.cls[ids]])
+        else:
             return share
-        n = self.counted(before * shift + ids)
-        of = np.where(row == self.other, 0, self.follow[row, self.cls[ids]])
         return np.log10((n + TRUST * 10**share) / (of + TRUST))
 
 
@@ -115,135 +116,177 @@ def prior_of(follow: np.ndarray) -> np.ndarray:
     return np.log((follow + 5 * share) / (follow.sum(1, keepdims=True) + 5)).astype(np.float32)
 
 
-TABLES = ("key", "value", "query", "last", "before")
+#: Columns of a token's embedding: as key, value and query, as the last token and as the one before it.
+KEY, VALUE, QUERY, LAST, BEFORE = (slice(i * DIM, (i + 1) * DIM) for i in range(5))
+WIDTH = 5 * DIM
 
 
 def fresh(rows: int, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    made = {k: rng.normal(0, 0.15, (rows, DIM)) for k in TABLES}
-    made |= {"far": -0.05 * np.arange(2 * BLOCK - 1.0), "w1": rng.normal(0, 0.2, (DIM, HIDDEN)), "b1": np.zeros(HIDDEN), "w2": rng.normal(0, 0.1, (HIDDEN, DIM)), "out": rng.normal(0, 0.05, (DIM, CLASSES)), "bias": np.zeros(CLASSES)}
+    made = {"table": rng.normal(0, 0.15, (rows, WIDTH)), "far": -0.05 * np.arange(2.0 * BLOCK), "w1": rng.normal(0, 0.2, (DIM, HIDDEN)), "b1": np.zeros(HIDDEN)}
+    made |= {"w2": rng.normal(0, 0.1, (HIDDEN, DIM)), "out": rng.normal(0, 0.05, (DIM, CLASSES)), "bias": np.zeros(CLASSES)}
     return {k: v.astype(np.float32) for k, v in made.items()}
 
 
-_BACK = (BLOCK - 1 + np.arange(BLOCK))[:, None] - np.arange(2 * BLOCK - 1)  # distance of key j from query i
-_MASK = np.where(_BACK < 0, np.float32(-1e9), np.float32(0))
+_BACK = np.arange(BLOCK)[:, None] - np.arange(BLOCK)  # distance of key j from query i in one block
+_FUTURE = _BACK < 0
+_SCALE, _ONE = np.float32((1 << 23) / np.log(2)), np.float32(127 << 23)
+#: Limits of what is raised: a float's exponent ends beyond.
+_REACH = np.float32(80)
+
+
+def powers(x: np.ndarray) -> np.ndarray:
+    """exp(x); of float32, in place, with the bits of a float as the logarithm, linear between powers of 2."""
+    if x.dtype != np.float32:
+        return np.exp(x)
+    np.clip(x, -_REACH, _REACH, out=x)
+    x *= _SCALE
+    x += _ONE
+    return x.astype(np.int32).view(np.float32)
 
 
 def blocks_of(tokens: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut each text's tokens ``first[i]:first[i + 1]`` into blocks, with a block of ``start`` ahead.
 
-    (blocks, real, place): all blocks, which of them hold tokens, and the flat place of each token.
+    (inputs, real, place): for all blocks the token before each of theirs, which blocks hold
+    tokens, and the flat place of each token.
     """
     n = np.diff(first)
     per = -(-n // BLOCK) + 1
     begin = np.concatenate([[0], np.cumsum(per)])
-    flat = np.full(begin[-1] * BLOCK, start)
+    flat = np.full(begin[-1] * BLOCK + 1, start)
     place = np.repeat((begin[:-1] + 1) * BLOCK - first[:-1], n) + np.arange(first[-1])
-    flat[place] = tokens
+    flat[place + 1] = tokens
     real = np.ones(begin[-1], bool)
     real[begin[:-1]] = False
-    return flat.reshape(-1, BLOCK), np.flatnonzero(real), place
-
-
-def _hidden(p: dict, keys: np.ndarray) -> tuple:
-    """What the layers make of each block: ..., hidden states before and after the feed-forward layer."""
-    last, before = keys[:, BLOCK - 1 :], keys[:, BLOCK - 2 : -1]
-    k, v, q = p["key"][keys], p["value"][keys], p["query"][last]
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a += p["far"][np.abs(_BACK)] + _MASK
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True) + np.float32(1e-30)
-    h0 = np.matmul(a, v).reshape(-1, DIM)
-    h0 += p["last"][last.ravel()]
-    h0 += p["before"][before.ravel()]
-    z = h0 @ p["w1"] + p["b1"]
+    inputs = flat[:-1].reshape(-1, BLOCK)
+    inputs[~real] = start
+    return inputs, np.flatnonzero(real), place
+
+
+def _hidden(p: dict, e: np.ndarray) -> tuple:
+    """What the layers make of the blocks ``e[1:]`` of embeddings, each with the block before it as context.
+
+    (weights of the block before, weights of the own block, h0, z, h): h0 and h are the hidden
+    states before and after the feed-forward layer, one row per token.
+    """
+    q, m = e[1:, :, QUERY], len(e) - 1
+    past = np.matmul(q, e[:-1, :, KEY].transpose(0, 2, 1))
+    past += p["far"][BLOCK + _BACK]
+    own = np.matmul(q, e[1:, :, KEY].transpose(0, 2, 1))
+    own += p["far"][np.abs(_BACK)]
+    past, own = powers(past), powers(own)
+    own[:, _FUTURE] = 0
+    total = past.sum(-1, keepdims=True) + own.sum(-1, keepdims=True)
+    past /= total
+    own /= total
+    h0 = np.matmul(past, e[:-1, :, VALUE])
+    h0 += np.matmul(own, e[1:, :, VALUE])
+    h0 += e[1:, :, LAST]
+    h0[:, 1:] += e[1:, :-1, BEFORE]
+    h0[:, 0] += e[:-1, -1, BEFORE]
+    h0 = h0.reshape(m * BLOCK, DIM)
+    z = h0 @ p["w1"]
+    z += p["b1"]
     np.maximum(z, 0, out=z)
-    return k, v, q, a, h0, z, h0 + z @ p["w2"]
+    h = z @ p["w2"]
+    h += h0
+    return past, own, h0, z, h
 
 
-def log10_classes(p: dict, prior: np.ndarray, rows: np.ndarray, classes: np.ndarray, real: np.ndarray, at_once: int = 128) -> np.ndarray:
+def log10_classes(p: dict, prior: np.ndarray, inputs: np.ndarray, classes: np.ndarray, real: np.ndarray, at_once: int = 32) -> np.ndarray:
     """(all blocks, BLOCK): log10 probability of each class, 0 in blocks that are not ``real``."""
-    out = np.zeros(rows.shape, np.float64)
-    table = prior + p["bias"]
-    room = np.empty((at_once * BLOCK, prior.shape[1]), table.dtype)
-    for s in range(0, len(real), at_once):
-        b = real[s : s + at_once]
-        keys = np.concatenate([rows[b - 1], rows[b, :-1]], axis=1)
-        y = classes[b].ravel()
-        logits = room[: len(y)]
-        np.matmul(_hidden(p, keys)[-1], p["out"], out=logits)
-        logits += table[keys[:, BLOCK - 1 :].ravel()]
-        hit = logits[np.arange(len(y)), y]
-        most = logits.max() if len(y) else 0
-        if most > 80:  # far from usual: keep the sum finite
-            logits -= most
-            hit = hit - most
-        np.exp(logits, out=logits)
-        out[b] = ((hit - np.log(logits.sum(1))) / np.log(10)).reshape(-1, BLOCK)
+    out = np.zeros(inputs.shape, np.float64)
+    table, ones = prior + p["bias"], np.ones(prior.shape[1], prior.dtype)
+    for s in range(1, len(inputs), at_once):  # the first block is a start
+        x, y = inputs[s - 1 : s + at_once], classes[s : s + at_once].ravel()
+        logits = _hidden(p, p["table"][x])[-1] @ p["out"]
+        logits += table[x[1:].ravel()]
+        share = powers(logits)
+        out[s : s + at_once] = np.log10(share[np.arange(len(y)), y] / (share @ ones)).reshape(-1, BLOCK)
+    keep = np.zeros(len(out), bool)
+    keep[real] = True
+    out[~keep] = 0
     return out
 
 
-def _scatter(rows: int, at: np.ndarray, grad: np.ndarray) -> np.ndarray:
-    at = at.ravel()
+def _scatter(at: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, summed gradients) of the rows ``at``."""
     order = np.argsort(at, kind="stable")
-    u, start = np.unique(at[order], return_index=True)
-    out = np.zeros((rows, DIM), np.float32)
-    out[u] = np.add.reduceat(grad.reshape(-1, DIM)[order], start)
-    return out
-
-
-def gradients(p: dict, keys: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> tuple[float, dict]:
-    """Mean cross-entropy of the classes ``y`` (blocks, BLOCK) and its gradient."""
-    k, v, q, a, h0, z, h = _hidden(p, keys)
-    last, before, n, rows = keys[:, BLOCK - 1 :], keys[:, BLOCK - 2 : -1], max(float(weight.sum()), 1.0), len(prior)
-    y, w = y.ravel(), weight.ravel().astype(np.float32)
-    logits = h @ p["out"] + p["bias"] + prior[last.ravel()]
-    logits -= logits.max(1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(1)
-    loss = float(((np.log(total) - logits[np.arange(len(y)), y]) * w).sum() / n)
-    d = e / total[:, None]
-    d[np.arange(len(y)), y] -= 1
-    d *= (w / np.float32(n))[:, None]
-    g = {"out": h.T @ d, "bias": d.sum(0)}
+    at = at[order]
+    start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return at[start], np.add.reduceat(grad[order], start)
+
+
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    """(mean cross-entropy, its gradient, the rows of ``table`` that it has) for the classes ``y`` after the inputs ``x[1:]``; ``x[0]`` is context only."""
+    e = p["table"][x]
+    past, own, h0, z, h = _hidden(p, e)
+    n, m = max(float(weight.sum()), 1.0), len(x) - 1
+    y, w = y.ravel(), weight.ravel().astype(e.dtype)
+    d = h @ p["out"]
+    d += p["bias"]
+    d += prior[x[1:].ravel()]
+    d = powers(d)
+    total, at = d @ np.ones(d.shape[1], d.dtype), np.arange(len(y))
+    loss = -float((np.log(d[at, y] / total) * w).sum() / n)
+    w /= e.dtype.type(n)
+    d *= (w / total)[:, None]
+    d[at, y] -= w
+    g = {"out": h.T @ d, "bias": np.ones(len(d), d.dtype) @ d}
     dh = d @ p["out"].T
     g["w2"] = z.T @ dh
-    dz = (dh @ p["w2"].T) * (z > 0)
+    dz = dh @ p["w2"].T
+    dz *= z > 0
     g["w1"], g["b1"] = h0.T @ dz, dz.sum(0)
-    dh0 = dh + dz @ p["w1"].T
-    g["last"], g["before"] = _scatter(rows, last, dh0), _scatter(rows, before, dh0)
-    do = dh0.reshape(-1, BLOCK, DIM)
-    g["value"] = _scatter(rows, keys, np.matmul(a.transpose(0, 2, 1), do))
-    da = np.matmul(do, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    g["query"] = _scatter(rows, last, np.matmul(ds, k))
-    g["key"] = _scatter(rows, keys, np.matmul(ds.transpose(0, 2, 1), q))
-    ok = _BACK >= 0
-    g["far"] = np.bincount(_BACK[ok], ds.sum(0)[ok], 2 * BLOCK - 1).astype(np.float32)
-    return loss, g
+    dh += dz @ p["w1"].T
+    do = dh.reshape(m, BLOCK, DIM)
+    ge = np.zeros_like(e)
+    ge[1:, :, LAST] = do
+    ge[1:, :-1, BEFORE] = do[:, 1:]
+    ge[:-1, -1, BEFORE] += do[:, 0]
+    ge[1:, :, VALUE] = np.matmul(own.transpose(0, 2, 1), do)
+    ge[:-1, :, VALUE] += np.matmul(past.transpose(0, 2, 1), do)
+    d_past, d_own = np.matmul(do, e[:-1, :, VALUE].transpose(0, 2, 1)), np.matmul(do, e[1:, :, VALUE].transpose(0, 2, 1))
+    seen = h0.reshape(do.shape) - e[1:, :, LAST]  # what attention gave: its product with do is the weighted mean
+    seen[:, 1:] -= e[1:, :-1, BEFORE]
+    seen[:, 0] -= e[:-1, -1, BEFORE]
+    mean = (do * seen).sum(-1, keepdims=True)
+    d_past -= mean
+    d_past *= past
+    d_own -= mean
+    d_own *= own
+    q = e[1:, :, QUERY]
+    ge[1:, :, QUERY] = np.matmul(d_past, e[:-1, :, KEY]) + np.matmul(d_own, e[1:, :, KEY])
+    ge[1:, :, KEY] = np.matmul(d_own.transpose(0, 2, 1), q)
+    ge[:-1, :, KEY] += np.matmul(d_past.transpose(0, 2, 1), q)
+    ok = ~_FUTURE
+    far = np.bincount((BLOCK + _BACK).ravel(), d_past.sum(0).ravel(), 2 * BLOCK) + np.bincount(_BACK[ok], d_own.sum(0)[ok], 2 * BLOCK)
+    g["far"] = far.astype(e.dtype)
+    rows, g["table"] = _scatter(x.ravel(), ge.reshape(-1, WIDTH))
+    return loss, g, rows
 
 
 class Trainer:
-    """Adam over batches of blocks, in the order in which they come."""
+    """Adam over batches of blocks, in the order in which they come; of the embeddings, only rows that a batch has move."""
 
-    def __init__(self, p: dict, prior: np.ndarray, rate: float = 4e-3) -> None:
+    def __init__(self, p: dict, prior: np.ndarray, rate: float = 4e-3, step: int = 0) -> None:
         self.p = {k: v.copy() for k, v in p.items()}
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-        self.prior, self.rate, self.step, self.loss, self.tokens = prior, rate, 0, 0.0, 0
-
-    def feed(self, rows: np.ndarray, classes: np.ndarray, real: np.ndarray, weight: np.ndarray, size: int = 96) -> None:
-        """One pass over the real blocks, ``size`` at a time, scattered by a fixed stride."""
-        real = real[np.argsort((real * 2654435761) % 4294967296, kind="stable")]
-        for s in range(0, len(real), size):
-            b = real[s : s + size]
-            keys = np.concatenate([rows[b - 1], rows[b, :-1]], axis=1)
-            loss, g = gradients(self.p, keys, classes[b], weight[b], self.prior)
-            self.step += 1
-            n = int(weight[b].sum())
+        self.prior, self.rate, self.step, self.since, self.loss, self.tokens = prior, rate, step, 0, 0.0, 0
+
+    def feed(self, inputs: np.ndarray, classes: np.ndarray, weight: np.ndarray, size: int = 64) -> None:
+        """One pass over the blocks, ``size`` in a row at a time."""
+        for s in range(1, len(inputs), size):
+            w = weight[s : s + size]
+            loss, g, rows = gradients(self.p, inputs[s - 1 : s + size], classes[s : s + size], w, self.prior)
+            self.step, self.since, n = self.step + 1, self.since + 1, int(w.sum())
             self.loss, self.tokens = self.loss + loss * n, self.tokens + n
-            rate = self.rate / (1 + self.step / 600) * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
+            rate = np.float32(self.rate / (1 + self.step / 600) * np.sqrt(1 - 0.999**self.since) / (1 - 0.9**self.since))
             for k, x in g.items():
-                self.m[k] += np.float32(0.1) * (x - self.m[k])
-                self.v[k] += np.float32(0.001) * (x * x - self.v[k])
-                self.p[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+                at = rows if k == "table" else slice(None)
+                m, v = self.m[k][at], self.v[k][at]
+                m += np.float32(0.1) * (x - m)
+                v += np.float32(0.001) * (x * x - v)
+                self.m[k][at], self.v[k][at] = m, v
+                self.p[k][at] -= rate * m / (np.sqrt(v) + np.float32(1e-8))

@@ -3,8 +3,8 @@
 1. One pass over the training fold counts words, subword ids and pairs of ids; counts are
    added up by key, so the vocabulary stays distributed.
 2. Classes and priors of the model (lm.py) come from these counts, of all training text.
-   The network itself is trained on the same text, by tasks that each read about
-   ``TRAINER_WORDS`` words; their weights are averaged, ``ROUNDS`` times.
+   The network itself is trained on the same text, every token once, by tasks that each read at
+   least about ``TRAINER_WORDS`` words; their weights are averaged ``ROUNDS`` times on the way.
 3. One pass over all documents scores every token once. Counts of words that make up at
    least 1 / ``HEAVY`` of all training words (so at most ``HEAVY`` words) are broadcast; a
    document's other words are joined with the vocabulary by hash and summed per document.
@@ -12,7 +12,7 @@
 
 The model's text is the sequence of lower-cased words, each with a leading space, cut into
 the subword ids of a public tokenizer, and one end id. Its score is the log10 probability of
-that sequence. A word longer than ``LONGEST`` characters is cut before it is encoded.
+that sequence. A word longer than ``LONGEST`` characters is encoded whole, in pieces of so many.
 
 Defined cases: a null text is empty: one end token; a null id counts as the text '' for
 folds; without training rows every base score is 0 and the model is uniform; repeated rows
@@ -47,6 +47,14 @@ HEAVY = PAIRS = 1_000_000
 SEED = 42
 
 
+#: Of many hashes: the distinct ones in order, where each stands first, and which of them each is.
+Distinct = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def distinct_words(w: Words) -> Distinct:
+    return np.unique(xxh64(w.buf, w.start, w.end, SEED), return_index=True, return_inverse=True)
+
+
 class Coder:
     """Subword ids of words, each distinct word encoded once as long as it is kept."""
 
@@ -78,9 +86,9 @@ class Coder:
         lists = [self._encode(x) for x in made]
         return np.array([t for m in lists for t in m], np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
 
-    def __call__(self, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, w: Words, distinct: Distinct) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in a row, how many each word has)."""
-        u, where, back = np.unique(h, return_index=True, return_inverse=True)
+        u, where, back = distinct
         if len(self.known) > self.most:
             self._clear()
         new = ~np.isin(u, self.known, assume_unique=True)
@@ -105,9 +113,9 @@ class Coder:
         return self.flat[np.repeat(self.first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
 
-def sequences(coder: Coder, w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sequences(coder: Coder, w: Words, distinct: Distinct) -> tuple[np.ndarray, np.ndarray]:
     """(ids, first): the ids of each text followed by the end id."""
-    ids, n = coder(w, h)
+    ids, n = coder(w, distinct)
     upto = np.concatenate([[0], np.cumsum(n)])
     first = upto[w.first] + np.arange(len(w.first))
     out = np.full(first[-1], coder.end)
@@ -145,9 +153,9 @@ def _statistics(df: DataFrame, ranks: Broadcast) -> DataFrame:
             texts_seen += len(texts)
             for a, b in runs([len(t) for t in texts]):
                 w = words(texts[a:b])
-                h = xxh64(w.buf, w.start, w.end, SEED)
-                found[0].append(np.unique(h, return_counts=True))
-                ids, first = sequences(coder, w, h)
+                distinct = distinct_words(w)
+                found[0].append((distinct[0], np.bincount(distinct[2], minlength=len(distinct[0]))))
+                ids, first = sequences(coder, w, distinct)
                 before = np.concatenate([[0], ids[:-1]])
                 before[first[:-1]] = coder.end  # the end id also stands for the start
                 found[1].append(np.unique(before * SHIFT + ids, return_counts=True))
@@ -232,55 +240,60 @@ def _unpacked(data: bytes) -> dict[str, np.ndarray]:
 
 
 FAN = 16
-NETWORK = "part long, p binary, n long"
+NETWORK = "part long, p binary, n long, steps long"
 
 
 def _averaged(table: pa.Table) -> pa.Table:
     """Networks of several trainers as one, by the tokens each has seen; in the order of their parts."""
-    table = table.select(["part", "p", "n"]).sort_by("part")
+    table = table.select(["part", "p", "n", "steps"]).sort_by("part")
     n = table.column("n").to_numpy()
     total: dict[str, np.ndarray] = {}
     for p, share in zip(table.column("p"), n / n.sum(), strict=True):
         for k, x in _unpacked(p.as_py()).items():
             total[k] = total.get(k, 0) + x * share
     whole = _packed({k: x.astype(np.float32) for k, x in total.items()})
-    return pa.table([pa.array([table.column("part")[0].as_py()]), pa.array([whole], pa.binary()), pa.array([int(n.sum())])], names=["part", "p", "n"])
+    columns = [pa.array([table.column("part")[0].as_py()]), pa.array([whole], pa.binary()), pa.array([int(n.sum())]), pa.array([int(np.max(table.column("steps")))])]
+    return pa.table(columns, names=["part", "p", "n", "steps"])
 
 
 def _train(training: DataFrame, ranks: Broadcast, lexicon: Broadcast, trainers: int, rounds: int) -> dict[str, np.ndarray]:
-    """Train by ``trainers`` tasks and average, ``rounds`` times."""
+    """Train by at most ``trainers`` tasks and average, ``rounds`` times, each time on another part of the
+    training texts, so that every token is trained on once. Tasks read their share where it lies: no text is shuffled."""
     spark = training.sparkSession
-    dealt = training.select(F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(trainers)).alias("part"), F.col("_id").cast("string").alias("_id"), F.coalesce("_text", F.lit("")).alias("_text"))
-    weights = lm.fresh(len(lexicon.value.prior))
-    for _ in range(rounds):
-        start = spark.sparkContext.broadcast(weights)
-
-        def run(table: pa.Table) -> pa.Table:  # noqa: B023 - run within this round
-            """One trainer's share, about ``TRAINER_WORDS`` words, in the order of ids."""
-            table = table.sort_by([("_id", "ascending"), ("_text", "ascending")])
+    texts = training.select(F.coalesce("_text", F.lit("")).alias("_text"), F.pmod(F.xxhash64("_id", "_text"), F.lit(rounds)).alias("_round"))
+    weights, steps = lm.fresh(len(lexicon.value.prior)), 0
+    for k in range(rounds):
+        start = spark.sparkContext.broadcast((weights, steps))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: B023 - run within this round
+            from pyspark import TaskContext
+
             coder, words_of = Coder(ranks.value), lexicon.value
-            trainer = lm.Trainer(start.value, words_of.prior)
-            texts = texts_of(table.column("_text").combine_chunks())
-            for a, b in runs([len(t) for t in texts], 500_000):
-                w = words(texts[a:b])
-                ids, first = sequences(coder, w, xxh64(w.buf, w.start, w.end, SEED))
-                rows, real, place = lm.blocks_of(words_of.row[ids], first, words_of.start)
-                classes, weight = np.zeros(rows.size, np.int64), np.zeros(rows.size)
-                classes[place], weight[place] = words_of.cls[ids], 1
-                trainer.feed(rows, classes.reshape(rows.shape), real, weight.reshape(rows.shape))
-            return pa.table([table.column("part").slice(0, 1), pa.array([_packed(trainer.p)], pa.binary()), pa.array([trainer.tokens])], names=["part", "p", "n"])
+            trainer = lm.Trainer(start.value[0], words_of.prior, step=start.value[1])
+            for batch in batches:
+                texts = texts_of(batch.column(0))
+                for a, b in runs([len(t) for t in texts], 500_000):
+                    w = words(texts[a:b])
+                    ids, first = sequences(coder, w, distinct_words(w))
+                    inputs, _, place = lm.blocks_of(words_of.row[ids], first, words_of.start)
+                    classes, weight = np.zeros(inputs.size, np.int64), np.zeros(inputs.size)
+                    classes[place], weight[place] = words_of.cls[ids], 1
+                    trainer.feed(inputs, classes.reshape(inputs.shape), weight.reshape(inputs.shape))
+            if trainer.tokens:
+                part = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([_packed(trainer.p)], pa.binary()), pa.array([trainer.tokens]), pa.array([trainer.step])], names=["part", "p", "n", "steps"])
 
         # averages of averages: no task and not the driver gathers more than a few networks
-        made, groups = dealt.groupBy("part").applyInArrow(run, NETWORK), max(64, -(-trainers // FAN))
+        made, groups = texts.where(F.col("_round") == k).select("_text").coalesce(trainers).mapInArrow(run, NETWORK), max(64, -(-trainers // FAN))
         while True:
             made = made.groupBy(F.pmod("part", F.lit(groups)).alias("_g")).applyInArrow(_averaged, NETWORK)
             if groups <= 8:
                 break
             groups = max(8, -(-groups // FAN))
         table = made.toArrow()
-        if not table.num_rows:
-            break
-        weights = _unpacked(_averaged(table).column("p")[0].as_py())
+        if table.num_rows:
+            found = _averaged(table)
+            weights, steps = _unpacked(found.column("p")[0].as_py()), found.column("steps")[0].as_py()
     return weights
 
 
@@ -299,25 +312,26 @@ def _scored(df: DataFrame, ranks: Broadcast, model: Broadcast, heavy: Broadcast,
                 w = words(texts[a:b])
                 n, size = b - a, np.diff(w.first)
                 doc = np.repeat(np.arange(n), size)
-                h = xxh64(w.buf, w.start, w.end, SEED)
-                hit = np.zeros(len(h), bool)
+                distinct = distinct_words(w)
+                h, _, back = distinct
+                hit, base = np.zeros(len(back), bool), np.zeros(n)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit = known[at] == h
-                    base = np.bincount(doc[hit], score_of[at[hit]], n)
-                else:
-                    base = np.zeros(n)
-                ids, first = sequences(coder, w, h)
+                    hit = (known[at] == h)[back]
+                    base = np.bincount(doc[hit], score_of[at][back][hit], n)
+                h = h[back]
+                ids, first = sequences(coder, w, distinct)
                 rows, real, place = lm.blocks_of(words_of.row[ids], first, words_of.start)
                 classes = np.zeros(rows.size, np.int64)
                 classes[place] = words_of.cls[ids]
                 got = lm.log10_classes(weights, words_of.prior, rows, classes.reshape(rows.shape), real).ravel()[place]
                 before = np.concatenate([[0], ids[:-1]])
                 before[first[:-1]] = coder.end
-                got += words_of.within(before, ids, SHIFT)
                 pair = before * SHIFT + ids
+                times = words_of.counted(pair)
+                got += words_of.within(before, ids, times)
                 # pairs that may be among those not broadcast: its class does follow the id before
-                far = (words_of.counted(pair) == 0) & (words_of.whole[before, words_of.cls[ids]] > 0) & (words_of.least > 1)
+                far = (times == 0) & (words_of.whole[before, words_of.cls[ids]] > 0) & (words_of.least > 1)
                 columns = [
                     batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(size + 1), pa.array(np.bincount(doc[hit], minlength=n)), pa.array(base), pa.array(np.add.reduceat(got, first[:-1])),
                     *_counts_of(doc[~hit], h[~hit], n), *_counts_of(np.repeat(np.arange(n), np.diff(first))[far], pair[far], n),

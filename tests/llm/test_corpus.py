@@ -378,19 +378,30 @@ def test_gradients():
     rows = 12
     p = {k: v.astype(np.float64) for k, v in lm.fresh(rows).items()}
     prior = rng.normal(size=(rows, lm.CLASSES))
-    keys, y, weight = rng.integers(0, rows, (3, 2 * lm.BLOCK - 1)), rng.integers(0, lm.CLASSES, (3, lm.BLOCK)), np.ones((3, lm.BLOCK))
-    _, g = lm.gradients(p, keys, y, weight, prior)
+    x, y, weight = rng.integers(0, rows, (4, lm.BLOCK)), rng.integers(0, lm.CLASSES, (3, lm.BLOCK)), (rng.random((3, lm.BLOCK)) < 0.8).astype(float)
+    _, g, at = lm.gradients(p, x, y, weight, prior)
+    table = np.zeros_like(p["table"])
+    table[at] = g["table"]
+    g["table"] = table
     for k in p:
-        for at in [tuple(rng.integers(0, n) for n in p[k].shape) for _ in range(4)]:
+        for at in [tuple(rng.integers(0, n) for n in p[k].shape) for _ in range(12)]:
             step = 1e-5
             q = {name: v.copy() for name, v in p.items()}
             q[k][at] += step
-            up, _ = lm.gradients(q, keys, y, weight, prior)
+            up, *_ = lm.gradients(q, x, y, weight, prior)
             q[k][at] -= 2 * step
-            down, _ = lm.gradients(q, keys, y, weight, prior)
+            down, *_ = lm.gradients(q, x, y, weight, prior)
             assert g[k][at] == pytest.approx((up - down) / 2 / step, rel=2e-3, abs=2e-6), k
 
 
+def test_powers():
+    """Positive, increasing, and within 6.2 % of exp over all that it takes."""
+    x = np.linspace(-79, 79, 100_001).astype(np.float32)
+    got = lm.powers(x.copy())
+    assert (got > 0).all() and (np.diff(got) >= 0).all() and (np.abs(got / np.exp(x.astype(np.float64)) - 1) < 0.062).all()
+    assert np.isfinite(lm.powers(np.array([-1e30, 1e30], np.float32))).all()
+
+
 def test_attention_is_causal():
     """A token's score does not depend on what follows."""
     rng = np.random.default_rng(1)
@@ -447,7 +458,7 @@ def test_lm_is_a_distribution():
     x = lm.Lexicon(rows, cls, inside, lm.prior_of(follow), pairs, times, kept)
     assert np.allclose(np.exp(x.prior).sum(1), 1, atol=1e-4)
     for before in rng.integers(0, ids, 30):
-        share = 10 ** x.within(np.full(ids, before), np.arange(ids), lm_score.SHIFT)
+        share = 10 ** x.within(np.full(ids, before), np.arange(ids), x.counted(before * lm_score.SHIFT + np.arange(ids)))
         assert np.allclose(np.bincount(cls, share, lm.CLASSES)[np.unique(cls)], 1)
 
 
