@@ -5,10 +5,11 @@ training text; a text is compressed with every dictionary, in blocks, and the la
 smallest total wins. A prediction is marked ``rejected`` where the runner-up is nearly as
 small.
 
-Training texts: of each language the ``DOCS`` documents that come first by a hash of their
-id, among those outside the held-out fold; of each, runs of ``RUN`` bytes up to the
-dictionary's ``DICTIONARY`` bytes. This bounds what the driver gets. Every text is classified
-whole.
+Training texts: of each language the documents that come first by a hash of their id, among
+those outside the held-out fold, whole, at most ``DOCS`` and as far as they fit into
+``DICTIONARY`` bytes; texts that alone exceed it are left out, but where a language has no
+other, its shortest one is taken. This bounds what the driver gets by the number of languages.
+Every text is classified whole, and all by the same coders.
 
 Defined cases: null text, or none of its characters a letter: ``und``, score 0; a null
 language teaches nothing; without any labelled language all are ``und``; a null id counts as
@@ -30,11 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import fold, share_for, uniform
 
-DOCS, RUN, DICTIONARY = 400, 400, 96_000
-BLOCK, LEVEL = 16_384, 3
-#: Texts of up to SHORT bytes are also compressed with each of PARTS parts of a dictionary: their
-#: sizes are few bytes, and the sum over several dictionaries tells languages apart more finely.
-SHORT, PARTS = 512, 8
+DOCS, DICTIONARY = 400, 96_000
+BLOCK, LEVEL = 16_384, 12
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: Relative margin under which a prediction is rejected, and the margin that gives a score of 0.73.
 NARROW, SCALE = 0.01, 0.05
@@ -48,15 +46,17 @@ def dictionaries(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> di
     if not counts:
         return {}
     few = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], share_for(DOCS, r["n"]))])
-    rows = rows.withColumn("h", uniform("_id", 3)).where(F.col("h") < few[F.col("lang")])
-    runs = F.expr(f"transform(sequence(0, least(3, length(text) div {RUN})), i -> lower(regexp_replace(substr(text, cast(i * greatest({RUN}, length(text) div 4) + 1 as int), {RUN}), '[^\\\\p{{L}}]+', ' ')))")
-    nth = F.row_number().over(W.partitionBy("lang").orderBy("h", F.xxhash64("text")))
-    kept = rows.withColumn("nth", nth).where(F.col("nth") <= DOCS).select("lang", "nth", runs.alias("runs"))
+    plain = rows.select("lang", uniform("_id", 3).alias("h"), F.lower(F.regexp_replace("text", r"[^\p{L}]+", " ")).alias("text")).withColumn("size", F.octet_length("text"))
+    least = plain.groupBy("lang").agg(F.min("size").alias("size"), F.min_by("text", "size").alias("text")).where(F.col("size") > DICTIONARY)
+    plain = plain.where((F.col("h") < few[F.col("lang")]) & (F.col("size") <= DICTIONARY))
+    order = W.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    kept = plain.withColumns({"nth": F.row_number().over(order), "upto": F.sum(F.col("size") + 1).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))})
+    kept = kept.where((F.col("nth") <= DOCS) & (F.col("upto") <= DICTIONARY + 1)).select("lang", "nth", "text")
     # the more frequent language first: it wins ties
     out: dict[str, list[str]] = {r["lang"]: [] for r in sorted(counts, key=lambda r: (-r["n"], r["lang"]))}
-    for r in kept.select("lang", "nth", "runs").orderBy("lang", F.desc("nth")).collect():
-        out[r["lang"]].extend(r["runs"])
-    return {k: " ".join(v).encode()[-DICTIONARY:] for k, v in out.items()}
+    for r in kept.unionByName(least.select("lang", F.lit(1).alias("nth"), "text")).orderBy("lang", F.desc("nth")).collect():  # DICTIONARY bytes a language
+        out[r["lang"]].append(r["text"])
+    return {k: " ".join(v).encode() for k, v in out.items()}
 
 
 def _coder(data: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -70,20 +70,14 @@ class Classifier:
 
     def __init__(self, content: dict[str, bytes]) -> None:
         self.names = list(content)
-        self.fast, self.slow = [], []
-        for name in self.names:
-            data = content[name]
-            parts = [data[i * len(data) // PARTS : (i + 1) * len(data) // PARTS] for i in range(PARTS)]
-            self.fast.append([_coder(data, LEVEL)])
-            self.slow.append([_coder(x, 19) for x in (data, *parts)])
+        self.coders = [_coder(content[name], LEVEL) for name in self.names]
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0, True
         data = _NOT_LETTERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
-        coders = self.slow if len(data) <= SHORT else self.fast
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for c in cs for b in blocks), i) for i, cs in enumerate(coders))
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), i) for i, c in enumerate(self.coders))
         if len(sizes) == 1:
             return self.names[0], 1.0, False
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]

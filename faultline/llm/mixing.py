@@ -72,7 +72,7 @@ def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
         n = min(copies, int(left // size))
         picked.append(n)
         left -= n * size
-    return pdf.assign(_picked=picked)[[*UNIT, "_picked"]]
+    return pdf.assign(_picked=picked)[[*UNIT, "_copies", "_picked"]]
 
 
 def _window() -> list[Column]:
@@ -130,12 +130,12 @@ def _plan(units: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         inside = with_facts(some, open_, "_s", "_rows", total).where((F.col("_key") > F.col("_from")) & F.col("_key").between(F.col("_lo"), F.col("_hi")) & (F.col("_size") <= F.col("_room")))
         inside = inside.select(*UNIT, "_copies", "_left")
         kinds = {f.name: f.dataType.simpleString() for f in inside.schema}
-        taken = inside.groupBy("_s").applyInPandas(_fill, ", ".join(f"{c} {kinds[c]}" for c in UNIT) + ", _picked long")
+        taken = inside.groupBy("_s").applyInPandas(_fill, ", ".join(f"{c} {kinds[c]}" for c in [*UNIT, "_copies"]) + ", _picked long")
         picked.append(materialize(taken, "mix-picked"))
         used = picked[-1].groupBy("_s").agg(F.sum(F.col("_picked") * F.col("_size")).alias("_used"))
         state = open_.join(used, "_s").select("_s", "_rows", F.col("_hi").alias("_from"), (F.col("_left") - F.col("_used")).alias("_room"))
         state = materialize(state.where("_room >= 1"), "mix-state")
-    kept = some.select(*UNIT, F.lit(0).cast("long").alias("_picked")).limit(0)
+    kept = some.select(*UNIT, "_copies", F.lit(0).cast("long").alias("_picked")).limit(0)
     for p in picked:
         kept = kept.unionByName(p.where("_picked > 0"))
     nothing = goals.select("_s", F.struct(F.lit(0.0).alias("after"), F.lit(0.0).alias("upto"), F.lit(0.0).alias("end"), F.lit(0.0).alias("room")).alias("p")).limit(0)
@@ -163,12 +163,14 @@ def _decided(rows: DataFrame, light: DataFrame) -> DataFrame:
     whole = F.coalesce(F.exists("passes", lambda p: (F.col("_key") > p["after"]) & (F.col("_key") < p["upto"]) & (F.col("_size") <= p["room"])), F.lit(False))
     asked = F.coalesce(F.exists("passes", lambda p: F.col("_key").between(p["upto"], p["end"]) & (F.col("_size") <= p["room"])), F.lit(False))
     out = out.withColumns({"_whole": whole & (F.col("_size") > 0), "_asked": asked & (F.col("_size") > 0)}).drop("passes")
-    few = picked.select(*[F.col(c).alias(f"p{c}") for c in UNIT], "_picked")
+    few = picked.select(*[F.col(c).alias(f"p{c}") for c in UNIT], "_copies", "_picked")
     same = (F.col("_s") == F.col("p_s")) & F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_key") == F.col("p_key")) & (F.col("_size") == F.col("p_size")) & (F.col("_tx") == F.col("p_tx"))
-    # only the few rows that were asked one by one meet what was picked; of rows that are drawn alike some may be
-    alike = out.where("_asked").join(few, same, "left").drop(*[f"p{c}" for c in UNIT])
-    alike = alike.withColumn("_nth", F.row_number().over(W.partitionBy(*UNIT).orderBy(F.monotonically_increasing_id())))
-    others = out.where("not _asked").withColumns({"_picked": F.lit(None).cast("long"), "_nth": F.lit(None).cast("int")})
+    # only the rows that were asked one by one meet what was picked; of rows that are drawn alike some may be
+    asked = out.where("_asked").join(few, same, "left").drop(*[f"p{c}" for c in UNIT])
+    nth = F.row_number().over(W.partitionBy(*UNIT).orderBy(F.monotonically_increasing_id()))
+    alike = asked.where("_copies > 1").withColumn("_nth", nth)
+    single = asked.where("_copies is null or _copies = 1").withColumn("_nth", F.lit(1))
+    others = out.where("not _asked").withColumns({"_copies": F.lit(None).cast("long"), "_picked": F.lit(None).cast("long"), "_nth": F.lit(None).cast("int")}).unionByName(single)
     times = F.col("epochs") + F.when(F.col("_whole") | F.coalesce(F.col("_nth") <= F.col("_picked"), F.lit(False)), 1).otherwise(0)
     return others.unionByName(alike).withColumn("times", F.when(F.col("_size") > 0, times).otherwise(0))
 

@@ -328,6 +328,16 @@ def test_toxicity_held_out(labelled):
     assert kept == {r.doc_id for r in rows if r.score < 0.7}
 
 
+def test_toxicity_voters_do_not_know_their_labels(labelled, monkeypatch):
+    """A row's lexicons come from other rows: a word that only one row has never votes on it."""
+    docs, labels, _ = labelled
+    seen = []
+    monkeypatch.setattr(toxicity, "_chosen", lambda sums, but, bad, good, f=toxicity._chosen: seen.append((but, bad, good)) or f(sums, but, bad, good))
+    toxicity.train(docs, labels)
+    assert [x[0] for x in seen] == [None, 0, 1, 2, 3]
+    assert sum(seen[0][1] - x[1] for x in seen[1:]) == seen[0][1] and sum(seen[0][2] - x[2] for x in seen[1:]) == seen[0][2]
+
+
 def test_toxicity_odd_tables(spark, odd, empty, clashing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(100 + i, 1, i % 2) for i in range(20)] + [(None, 1, 1), (7, 1, None)], "doc_id long, quality int, toxic int")
@@ -349,6 +359,32 @@ def test_label_model_finds_accuracies():
     assert weight[0] == pytest.approx(weight[4]) and weight[0] < weight[1:4].min()
 
 
+def test_label_model_mends_noisy_labels():
+    """Where one label in eight is wrong, the posterior is nearer to the truth than the labels are, and so is a classifier trained on it."""
+    rng = np.random.default_rng(8)
+    n, words_ = 3000, 60
+    truth = rng.random(n) < 0.25
+    marked = np.where(rng.random(n) < 0.125, ~truth, truth).astype(int)
+    has = rng.random((n, words_)) < np.where(truth[:, None], 0.12, 0.015)  # words that are more frequent in toxic rows
+    votes = np.full((n, toxicity.LEXICONS + toxicity.KINDS + 5), 2)
+    for k in range(12):
+        votes[:, k] = np.where(has[:, 5 * k : 5 * k + 5].any(1), 1, 2)
+    for k in range(toxicity.KINDS):
+        hits = has[:, 10 * k : 10 * k + 10].sum(1)
+        votes[:, toxicity.LEXICONS + k] = np.where(hits >= 2, 1, np.where(hits == 0, 0, 2))
+    post = toxicity.posterior(votes, marked)
+    assert ((post > 0.5) == truth).mean() > (marked == truth).mean() + 0.04
+    train, test = np.arange(n) < 600, np.arange(n) >= 600
+    of, at = np.nonzero(has)
+
+    def accuracy(y):
+        kept = train[of]
+        w, b = toxicity.regression(of[kept], at[kept], 600, words_, y[train])
+        return ((np.bincount(of, w[at], n) + b > np.log(0.7 / 0.3))[test] == truth[test]).mean()
+
+    assert accuracy(post) > accuracy(marked.astype(float))
+
+
 @pytest.fixture(scope="module")
 def tongues(spark):
     rng = random.Random(9)
@@ -373,6 +409,21 @@ def test_language_held_out(tongues, empty, clashing):
     assert langid.identify(clashing).count() == clashing.count()
 
 
+def test_language_dictionaries_are_whole_texts(tongues, monkeypatch):
+    """Texts are learned whole or not at all; a language that has none short enough teaches with its shortest."""
+    monkeypatch.setattr(langid, "DICTIONARY", 900)
+    found = langid.dictionaries(tongues, "doc_id", "text", "lang")
+    texts = {k: [r.text for r in tongues.collect() if r.lang == k and r.text] for k in ("aa", "bb", "cc")}
+    assert set(found) == set(texts) and all(len(d) <= 900 for d in found.values())
+    for k, d in found.items():
+        left = d.decode()
+        for t in sorted(texts[k], key=len, reverse=True):
+            left = left.replace(t, "", 1)
+        assert not left.strip()
+    monkeypatch.setattr(langid, "DICTIONARY", 5)
+    assert {k: d.decode() for k, d in langid.dictionaries(tongues.where("length(text) > 20"), "doc_id", "text", "lang").items()}.keys() == texts.keys()
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     rows = 12
