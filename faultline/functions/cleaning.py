@@ -61,10 +61,19 @@ def access_size(width_bits: Column, *sizes: Column) -> Column:
     return F.coalesce(*firsts, F.greatest(F.lit(1), F.ceil(width_bits / 8))).cast("long")
 
 
-def due_reason(text: Column, timed_out: Column, missing: Column, exit_status: Column) -> Column:
-    """Timeout, missing, error text, abnormal exit, other: the first that holds."""
+#: What a log of a run that crashed says, and the exit statuses of a time limit.
+CRASHED = "assert|fatal|segmentation fault|core dumped|cuda error|aborted"
+TIMED_OUT = (124, 137)
+
+
+def due_reason(text: Column, exit_status: Column, program: str = "simulator") -> Column:
+    """Timeout, missing output (no or an empty log), error text, abnormal exit, other: the first that holds.
+
+    An ``error`` in the log counts only on a line that names the ``program`` (a pattern) before it.
+    """
+    crashed = text.rlike(f"(?i){CRASHED}|{program}.*error")
     return (
-        F.when(timed_out, "timeout").when(missing, "missing_output").when(text.rlike("(?i)error|fault|assert|abort"), "error").when(exit_status != 0, "abnormal_exit").otherwise("other")
+        F.when(exit_status.isin(*TIMED_OUT), "timeout").when(F.coalesce(F.length(text), F.lit(0)) == 0, "missing_output").when(crashed, "simulator_error").when(exit_status != 0, "abnormal_exit").otherwise("other")
     )
 
 

@@ -7,6 +7,8 @@ it wraps instead of raising an overflow.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,6 +133,47 @@ def sad(a: Column, b: Column, c: Column, w: int) -> Column:
     return add(F.when(less_u(a, b), sub(b, a, w)).otherwise(sub(a, b, w)), c, w)
 
 
+def div_u(a: Column, b: Column, w: int) -> Column:
+    """Unsigned quotient of up to 32 bits; all ones by zero."""
+    a, b = cut(a, w), cut(b, w)
+    return F.when(b == 0, F.lit((1 << w) - 1)).otherwise(F.floor((a - F.pmod(a, F.when(b != 0, b))) / F.when(b != 0, b))).cast("long")
+
+
+def rem_u(a: Column, b: Column, w: int) -> Column:
+    """Unsigned remainder of up to 32 bits; the dividend by zero."""
+    a, b = cut(a, w), cut(b, w)
+    return F.when(b == 0, a).otherwise(F.pmod(a, F.when(b != 0, b)))
+
+
+def _by_size(a: Column, b: Column, w: int, of: Callable[[Column, Column, int], Column], sign: Column) -> Column:
+    """``of`` on absolute values, with the sign where it holds."""
+    x = of(F.abs(signed(a, w)), F.abs(signed(b, w)), w)
+    return cut(F.when(sign, neg(x, w)).otherwise(x), w)
+
+
+def div_s(a: Column, b: Column, w: int) -> Column:
+    """Signed quotient towards zero of up to 32 bits; all ones by zero."""
+    zero = cut(b, w) == 0
+    return F.when(zero, F.lit((1 << w) - 1)).otherwise(_by_size(a, b, w, div_u, (signed(a, w) < 0) != (signed(b, w) < 0)))
+
+
+def rem_s(a: Column, b: Column, w: int) -> Column:
+    """Signed remainder with the dividend's sign, of up to 32 bits; the dividend by zero."""
+    return _by_size(a, b, w, rem_u, signed(a, w) < 0)
+
+
+def add_carry(a: Column, b: Column, carry: Column, w: int) -> tuple[Column, Column]:
+    """(sum, carry out) of up to 32 bits with a carry in of 0 or 1."""
+    total = cut(a, w) + cut(b, w) + carry
+    return cut(total, w), F.call_function("shiftrightunsigned", total, F.lit(w)).cast("long")
+
+
+def mad_carry(a: Column, b: Column, c: Column, carry: Column, w: int, high: bool = False) -> tuple[Column, Column]:
+    """(sum, carry out) of the low or high half of a product of up to 32 bits, c and a carry in."""
+    product = _wide(cut(a, w), cut(b, w))
+    return add_carry(F.call_function("shiftrightunsigned", product, F.lit(w)) if high else product, c, carry, w)
+
+
 # comparison
 
 
@@ -235,19 +278,19 @@ def _ones(n: Column) -> Column:
 
 
 def bfe_u(a: Column, pos: Column, size: Column, w: int) -> Column:
-    """``size`` bits of a from ``pos``; a size of 0 gives 0, bits beyond the width are 0."""
-    moved = F.when(_c(pos) >= w, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", cut(a, w), F.least(_c(pos), F.lit(w - 1)).cast("int")))
-    return moved.bitwiseAND(_ones(_c(size)))
+    """``size`` bits of a from ``pos``, both modulo 256; a size of 0 or a start past the width gives 0, bits beyond the width are left out."""
+    pos, size = _c(pos).bitwiseAND(F.lit(255)), _c(size).bitwiseAND(F.lit(255))
+    moved = F.when(pos >= w, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", cut(a, w), F.least(pos, F.lit(w - 1)).cast("int")))
+    return moved.bitwiseAND(_ones(size))
 
 
 def bfe_s(a: Column, pos: Column, size: Column, w: int) -> Column:
-    """As ``bfe_u``, filled above with the field's top bit, or the value's where the field reaches past it."""
-    field = bfe_u(a, pos, size, w)
-    top = F.least(_c(pos) + _c(size) - 1, F.lit(w - 1).cast("long"))
-    bit = F.call_function("shiftrightunsigned", cut(a, w), F.greatest(top, F.lit(0)).cast("int")).bitwiseAND(F.lit(1))
-    kept = F.greatest(F.lit(0).cast("long"), F.least(_c(size), w - _c(pos)))
-    filled = field.bitwiseOR(F.bitwise_not(_ones(kept)))
-    return F.when(_c(size) == 0, F.lit(0).cast("long")).otherwise(cut(F.when(bit == 1, filled).otherwise(field), w))
+    """As ``bfe_u``, filled above with the top bit of the field as far as it lies within the width."""
+    pos, size = _c(pos).bitwiseAND(F.lit(255)), _c(size).bitwiseAND(F.lit(255))
+    field, kept = bfe_u(a, pos, size, w), F.least(size, w - pos)
+    bit = F.call_function("shiftrightunsigned", field, F.greatest(kept - 1, F.lit(0)).cast("int")).bitwiseAND(F.lit(1))
+    filled = cut(field.bitwiseOR(F.bitwise_not(_ones(kept))), w)
+    return F.when((kept > 0) & (bit == 1), filled).otherwise(field)
 
 
 def bfi(a: Column, b: Column, pos: Column, size: Column, w: int) -> Column:
@@ -351,3 +394,38 @@ def field(addr: Column, mask: int) -> Column:
             out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(addr, i).bitwiseAND(F.lit(1)), at))
             at += 1
     return out
+
+
+#: Irreducible polynomials over GF(2) by the number of sets, and how many address bits above the index take part.
+POLYNOMIALS = {16: 0b10011, 32: 0b100101, 64: 0b1000011}
+FOLDED = {16: 13, 32: 15, 64: 19}
+
+
+def set_index_polynomial(high: Column, index: Column, sets: int) -> Column:
+    """The remainder of the address bits, as a polynomial over GF(2), by one of degree log2(sets).
+
+    ``high``: address bits above ``index``. Bit i of high weighs x**(i + degree) modulo the polynomial.
+    """
+    degree, weight, out = sets.bit_length() - 1, 1, index.bitwiseAND(F.lit(sets - 1))
+    for _ in range(degree):
+        weight = weight << 1 ^ (POLYNOMIALS[sets] if weight >> (degree - 1) & 1 else 0)
+    for i in range(FOLDED[sets]):
+        out = out.bitwiseXOR(F.shiftrightunsigned(high, i).bitwiseAND(F.lit(1)) * weight)
+        weight = weight << 1 ^ (POLYNOMIALS[sets] if weight >> (degree - 1) & 1 else 0)
+    return out.cast("long")
+
+
+#: For each bit of a page-entropy index over 32 sets, the address bits above the index and the bits of the index that it adds up.
+PAGE_BITS = (((13, 10, 9, 5, 0), (3, 0, 0)), ((12, 11, 6, 1), (3, 2, 1, 1)), ((14, 9, 8, 7, 2), (1, 2)), ((11, 10, 8, 3), (2, 3, 3)), ((12, 9, 8, 5, 4), (1, 0, 4)))
+
+
+def set_index_page(high: Column, index: Column) -> Column:
+    """A set of 32 by sums modulo 2 of chosen page and index bits."""
+    bit = lambda c, i: F.shiftrightunsigned(c, i).bitwiseAND(F.lit(1))
+    out = F.lit(0).cast("long")
+    for at, (page, low) in enumerate(PAGE_BITS):
+        total = F.lit(0).cast("long")
+        for c in [bit(high, i) for i in page] + [bit(index, i) for i in low]:
+            total = total.bitwiseXOR(c)
+        out = out.bitwiseOR(F.shiftleft(total, at))
+    return out

@@ -7,8 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
+
 #: Kinds at which a flipped value survives with half the probability.
 HALVING = ("branch", "min", "max")
+#: Kinds after which nothing follows.
+ENDS = ("exit", "ret")
 
 
 def successors(df: DataFrame, pc: str, kind: str, target: str, step: int = 8) -> DataFrame:
@@ -18,50 +22,34 @@ def successors(df: DataFrame, pc: str, kind: str, target: str, step: int = 8) ->
     return df.select(pc, F.explode(nexts).alias("next"))
 
 
-def components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
-    """(node, root): the least node that each can reach, undirected, by label propagation with jumps.
-
-    Labels are cut from their lineage by a reliable checkpoint when a checkpoint folder is set.
-    """
-    spark = edges.sparkSession
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct()
-    reliable = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
-    both = keep(both)
-    labels = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).withColumnRenamed("u", "node"))
-    for _ in range(rounds):
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("root", "near").alias("root"))
-        jump = step.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        after = keep(step.join(jump, F.col("root") == F.col("_n"), "left").select("node", F.least("root", F.coalesce("_r", "root")).alias("root")))
-        settled = after.join(labels.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
-        labels = after
-        if settled:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): the least node that each can reach, undirected; a node that only meets itself is its own root."""
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    roots = components(both)
+    alone = both.where("a = b").select(F.col("a").alias("node")).distinct().join(roots, "node", "left_anti")
+    return roots.unionByName(alone.select("node", F.col("node").alias("root")))
 
 
 def masking_probability(edges: DataFrame, program: str, pc: str, succ: str, kind: str, steps: int = 16) -> DataFrame:
     """(program, pc, probability): survival along equally likely successors, halved at ``HALVING``.
 
-    A linear recurrence: the vector of survivals after ``steps`` is the matrix of one step
-    applied steps - 1 times; clamped to [0, 1]. One program's graph is in a task at once.
+    ``edges`` has a row per instruction and successor (null: none). Successors that are no
+    instruction of the program count as none; an instruction without any, or of a kind in
+    ``ENDS``, keeps its own factor. The recurrence runs steps - 1 times over the edges; one
+    program's graph is in a task at once.
     """
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.concatenate([pdf[pc], pdf[succ].dropna()]))
-        at = {n: i for i, n in enumerate(nodes)}
-        m = np.zeros((len(nodes), len(nodes)))
-        of = dict(zip(pdf[pc], pdf[kind], strict=True))
-        for p, s in zip(pdf[pc], pdf[succ], strict=True):
-            if not pd.isna(s):
-                m[at[p], at[s]] += 1
-        total = m.sum(1, keepdims=True)
-        m = np.divide(m, total, out=np.zeros_like(m), where=total > 0)
-        m *= np.array([0.5 if of.get(n) in HALVING else 1.0 for n in nodes])[:, None]
-        end = (total[:, 0] == 0).astype(float)
-        alive = np.linalg.matrix_power(m + np.diag(end), max(steps - 1, 0)) @ np.ones(len(nodes))
+        nodes, at = np.unique(pdf[pc], return_inverse=True)
+        to = np.searchsorted(nodes, pdf[succ].fillna(nodes[-1]))
+        there = pdf[succ].notna().to_numpy() & (nodes[np.minimum(to, len(nodes) - 1)] == pdf[succ].to_numpy()) & ~pdf[kind].isin(ENDS).to_numpy()
+        halves = np.zeros(len(nodes), bool)
+        halves[at[pdf[kind].isin(HALVING).to_numpy()]] = True
+        factor, at, to = np.where(halves, 0.5, 1.0), at[there], to[there]
+        n, alive = np.bincount(at, minlength=len(nodes)), np.ones(len(nodes))
+        for _ in range(max(steps - 1, 0)):
+            alive = factor * np.where(n > 0, np.bincount(at, alive[to], len(nodes)) / np.maximum(n, 1), 1.0)
         return pd.DataFrame({program: pdf[program].iloc[0], pc: nodes, "probability": np.clip(alive, 0, 1)})
 
     return edges.select(program, pc, succ, kind).groupBy(program).applyInPandas(run, f"{program} {kinds[program]}, {pc} {kinds[pc]}, probability double")

@@ -63,18 +63,21 @@ def overlap_semi(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_
     return met.dropDuplicates(["_id"]).drop("_id", "_bin")
 
 
-def contained(access: DataFrame, ranges: DataFrame, lo: Column, hi: Column, optional: list[tuple[str, str]] = (), bounds: list[tuple[str, str, str]] = ()) -> DataFrame:
+def contained(access: DataFrame, ranges: DataFrame, lo: Column, hi: Column, optional: list[tuple[str, str]] = (), bounds: list[tuple[str, str, str]] = (), width: int = 1 << 16) -> DataFrame:
     """Accesses [lo, hi) inside a range (base, size) of the same space that is valid for them.
 
     optional: (access column, range column), equal unless the range's is null;
-    bounds: (access column, range start, range end), within unless null.
+    bounds: (access column, range start, range end), within unless null. Ranges are dealt into
+    the address bins of ``width`` that they touch, in one of which an access starts.
     """
-    cond = (F.col("space") == F.col("_space")) & (lo >= F.col("base")) & (hi <= F.col("base") + F.col("size"))
+    first, last = F.floor(F.col("base") / width), F.floor((F.col("base") + F.greatest(F.col("size"), F.lit(1)) - 1) / width)
+    dealt = ranges.withColumnRenamed("space", "_space").withColumn("_bin", F.explode(F.sequence(first, last)))
+    cond = (F.col("space") == F.col("_space")) & (F.floor(lo / width) == F.col("_bin")) & (lo >= F.col("base")) & (hi <= F.col("base") + F.col("size"))
     for x, y in optional:
         cond &= F.col(y).isNull() | (F.col(x) == F.col(y))
     for x, start, end in bounds:
         cond &= (F.col(start).isNull() | (F.col(x) >= F.col(start))) & (F.col(end).isNull() | (F.col(x) < F.col(end)))
-    return access.join(ranges.withColumnRenamed("space", "_space"), cond, "left_semi")
+    return access.join(dealt, cond, "left_semi")
 
 
 def pair_ranges(events: DataFrame, keys: list[str], order: str, kind: str, opens: str, closes: str) -> tuple[DataFrame, DataFrame]:

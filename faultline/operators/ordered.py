@@ -43,6 +43,11 @@ def numeric_first(column: Column) -> list[Column]:
     return [number.isNull(), number, column]
 
 
+def site_order(cycle: str, name: str) -> list[Column]:
+    """Sort keys of sites: by cycle, none last, then names with numbers first."""
+    return [F.col(cycle).isNull(), F.col(cycle), *numeric_first(F.col(name))]
+
+
 def occurrence(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The how-manieth row of its key each is."""
     return df.withColumn("occurrence", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
@@ -56,6 +61,12 @@ def vote(df: DataFrame, warp: list[str], lane: str, predicate: Column) -> DataFr
     return df.groupBy(*warp).agg(F.bool_and(p).alias("vote_all"), F.bool_or(p).alias("vote_any"), (F.bool_and(p) | ~F.bool_or(p)).alias("vote_uni"), ballot.alias("ballot"), active.alias("active"))
 
 
+def barrier_reduce(df: DataFrame, block: list[str], predicate: Column) -> DataFrame:
+    """popc, and, or over the threads of a block that arrive at a barrier."""
+    p = predicate.cast("boolean")
+    return df.groupBy(*block).agg(F.count_if(p).alias("red_popc"), F.bool_and(p).alias("red_and"), F.bool_or(p).alias("red_or"))
+
+
 def shuffle_lanes(df: DataFrame, warp: list[str], lane: str, value: str, kind: str, amount: int, lanes: int = 32) -> DataFrame:
     """up, down, bfly or idx: outside the warp a lane keeps its own value, an inactive source gives 0."""
     source = {"up": F.col(lane) - amount, "down": F.col(lane) + amount, "bfly": F.col(lane).bitwiseXOR(F.lit(amount)), "idx": F.lit(amount)}[kind]

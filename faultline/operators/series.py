@@ -40,12 +40,37 @@ def stitched(df: DataFrame, keys: list[str], order: list[str], x: str) -> DataFr
     return cut.join(ends, [*keys, "segment"]).withColumn("stitched", F.col(x) + F.col("_offset")).drop("_offset")
 
 
+def ranged(df: DataFrame, at: str, ranges: int = 256) -> DataFrame:
+    """``df`` with ``_part``: in which of about equally full ranges of ``at`` each row lies.
+
+    The edges, at most ``ranges``, come from an approximate quantile over all rows; they only
+    place rows, results do not depend on them. So a window over few keys is cut into ranges.
+    """
+    edges = df.select(F.percentile_approx(F.col(at).cast("double"), [i / ranges for i in range(1, ranges)], 10_000).alias("e")).first()["e"] or []
+    places = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]).cast("array<double>")
+    return df.withColumn("_part", F.size(F.filter(places, lambda e: e < F.col(at).cast("double"))))
+
+
+def running(df: DataFrame, keys: list[str], at: str, value: Column, name: str, order: list[str] = (), ranges: int = 256) -> DataFrame:
+    """The sum of ``value`` up to and including each row, in the order of ``at`` and ``order``: totals of
+    ranges, at most ``ranges`` a key, are summed up first, then each range by itself."""
+    dealt = ranged(df.withColumn("_value", value), at, ranges)
+    before = F.sum("_total").over(W.partitionBy(*[f"_of_{k}" for k in keys]).orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    totals = dealt.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_at")).agg(F.sum("_value").alias("_total"))
+    totals = totals.withColumn("_before", F.coalesce(before, F.lit(0)))
+    same = F.col("_part") == F.col("_at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    inside = F.sum("_value").over(W.partitionBy(*keys, "_part").orderBy(at, *order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = dealt.join(totals, same).withColumn(name, F.col("_before") + inside)
+    return out.drop("_value", "_part", "_at", "_total", "_before", *[f"_of_{k}" for k in keys])
+
+
 def binned(df: DataFrame, keys: list[str], order: list[str], value: str, bins: int = 512) -> DataFrame:
     """At most ``bins`` bins of equally many points in a row, with integer means."""
-    w = W.partitionBy(*keys).orderBy(*order)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    at = df.withColumn("_i", F.row_number().over(w) - 1).join(sizes, keys)
-    at = at.withColumn("bin", F.floor(F.col("_i") / F.ceil(F.col("_n") / bins)))
+    at = running(df, keys, order[0], F.lit(1), "_i", order[1:]).join(sizes, keys)
+    at = at.withColumn("bin", F.floor((F.col("_i") - 1) / F.ceil(F.col("_n") / bins)))
     return at.groupBy(*keys, "bin").agg(F.floor(F.sum(value) / F.count(F.lit(1))).cast("long").alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
@@ -69,14 +94,22 @@ def blocks(df: DataFrame, keys: list[str], order: list[str], inside: Column, lea
 
 def prefix(df: DataFrame, keys: list[str], at: str, weight: str) -> DataFrame:
     """Weight up to and including each row."""
-    return df.withColumn("upto", F.sum(weight).over(W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return running(df, keys, at, F.col(weight), "upto")
+
 
+def range_weight(weights: DataFrame, ranges: DataFrame, keys: list[str], at: str, weight: str, lo: str, hi: str) -> DataFrame:
+    """``ranges`` (keys, lo, hi, ...) with the weight of the rows of the key in [lo, hi): the weight below hi less that below lo.
 
-def range_weight(prefixed: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str) -> DataFrame:
-    """Weight of each half-open range of ``ranges``, by aggregation of the rows inside."""
-    inside = (F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))
-    width = ranges.join(prefixed.select(at, "weight"), inside, "left")
-    return width.groupBy(*ranges.columns).agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("range_weight"))
+    Both ends and all rows are summed up in one running total, in which an end comes before the
+    rows at its place and weighs nothing.
+    """
+    named = ranges.withColumn("_range", F.monotonically_increasing_id())
+    rest = [c for c in named.columns if c not in keys]
+    ends = named.select(*keys, F.struct(*rest).alias("_row"), F.explode(F.array(F.struct(F.col(lo).alias("x"), F.lit(-1).alias("_sign")), F.struct(F.col(hi).alias("x"), F.lit(1).alias("_sign")))).alias("_e"))
+    ends = ends.select(*keys, F.col("_e.x").cast("long").alias("_x"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_w"), "_row", F.col("_e._sign").alias("_sign"))
+    rows = weights.select(*keys, F.col(at).cast("long").alias("_x"), F.lit(1).alias("_kind"), F.col(weight).cast("long").alias("_w"), F.lit(None).alias("_row"), F.lit(None).alias("_sign"))
+    summed = running(ends.unionByName(rows), keys, "_x", F.col("_w"), "_upto", ["_kind"]).where("_kind = 0")
+    return summed.groupBy(*keys, "_row").agg(F.sum(F.col("_upto") * F.col("_sign")).alias("range_weight")).select(*keys, "_row.*", "range_weight").drop("_range")
 
 
 def vector(text: Column, row: str, split_zeros: bool = True) -> list[Column]:

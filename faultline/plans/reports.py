@@ -50,9 +50,11 @@ def combined(means: DataFrame, arch: str, keys: list[str], value: str) -> DataFr
 
 
 def speedups(df: DataFrame, arch: str, truth_time: str, time: str, keys: list[str] = ()) -> DataFrame:
-    """Ratio of sums per architecture, and in ``Combined`` over all."""
-    parts = df.rollup(arch).agg(F.sum(truth_time).alias("truth_time"), F.sum(time).alias("time")) if not keys else df.groupBy(*keys, arch).agg(F.sum(truth_time).alias("truth_time"), F.sum(time).alias("time"))
-    return parts.withColumn(arch, F.coalesce(F.col(arch), F.lit("Combined"))).withColumn("speedup", ratio(F.col("truth_time"), F.col("time")))
+    """Ratio of sums per architecture, and in ``Combined`` over all; an architecture that is null stays null."""
+    sets = [[*(F.col(k) for k in keys), F.col(arch)], [F.col(k) for k in keys]]
+    parts = df.groupingSets(sets, *keys, arch).agg(F.sum(truth_time).alias("truth_time"), F.sum(time).alias("time"), F.grouping(arch).alias("_all"))
+    name = F.when(F.col("_all") == 1, F.lit("Combined")).otherwise(F.col(arch))
+    return parts.withColumn(arch, name).drop("_all").withColumn("speedup", ratio(F.col("truth_time"), F.col("time")))
 
 
 def component_breakdown(errs: DataFrame, arch: str, component: str, method: str) -> DataFrame:
@@ -113,3 +115,11 @@ def required(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with a required column missing, and which."""
     lacking = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]), lambda c: c.isNotNull())
     return df.withColumn("lacking", lacking).where(F.size("lacking") > 0)
+
+
+def names(tables: list[DataFrame], name: str) -> DataFrame:
+    """The distinct names that occur in any of the tables."""
+    out = tables[0].select(name)
+    for t in tables[1:]:
+        out = out.unionByName(t.select(name))
+    return out.distinct()

@@ -162,13 +162,35 @@ def legacy_code(read):
     return read("orders").select(F.col("o_orderkey").alias("run"), classify.legacy_code(s == "F", F.col("o_custkey") % 2 == 0, s == "O").alias("code"))
 
 
-@query("""SELECT o_orderkey AS run, CASE WHEN o_orderkey % 13 = 0 THEN 'timeout' WHEN o_orderkey % 7 = 0 THEN 'missing_output'
-    WHEN regexp_matches(lower(o_orderpriority), 'error|fault|assert|abort|urgent') AND false THEN 'error' WHEN o_custkey % 5 <> 0 THEN 'abnormal_exit' ELSE 'other' END AS reason FROM orders""")
+#: Last lines of logs.
+LOG_LINES = ("done", "Assertion `x' failed", "FATAL: out of memory", "Segmentation Fault (core dumped)", "core dumped", "CUDA Error 700", "an error in a line", "SIMULATOR: internal ERROR 3", "Aborted", "")
+
+
+@query(f"""WITH l AS (SELECT o_orderkey AS run, [{", ".join("'" + x.replace("'", "''") + "'" for x in LOG_LINES)}][o_orderkey % 10 + 1] AS line, CASE WHEN o_custkey % 11 = 0 THEN 124 WHEN o_custkey % 13 = 0 THEN 137 WHEN o_custkey % 5 = 0 THEN 1 ELSE 0 END AS status FROM orders)
+SELECT run, CASE WHEN status IN (124, 137) THEN 'timeout' WHEN line = '' THEN 'missing_output' WHEN regexp_matches(line, '(?i)assert|fatal|segmentation fault|core dumped|cuda error|aborted|simulator.*error') THEN 'simulator_error'
+  WHEN status <> 0 THEN 'abnormal_exit' ELSE 'other' END AS reason FROM l""")
 def due_reasons(read):
     from ..functions.cleaning import due_reason
 
-    k = F.col("o_orderkey")
-    return read("orders").select(k.alias("run"), due_reason(F.col("o_orderpriority"), k % 13 == 0, k % 7 == 0, F.col("o_custkey") % 5).alias("reason"))
+    line = F.element_at(F.array(*[F.lit(x) for x in LOG_LINES]), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    c = F.col("o_custkey")
+    status = F.when(c % 11 == 0, 124).when(c % 13 == 0, 137).when(c % 5 == 0, 1).otherwise(0)
+    return read("orders").select(F.col("o_orderkey").alias("run"), due_reason(line, status).alias("reason"))
+
+
+@query("SELECT DISTINCT name FROM (SELECT c_mktsegment AS name FROM customer UNION ALL SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)")
+def names_over_roots(read):
+    return R.names([read("customer").select(F.col("c_mktsegment").alias("name")), read("nation").select(F.col("n_name").alias("name")), read("region").select(F.col("r_name").alias("name"))], "name")
+
+
+@query("""SELECT s_suppkey AS site, CAST(row_number() OVER (ORDER BY s_nationkey NULLS LAST, TRY_CAST(substr(s_name, 10) AS DOUBLE) NULLS LAST, s_name, s_suppkey) AS INT) AS rank FROM supplier""")
+def site_order(read):
+    from pyspark.sql import Window as W
+
+    from ..operators.ordered import site_order as order
+
+    sites = read("supplier").select(F.col("s_suppkey").alias("site"), F.col("s_nationkey").alias("cycle"), F.substring("s_name", 10, 20).alias("register"), "s_name")
+    return sites.select("site", F.row_number().over(W.orderBy(*order("cycle", "register"), "s_name", "site")).alias("rank"))
 
 
 @query("""WITH e AS (SELECT o_orderkey AS run, o_custkey AS base, o_orderkey % 4 AS bytes, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS name FROM orders),
@@ -189,12 +211,14 @@ def evenly_spaced(read):
 
 
 @query("""WITH w AS (SELECT event_id AS cycle, CAST(floor(value) AS BIGINT) AS weight FROM events), c AS (SELECT cycle, sum(weight) OVER (ORDER BY cycle) AS upto FROM w),
-d AS (SELECT i AS trial, ((i * 2654435761) % 4294967296) % 100000 AS x0 FROM range(500) t(i))
+d AS (SELECT i AS trial, ((i * 2654435761) % 4294967296) % (SELECT sum(weight) FROM w) AS x0 FROM range(500) t(i))
 SELECT trial, CAST(x0 AS BIGINT) AS x0, min(cycle) AS cycle FROM d LEFT JOIN c ON upto > x0 GROUP BY trial, x0""")
 def weighted_cycle_pick(read):
+    """500 picks over the sum of all weights."""
     spark = read("region").sparkSession
     weights = read("events").select(F.col("event_id").alias("cycle"), F.floor("value").alias("weight"))
-    return sampling.weighted_pick(sampling.hash_draws(spark, 500, [100_000]), weights, "x0", "cycle", "weight")
+    total = weights.agg(F.sum("weight").alias("w")).first()["w"] or 1
+    return sampling.weighted_pick(sampling.hash_draws(spark, 500, [total]), weights, "x0", "cycle", "weight")
 
 
 @query("""SELECT o_custkey AS cycle, count(*) AS multiplicity, list_sort(list(o_orderkey))[(o_custkey * 7) % count(*) + 1] AS picked FROM orders GROUP BY o_custkey""")

@@ -127,3 +127,29 @@ def float_operators(read):
 def byte_and_video(read):
     x, y, n = map(_c, "xyn")
     return _over(read, prmt=B.prmt(x, y, F.lit(0xF061).cast("long")), vmax_min=B.vminmax("max", x, y, n, "min"), vmin_max=B.vminmax("min", x, y, n, "max"), bfi=B.bfi(x, y, F.lit(4).cast("long"), F.lit(8).cast("long"), 32))
+
+
+@query(f"""WITH {INPUT_SQL} SELECT k, p, s, CASE WHEN n = 0 THEN 4294967295 ELSE x // n END AS div_u, CASE WHEN n = 0 THEN x ELSE x % n END AS rem_u,
+ CASE WHEN y = 0 THEN 4294967295 ELSE CAST(trunc({S32.format('x')}::DOUBLE / {S32.format('y')}) AS BIGINT) & 4294967295 END AS div_s, CASE WHEN y = 0 THEN x ELSE {S32.format('x')} % {S32.format('y')} & 4294967295 END AS rem_s,
+ (x + y + n % 2) % 4294967296 AS sum_c, (x + y + n % 2) // 4294967296 AS carry, CAST((x::HUGEINT * y % 4294967296 + n + 1) % 4294967296 AS BIGINT) AS mad_lo, CAST((x::HUGEINT * y // 4294967296 + y + 1) // 4294967296 AS BIGINT) AS mad_hi_carry FROM i""")
+def division_and_carry(read):
+    x, y, n = map(_c, "xyn")
+    one = F.lit(1).cast("long")
+    total, carry = B.add_carry(x, y, n % 2, 32)
+    return _over(read, div_u=B.div_u(x, n, 32), rem_u=B.rem_u(x, n, 32), div_s=B.div_s(x, y, 32), rem_s=B.rem_s(x, y, 32), sum_c=total, carry=carry, mad_lo=B.mad_carry(x, y, n, one, 32)[0], mad_hi_carry=B.mad_carry(x, y, y, one, 32, True)[1])
+
+
+#: The powers x**5, x**6, ... modulo x**5 + x**2 + 1, as numbers.
+POWERS_32 = "[5, 10, 20, 13, 26, 17, 7, 14, 28, 29, 31, 27, 19, 3, 6]"
+
+
+@query(f"""WITH {INPUT_SQL} SELECT k, p, s, list_reduce(list_prepend(n % 32, [((x >> CAST(b AS INT)) & 1) * {POWERS_32}[b + 1] FOR b IN range(15)]), lambda a, c: xor(a, c)) AS polynomial FROM i""")
+def polynomial_set_index(read):
+    return _over(read, polynomial=B.set_index_polynomial(_c("x"), _c("n") % 32, 32))
+
+
+@query(f"""WITH {INPUT_SQL}, b AS (SELECT *, [(x >> CAST(j AS INT)) & 1 FOR j IN range(16)] AS a, [(n >> CAST(j AS INT)) & 1 FOR j IN range(5)] AS c FROM i)
+SELECT k, p, s, (a[14] + a[11] + a[10] + a[6] + a[1] + c[4]) % 2 + (a[13] + a[12] + a[7] + a[2] + c[4] + c[3]) % 2 * 2 + (a[15] + a[10] + a[9] + a[8] + a[3] + c[2] + c[3]) % 2 * 4
+ + (a[12] + a[11] + a[9] + a[4] + c[3]) % 2 * 8 + (a[13] + a[10] + a[9] + a[6] + a[5] + c[2] + c[1] + c[5]) % 2 * 16 AS page FROM b""")
+def page_set_index(read):
+    return _over(read, page=B.set_index_page(_c("x"), _c("n") % 32))

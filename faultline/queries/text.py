@@ -50,9 +50,12 @@ def number_formats(read):
     return read("supplier").select("s_suppkey", F.replace(C.fixed(F.when(k % 7 != 0, k / 8.0), 3), F.lit(","), F.lit("")).alias("fixed"), F.size(C.id_list(text)).alias("ids"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(source, '[a-z]+[0-9]+')) AS register FROM documents) SELECT register FROM w""")
+@query("""WITH w AS (SELECT p_partkey % 40 AS n, ['r', 'rd', 'R', 'Rd', 'p'][p_size % 5 + 1] AS kind FROM part) SELECT DISTINCT '%' || kind || n AS register, kind AS prefix, n AS number FROM w""")
 def register_names(read):
-    return T.register_names(read("documents"), "source", r"([a-z]+)([0-9]+)").select("register")
+    """Registers of both cases in instruction texts."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("r", "rd", "R", "Rd", "p")]), (F.col("p_size") % 5 + 1).cast("int"))
+    line = F.concat(F.lit("add.u32 %"), kind, (F.col("p_partkey") % 40).cast("string"), F.lit(", 1;"))
+    return T.register_names(read("part").select(line.alias("value")))
 
 
 @query("""SELECT source, CAST(row_number() OVER (ORDER BY CAST(substr(source, 4) AS INT)) AS INT) AS rank FROM (SELECT DISTINCT source FROM documents)""")
@@ -76,3 +79,42 @@ def run_summary(read):
     out = T.run_summaries(log)
     sizes = log.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
     return out.join(sizes, "file").select(F.col("file").cast("long").alias("conv_id"), F.col("last_cycle").alias("last_user"), "success", "n")
+
+
+#: Instruction texts with their operator, sources, result width and width of the third source, of 32-bit instructions.
+OPCODES = (
+    ("add.u32 %r1, %r2, %r3", "ADD", 2, 32, 32), ("add.f32", "ADD_F32", 2, 32, 32), ("mul.lo.s32", "MUL_LO", 2, 32, 32), ("mul.wide.s32", "MUL_WIDE_S32", 2, 64, 32), ("mul.wide.u32", "MUL_WIDE_U32", 2, 64, 32), ("mov.u32", "IDENTITY", 1, 32, 32),
+    ("cvta.to.global.u64", "IDENTITY", 1, 32, 32), ("mad.lo.s32", "MAD", 3, 32, 32), ("fma.rn.f32", "FMA_F32", 3, 32, 32), ("not.pred", "NOT_PRED", 1, 1, 32), ("NOT.b32", "NOT", 1, 32, 32), ("shr.s32", "SHR_S", 2, 32, 32), ("shr.u32", "SHR_U", 2, 32, 32),
+    ("min.s32", "MIN_S", 2, 32, 32), ("max.u32", "MAX_U", 2, 32, 32), ("max.f32", "MAX_F32", 2, 32, 32), ("popc.b32", "POPC", 1, 32, 32), ("bfe.s32", "BFE_S", 3, 32, 32), ("lop3.b32", "LOP3", 4, 32, 32), ("setp.lt.s32", "SETP_LT_S", 2, 1, 32),
+    ("setp.ltu.f32", "SETP_LTU_F32", 2, 1, 32), ("setp.geu.u32", "SETP_GE_U", 2, 1, 32), ("setp.eq.f64", "SETP_EQ_F64", 2, 1, 32), ("setp.ne.and.b32", "SETP_NE", 2, 1, 32), ("cvt.sat.f32.f32", "CVT_SAT_F32_F32", 1, 32, 32), ("cvt.u64.u32", "CVT_U32_U64", 1, 64, 32),
+    ("cvt.u32.u64", "CVT_U64_U32", 1, 32, 64), ("selp.b32", "SELP", 3, 32, 1), ("shr_s", "SHR_S", 2, 32, 32), ("rcp.approx.ftz.f32", "RCP_APPROX_FTZ_F32", 1, 32, 32), ("bar.sync", "BAR.SYNC", 2, 32, 32),
+)
+
+
+@query(f"""WITH o AS (SELECT unnest([{", ".join(str(i) for i in range(len(OPCODES)))}]) AS i, unnest([{", ".join(f"'{o[0]}'" for o in OPCODES)}]) AS text, unnest([{", ".join(f"'{o[1]}'" for o in OPCODES)}]) AS operator,
+ unnest([{", ".join(str(o[2]) for o in OPCODES)}]) AS sources, unnest([{", ".join(str(o[3]) for o in OPCODES)}]) AS result_width, unnest([{", ".join(str(o[4]) for o in OPCODES)}]) AS third_width)
+SELECT p_partkey, text, operator, sources, result_width, third_width FROM part JOIN o ON i = p_partkey % {len(OPCODES)}""")
+def opcode_operators(read):
+    from ..functions import opcodes as O
+
+    text = F.element_at(F.array(*[F.lit(o[0]) for o in OPCODES]), (F.col("p_partkey") % len(OPCODES) + 1).cast("int"))
+    rows = read("part").select("p_partkey", text.alias("text")).withColumn("operator", O.operator(F.col("text")))
+    op, w = F.col("operator"), F.lit(32)
+    return rows.select("p_partkey", "text", "operator", O.source_count(op).alias("sources"), O.result_width(op, w).alias("result_width"), O.source_width(op, w, F.lit(2)).alias("third_width"))
+
+
+@query("""WITH r AS (SELECT conv_id % 7 AS file, conv_id AS run, 'tmp.out' || (conv_id % 3) AS out, count(*) AS turns, min(turn) AS lo FROM conversations GROUP BY ALL)
+SELECT file, run, out, 1 AS occurrence, CASE WHEN run % 2 = 0 THEN 'SDC' ELSE 'Masked' END AS outcome, CAST(i AS INT) AS position, CASE WHEN run % 5 = 0 THEN 'invalid' WHEN i = 0 THEN 'L1D' ELSE 'REG' END AS src,
+ CASE WHEN run % 5 = 0 THEN 'invalid_summary' ELSE 'k' || run END AS kernel, CASE WHEN run % 5 = 0 THEN -1 ELSE 10 + i END AS inst_line, CASE WHEN run % 5 = 0 THEN '' ELSE 'st.global' END AS inst_text
+FROM r, range(2) t(i) WHERE run % 5 <> 0 OR i = 0""")
+def injection_records(read):
+    """A log with a reader line before the writer line of each run, both twice."""
+    runs = read("conversations").select("conv_id").distinct().withColumn("out", F.concat(F.lit("tmp.out"), (F.col("conv_id") % 3).cast("string")))
+    run = F.concat(F.lit("[Run "), F.col("conv_id").cast("string"), F.lit("] "))
+    record = lambda src, kind, n: F.concat(F.lit(f"[{src}_FI_{kind}] x -> k"), F.col("conv_id").cast("string"), F.lit(f" PC=8 (a.cu:{n}) st.global"))
+    said = F.when(F.col("conv_id") % 5 == 0, F.array()).otherwise(F.array(*[record(*x) for x in (("REG", "READER", 11), ("L1D", "WRITER", 10)) * 2]))
+    outcome = F.when(F.col("conv_id") % 2 == 0, "an SDC run").otherwise("Masked")
+    texts = F.concat(F.array(F.concat(run, F.lit("Effects from logs/"), "out", F.lit(":"))), said, F.array(F.concat(run, "out", F.lit(": "), outcome)))
+    log = runs.select((F.col("conv_id") % 7).alias("file"), "conv_id", F.posexplode(texts).alias("at", "value")).select("file", (F.col("conv_id") * 10 + F.col("at")).alias("line"), "value")
+    return T.injection_log(log)[0]
+

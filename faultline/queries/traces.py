@@ -22,6 +22,12 @@ def _versions(read, domain_start=None):
     return lifetimes.versions(rows, ["thread"], "cycle", "idx", F.col("kind") == "purchase", domain_start)
 
 
+def _bounded(read):
+    """Versions whose last one ends after all events, so that they can be dealt into buckets."""
+    end = trace(read).agg((F.max("cycle") + 1).alias("e")).first()["e"] or 0
+    return _versions(read).withColumn("end", F.coalesce("end", F.lit(end)))
+
+
 @query(f"""WITH {VERSIONS_SQL} SELECT thread, version, coalesce(start, 0) AS start, last_read, n_reads, lead(coalesce(start, 0)) OVER (PARTITION BY thread ORDER BY version) AS "end" FROM v""")
 def register_lifetimes(read):
     return _versions(read, F.lit(0).cast("long"))
@@ -41,7 +47,7 @@ SELECT p.thread, moment, version, CASE WHEN version IS NULL THEN NULL WHEN momen
 FROM p LEFT JOIN w ON p.thread = w.thread AND start <= moment AND (stop IS NULL OR moment < stop)""")
 def point_in_version(read):
     points = trace(read).where("kind = 'signup'").select("thread", F.col("cycle").alias("moment"))
-    held = intervals.point_in_interval(points, _versions(read), ["thread"], "moment", "start", "end")
+    held = intervals.point_in_interval(points, _bounded(read), ["thread"], "moment", "start", "end", bucket=DAY)
     return held.select("thread", "moment", "version", F.when(F.col("version").isNotNull(), lifetimes.liveness_class(F.col("moment"), F.col("last_read"))).alias("class"))
 
 
@@ -188,6 +194,13 @@ def round_robin(read):
     return series.rotated(slots, ["core"], "slot", "last", 10).select("core", "slot", "turn")
 
 
+@query(f"""WITH {TRACE_SQL}, w AS (SELECT addr // 10 AS core, addr % 10 AS slot, min(idx) AS age FROM t GROUP BY 1, 2)
+SELECT core, slot, CAST(row_number() OVER (PARTITION BY core ORDER BY CASE WHEN slot = 3 THEN 0 ELSE 1 END, age, slot) AS INT) AS turn FROM w""")
+def greedy_then_oldest(read):
+    slots = trace(read).groupBy(F.floor(F.col("addr") / 10).alias("core"), (F.col("addr") % 10).alias("slot")).agg(F.min("idx").alias("age")).withColumn("last", F.lit(3))
+    return series.oldest_first(slots, ["core"], "slot", "last", "age").select("core", "slot", "turn")
+
+
 @query(f"""WITH {TRACE_SQL}, d AS (SELECT thread // 32 AS warp, thread % 32 AS lane, bool_or(kind = 'error' AND addr > 50) AS p FROM t GROUP BY 1, 2)
 SELECT warp, bool_and(p) AS vote_all, bool_or(p) AS vote_any, bool_and(p) OR NOT bool_or(p) AS vote_uni, CAST(sum(CASE WHEN p THEN 1::BIGINT << CAST(lane AS INT) ELSE 0 END) AS BIGINT) AS ballot, CAST(sum(1::BIGINT << CAST(lane AS INT)) AS BIGINT) AS active FROM d GROUP BY 1""")
 def warp_vote_ballot(read):
@@ -195,6 +208,13 @@ def warp_vote_ballot(read):
     return ordered.vote(lanes, ["warp"], "lane", F.col("p"))
 
 
+@query(f"""WITH {TRACE_SQL}, d AS (SELECT thread // 64 AS block, thread, bool_or(kind = 'error' AND addr > 50) AS p FROM t GROUP BY 1, 2)
+SELECT block, CAST(sum(p::INT) AS BIGINT) AS red_popc, bool_and(p) AS red_and, bool_or(p) AS red_or FROM d GROUP BY 1""")
+def barrier_reduction(read):
+    threads = trace(read).groupBy(F.floor(F.col("thread") / 64).alias("block"), "thread").agg(F.bool_or((F.col("kind") == "error") & (F.col("addr") > 50)).alias("p"))
+    return ordered.barrier_reduce(threads, ["block"], F.col("p"))
+
+
 @query(f"""WITH {TRACE_SQL}, d AS (SELECT thread // 32 AS warp, thread % 32 AS lane, max(addr) AS v FROM t GROUP BY 1, 2)
 SELECT a.warp, a.lane, CASE WHEN a.lane + 5 > 31 THEN a.v ELSE coalesce(b.v, 0) END AS down5, CASE WHEN a.lane - 3 < 0 THEN a.v ELSE coalesce(c.v, 0) END AS up3, coalesce(e.v, 0) AS bfly7
 FROM d a LEFT JOIN d b ON a.warp = b.warp AND b.lane = a.lane + 5 LEFT JOIN d c ON a.warp = c.warp AND c.lane = a.lane - 3 LEFT JOIN d e ON a.warp = e.warp AND e.lane = xor(a.lane, 7)""")
@@ -214,20 +234,58 @@ def atomic_exchange(read):
     return ordered.atomic_fold(trace(read).select("addr", "idx", "thread"), ["addr"], ["idx"], "exch", "thread")
 
 
-@query()
+@query(f"""WITH RECURSIVE {TRACE_SQL}, r AS (SELECT addr, thread % 7 AS most, row_number() OVER (PARTITION BY addr ORDER BY idx) AS i FROM t),
+f(addr, i, atom) AS (SELECT addr, 0::BIGINT, 0::BIGINT FROM (SELECT DISTINCT addr FROM r) UNION ALL SELECT r.addr, r.i, CASE WHEN f.atom >= most THEN 0 ELSE f.atom + 1 END FROM f JOIN r ON r.addr = f.addr AND r.i = f.i + 1)
+SELECT addr, arg_max(atom, i) AS atom FROM f GROUP BY addr""")
 def atomic_increment(read):
     return ordered.atomic_fold(trace(read).select("addr", "idx", (F.col("thread") % 7).alias("limit")), ["addr"], ["idx"], "inc", "limit")
 
 
-@query()
+LRU_SQL = f"""{TRACE_SQL}, a AS (SELECT addr % 8 AS set, addr AS line, cycle, idx, kind = 'purchase' AS store, row_number() OVER (PARTITION BY addr % 8 ORDER BY cycle, idx) AS n FROM t),
+p AS (SELECT *, lag(n) OVER (PARTITION BY set, line ORDER BY n) AS prev FROM a),
+f AS (SELECT i.set, i.n, j.n AS m, row_number() OVER (PARTITION BY i.set, i.n ORDER BY j.n) AS k FROM p i JOIN p j ON i.set = j.set AND j.n > i.n AND j.line <> i.line AND (j.prev IS NULL OR j.prev < i.n)),
+h AS (SELECT p.*, CASE WHEN p.prev IS NULL OR f.m < p.n THEN 1 ELSE 0 END AS miss FROM p LEFT JOIN f ON f.set = p.set AND f.n = p.prev AND f.k = 4),
+o AS (SELECT *, sum(miss) OVER (PARTITION BY set, line ORDER BY n) AS nth FROM h),
+e AS (SELECT set, line, nth, min(n) AS first_n, max(n) AS last_n, min(cycle) AS start, count(*) - 1 AS hits, bool_or(store) AS dirty FROM o GROUP BY 1, 2, 3),
+g AS (SELECT e.*, f.m AS out_n, c.cycle AS "end", row_number() OVER (PARTITION BY e.set ORDER BY first_n) AS born FROM e LEFT JOIN f ON f.set = e.set AND f.n = e.last_n AND f.k = 4 LEFT JOIN a c ON c.set = e.set AND c.n = f.m),
+w(set, first_n, way) AS (SELECT set, first_n, CAST(born - 1 AS INT) FROM g WHERE born <= 4 UNION ALL SELECT g.set, g.out_n, w.way FROM w JOIN g ON g.set = w.set AND g.first_n = w.first_n WHERE g.out_n IS NOT NULL),
+episodes AS (SELECT g.set, line, nth, g.first_n, way, start, "end", hits, dirty FROM g JOIN w ON w.set = g.set AND w.first_n = g.first_n)"""
+
+
+def _lines(read):
+    return trace(read).select((F.col("addr") % 8).alias("set"), F.col("addr").alias("line"), "cycle", "idx", (F.col("kind") == "purchase").alias("store"))
+
+
+@query(f"""WITH RECURSIVE {LRU_SQL} SELECT set, line, way, start, "end", hits, dirty FROM episodes""")
 def lru_residency(read):
-    rows = trace(read).select((F.col("addr") % 8).alias("set"), F.col("addr").alias("line"), "cycle", "idx", (F.col("kind") == "purchase").alias("store"))
-    return residency.lru_episodes(rows, ["set"], ["cycle", "idx"], "line", 4, "store")
+    return residency.lru_episodes(_lines(read), ["set"], ["cycle", "idx"], "line", 4, "store")
+
+
+@query(f"""WITH RECURSIVE {LRU_SQL}, z AS (SELECT max(cycle) + 1 AS stop, min(cycle) AS lo, max(cycle) - min(cycle) AS span FROM t),
+b AS (SELECT o.set, o.line, o.nth, o.idx % 4 AS off, o.n, o.cycle, o.store FROM o),
+v AS (SELECT *, sum(store::INT) OVER (PARTITION BY set, line, nth, off ORDER BY n) AS version FROM b),
+u AS (SELECT set, line, nth, off, version, min(cycle) FILTER (store) AS start, max(cycle) FILTER (NOT store) AS last_load FROM v GROUP BY 1, 2, 3, 4, 5),
+x AS (SELECT * FROM u UNION ALL SELECT set, line, nth, off, 0, NULL, NULL FROM u GROUP BY 1, 2, 3, 4 HAVING min(version) > 0),
+y AS (SELECT x.*, lead(x.start) OVER (PARTITION BY x.set, x.line, x.nth, off ORDER BY version) AS next FROM x),
+d AS (SELECT i AS trial, (i * 2654435761) % 4294967296 % 100000 AS x0, (i * 2654435761 + 40503) % 4294967296 % 32 AS x1, (i * 2654435761 + 81006) % 4294967296 % 89 AS bit FROM range(2000) r(i)),
+q AS (SELECT trial, x1 // 4 AS set, x1 % 4 AS way, bit, lo + x0 * (span // 100000) AS moment FROM d, z)
+SELECT q.trial, q.set, CAST(q.way AS INT) AS way, q.bit, q.moment, CASE WHEN e.set IS NULL THEN 'benign' WHEN q.bit >= 32 THEN 'ebc'
+  WHEN q.moment < (CASE WHEN y.version > 0 AND y.next IS NULL THEN coalesce(e."end", z.stop) ELSE y.last_load END) THEN 'dcr' ELSE 'benign' END AS class
+FROM q CROSS JOIN z LEFT JOIN episodes e ON e.set = q.set AND e.way = q.way AND e.start <= q.moment AND q.moment < coalesce(e."end", z.stop)
+LEFT JOIN y ON y.set = e.set AND y.line = e.line AND y.nth = e.nth AND y.off = q.bit // 8 AND coalesce(y.start, e.start) <= q.moment AND q.moment < coalesce(y.next, e."end", z.stop)""")
+def cache_campaign(read):
+    """Lines of 4 data bytes and a tag of 57 bits; an access touches the byte of its number modulo 4."""
+    rows = _lines(read)
+    lo, hi = rows.agg(F.min("cycle"), F.max("cycle")).first()
+    episodes, found = residency.byte_versions(rows, ["set"], ["cycle", "idx"], "line", 4, "store", F.array(F.col("idx") % 4), hi + 1)
+    draws = sampling.hash_draws(rows.sparkSession, 2000, [100_000, 32, 89])
+    points = draws.select("trial", F.floor(F.col("x1") / 4).alias("set"), (F.col("x1") % 4).cast("int").alias("way"), F.col("x2").alias("bit"), (lo + F.col("x0") * ((hi - lo) // 100_000)).alias("moment"))
+    return residency.cache_class(points, episodes, found, ["set"], "moment", 4)
 
 
 def _flow(read):
     """Parts as instructions: 40 of them make a program."""
-    at = F.col("p_partkey") - 1
+    at = F.col("p_partkey")
     rows = read("part").select(F.floor(at / 40).alias("program"), ((at % 40) * 8).alias("pc"), F.element_at(F.array(*[F.lit(k) for k in ("inst", "branch", "min", "inst", "load")]), (F.col("p_size") % 5 + 1).cast("int")).alias("kind"), ((F.col("p_size") % 40) * 8).alias("target"))
     kind = F.when(F.col("pc") == 312, "exit").otherwise(F.col("kind"))
     rows = rows.withColumn("kind", kind)
@@ -235,19 +293,69 @@ def _flow(read):
     return rows.withColumn("succ", F.explode(after))
 
 
-@query()
+FLOW_SQL = """n AS (SELECT p_partkey // 40 AS program, p_partkey % 40 * 8 AS pc, CASE WHEN p_partkey % 40 = 39 THEN 'exit' ELSE ['inst', 'branch', 'min', 'inst', 'load'][p_size % 5 + 1] END AS kind, p_size % 40 * 8 AS target FROM part),
+e AS (SELECT program, pc, pc + 8 AS succ FROM n WHERE kind <> 'exit' UNION SELECT program, pc, target FROM n WHERE kind = 'branch'), v0 AS (SELECT program, pc, 1e0 AS p FROM n)"""
+#: Survival after 16 steps: the recurrence 15 times.
+MASKING_SQL = FLOW_SQL + "".join(
+    f""", v{i} AS (SELECT n.program, n.pc, CASE WHEN kind IN ('branch', 'min', 'max') THEN 0.5e0 ELSE 1e0 END * coalesce(avg(v{i - 1}.p), 1) AS p
+FROM n LEFT JOIN (e JOIN v{i - 1} ON v{i - 1}.program = e.program AND v{i - 1}.pc = e.succ) ON e.program = n.program AND e.pc = n.pc GROUP BY n.program, n.pc, kind)"""
+    for i in range(1, 16)
+)
+SITE_SQL = MASKING_SQL + ", site AS (SELECT e.program, e.pc, avg(p) AS site_probability FROM e JOIN v15 ON v15.program = e.program AND v15.pc = e.succ GROUP BY 1, 2)"
+
+
+@query(f"WITH {MASKING_SQL} SELECT program, pc, round(p, 12) AS probability FROM v15")
 def masking_probability(read):
-    return graphs.masking_probability(_flow(read), "program", "pc", "succ", "kind")
+    return graphs.masking_probability(_flow(read), "program", "pc", "succ", "kind").withColumn("probability", F.round("probability", 12))
 
 
-@query()
-def site_probability(read):
+def _sites(read):
     flow = _flow(read)
     p = graphs.masking_probability(flow, "program", "pc", "succ", "kind")
     return graphs.site_probability(p, flow.where("succ is not null").select("program", "pc", "succ"), ["program"], "pc", "succ")
 
 
-@query()
+@query(f"WITH {SITE_SQL} SELECT program, pc, round(site_probability, 12) AS site_probability FROM site")
+def site_probability(read):
+    return _sites(read).withColumn("site_probability", F.round("site_probability", 12))
+
+
+SHARED_SQL = f"""{SITE_SQL}, {TRACE_SQL}, b AS (SELECT cycle, idx, kind, addr * 2 + i AS byte FROM t, range(4) r(i) WHERE kind IN ('purchase', 'view', 'click')),
+y AS (SELECT *, sum(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY byte ORDER BY cycle, idx) AS version FROM b),
+u AS (SELECT byte, version, min(cycle) FILTER (kind = 'purchase') AS start, max(cycle) FILTER (kind <> 'purchase') AS last_read FROM y GROUP BY 1, 2),
+w AS (SELECT *, lead(start) OVER (PARTITION BY byte ORDER BY version) AS stop FROM u WHERE version > 0),
+z AS (SELECT min(cycle) AS lo, max(cycle) - min(cycle) AS span, max(addr) * 2 + 4 AS bytes FROM t),
+d AS (SELECT i AS trial, (i * 2654435761 + 40503) % 4294967296 % bytes AS byte, lo + (i * 2654435761) % 4294967296 % 100000 * (span // 100000) AS moment FROM range(2000) r(i), z),
+h AS (SELECT d.*, version IS NOT NULL AND moment < last_read AS live FROM d LEFT JOIN w ON w.byte = d.byte AND w.start <= moment AND (w.stop IS NULL OR moment < w.stop)),
+m AS (SELECT h.trial, h.byte, h.moment, h.live, arg_min(b.idx, (b.cycle, b.idx)) AS load FROM h LEFT JOIN b ON h.live AND b.byte = h.byte AND b.kind <> 'purchase' AND b.cycle > h.moment GROUP BY 1, 2, 3, 4)"""
+
+
+@query(f"""WITH {SHARED_SQL} SELECT trial, byte, moment, CASE WHEN live THEN 'dcr' ELSE 'benign' END AS class, CASE WHEN live THEN round(coalesce(site_probability, 1), 12) ELSE 1e0 END AS sic
+FROM m LEFT JOIN site ON program = 0 AND pc = load % 40 * 8""")
+def shared_campaign(read):
+    """Points in bytes of shared memory; one whose version is read later counts with the survival of that load's site."""
+    t = trace(read)
+    lo, hi, top = t.agg(F.min("cycle"), F.max("cycle"), F.max("addr")).first()
+    rows = t.where(F.col("kind").isin("purchase", "view", "click")).select("cycle", "idx", "kind", (F.col("addr") * 2).alias("at"), F.lit(4).cast("long").alias("size"))
+    touched = lifetimes.byte_accesses(rows, "at", "size")
+    held = lifetimes.versions(touched, ["byte"], "cycle", "idx", F.col("kind") == "purchase").withColumn("end", F.coalesce("end", F.lit(hi + 1)))
+    draws = sampling.hash_draws(t.sparkSession, 2000, [100_000, top * 2 + 4])
+    points = draws.select("trial", F.col("x1").alias("byte"), (lo + F.col("x0") * ((hi - lo) // 100_000)).alias("moment"))
+    found = intervals.point_in_interval(points, held, ["byte"], "moment", "start", "end", bucket=DAY)
+    found = found.select("trial", "byte", "moment", F.coalesce(F.col("moment") < F.col("last_read"), F.lit(False)).alias("live"))
+    loads = touched.where("kind <> 'purchase'").groupBy("byte", "cycle").agg(F.min("idx").alias("load"))
+    after = intervals.first_after(found, loads.select("byte", "cycle"), ["byte"], "moment", "cycle").join(loads.withColumnRenamed("cycle", "next_cycle"), ["byte", "next_cycle"], "left")
+    sites = _sites(read).where("program = 0").select((F.col("pc") / 8).cast("long").alias("_slot"), "site_probability")
+    out = after.join(sites, F.col("load") % 40 == F.col("_slot"), "left")
+    sic = F.when(F.col("live"), F.round(F.coalesce("site_probability", F.lit(1.0)), 12)).otherwise(1.0)
+    return out.select("trial", "byte", "moment", F.when(F.col("live"), "dcr").otherwise("benign").alias("class"), sic.alias("sic"))
+
+
+@query(f"""WITH RECURSIVE {FLOW_SQL}, e2 AS (SELECT e.program, e.pc, e.succ FROM e),
+reached(program, pc) AS (SELECT DISTINCT program, 0::BIGINT FROM e2 UNION SELECT e2.program, e2.succ FROM reached r JOIN e2 ON e2.program = r.program AND e2.pc = r.pc),
+without(program, gone, pc) AS (SELECT program, pc, 0::BIGINT FROM reached WHERE pc <> 0 UNION SELECT e2.program, w.gone, e2.succ FROM without w JOIN e2 ON e2.program = w.program AND e2.pc = w.pc AND e2.succ <> w.gone)
+SELECT a.program, a.pc AS node, b.pc AS dominator FROM reached a JOIN reached b ON a.program = b.program
+WHERE a.pc = b.pc OR b.pc = 0 OR NOT EXISTS (SELECT 1 FROM without w WHERE w.program = a.program AND w.gone = b.pc AND w.pc = a.pc)""")
 def dominators(read):
     edges = _flow(read).where("succ is not null").select("program", "pc", "succ", F.lit(0).cast("long").alias("entry"))
     return graphs.dominators(edges, "program", "pc", "succ", "entry")
@@ -257,7 +365,7 @@ def dominators(read):
 UNION ALL SELECT 100000000 + n, r FROM (SELECT c_nationkey AS n, min(c_custkey) AS r FROM customer GROUP BY 1)""")
 def connected_components(read):
     edges = read("customer").select("c_custkey", (F.lit(100_000_000).cast("long") + F.col("c_nationkey")).alias("nation"))
-    return graphs.components(edges, "c_custkey", "nation")
+    return graphs.connected(edges, "c_custkey", "nation")
 
 
 @query(f"""WITH {TRACE_SQL}, p AS (SELECT addr, kind, cycle, sum(thread) OVER (PARTITION BY kind ORDER BY idx) AS upto, idx FROM t) SELECT kind, idx, CAST(upto AS BIGINT) AS upto FROM p""")
@@ -265,6 +373,14 @@ def prefix_weight(read):
     return series.prefix(trace(read).select("kind", "idx", "thread"), ["kind"], "idx", "thread").drop("thread")
 
 
+@query(f"""WITH {TRACE_SQL}, r AS (SELECT p_partkey AS k, ['view', 'click'][p_partkey % 2 + 1] AS kind, p_partkey * 3 AS lo, p_partkey * 3 + p_size * 7 AS hi FROM part)
+SELECT k, r.kind, lo, hi, CAST(coalesce(sum(thread), 0) AS BIGINT) AS range_weight FROM r LEFT JOIN t ON t.kind = r.kind AND idx >= lo AND idx < hi GROUP BY 1, 2, 3, 4""")
+def range_weight(read):
+    k = F.col("p_partkey")
+    ranges = read("part").select(k.alias("k"), F.when(k % 2 == 0, "view").otherwise("click").alias("kind"), (k * 3).alias("lo"), (k * 3 + F.col("p_size") * 7).alias("hi"))
+    return series.range_weight(trace(read), ranges, ["kind"], "idx", "thread", "lo", "hi")
+
+
 @query(f"""WITH {TRACE_SQL} SELECT CAST(min(cycle) AS BIGINT) AS first_cycle, CAST(max(cycle) + 1 AS BIGINT) AS end_cycle, count(DISTINCT cycle) AS cycles, count(DISTINCT thread) AS threads, count(DISTINCT cycle) * count(DISTINCT thread) * 32 AS bits FROM t""")
 def sampling_space(read):
     out = trace(read).agg(F.min("cycle").alias("first_cycle"), (F.max("cycle") + 1).alias("end_cycle"), F.count_distinct("cycle").alias("cycles"), F.count_distinct("thread").alias("threads"))
@@ -272,14 +388,16 @@ def sampling_space(read):
 
 
 @query(f"""WITH {VERSIONS_SQL}, w AS (SELECT *, lead(start) OVER (PARTITION BY thread ORDER BY version) AS stop FROM v WHERE version > 0),
-n AS (SELECT min(cycle) AS lo, (max(cycle) - min(cycle)) // 1000000 AS span FROM t), d AS (SELECT i AS trial, 1 + ((i * 2654435761) % 4294967296) % 150 AS thread, lo + (((i * 2654435761 + 40503) % 4294967296) % 100000) * span // 100000 * 1000000 AS moment FROM range(2000) r(i), n)
+n AS (SELECT min(cycle) AS lo, (max(cycle) - min(cycle)) // 1000000 AS span, min(thread) AS first_thread, max(thread) - min(thread) + 1 AS threads FROM t),
+d AS (SELECT i AS trial, first_thread + ((i * 2654435761) % 4294967296) % threads AS thread, lo + (((i * 2654435761 + 40503) % 4294967296) % 100000) * span // 100000 * 1000000 AS moment FROM range(2000) r(i), n)
 SELECT trial, d.thread, moment, CASE WHEN version IS NOT NULL AND moment < last_read THEN 'dcr' ELSE 'benign' END AS class FROM d LEFT JOIN w ON d.thread = w.thread AND start <= moment AND (stop IS NULL OR moment < stop)""")
 def sampled_campaign(read):
+    """2,000 trials over all threads and the whole time that the trace has."""
     t = trace(read)
-    lo, hi = t.agg(F.min("cycle"), F.max("cycle")).first()
-    draws = sampling.hash_draws(t.sparkSession, 2000, [150, 100_000])
-    points = draws.select("trial", (F.col("x0") + 1).alias("thread"), (lo + F.floor(F.col("x1") * ((hi - lo) // 1_000_000) / 100_000) * 1_000_000).alias("moment"))
-    held = intervals.point_in_interval(points, _versions(read), ["thread"], "moment", "start", "end")
+    lo, hi, first, last = t.agg(F.min("cycle"), F.max("cycle"), F.min("thread"), F.max("thread")).first()
+    draws = sampling.hash_draws(t.sparkSession, 2000, [last - first + 1, 100_000])
+    points = draws.select("trial", (F.col("x0") + first).alias("thread"), (lo + F.floor(F.col("x1") * ((hi - lo) // 1_000_000) / 100_000) * 1_000_000).alias("moment"))
+    held = intervals.point_in_interval(points, _bounded(read), ["thread"], "moment", "start", "end", bucket=DAY)
     return held.select("trial", "thread", "moment", F.coalesce(lifetimes.liveness_class(F.col("moment"), F.col("last_read")), F.lit("benign")).alias("class"))
 
 
@@ -353,11 +471,11 @@ def invalid_combinations(read):
     return rows.join(invalid, ["l_returnflag", "l_linestatus"], "left_anti")
 
 
-@query("""WITH m AS (SELECT ps AS key, min(s) AS brand, count(DISTINCT s) AS matches FROM (SELECT p_size AS ps, p_brand AS s FROM part WHERE p_partkey % 50 = 0) GROUP BY 1)
-SELECT n_nationkey AS key, brand, coalesce(matches, 0) AS matches FROM nation LEFT JOIN m ON n_nationkey = key""")
+@query("""WITH m AS (SELECT key, min(brand) AS brand, count(DISTINCT brand) AS matches FROM (SELECT p_partkey // 7 AS key, p_brand AS brand FROM part) GROUP BY 1)
+SELECT s_suppkey * 3 AS key, brand, coalesce(matches, 0) AS matches FROM supplier LEFT JOIN m ON s_suppkey * 3 = key""")
 def unique_program(read):
-    table = read("part").where("p_partkey % 50 = 0").select(F.col("p_size").alias("key"), F.col("p_brand").alias("brand"))
-    return ordered.only_match(read("nation").select(F.col("n_nationkey").alias("key")), table, "key", "brand")
+    table = read("part").select(F.floor(F.col("p_partkey") / 7).alias("key"), F.col("p_brand").alias("brand"))
+    return ordered.only_match(read("supplier").select((F.col("s_suppkey") * 3).alias("key")), table, "key", "brand")
 
 
 @query("""SELECT o_custkey, max(o_orderdate) AS latest, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run FROM orders GROUP BY 1""")

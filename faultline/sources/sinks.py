@@ -26,18 +26,26 @@ def write_sparse(df: DataFrame, path: str) -> list[str]:
     return kept
 
 
-def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A table of a small result."""
-    rows = df.limit(limit).collect()
+def _cells(df: DataFrame, limit: int | None) -> tuple[list[list[str]], str]:
+    """(texts of the rows, a note on the rows that are left out, empty where none is)."""
+    rows = (df if limit is None else df.limit(limit + 1)).collect()
+    over = 0 if limit is None or len(rows) <= limit else df.count() - limit
+    return [["-" if v is None else str(v) for v in r] for r in (rows[:limit] if over else rows)], f"... {over} more rows\n" if over else ""
+
+
+def markdown(df: DataFrame, limit: int | None = None) -> str:
+    """A table of a small result: all rows, or the first ``limit`` and a note on how many more there are."""
+    rows, note = _cells(df, limit)
     out = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
-    return "\n".join(out + ["| " + " | ".join("-" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+    return "\n".join(out + ["| " + " | ".join(r) + " |" for r in rows]) + "\n" + note
 
 
-def aligned(df: DataFrame, limit: int = 1000) -> str:
-    """A text table with columns as wide as their widest cell."""
-    cells = [df.columns, *[["-" if v is None else str(v) for v in r] for r in df.limit(limit).collect()]]
+def aligned(df: DataFrame, limit: int | None = None) -> str:
+    """A text table with columns as wide as their widest cell; ``limit`` as in ``markdown``."""
+    rows, note = _cells(df, limit)
+    cells = [df.columns, *rows]
     wide = [max(len(r[i]) for r in cells) for i in range(len(df.columns))]
-    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in cells) + "\n"
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in cells) + "\n" + note
 
 
 def manifest(tables: dict[str, str], warnings: DataFrame, limit: int = 30) -> str:

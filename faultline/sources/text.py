@@ -6,6 +6,11 @@ are read one row per file and cut, so that a file's lines keep their order.
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,9 +28,17 @@ EVENT = (
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): the lines of text files, gzip included, numbered from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    """(file, line, value): the lines of text files, gzip included, numbered from 0 in each file.
+
+    Files are read in splits; lines are numbered within a split, and the counts of the splits
+    before are added, so a large file is not one task's work.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    before = F.sum("_lines").over(W.partitionBy("_f").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    counts = rows.groupBy(F.col("file").alias("_f"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_lines")).select("_f", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = rows.join(counts, (F.col("file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    at = F.row_number().over(W.partitionBy("file", "_block").orderBy("_n")) - 1
+    return numbered.select("file", (F.col("_before") + at).cast("int").alias("line"), "value")
 
 
 def csv_rows(spark: SparkSession, path: str, schema: str, key_pattern: str | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -50,8 +63,30 @@ def settings(text: Column) -> Column:
 
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """JSON values over several lines; the codec follows the file's extension."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """(file, fields): one JSON value per file, plain, gzip or zstd by the file's first bytes, whatever its name.
+
+    A file is decoded in one task; a value that does not fit the schema has null fields.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_decoded(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["file", "value"])
+
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    return raw.mapInArrow(run, "file string, value string").select("file", F.from_json("value", kind).alias("j")).select("file", "j.*")
+
+
+def _decoded(data: bytes) -> str:
+    """Text of plain, gzip or zstd bytes."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    elif data[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard  # only such files need it
+
+        data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    return data.decode("utf-8", "replace")
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -84,17 +119,50 @@ def run_summaries(log: DataFrame, success: str = "Success", failed: str = "Faile
     )
 
 
-def injection_log(log: DataFrame) -> DataFrame:
-    """Runs of a campaign log: the last ``Run n`` named above a line owns it.
+def injection_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(results, params) of a campaign log of (file, line, value).
 
-    (file, run, effects, params, outcome): how many effect lines, the parameters, the outcome.
+    ``[Run n] Effects from .../tmp.outK:`` opens a pack of the pair (n, tmp.outK), alone or with a
+    record on the same line; ``[X_FI_WRITER]`` and ``[X_FI_READER]`` lines after it are records of
+    the pack that was opened last. ``[Run n] tmp.outK: text`` is a result of its pair. Results: file,
+    run, out, occurrence (of the pair, from 1), outcome, position (from 0), src, kernel, inst_line,
+    inst_text: one row for each distinct record of the pair before the result, packs in order and
+    in each the writers first. A pack without records, and a pair without packs, stands for
+    the record (invalid, invalid_summary, -1, ''). Params: the last ``[INJ_PARAMS]`` text of each pair.
     """
-    run = F.when(F.col("value").rlike(r"^\[Run \d+\]"), F.regexp_extract("value", r"^\[Run (\d+)\]", 1).cast("long"))
-    w = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    owned = log.withColumn("run", F.last(run, ignorenulls=True).over(w)).where("run is not null")
-    params = F.when(F.col("value").contains("[INJ_PARAMS]"), F.trim(F.regexp_extract("value", r"\[INJ_PARAMS\](.*)", 1)))
-    result = F.when(F.col("value").rlike(r"\.out\w*:"), outcome_label(F.regexp_extract("value", r"\.out\w*:(.*)", 1)))
-    return owned.groupBy("file", "run").agg(F.count_if(F.col("value").contains("Effects from")).alias("effects"), F.max_by(params, F.when(params.isNotNull(), F.col("line"))).alias("params"), F.max_by(result, F.when(result.isNotNull(), F.col("line"))).alias("outcome"))
+    pair = r"^\[Run\s+(\d+)\]\s+"
+    effects, alone = pair + r"Effects from\s+(?:.+/)?(tmp\.out\d+):\s*(.*)$", pair + r"Effects from\s+(?:.+/)?(tmp\.out\d+):\s*$"
+    record = r"^\[([-A-Za-z0-9_]+)_FI_(WRITER|READER)\].*?->\s*(\S+)\s+PC=.*\(([^:()]+):(\d+)\)\s*(.*)$"
+    result, params = pair + r"(tmp\.out\d+):\s*(.*?)\s*$", r"^\[INJ_PARAMS\]\s+\[Run\s+(\d+)\]\s+(tmp\.out\d+)\s+(.*)$"
+    got = lambda p, i, c="value": F.regexp_extract(c, p, i)
+    rows = log.withColumn("_opens", F.col("value").rlike(effects))
+    key = F.when(F.col("_opens"), F.struct(got(effects, 1).cast("long").alias("run"), got(effects, 2).alias("out")))
+    upto = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # a bare heading starts a pack, an inline one only where the pair changes
+    rows = rows.withColumn("_key", F.last(key, ignorenulls=True).over(upto))
+    fresh = F.col("_opens") & (F.col("value").rlike(alone) | ~F.col("_key").eqNullSafe(F.lag("_key").over(W.partitionBy("file").orderBy("line"))))
+    rows = rows.withColumn("_pack", F.sum(fresh.cast("int")).over(upto)).withColumn("_text", F.when(F.col("_opens"), got(effects, 3)).otherwise(F.col("value")))
+    said = rows.where("_key is not null").select("file", "_key.run", "_key.out", "_pack", "line", "_text", F.col("_text").rlike(record).alias("_is"), fresh.alias("_first"))
+    records = said.where("_is").select("file", "run", "out", "_pack", "line", (got(record, 2, "_text") == "READER").cast("int").alias("_reads"), got(record, 1, "_text").alias("src"), got(record, 3, "_text").alias("kernel"), got(record, 5, "_text").cast("int").alias("inst_line"), F.trim(got(record, 6, "_text")).alias("inst_text"))
+    packs = said.groupBy("file", "run", "out", "_pack").agg(F.min("line").alias("line"), F.min(F.when(F.col("_is"), F.col("line"))).alias("_filled"), F.max("line").alias("_last"))
+    results = log.where(F.col("value").rlike(result) & ~F.col("value").rlike(effects)).select("file", got(result, 1).cast("long").alias("run"), got(result, 2).alias("out"), F.col("line").alias("_at"), outcome_label(got(result, 3)).alias("outcome"))
+    results = results.withColumn("occurrence", F.row_number().over(W.partitionBy("file", "run", "out").orderBy("_at")))
+    on = ["file", "run", "out"]
+    invalid = [F.lit(1).alias("_reads"), F.lit("invalid").alias("src"), F.lit("invalid_summary").alias("kernel"), F.lit(-1).alias("inst_line"), F.lit("").alias("inst_text")]
+    # a pack is empty for a result when it has no record before the result, and was closed or is looked at then
+    closed = said.groupBy("file", "_pack").agg(F.min("line").alias("_start")).select("file", (F.col("_pack") - 1).alias("_pack"), F.col("_start").alias("_end"))
+    empty = packs.join(closed, ["file", "_pack"], "left").where("_filled is null").select(*on, "_pack", "line", F.lit(True).alias("_empty"))
+    late = results.join(packs.where("_filled is not null").select(*on, "_pack", F.col("line").alias("_open"), "_filled"), on).where("_open < _at and _filled > _at").join(closed, ["file", "_pack"], "left").where("_end is null or _end > _at")
+    late = late.select(*on, "_pack", F.col("_at").alias("line")).distinct()
+    whole = records.unionByName(empty.drop("_empty").select(*on, "_pack", "line", *invalid)).unionByName(late.select(*on, "_pack", "line", *invalid))
+    met = results.join(whole, on, "left").where("line is null or line <= _at")
+    met = results.join(met.select(*on, "occurrence", "_pack", "line", "_reads", "src", "kernel", "inst_line", "inst_text"), [*on, "occurrence"], "left")
+    what = ["src", "kernel", "inst_line", "inst_text"]
+    met = met.withColumns({"src": F.coalesce("src", F.lit("invalid")), "kernel": F.coalesce("kernel", F.lit("invalid_summary")), "inst_line": F.coalesce("inst_line", F.lit(-1)), "inst_text": F.coalesce("inst_text", F.lit(""))})
+    one = met.groupBy(*on, "occurrence", "outcome", *what).agg(F.min(F.struct("_pack", "_reads", "line")).alias("_order"))
+    one = one.withColumn("position", F.row_number().over(W.partitionBy(*on, "occurrence").orderBy("_order")) - 1)
+    texts = log.where(F.col("value").rlike(params)).select("file", got(params, 1).cast("long").alias("run"), got(params, 2).alias("out"), F.trim(got(params, 3)).alias("params"), "line")
+    return one.select(*on, "occurrence", "outcome", "position", *what), texts.groupBy(*on).agg(F.max_by("params", "line").alias("params"))
 
 
 MANIFEST = "run_id string, run_log string, exit_status int, run_batch string, tmp_file string"
@@ -169,7 +237,7 @@ def source_lines(log: DataFrame) -> DataFrame:
     return out.select("file", "line", F.col("_loc.f").alias("source_file"), F.col("_loc.n").alias("source_line"))
 
 
-def register_names(df: DataFrame, text: str = "value", pattern: str = r"%([a-z]+)(\d+)") -> DataFrame:
+def register_names(df: DataFrame, text: str = "value", pattern: str = r"%([A-Za-z]+)(\d+)") -> DataFrame:
     """Distinct registers in the order of prefix and number."""
     found = df.select(F.explode(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).alias("register")).distinct()
     return found.withColumns({"prefix": F.regexp_extract("register", pattern, 1), "number": F.regexp_extract("register", pattern, 2).cast("long")}).orderBy("prefix", "number")
@@ -186,17 +254,23 @@ def shader_ids(text: Column) -> Column:
     return id_list(text)
 
 
+RECORD = np.dtype([("cycle", "<u8"), ("thread", "<u4"), ("register", "<u4")])
+
+
 def register_trace(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record, cycle, thread, register, is_write) from 16-byte records: u64 cycle, u32 thread, u32 register with its top bit for writes."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("content"))
-    at = raw.select("file", "content", F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.length("content") / 16).cast("int") - 1, F.lit(0)))).alias("record")).where(F.length("content") >= 16)
-    return at.select("file", "record", _little(0, 8).alias("cycle"), _little(8, 4).alias("thread"), _little(12, 4).bitwiseAND(F.lit(0x7FFFFFFF)).alias("register"), (_little(12, 4) >= F.lit(1 << 31)).alias("is_write"))
-
-
-def _little(start: int, n: int) -> Column:
-    """A little-endian number at ``record * 16 + start``."""
-    out = F.lit(0).cast("long")
-    for i in range(n):
-        byte = F.conv(F.hex(F.substring(F.col("content"), F.col("record") * 16 + start + i + 1, F.lit(1))), 16, 10).cast("long")
-        out = out.bitwiseOR(F.shiftleft(byte, 8 * i))
-    return out
+    """(file, record, cycle, thread, register, is_write) from 16-byte records: u64 cycle, u32 thread, u32 register with its top bit for writes.
+
+    A file is decoded in one task, in pieces; bytes after its last whole record are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = memoryview(content.as_buffer())
+                for at in range(0, len(data) // 16, 1 << 20):
+                    x = np.frombuffer(data, RECORD, min(1 << 20, len(data) // 16 - at), at * 16)
+                    columns = [np.arange(at, at + len(x)), x["cycle"].astype(np.int64), x["thread"].astype(np.int64), (x["register"] & np.uint32(0x7FFFFFFF)).astype(np.int64), x["register"] >= np.uint32(1 << 31)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), *map(pa.array, columns)], names=["file", "record", "cycle", "thread", "register", "is_write"])
+
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    return raw.mapInArrow(run, "file string, record long, cycle long, thread long, register long, is_write boolean")

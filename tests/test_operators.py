@@ -80,6 +80,62 @@ def test_residency_matches_a_replay(spark):
         want = residency.replayed([(t, line) for ss, t, line, _ in rows if ss == s], 3)
         assert sorted((r.start, r.line) for r in got if r.s == s) == want
     assert sum(r.hits for r in got) + len(got) == len(rows)
+    passing = residency.lru_episodes(df, ["s"], ["t"], "line", 3, "st", write_allocate=False).collect()
+    for s in range(4):  # stores that miss bring nothing in
+        want, held = [], []
+        for ss, t, line, st in rows:
+            if ss == s and (line in held or not st):
+                want += [(t, line)] * (line not in held)
+                held = [x for x in held if x != line][-2 if line not in held else -3 :] + [line]
+        assert sorted((r.start, r.line) for r in passing if r.s == s) == want
+
+
+def _cache_brute(rows, point, ways, line_bytes, stop):
+    """Class of a point by walking one set's accesses (t, line, store, offsets) one by one."""
+    s, way, at, bit = point
+    slots, order, episodes = [None] * ways, [], []
+    for ss, t, line, store, offsets in rows:
+        if ss != s:
+            continue
+        if line in slots:
+            w = slots.index(line)
+            order.remove(w)
+        else:
+            w = slots.index(None) if None in slots else order.pop(0)
+            for e in episodes:
+                if e["way"] == w and e["end"] is None:
+                    e["end"] = t
+            slots[w] = line
+            episodes.append({"way": w, "start": t, "end": None, "at": {}})
+        order.append(w)
+        e = next(e for e in episodes if e["way"] == w and e["end"] is None)
+        for o in offsets:
+            versions = e["at"].setdefault(o, [[e["start"], None, False, None]])
+            if store:
+                versions[-1][1] = t
+                versions.append([t, None, True, None])
+            else:
+                versions[-1][3] = t
+    for e in episodes:
+        end = stop if e["end"] is None else e["end"]
+        if e["way"] == way and e["start"] <= at < end:
+            if bit >= line_bytes * 8:
+                return "ebc"
+            for start, until, dirty, load in e["at"].get(bit // 8, []):
+                last = until is None
+                if start <= at < (end if last else until):
+                    return "dcr" if at < ((end if dirty and last else load) or -1) else "benign"
+    return "benign"
+
+
+def test_cache_points_against_a_walk(spark):
+    rng = random.Random(15)
+    rows = [(rng.randrange(2), t, rng.randrange(7), rng.random() < 0.3, sorted(rng.sample(range(4), rng.randrange(1, 4)))) for t in range(300)]
+    df = spark.createDataFrame([(s, t, t, line, st, o) for s, t, line, st, o in rows], "s long, t long, i long, line long, st boolean, o array<int>")
+    episodes, found = residency.byte_versions(df, ["s"], ["t", "i"], "line", 3, "st", F.col("o"), 300)
+    points = [(rng.randrange(2), rng.randrange(3), rng.randrange(300), rng.randrange(40)) for _ in range(400)]
+    got = residency.cache_class(spark.createDataFrame(points, "s long, way int, at long, bit long"), episodes, found, ["s"], "at", 4).collect()
+    assert sorted((r.s, r.way, r.at, r.bit, r["class"]) for r in got) == sorted((*p, _cache_brute(rows, p, 3, 4, 300)) for p in points)
 
 
 def test_series(spark):
@@ -100,7 +156,7 @@ def test_series(spark):
     got = df.limit(1).select(*series.vector(F.col("t"), "v")).collect()
     assert [(r.position, r.v) for r in got][:3] == [(0, "0"), (1, "1"), (2, "2")]
     weights, ranges = spark.createDataFrame([(i, i * i) for i in range(10)], "c long, weight long"), spark.createDataFrame([(2, 5), (8, 99), (20, 30)], "lo long, hi long")
-    assert sorted((r.lo, r.range_weight) for r in series.range_weight(weights, ranges, "c", "lo", "hi").collect()) == [(2, 4 + 9 + 16), (8, 64 + 81), (20, 0)]
+    assert sorted((r.lo, r.range_weight) for r in series.range_weight(weights, ranges, [], "c", "weight", "lo", "hi").collect()) == [(2, 4 + 9 + 16), (8, 64 + 81), (20, 0)]
 
 
 def test_atomics_and_turns(spark):
@@ -122,14 +178,18 @@ def test_graphs(spark):
     flow = spark.createDataFrame([("p", 0, "inst", None), ("p", 8, "branch", 32), ("p", 16, "min", None), ("p", 24, "jump", 40), ("p", 32, "inst", None), ("p", 40, "exit", None)], "program string, pc long, kind string, target long")
     edges = graphs.successors(flow, "pc", "kind", "target").join(flow.select("program", "pc", "kind"), "pc")
     assert sorted((r.pc, r.next) for r in edges.collect()) == [(0, 8), (8, 16), (8, 32), (16, 24), (24, 40), (32, 40)]
-    p = {r.pc: r.probability for r in graphs.masking_probability(edges.withColumnRenamed("next", "succ"), "program", "pc", "succ", "kind").collect()}
-    assert p == pytest.approx({0: 0.375, 8: 0.375, 16: 0.5, 24: 1.0, 32: 1.0, 40: 1.0})
+    last = spark.createDataFrame([(40, None, "p", "exit")], "pc long, next long, program string, kind string")
+    masked = lambda rows: {r.pc: r.probability for r in graphs.masking_probability(rows.withColumnRenamed("next", "succ"), "program", "pc", "succ", "kind").collect()}
+    assert masked(edges.select(last.columns).unionByName(last)) == pytest.approx({0: 0.375, 8: 0.375, 16: 0.5, 24: 1.0, 32: 1.0, 40: 1.0})
+    # a masking terminal keeps its factor; successors outside the program do not share the weight
+    ends = spark.createDataFrame([("q", 0, "inst", 8), ("q", 8, "min", None), ("q", 16, "branch", 99), ("q", 16, "branch", 0)], "program string, pc long, kind string, next long")
+    assert masked(ends) == pytest.approx({0: 0.5, 8: 0.5, 16: 0.25})
     dom = defaultdict(set)
     for r in graphs.dominators(edges.select("program", "pc", "next", F.lit(0).cast("long").alias("entry")), "program", "pc", "next", "entry").collect():
         dom[r.node].add(r.dominator)
     assert dom == {0: {0}, 8: {0, 8}, 16: {0, 8, 16}, 24: {0, 8, 16, 24}, 32: {0, 8, 32}, 40: {0, 8, 40}}
-    chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 51)], "a long, b long")
-    assert {r.node: r.root for r in graphs.components(chain, "a", "b").collect()} == {**{i: 0 for i in range(31)}, 50: 50, 51: 50}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (600, 600)], "a long, b long")
+    assert {r.node: r.root for r in graphs.connected(chain, "a", "b").collect()} == {**{i: 0 for i in range(301)}, 500: 500, 501: 500, 600: 600}
 
 
 def _event(index, **more):
@@ -191,6 +251,9 @@ def test_classification_and_reports(spark):
     df = spark.createDataFrame([("m", 1, 10.0, 2.0), ("m", 1, 30.0, 2.0), ("n", 1, 5.0, 5.0)], "arch string, c long, t double, u double")
     got = {r.arch: r.speedup for r in reports.speedups(df, "arch", "t", "u").collect()}
     assert got == {"m": 10.0, "n": 1.0, "Combined": 5.0}
+    df = spark.createDataFrame([("m", 1, 10.0, 2.0), (None, 1, 30.0, 2.0), (None, 2, 5.0, 5.0)], "arch string, c long, t double, u double")
+    assert sorted(((r.arch or "-", r.speedup) for r in reports.speedups(df, "arch", "t", "u").collect())) == [("-", 5.0), ("Combined", 5.0), ("m", 5.0)]
+    assert sorted(((r.arch or "-", r.c, r.speedup) for r in reports.speedups(df, "arch", "t", "u", ["c"]).collect())) == [("-", 1, 15.0), ("-", 2, 1.0), ("Combined", 1, 10.0), ("Combined", 2, 1.0), ("m", 1, 5.0)]
 
 
 def test_sampling(spark):

@@ -41,14 +41,65 @@ def test_run_summary_and_outputs(spark, tmp_path):
     assert got == [(16, 64, "c"), (32, 4, "")]
 
 
+def test_lines_over_splits(spark, tmp_path):
+    """Line numbers run on over the splits of a file."""
+    text = [f"line {i} " + "x" * (i % 90) for i in range(4000)]
+    (tmp_path / "big.log").write_text("\r\n".join(text) + "\n")
+    (tmp_path / "small.log").write_text("a\n\nb")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        log = T.lines(spark, f"{tmp_path}/*.log")
+        assert spark.read.text(f"{tmp_path}/big.log").rdd.getNumPartitions() > 3
+        rows = sorted((r.file.rpartition("/")[2], r.line, r.value) for r in log.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == [("big.log", i, t) for i, t in enumerate(text)] + [("small.log", 0, "a"), ("small.log", 1, ""), ("small.log", 2, "b")]
+
+
+INJECTIONS = """head
+[Run 1] Effects from /x/tmp.out1:
+[L1D_FI_READER] a -> k1 PC=0x8 (a.cu:11) ld.global
+[L1D_FI_WRITER] a -> k1 PC=0x8 (a.cu:10) st.global
+[INJ_PARAMS] [Run 1] tmp.out1 bit=3
+[Run 1] tmp.out1: SDC found
+[L1D_FI_READER] a -> k1 PC=0x8 (a.cu:11) ld.global
+[REG_FI_READER] a -> k2 PC=0x8 (b.cu:5) add
+[INJ_PARAMS] [Run 1] tmp.out1 bit=4
+[Run 1] tmp.out1: masked
+[Run 2] Effects from tmp.out2: [REG_FI_WRITER] a -> k3 PC=1 (c.cu:7) mov
+[Run 2] Effects from tmp.out2: [REG_FI_WRITER] a -> k3 PC=1 (c.cu:8) mov
+[Run 2] tmp.out2: DUE
+[Run 3] Effects from tmp.out3:
+[Run 3] tmp.out3: nothing
+[Run 4] tmp.out4: Masked
+"""
+
+
 def test_injection_log(spark, tmp_path):
-    (tmp_path / "c.log").write_text("head\n[Run 1] Effects from X\nwriter a\n[INJ_PARAMS] k=1 j=2\n[Run 1] tmp.out1: SDC found\n[Run 2] Effects from Y\n[Run 2] tmp.out2: fine, masked\n[Run 3] start\n")
-    rows = {r.run: r for r in T.injection_log(T.lines(spark, f"{tmp_path}/c.log")).collect()}
-    assert (rows[1].effects, rows[1].params, rows[1].outcome) == (1, "k=1 j=2", "SDC") and rows[2].outcome == "Masked" and rows[3].outcome is None
+    (tmp_path / "c.log").write_text(INJECTIONS)
+    results, params = T.injection_log(T.lines(spark, f"{tmp_path}/c.log"))
+    got = [(r.run, r.out, r.occurrence, r.outcome, r.src, r.kernel, r.inst_line, r.inst_text) for r in results.orderBy("run", "occurrence", "position").collect()]
+    first = [("L1D", "k1", 10, "st.global"), ("L1D", "k1", 11, "ld.global")]
+    nothing = ("invalid", "invalid_summary", -1, "")
+    want = [(1, "tmp.out1", 1, "SDC", *x) for x in first] + [(1, "tmp.out1", 2, "Masked", *x) for x in [*first, ("REG", "k2", 5, "add")]]
+    want += [(2, "tmp.out2", 1, "DUE", "REG", "k3", n, "mov") for n in (7, 8)] + [(3, "tmp.out3", 1, "Others", *nothing), (4, "tmp.out4", 1, "Masked", *nothing)]
+    assert got == want
+    assert [(r.run, r.out, r.params) for r in params.collect()] == [(1, "tmp.out1", "bit=4")]
     df = spark.createDataFrame([("rf=1000  l2=5000",)], "v string")
     assert df.select(T.settings(F.col("v"))).first()[0] == {"rf": "1000", "l2": "5000"}
 
 
+def test_json_by_first_bytes(spark, tmp_path):
+    """Compression follows the bytes, whatever the name says."""
+    zstandard = pytest.importorskip("zstandard")
+    data = json.dumps({"a": 1, "b": [2, 3]}, indent=1).encode()
+    for name, made in (("x.json", data), ("y.json", gzip.compress(data)), ("z.txt", zstandard.ZstdCompressor().compress(data)), ("w.gz", data), ("v.json", b"not json")):
+        (tmp_path / name).write_bytes(made)
+    got = {r.file.rpartition("/")[2]: (r.a, r.b) for r in T.json_documents(spark, str(tmp_path), "struct<a: int, b: array<int>>").collect()}
+    assert got == {**dict.fromkeys(("x.json", "y.json", "z.txt", "w.gz"), (1, [2, 3])), "v.json": (None, None)}
+
+
 def test_manifests(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps([{"run_id": "r1", "run_log": "/x/r1.log", "exit_status": 3}]))
     (tmp_path / "m.csv").write_text("run_id,run_log,more\nr2,/x/r2.log,9\n")
@@ -108,6 +159,9 @@ def test_sinks(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(f"{tmp_path}/json").collect()) == ['{"a":"a","b":1}', '{"b":2}']
     assert sinks.write_sparse(df, f"{tmp_path}/sparse") == ["b", "a"] and spark.read.parquet(f"{tmp_path}/sparse").columns == ["b", "a"]
     assert sinks.markdown(df.orderBy("b")).splitlines()[2] == "| 1 | a | - |" and "b  a  c" in sinks.aligned(df)
+    many = spark.range(1500)
+    assert len(sinks.markdown(many).splitlines()) == 1502 and len(sinks.aligned(many).splitlines()) == 1501
+    assert sinks.markdown(many, 10).splitlines()[-1] == sinks.aligned(many, 10).splitlines()[-1] == "... 1490 more rows"
     warnings = spark.createDataFrame([(f"w{i:02}",) for i in range(40)], "warning string")
     assert json.loads(sinks.manifest({"t": "x"}, warnings))["warnings"][-1] == "w29"
     with pytest.raises(ValueError):
