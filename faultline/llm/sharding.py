@@ -48,7 +48,12 @@ class Node:
 
 def _key(value: Column) -> Column:
     scaled = F.least(F.floor(value * (1 << VALUE_BITS)), F.lit((1 << VALUE_BITS) - 1)).cast("long")
-    return F.shiftleft(scaled, KEY_BITS - VALUE_BITS) + F.shiftrightunsigned(F.xxhash64("_atom", F.lit(5)), 64 - (KEY_BITS - VALUE_BITS))
+    return F.shiftleft(scaled, KEY_BITS - VALUE_BITS) + F.col("_tie")
+
+
+def _tie(text: Column) -> Column:
+    """The bits of the text's hash that end a key."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, (KEY_BITS - VALUE_BITS) // 4), 16, 10).cast("long")
 
 
 def _node_of(tree: Node, wanted: list[Node]) -> Column:
@@ -120,10 +125,10 @@ def _split(atoms: DataFrame, tree: Node, nodes: list[Node]) -> None:
 
 def atoms_of(rows: DataFrame) -> DataFrame:
     """One row per distinct text (by hash): its bytes with all copies, the keys of its dimensions, its rows."""
-    out = rows.groupBy("_atom").agg(F.sum("_size").alias("_weight"), F.min("_source").alias("_source"), F.min("_lang").alias("_lang"), F.max("_size").alias("_bytes"), F.count(F.lit(1)).alias("_n"))
+    out = rows.groupBy("_atom").agg(F.sum("_size").alias("_weight"), F.min("_source").alias("_source"), F.min("_lang").alias("_lang"), F.max("_size").alias("_bytes"), F.min("_tie").alias("_tie"), F.count(F.lit(1)).alias("_n"))
     for c in ("_source", "_lang"):  # one row per distinct value; null ranks with the least
         out = out.join(ranked(rows, c, f"{c}_rank"), c, "left").withColumn(f"{c}_rank", F.coalesce(f"{c}_rank", F.lit(0.0)))
-    values = (F.col("_source_rank"), F.col("_lang_rank"), F.least(F.log2(F.col("_bytes") + 1) / 40, F.lit(0.9999999)))
+    values = (F.col("_source_rank"), F.col("_lang_rank"), F.least(F.round(F.log2(F.col("_bytes") + 1) / 40, 9), F.lit(0.9999999)))
     return out.select("_atom", "_weight", "_n", *[_key(v).alias(d) for d, v in zip(DIMENSIONS, values, strict=True)])
 
 
@@ -131,7 +136,7 @@ def shard(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = text_or_empty("_t")
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(source_col).alias("_source"), F.col(lang_col).alias("_lang"))
-    rows = rows.select("_id", "_source", "_lang", (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), F.xxhash64(text).alias("_atom"))
+    rows = rows.select("_id", "_source", "_lang", (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc"), F.xxhash64(text).alias("_atom"), _tie(text).alias("_tie"))
     rows = materialize(rows, "shard-rows")
     atoms = materialize(atoms_of(rows), "shard-atoms")
     count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()

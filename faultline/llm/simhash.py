@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import materialize, text_or_empty, with_facts
-from .components import components
 from .textnum import runs, shingle_ends, texts_of, words, xxh64
 
 SHINGLE, SEED, RADIUS = 3, 42, 3

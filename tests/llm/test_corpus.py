@@ -12,7 +12,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import Row
 
 from faultline.llm import langid, lm, lm_score, media, mixing, packing, sharding, toxicity
@@ -154,7 +153,7 @@ def tree_brute(rows, shards):
     points = []
     for text, (weight, so, la) in atoms.items():
         low = sharding_hash(text)
-        size = math.log2(len(text.encode()) + 2) / 40
+        size = round(math.log2(len(text.encode()) + 2) / 40, 9)
         points.append((weight, *[(scaled(v) << 36) + low for v in (source[so], lang[la], size)], text))
     root = [max(p[k] for p in points) + 1 - min(p[k] for p in points) for k in (1, 2, 3)]
     out = {}
@@ -180,9 +179,8 @@ def tree_brute(rows, shards):
 
 
 def sharding_hash(text):
-    """Spark's hash of the hash of a text, as the operator breaks ties with it."""
-    h = xxhash.xxh64_intdigest(text.encode(), 42)
-    return xxhash.xxh64_intdigest((5).to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42)) >> 28
+    """36 bits of a text's hash, as the operator breaks ties with it."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:9], 16)
 
 
 def test_shard_is_the_tree(spark):
@@ -453,6 +451,55 @@ def test_powers():
     assert np.isfinite(lm.powers(np.array([-1e30, 1e30], np.float32))).all()
 
 
+def _attention_brute(p, prior, inputs, y, b, i):
+    """log10 probability of class ``y`` after place i of block b, by loops over the tokens before it."""
+    own, past, t = inputs[b], inputs[b - 1], p["table"]
+    query = t[own[i], lm.QUERY]
+    seen = [(past[j], lm.BLOCK + i - j) for j in range(lm.BLOCK)] + [(own[j], i - j) for j in range(i + 1)]
+    weight = [math.exp(query @ t[x, lm.KEY] + p["far"][d]) for x, d in seen]
+    h = sum(w * t[x, lm.VALUE] for w, (x, _) in zip(weight, seen, strict=True)) / sum(weight)
+    h = h + t[own[i], lm.LAST] + t[own[i - 1] if i else past[-1], lm.BEFORE]
+    h = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+    logits = h @ p["out"] + p["bias"] + prior[own[i]]
+    return (logits[y] - math.log(sum(math.exp(x) for x in logits))) / math.log(10)
+
+
+def test_scores_against_loops():
+    """Every token is scored once, with the tokens of its block before it and all of the block before as context."""
+    rng = np.random.default_rng(3)
+    p = {k: v.astype(np.float64) for k, v in lm.fresh(20).items()}
+    prior = rng.normal(size=(20, lm.CLASSES))
+    sizes = [40, 0, 1, 16, 17, 95]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    tokens, cls = rng.integers(0, 18, first[-1]), rng.integers(0, lm.CLASSES, first[-1])
+    inputs, real, place = lm.blocks_of(tokens, first, 19)
+    classes = np.zeros(inputs.size, np.int64)
+    classes[place] = cls
+    got = lm.log10_classes(p, prior, inputs, classes.reshape(inputs.shape), real, 3).ravel()[place]
+    want = [_attention_brute(p, prior, inputs, c, *divmod(at, lm.BLOCK)) for c, at in zip(cls, place.tolist(), strict=True)]
+    assert np.allclose(got, want, atol=1e-9)
+    for n, (a, b) in enumerate(itertools.pairwise(first)):  # what a text's tokens see is the text itself, after starts
+        assert inputs.ravel()[place[a:b]].tolist() == [19, *tokens[a:b]][: b - a], n
+
+
+def test_attention_learns_what_pairs_cannot():
+    """Each token repeats the one eight before it: counts of pairs tell nothing, attention tells much."""
+    rng = np.random.default_rng(4)
+    tokens = np.concatenate([np.tile(rng.integers(0, 24, 8), 20) for _ in range(400)])
+    inputs, real, place = lm.blocks_of(tokens, np.arange(0, len(tokens) + 1, 160), 25)
+    classes, weight = np.zeros(inputs.size, np.int64), np.zeros(inputs.size)
+    classes[place], weight[place] = tokens, 1
+    classes, weight = classes.reshape(inputs.shape), weight.reshape(inputs.shape)
+    prior = lm.prior_of(np.eye(lm.CLASSES)[:24].sum(0) * np.ones((26, 1)) * 100)
+    trainer = lm.Trainer(lm.fresh(26), prior)
+    for _ in range(6):
+        trainer.feed(inputs, classes, weight)
+    mean = lambda p: lm.log10_classes(p, prior, inputs, classes, real).ravel()[place].mean()
+    blind = {k: v.copy() for k, v in trainer.p.items()}
+    blind["table"][:, lm.VALUE] = 0
+    assert mean(trainer.p) > -0.75 and mean(trainer.p) > mean(blind) + 0.4 and -math.log10(24) - 0.05 < mean(lm.fresh(26)) < -1.3
+
+
 def test_attention_is_causal():
     """A token's score does not depend on what follows."""
     rng = np.random.default_rng(1)
@@ -579,3 +626,25 @@ def test_pipeline(spark, tmp_path):
     assert len(norms) == len(set(norms)) == len({re.sub(r"[\x20\x09-\x0D]", "", r.text) for r in seen[1].collect()})
     assert sum(r.n_tokens for r in seen[5].collect()) == sum(size_of(r.text) + 1 for r in seen[4].collect())
     assert corpus_pipeline.run(spark, sf).count() == seen[5].count()
+
+
+@pytest.mark.parametrize("table", ["odd", "clashing", "empty"])
+def test_pipeline_odd_tables(spark, tmp_path, request, table):
+    """Nulls, empty texts, repeated rows, clashing columns and empty tables go through all stages."""
+    import corpus_pipeline
+
+    docs = request.getfixturevalue(table)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(100 + i, 1, i % 2) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = seen
+        stage(spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        seen = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert seen.columns == docs.columns
+            assert {r.doc_id for r in seen.select("doc_id").collect()} <= {r.doc_id for r in before.select("doc_id").collect()}
+        if k == 1:
+            norms = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in seen.collect()]
+            assert len(norms) == len(set(norms))
+    assert sum(r.n_tokens for r in seen.collect()) == sum(size_of(r.text) + 1 for r in before.collect())

@@ -8,12 +8,14 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
-
 from pyspark.sql import functions as F
 
-from faultline.llm import common, components, exact_dedup, simhash, substring, textnum
+from faultline import tables
+from faultline.llm import exact_dedup, simhash, substring, textnum
+from faultline.operators.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -47,7 +49,7 @@ def test_exact_groups(odd, odd_rows):
 def test_exact_groups_hot_and_not(odd, odd_rows, monkeypatch, share):
     """Hot digests are salted, the others are not; either way the result is the same."""
     monkeypatch.setattr(exact_dedup, "HOT_SHARE", share)
-    monkeypatch.setattr(common, "HOT_SHARE", share)
+    monkeypatch.setattr(tables, "HOT_SHARE", share)
     monkeypatch.setattr(exact_dedup, "SALTS", 2)
     got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(odd).collect()]
     assert sorted(got, key=str) == exact_brute(odd_rows)
@@ -196,7 +198,7 @@ def test_near_odd_tables(empty, clashing):
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     parent = {n: n for e in edges for n in e}
 
     def find(x):
@@ -275,6 +277,27 @@ def test_repeats_around_a_frequent_line(spark):
     assert got == wanted
 
 
+def test_recall_of_edited_passages(spark):
+    """Passages of 100 and 150 words with a word replaced every 50 are found in at least nine of ten cases."""
+    rng, rows = random.Random(16), []
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for k in range(120):
+        words = some(100 if k % 2 else 150)
+        edited = [w if i % 50 != 25 else f"e{rng.randrange(10**9)}" for i, w in enumerate(words)]
+        rows += [(2 * k, " ".join(some(60) + words + some(30))), (2 * k + 1, " ".join(some(45) + edited + some(70)))]
+    got = {(r.match_doc_id, r.doc_id) for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(a // 2 == b // 2 for a, b in got) and len(got) >= 0.9 * 120
+
+
+def test_equal_texts_need_more_than_one_hash(monkeypatch):
+    """Texts whose first 64 bits agree are no copies when the next 64 differ."""
+    rows = np.zeros(3, substring.ROW)
+    rows["key"], rows["doc"], rows["c"], rows["f"] = 7, [1, 2, 3], 90, substring.COPY
+    rows["left"], rows["right"] = [5, 5, 6], [8, 8, 8]
+    table = pa.table([pa.array([substring.packed(rows)], pa.binary())], names=["rows"])
+    assert [(r["a"], r["b"]) for r in substring._links(table).to_pylist()] == [(1, 2)]
+
+
 @pytest.mark.parametrize("edits", [0, 1, 3])
 def test_passages(edits):
     rng = np.random.default_rng(edits)
