@@ -126,6 +126,13 @@ def sparse(values: Column) -> Column:
     return F.when(count > 0, triples)
 
 
+def indexed(values: Column, names: list[str]) -> list[Column]:
+    """The first numbers of a flat list by ``names``, as keys, and the rest as the vector ``values``; null where there is no rest."""
+    keys = [F.get(values, F.lit(i)).alias(n) for i, n in enumerate(names)]
+    rest = F.when(F.size(values) > len(names), F.slice(values, len(names) + 1, F.greatest(F.size(values) - len(names), F.lit(1))))
+    return [*keys, rest.alias("values")]
+
+
 def padded_left(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
     """Series of unequal length aligned at their ends, missing starts filled with 0."""
     n = F.max(position)

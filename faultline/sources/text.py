@@ -62,10 +62,11 @@ def settings(text: Column) -> Column:
     return F.str_to_map(F.trim(text), F.lit(r"\s+"), F.lit("="))
 
 
-def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+def json_documents(spark: SparkSession, path: str, schema: T.StructType | str, wrap: str | None = None) -> DataFrame:
     """(file, fields): one JSON value per file, plain, gzip or zstd by the file's first bytes, whatever its name.
 
-    A file is decoded in one task; a value that does not fit the schema has null fields.
+    A file is decoded in one task; a value that does not fit the schema has null fields. With
+    ``wrap``, a file's value, if it is a list, stands for an object that has it under that name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +76,10 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -
 
     raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
     kind = schema if isinstance(schema, str) else schema.simpleString()
-    return raw.mapInArrow(run, "file string, value string").select("file", F.from_json("value", kind).alias("j")).select("file", "j.*")
+    texts = raw.mapInArrow(run, "file string, value string")
+    if wrap:
+        texts = texts.withColumn("value", F.when(F.ltrim("value").startswith("["), F.concat(F.lit(f'{{"{wrap}": '), "value", F.lit("}"))))
+    return texts.select("file", F.from_json("value", kind).alias("j")).select("file", "j.*")
 
 
 def _decoded(data: bytes) -> str:
@@ -96,6 +100,44 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("file", "event_index", "e.*")
 
 
+RANGE = "space string, base string, size long, start_cycle long, end_cycle long"
+
+
+def trace(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, memory ranges) of a trace file, which is a JSON list of events, an object that holds
+    them as ``events`` or ``trace`` beside ``memory_ranges``, or a manifest that names such a file as
+    ``trace_template_ref`` or ``events_ref`` and further ranges as ``memory_ranges_ref``, relative to
+    its own folder; or a folder of Parquet with the columns of events. JSON is plain, gzip or zstd.
+
+    Events have ``event_index``, their place in the list (of Parquet: the column of that name).
+    Binary pickles are refused: reading them would run what they hold.
+    """
+    if spark.read.format("binaryFile").load(path).where(F.col("path").endswith(".parquet")).select("path").limit(1).count():
+        return spark.read.parquet(path), spark.createDataFrame([], RANGE)
+    names = "trace_template_ref string, events_ref string, memory_ranges_ref string, binary_ref string, columnar_ref string"
+    top = json_documents(spark, path, f"struct<{names}>").first()
+    if top.binary_ref or top.columnar_ref:
+        raise ValueError(f"{path} refers to a pickle; write it as JSON or Parquet")
+    beside = lambda ref: ref if ref.startswith("/") or "://" in ref else f"{path.rpartition('/')[0]}/{ref}"
+    ref = top.trace_template_ref or top.events_ref
+    source = beside(ref) if ref else path
+    inside = f"array<struct<{EVENT}>>"
+    listed = json_documents(spark, source, f"struct<value: {inside}>", wrap="value").select("value")
+    held = json_documents(spark, source, f"struct<events: {inside}, trace: {inside}>").select(F.coalesce("events", "trace").alias("value"))
+    events = listed.unionByName(held).select(F.posexplode("value").alias("event_index", "e")).select(F.col("event_index").cast("long").alias("event_index"), "e.*")
+    ranges = [json_documents(spark, source, f"struct<memory_ranges: array<struct<{RANGE}>>>").select("memory_ranges")]
+    if ref:
+        ranges.append(json_documents(spark, path, f"struct<memory_ranges: array<struct<{RANGE}>>>").select("memory_ranges"))
+    if top.memory_ranges_ref:
+        more = beside(top.memory_ranges_ref)
+        ranges.append(json_documents(spark, more, f"struct<memory_ranges: array<struct<{RANGE}>>, ranges: array<struct<{RANGE}>>>").select(F.coalesce("memory_ranges", "ranges").alias("memory_ranges")))
+        ranges.append(json_documents(spark, more, f"struct<memory_ranges: array<struct<{RANGE}>>>", wrap="memory_ranges").select("memory_ranges"))
+    found = ranges[0]
+    for r in ranges[1:]:
+        found = found.unionByName(r)
+    return events, found.select(F.explode("memory_ranges").alias("r")).select("r.*")
+
+
 def active_threads(df: DataFrame, cycle: str = "cycle", ranges: str = "active_thread_ranges", size: str = "active_threads_size") -> tuple[DataFrame, DataFrame]:
     """(cycle, thread) from run-length ranges, and the cycles whose size disagrees."""
     one = df.select(cycle, size, F.explode(ranges).alias("r"))

@@ -153,6 +153,8 @@ def test_series(spark):
     df = spark.createDataFrame([("1 2 5 3 4 6",), ("7 8",)], "t string")
     got = df.select(series.sparse(F.split("t", " ")).alias("x")).collect()
     assert [tuple(x) for x in got[0].x] == [("1", "2", "5"), ("3", "4", "6")] and got[1].x is None
+    got = df.select(*series.indexed(F.split("t", " "), ["i", "j"])).collect()
+    assert [(r.i, r.j, r["values"]) for r in got] == [("1", "2", ["5", "3", "4", "6"]), ("7", "8", None)]
     got = df.limit(1).select(*series.vector(F.col("t"), "v")).collect()
     assert [(r.position, r.v) for r in got][:3] == [(0, "0"), (1, "1"), (2, "2")]
     weights, ranges = spark.createDataFrame([(i, i * i) for i in range(10)], "c long, weight long"), spark.createDataFrame([(2, 5), (8, 99), (20, 30)], "lo long, hi long")

@@ -121,6 +121,25 @@ def test_events_and_threads(spark, tmp_path):
     assert sorted((r.cycle, r.thread) for r in flat.collect()) == [(5, 0), (5, 1), (5, 2), (5, 10), (6, 1), (6, 2)] and [r.cycle for r in wrong.collect()] == [6]
 
 
+def test_trace_forms(spark, tmp_path):
+    """A list, an object, a manifest and Parquet give the same events; pickles are refused."""
+    events = [{"cycle": 1, "thread_id": 0, "kind": "load"}, {"cycle": 3, "thread_id": 2, "kind": "store"}]
+    ranges = [{"space": "global", "base": "0x10", "size": 64}]
+    (tmp_path / "list.json").write_text(json.dumps(events))
+    (tmp_path / "object.bin").write_bytes(gzip.compress(json.dumps({"trace": events, "memory_ranges": ranges}).encode()))
+    (tmp_path / "more.json").write_text(json.dumps([{"space": "shared", "base": "0x0", "size": 8}]))
+    (tmp_path / "manifest.json").write_text(json.dumps({"trace_template_ref": "object.bin", "memory_ranges_ref": "more.json", "memory_ranges": [{"space": "local", "base": "0x4", "size": 4}]}))
+    (tmp_path / "old.json").write_text(json.dumps({"binary_ref": "x.pkl"}))
+    for name, spaces in (("list.json", []), ("object.bin", ["global"]), ("manifest.json", ["global", "local", "shared"])):
+        found, where = T.trace(spark, f"{tmp_path}/{name}")
+        assert [(r.event_index, r.cycle, r.thread_id, r.kind) for r in found.orderBy("event_index").collect()] == [(0, 1, 0, "load"), (1, 3, 2, "store")]
+        assert sorted(r.space for r in where.collect()) == spaces
+    found.write.parquet(f"{tmp_path}/columns")
+    assert T.trace(spark, f"{tmp_path}/columns")[0].count() == 2
+    with pytest.raises(ValueError):
+        T.trace(spark, f"{tmp_path}/old.json")
+
+
 def test_options_geometry_definitions(spark, tmp_path):
     df = spark.createDataFrame([("-l1 N:64:128:6,L:T",), ("-cores 30",)], "v string")
     got = df.select(T.option(F.col("v"), "-cores").alias("cores"), T.cache_geometry(T.option(F.col("v"), "-l1")).alias("g")).collect()
