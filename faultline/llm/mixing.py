@@ -29,7 +29,9 @@ from .common import WORD, materialize, text_or_empty, with_facts
 CYCLE = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: Bins of keys of one source, and how many documents of one are walked in a task.
-BINS, PER_RANGE = 1_000, 5_000
+BINS, PER_RANGE = 1_000, 200
+#: Up to so many sources their goals, each with at most a few PER_RANGE picks, are broadcast.
+SOURCES = 1_000
 SEED = 11
 
 
@@ -79,12 +81,20 @@ def _window() -> list[Column]:
     return [F.sum(F.col("_size") * F.col("_copies")).alias("_sum"), F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_lo"), F.max("_key").alias("_hi")]
 
 
-def _cut(units: DataFrame, state: DataFrame, total: int) -> DataFrame:
+def _meet(units: DataFrame, facts: DataFrame, cond: Column, total: int, sources: int) -> DataFrame:
+    """``units`` with the facts of their source where ``cond`` holds."""
+    if sources > SOURCES:
+        return with_facts(units, facts, "_s", "_rows", total).where(cond)
+    facts = facts.withColumnRenamed("_s", "_of")
+    return units.join(F.broadcast(facts), (F.col("_s") == F.col("_of")) & cond).drop("_of")
+
+
+def _cut(units: DataFrame, state: DataFrame, total: int, sources: int) -> DataFrame:
     """state: (_s, _rows, _from, _room). Adds to it: (_lo, _hi], the bin of keys in which the prefix
     sum of the documents that fit the room exceeds it, the sum ``_before`` of those in front of it,
     and their number ``_n``. Without such a bin _lo is null: all fit. Sources without any that fit are left out."""
     fits = (F.col("_key") > F.col("_from")) & (F.col("_size") <= F.col("_room"))
-    met = with_facts(units, state, "_s", "_rows", total).where(fits)
+    met = _meet(units, state, fits, total, sources)
     first = met.groupBy("_s").agg(*_window()).withColumn("_before", F.lit(0).cast("long"))
     now = materialize(state.join(first, "_s"), "mix-cut")
     while True:
@@ -92,7 +102,7 @@ def _cut(units: DataFrame, state: DataFrame, total: int) -> DataFrame:
         if now.where(wide).isEmpty():
             break
         asked = now.where(wide).select("_s", "_rows", "_from", "_room", F.col("_lo").alias("_least"), F.col("_hi").alias("_most"), F.col("_before").alias("_ahead"))
-        met = with_facts(units, asked, "_s", "_rows", total).where(fits & F.col("_key").between(F.col("_least"), F.col("_most")))
+        met = _meet(units, asked, fits & F.col("_key").between(F.col("_least"), F.col("_most")), total, sources)
         at = F.least(F.floor((F.col("_key") - F.col("_least")) / (F.col("_most") - F.col("_least")) * BINS), F.lit(BINS - 1))
         bins = met.groupBy("_s", at.alias("_bin"), "_ahead", "_room").agg(*_window())
         upto = F.sum("_sum").over(W.partitionBy("_s").orderBy("_bin"))
@@ -104,15 +114,16 @@ def _cut(units: DataFrame, state: DataFrame, total: int) -> DataFrame:
     return now.withColumns({"_lo": F.when(over, F.col("_lo")), "_hi": F.when(over, F.col("_hi"))})
 
 
-def _plan(units: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def _plan(units: DataFrame) -> tuple[DataFrame, int, int, bool]:
     """units: one row per ``UNIT`` with ``_source`` and its ``_copies``.
 
-    (goals, picked, rows): per source its sizes, target, epochs, and the passes, each of which took
+    (goals, rows, sources, parted): per source its sizes, target, epochs, the ``passes``, each of which took
     all of at most ``room`` words with keys between ``after`` and ``upto``, and asked one by one those
-    from ``upto`` to ``end``; the documents taken one by one; all rows.
+    from ``upto`` to ``end``, and what of these was ``picked``; all rows, the number of sources, and
+    whether of rows that are drawn alike only some are taken.
     """
     sums = materialize(units.groupBy("_s").agg(F.first("_source").alias("source"), F.sum(F.col("_size") * F.col("_copies")).alias("source_size"), F.sum("_copies").alias("_rows")), "mix-sums")
-    total = sums.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    total, sources = sums.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count(F.lit(1))).first()
     goals = targets(sums.select("source", "source_size"))
     goals = sums.join(goals.select(F.col("source").alias("_g"), "target"), F.col("source").eqNullSafe(F.col("_g"))).drop("_g")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) + 1e-9)).otherwise(0)
@@ -120,30 +131,30 @@ def _plan(units: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     goals = materialize(goals, "mix-goals")
     some = units.where("_size > 0")
     state = goals.where("room >= 1").select("_s", "_rows", F.lit(-1.0).alias("_from"), F.col("room").alias("_room"))
-    passes, picked = [], []
+    pass_ = lambda after, upto, end, room: F.struct(after.alias("after"), upto.alias("upto"), end.alias("end"), room.alias("room")).alias("p")
+    nil = F.lit(0.0)
+    passes, picked = goals.select("_s", pass_(nil, nil, nil, nil)).limit(0), some.select(*UNIT, "_copies", F.lit(0).cast("long").alias("_picked")).limit(0)
     while True:
-        cut = materialize(_cut(some, state, total), "mix-pass")
+        cut = materialize(_cut(some, state, total, sources), "mix-pass")
         if cut.isEmpty():
             break
-        passes.append(cut.select("_s", F.struct(F.col("_from").alias("after"), F.coalesce("_lo", F.lit(float("inf"))).alias("upto"), F.col("_hi").alias("end"), F.col("_room").alias("room")).alias("p")))
+        passes = passes.unionByName(cut.select("_s", pass_(F.col("_from"), F.coalesce("_lo", F.lit(float("inf"))), F.col("_hi"), F.col("_room"))))
         open_ = cut.where("_lo is not null").select("_s", "_rows", "_from", "_room", "_lo", "_hi", (F.col("_room") - F.col("_before")).alias("_left"))
-        inside = with_facts(some, open_, "_s", "_rows", total).where((F.col("_key") > F.col("_from")) & F.col("_key").between(F.col("_lo"), F.col("_hi")) & (F.col("_size") <= F.col("_room")))
+        inside = _meet(some, open_, (F.col("_key") > F.col("_from")) & F.col("_key").between(F.col("_lo"), F.col("_hi")) & (F.col("_size") <= F.col("_room")), total, sources)
         inside = inside.select(*UNIT, "_copies", "_left")
         kinds = {f.name: f.dataType.simpleString() for f in inside.schema}
         taken = inside.groupBy("_s").applyInPandas(_fill, ", ".join(f"{c} {kinds[c]}" for c in [*UNIT, "_copies"]) + ", _picked long")
-        picked.append(materialize(taken, "mix-picked"))
-        used = picked[-1].groupBy("_s").agg(F.sum(F.col("_picked") * F.col("_size")).alias("_used"))
+        taken = materialize(taken, "mix-picked")
+        picked = picked.unionByName(taken.where("_picked > 0"))
+        used = taken.groupBy("_s").agg(F.sum(F.col("_picked") * F.col("_size")).alias("_used"))
         state = open_.join(used, "_s").select("_s", "_rows", F.col("_hi").alias("_from"), (F.col("_left") - F.col("_used")).alias("_room"))
         state = materialize(state.where("_room >= 1"), "mix-state")
-    kept = some.select(*UNIT, "_copies", F.lit(0).cast("long").alias("_picked")).limit(0)
-    for p in picked:
-        kept = kept.unionByName(p.where("_picked > 0"))
-    nothing = goals.select("_s", F.struct(F.lit(0.0).alias("after"), F.lit(0.0).alias("upto"), F.lit(0.0).alias("end"), F.lit(0.0).alias("room")).alias("p")).limit(0)
-    for p in passes:
-        nothing = nothing.unionByName(p)
-    whole = nothing.groupBy("_s").agg(F.collect_list("p").alias("passes"))  # a few passes a source
-    goals = goals.join(whole, "_s", "left").drop("room")
-    return materialize(goals, "mix-plan"), kept, total
+    each = F.struct(*[F.col(c).alias(c[1:]) for c in UNIT[1:]], F.col("_copies").alias("copies"), F.col("_picked").alias("n"))
+    # a few passes of at most PER_RANGE picks a source
+    goals = goals.join(passes.groupBy("_s").agg(F.collect_list("p").alias("passes")), "_s", "left").join(picked.groupBy("_s").agg(F.collect_list(each).alias("picked")), "_s", "left")
+    goals = materialize(goals.drop("room"), "mix-plan")
+    parted = not goals.where(F.exists("picked", lambda p: p["n"] < p["copies"])).isEmpty()
+    return goals, total, sources, parted
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, weight: Column | None) -> DataFrame:
@@ -158,21 +169,21 @@ def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, weight: C
 def _decided(rows: DataFrame, light: DataFrame) -> DataFrame:
     """``rows`` (with the columns of ``UNIT``) with their source's goals and how many ``times`` each is taken."""
     units = materialize(light.groupBy(*UNIT).agg(F.first("_source").alias("_source"), F.count(F.lit(1)).alias("_copies")), "mix-units")
-    goals, picked, total = _plan(units)
-    out = with_facts(rows, goals, "_s", "_rows", total)
-    whole = F.coalesce(F.exists("passes", lambda p: (F.col("_key") > p["after"]) & (F.col("_key") < p["upto"]) & (F.col("_size") <= p["room"])), F.lit(False))
-    asked = F.coalesce(F.exists("passes", lambda p: F.col("_key").between(p["upto"], p["end"]) & (F.col("_size") <= p["room"])), F.lit(False))
-    out = out.withColumns({"_whole": whole & (F.col("_size") > 0), "_asked": asked & (F.col("_size") > 0)}).drop("passes")
-    few = picked.select(*[F.col(c).alias(f"p{c}") for c in UNIT], "_copies", "_picked")
-    same = (F.col("_s") == F.col("p_s")) & F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_key") == F.col("p_key")) & (F.col("_size") == F.col("p_size")) & (F.col("_tx") == F.col("p_tx"))
-    # only the rows that were asked one by one meet what was picked; of rows that are drawn alike some may be
-    asked = out.where("_asked").join(few, same, "left").drop(*[f"p{c}" for c in UNIT])
-    nth = F.row_number().over(W.partitionBy(*UNIT).orderBy(F.monotonically_increasing_id()))
-    alike = asked.where("_copies > 1").withColumn("_nth", nth)
-    single = asked.where("_copies is null or _copies = 1").withColumn("_nth", F.lit(1))
-    others = out.where("not _asked").withColumns({"_copies": F.lit(None).cast("long"), "_picked": F.lit(None).cast("long"), "_nth": F.lit(None).cast("int")}).unionByName(single)
-    times = F.col("epochs") + F.when(F.col("_whole") | F.coalesce(F.col("_nth") <= F.col("_picked"), F.lit(False)), 1).otherwise(0)
-    return others.unionByName(alike).withColumn("times", F.when(F.col("_size") > 0, times).otherwise(0))
+    goals, total, sources, parted = _plan(units)
+    out = _meet(rows, goals, F.lit(True), total, sources)
+    words = F.col("_size") > 0
+    whole = F.exists("passes", lambda p: (F.col("_key") > p["after"]) & (F.col("_key") < p["upto"]) & (F.col("_size") <= p["room"]))
+    asked = F.exists("passes", lambda p: F.col("_key").between(p["upto"], p["end"]) & (F.col("_size") <= p["room"]))
+    mine = lambda p: (p["key"] == F.col("_key")) & (p["size"] == F.col("_size")) & (p["tx"] == F.col("_tx")) & p["id"].eqNullSafe(F.col("_id"))
+    pick = F.when(words & asked, F.get(F.filter("picked", mine), F.lit(0)))
+    out = out.withColumns({"_whole": F.coalesce(whole, F.lit(False)), "_pick": pick}).drop("passes", "picked")
+    more = F.col("_whole") | F.coalesce(F.col("_pick.n") == F.col("_pick.copies"), F.lit(False))
+    if parted:  # of rows that are drawn alike some are taken: only such rows are numbered
+        some = F.coalesce(F.col("_pick.n") < F.col("_pick.copies"), F.lit(False))
+        nth = F.row_number().over(W.partitionBy(*UNIT).orderBy(F.monotonically_increasing_id()))
+        out = out.where(~some).withColumn("_nth", F.lit(None).cast("int")).unionByName(out.where(some).withColumn("_nth", nth))
+        more |= F.coalesce(F.col("_nth") <= F.col("_pick.n"), F.lit(False))
+    return out.withColumn("times", F.when(words, F.col("epochs") + more.cast("int")).otherwise(0))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
