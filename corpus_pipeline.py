@@ -3,6 +3,11 @@
 toxicity (rejected documents go), exact dedup, SimHash near-dedup (one of each group stays),
 mixing sources to target weights (documents come as often as the mix takes them), packing.
 All but the last return the columns of ``documents``. A stage sees all that the one before kept.
+
+Defined cases: a null text counts as empty, scores as the classifier's intercept, and of all empty
+texts one stays; it has no words, so the mixture never takes it. A null id is not named by near-dedup
+and stays there; a null source is a source. Of repeated rows one stays. An empty table, or one that
+loses all rows on the way, gives an empty table; extra columns are carried to the last stage.
 """
 
 from __future__ import annotations
