@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .intervals import point_in_interval
@@ -142,6 +143,19 @@ def coalesced(df: DataFrame, access: list[str], addr: str, size: str, lane: str
     return at.groupBy(*access, "segment").agg(F.count(F.lit(1)).alias("n"), *masks)
 
 
+def coalesced_atomic(df: DataFrame, access: list[str], addr: str, size: str, lane: str, sectors: bool = False) -> DataFrame:
+    """Transactions of atomics: within a segment, the k-th lane of an access that meets an address goes into its k-th one.
+
+    Data of an access have one size and lie at multiples of it, so two lanes meet in the same bytes or in
+    none. With ``sectors`` every segment is 32 bytes.
+    """
+    seg = F.lit(32) if sectors else segment_size(F.col(size))
+    at = df.withColumn("segment", F.floor(F.col(addr) / seg)).withColumn("transaction", F.row_number().over(W.partitionBy(*access, addr).orderBy(lane)))
+    bit = lambda i: F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int")))
+    chunk = F.floor(F.pmod(F.col(addr), F.lit(128)) / 32)
+    return at.groupBy(*access, "segment", "transaction").agg(F.count(F.lit(1)).alias("n"), bit(chunk).alias("chunk_mask"), bit(F.col(lane)).alias("lane_mask"))
+
+
 def bank_conflicts(df: DataFrame, access: list[str], addr: str, banks: int = 32, word: int = 4, broadcast_one: bool = False) -> DataFrame:
     """Per access the most distinct words that meet in one bank, summed by ``access[:-1]``.
 

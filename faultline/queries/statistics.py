@@ -120,6 +120,18 @@ def coalesce_segments(read):
     return S.coalesced(_addresses(read), ["warp", "sub"], "addr", "size")
 
 
+@query("""WITH a AS (SELECT l_orderkey AS warp, l_partkey % 24 * 8 AS addr, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS lane FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)),
+k AS (SELECT *, row_number() OVER (PARTITION BY warp, addr ORDER BY lane) AS transaction FROM a)
+SELECT warp, addr // 128 AS segment, CAST(transaction AS INT) AS transaction, count(*) AS n, CAST(bit_or(1::BIGINT << CAST(addr % 128 // 32 AS INT)) AS BIGINT) AS chunk_mask, CAST(bit_or(1::BIGINT << CAST(lane AS INT)) AS BIGINT) AS lane_mask FROM k GROUP BY 1, 2, 3""")
+def coalesce_atomics(read):
+    from pyspark.sql import Window as W
+
+    rows = read("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
+    lane = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    rows = rows.select(F.col("l_orderkey").alias("warp"), (F.col("l_partkey") % 24 * 8).alias("addr"), F.lit(8).alias("size"), lane.alias("lane"))
+    return S.coalesced_atomic(rows, ["warp"], "addr", "size", "lane")
+
+
 @query(f"""WITH {ADDRESS_SQL}, b AS (SELECT warp, sub, (addr // 4) % 32 AS bank, count(DISTINCT addr // 4) AS n FROM a GROUP BY 1, 2, 3), m AS (SELECT warp, sub, max(n) AS most FROM b GROUP BY 1, 2)
 SELECT warp, CAST(sum(most) AS BIGINT) AS cycles, count(*) AS accesses FROM m GROUP BY 1""")
 def bank_conflicts(read):

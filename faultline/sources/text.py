@@ -286,9 +286,14 @@ def register_names(df: DataFrame, text: str = "value", pattern: str = r"%([A-Za-
 
 
 def timings(log: DataFrame) -> DataFrame:
-    """(label, seconds) summed in first-seen order from tab-separated rows of two or three fields; others are skipped."""
-    parts = F.split("value", "\t")
-    rows = log.where(F.size(parts).isin(2, 3)).select("line", F.element_at(parts, -2).alias("label"), F.element_at(parts, -1).try_cast("double").alias("seconds")).where("seconds is not null")
+    """(label, seconds) summed in first-seen order from tab-separated rows: label and seconds, or a time stamp before
+    them and whatever after; heads (``timestamp_iso``, ``label``), rows without a label and without a number are skipped."""
+    parts = F.split(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")), "\t")
+    long = F.size(parts) >= 3
+    label = F.trim(F.when(long, F.get(parts, F.lit(1))).otherwise(F.get(parts, F.lit(0))))
+    seconds = F.trim(F.when(long, F.get(parts, F.lit(2))).otherwise(F.get(parts, F.lit(1)))).try_cast("double")
+    head = F.when(long, F.get(parts, F.lit(0)) == "timestamp_iso").otherwise(F.lower(F.get(parts, F.lit(0))) == "label")
+    rows = log.where(F.size(parts) >= 2).where(~head).select("line", label.alias("label"), seconds.alias("seconds")).where("seconds is not null and label <> ''")
     return rows.groupBy("label").agg(F.sum("seconds").alias("seconds"), F.min("line").alias("first")).orderBy("first")
 
 

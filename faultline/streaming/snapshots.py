@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,6 +58,54 @@ def occupancy(df: DataFrame, ts: str, width: str, thread: str, pc: str) -> DataF
     return moves.withColumn("threads", F.sum("d").over(W.partitionBy("pc").orderBy("start").rowsBetween(W.unboundedPreceding, W.currentRow))).drop("d")
 
 
+def occupancy_stream(df: DataFrame, logger: str, at: str, thread: str, pc: str, width: int) -> DataFrame:
+    """Stream: (logger, interval, pc, threads) of every interval of ``width`` that has ended, as ``occupancy``.
+
+    ``at`` is an integer time. The state of a logger is the open interval and each thread's current
+    pc, with which the next interval is seeded; it grows with the threads of one logger. An
+    interval ends when a later row of its logger comes; intervals without rows are left out,
+    their counts being those of the one before. Rows of one trigger may come in any order.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, held = state.get if state.exists else (None, "{}")
+        seat, out = json.loads(held), []
+        for t, who, where in sorted(x for f in frames for x in zip(f[at].tolist(), f[thread].tolist(), f[pc].tolist(), strict=True)):
+            if now is not None and t // width > now:
+                out += [(k[0], now, p, n) for p, n in sorted(Counter(seat.values()).items())]
+            now = t // width if now is None else max(now, t // width)
+            seat[str(who)] = where
+        state.update((now, json.dumps(seat)))
+        yield pd.DataFrame(out, columns=[logger, "interval", pc, "threads"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    fields = f"{logger} {kinds[logger]}, interval long, {pc} {kinds[pc]}, threads long"
+    return df.select(logger, at, thread, pc).groupBy(logger).applyInPandasWithState(step, fields, "interval long, seat string", "append", GroupStateTimeout.NoTimeout)
+
+
+def stitched_stream(df: DataFrame, key: str, at: str, x: str) -> DataFrame:
+    """Stream: (key, at, x, stitched): x, which starts anew with every kernel, continued over kernels.
+
+    The state of a key is the last x, the greatest one of the open segment and what lies before it.
+    Rows of a trigger are taken in the order of ``at``; triggers must follow it.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, top, before = state.get if state.exists else (None, 0, 0)
+        out = []
+        for t, v in sorted(r for f in frames for r in zip(f[at].tolist(), f[x].tolist(), strict=True)):
+            if last is not None and v <= last:
+                before, top = before + top, 0
+            last, top = v, max(top, v)
+            out.append((k[0], t, v, v + before))
+        state.update((last, top, before))
+        yield pd.DataFrame(out, columns=[key, at, x, "stitched"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    fields = f"{key} {kinds[key]}, {at} {kinds[at]}, {x} long, stitched long"
+    return df.select(key, at, x).groupBy(key).applyInPandasWithState(step, fields, "last long, top long, before long", "append", GroupStateTimeout.NoTimeout)
+
+
 def append_intervals(df: DataFrame, path: str, checkpoint: str, every: str = "40 seconds"):
     """Append finished intervals to Parquet; restarts go on from the checkpoint."""
     return df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -300,6 +300,35 @@ def test_streams(spark, tmp_path):
     assert best == {"a": 30, "b": 30}
 
 
+def test_stateful_streams(spark, tmp_path):
+    """Occupancy and stitching over triggers agree with a walk over all rows."""
+    rng = random.Random(18)
+    rows = [(t, rng.randrange(2), rng.randrange(4), f"pc{rng.randrange(3)}", x) for t, x in zip(range(90), [i % 13 for i in range(90)], strict=True)]
+    for k in range(3):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], "t long, core long, thread long, pc string, x long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = snapshots.read_events(spark, f"{tmp_path}/in", "t long, core long, thread long, pc string, x long", 1)
+
+    def collected(df, name):
+        q = df.writeStream.outputMode("append").format("memory").queryName(name).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.table(name).collect()
+
+    want = set()
+    for core in (0, 1):
+        seat, mine = {}, [r for r in rows if r[1] == core]
+        for r, after in zip(mine, [*mine[1:], None], strict=True):
+            seat[r[2]] = r[3]
+            if after and after[0] // 10 > r[0] // 10:
+                want |= {(core, r[0] // 10, p, n) for p, n in Counter(seat.values()).items()}
+    got = [tuple(r) for r in collected(snapshots.occupancy_stream(stream, "core", "t", "thread", "pc", 10), "seats")]
+    assert set(got) == want and len(got) == len(want)
+    one = stream.withColumn("k", F.lit("a"))
+    got = sorted((r.t, r.stitched) for r in collected(snapshots.stitched_stream(one, "k", "t", "x"), "stitches"))
+    batch = series.stitched(spark.createDataFrame([(t, x) for t, *_, x in rows], "t long, x long").withColumn("k", F.lit("a")), ["k"], ["t"], "x")
+    assert got == sorted((r.t, r.stitched) for r in batch.collect())
+
+
 def test_results_do_not_depend_on_input_order(spark):
     from faultline import queries
 

@@ -156,7 +156,7 @@ def test_profiles_source_lines_timings(spark, tmp_path):
     (tmp_path / "s.ptx").write_text("top\n.loc 1 20\nadd\n.loc 1 21\nsub")
     got = [(r.line, r.source_line) for r in T.source_lines(T.lines(spark, f"{tmp_path}/s.ptx")).orderBy("line").collect()]
     assert got == [(0, None), (1, None), (2, 20), (3, 20), (4, 21)]
-    (tmp_path / "t.tsv").write_text("b\t1.5\nx\ta\t2\nb\t0.5\nskip\na\tnope\n")
+    (tmp_path / "t.tsv").write_text("timestamp_iso\tlabel\tseconds\nLabel\t7\nb\t1.5\nx\ta\t2\tmore\t9\nb\t0.5\nskip\na\tnope\n \n")
     assert [(r.label, r.seconds) for r in T.timings(T.lines(spark, f"{tmp_path}/t.tsv")).collect()] == [("b", 2.0), ("a", 2.0)]
     (tmp_path / "k.log").write_text("kernel_name = f\nShader 3 bind\ngpu_sim_cycle = 10\nShader 1 bind\ngpu_sim_cycle = 5\nblockDim = (32,1,1)\n")
     r = T.kernel_metrics(T.lines(spark, f"{tmp_path}/k.log")).first()
