@@ -270,7 +270,7 @@ def gradients(p: dict, x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior:
 class Trainer:
     """Adam over batches of blocks, in the order in which they come; of the embeddings, only rows that a batch has move."""
 
-    def __init__(self, p: dict, prior: np.ndarray, rate: float = 4e-3, step: int = 0) -> None:
+    def __init__(self, p: dict, prior: np.ndarray, rate: float = 2e-2, step: int = 0) -> None:
         self.p = {k: v.copy() for k, v in p.items()}
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
         self.prior, self.rate, self.step, self.since, self.loss, self.tokens = prior, rate, step, 0, 0.0, 0
@@ -282,11 +282,11 @@ class Trainer:
             loss, g, rows = gradients(self.p, inputs[s - 1 : s + size], classes[s : s + size], w, self.prior)
             self.step, self.since, n = self.step + 1, self.since + 1, int(w.sum())
             self.loss, self.tokens = self.loss + loss * n, self.tokens + n
-            rate = np.float32(self.rate / (1 + self.step / 600) * np.sqrt(1 - 0.999**self.since) / (1 - 0.9**self.since))
+            rate = np.float32(self.rate / (1 + self.step / 300) * np.sqrt(1 - 0.99**self.since) / (1 - 0.9**self.since))
             for k, x in g.items():
                 at = rows if k == "table" else slice(None)
                 m, v = self.m[k][at], self.v[k][at]
                 m += np.float32(0.1) * (x - m)
-                v += np.float32(0.001) * (x * x - v)
+                v += np.float32(0.01) * (x * x - v)
                 self.m[k][at], self.v[k][at] = m, v
                 self.p[k][at] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
