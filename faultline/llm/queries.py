@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, lm_score, media, mixing, packing, sharding, simhash, substring, toxicity
+from . import centroids, exact_dedup, langid, lm_score, media, mixing, packing, repair, sharding, simhash, substring, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,8 +53,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_exact_dedup, op4_toxicity, op5_mix_sources, op6_language_id, op7_shard, op8_media, op9_simhash, op10_packing)
+    f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_exact_dedup, op4_toxicity, op5_mix_sources, op6_language_id, op7_shard, op8_media, op9_simhash, op10_packing, op11_conversation_repair, op13_centroids)
 }
 
 def _crc_sql(hexed: str) -> str:
@@ -179,6 +187,51 @@ def _media_sql() -> str:
     FROM f JOIN t USING (doc_id) JOIN j USING (doc_id)"""
 
 
+def _repair_sql() -> str:
+    """The edit lattice as a fold over each conversation's rows: per grammar state the least cost (six digits) and audit."""
+    add = lambda k, cost, letter: f"CASE WHEN {k} = 'Z' THEN 'Z' ELSE printf('%06d', CAST(substr({k}, 1, 6) AS BIGINT) + {cost}) || substr({k}, 7) || '{letter}' END"
+    row = lambda k, cost, letter: add(k, f"{cost} + CASE WHEN c[1] = upper(c[1]) THEN 5 ELSE 0 END", letter)
+    kept = lambda k, role: f"CASE WHEN lower(c[1]) = '{role}' THEN {row(k, 0, 'K')} ELSE 'Z' END"
+    new = lambda k: f"CASE WHEN c[1] = '-' THEN 'Z' ELSE {row(k, 1, 'R')} END"
+    gone = [add(f"s[{q}]", 2, "D") for q in (1, 2, 3, 4)]
+    into_u = ", ".join(f"{kept(f's[{q}]', 'u')}, {new(f's[{q}]')}" for q in (1, 2, 4))
+    moved = f"[{gone[0]}, least({gone[1]}, {kept('s[1]', 's')}), least({gone[2]}, {into_u}), least({gone[3]}, {kept('s[3]', 'a')}, {new('s[3]')})]"
+    to_u = f"least(n[3], {', '.join(add(f'n[{q}]', 5, 'I') for q in (1, 2, 4))})"
+    closed = f"list_transform(list_transform([{moved}], lambda n: [n[1], n[2], {to_u}, n[4]]), lambda n: [n[1], n[2], n[3], least(n[4], {add('n[3]', 5, 'I')})])[1]"
+    crc = _crc_sql("hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')))")
+    return rf"""WITH h AS (SELECT coalesce('=' || conv_id, '-') AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS hit FROM conversations),
+    d AS (SELECT g, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) FROM h WHERE hit <> 0),
+    p AS (SELECT g, turn, role, text, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS ini, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail,
+        row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
+    f AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, ini || lead(ini) OVER (PARTITION BY g ORDER BY pos) AS pair FROM p),
+    c AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, list([CASE WHEN fault IN ('blank', 'duplicate') THEN '-' WHEN fault = 'truncated' THEN upper(ini) ELSE ini END] ORDER BY pos) AS codes FROM f GROUP BY 1),
+    s AS (SELECT *, list_reduce(list_prepend(['000000', 'Z', '000005I', '000010II'], codes), lambda s, c: {closed}) AS s FROM c),
+    b AS (SELECT *, CAST(substr(least(s[1], s[4]), 1, 6) AS BIGINT) AS cost, substr(least(s[1], s[4]), 7) AS audit FROM s),
+    e AS (SELECT g, i, audit[i] AS letter, length(replace(audit[1:i], 'I', '')) AS pos FROM (SELECT g, audit, unnest(range(1, len(audit) + 1)) AS i FROM b) WHERE audit[i] <> 'D'),
+    k AS (SELECT e.*, f.role, f.text, f.ini, row_number() OVER (PARTITION BY e.g ORDER BY i) - 1 AS k FROM e LEFT JOIN f ON f.g = e.g AND f.pos = e.pos),
+    l AS (SELECT *, max(CASE WHEN k = 0 AND letter = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY g) AS led FROM k),
+    r AS (SELECT g, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t FROM l GROUP BY 1)
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+        sha256(coalesce(t, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN b ON b.g = coalesce('=' || o.conv_id, '-') LEFT JOIN r ON r.g = b.g"""
+
+
+def _centroids_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Every round of assigning and moving, one after the other."""
+    gap = "list_sum(list_transform(range(1, 65), lambda j: (v.e[j] - c.e[j]) * (v.e[j] - c.e[j])))"
+    parts = [f"""v AS (SELECT row_number() OVER () AS i, vec_id, embedding AS raw, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+        FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), raw) - 1 AS INT) AS k, e FROM v QUALIFY k < {clusters})"""]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS (SELECT i, min({{'d': CAST({gap} AS BIGINT), 'k': c.k}}) AS b FROM v, c{r} c GROUP BY i)")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT b.k AS k, unnest(range(1, 65)) AS j, unnest(e) AS x FROM a{r} JOIN v USING (i)) GROUP BY 1, 2),
+    c{r + 1} AS (SELECT c{r}.k, coalesce(any_value(m.e), any_value(c{r}.e)) AS e FROM c{r} LEFT JOIN (SELECT k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY j) AS e FROM s{r} GROUP BY k) m USING (k) GROUP BY c{r}.k)""")
+    return "WITH " + ",\n    ".join(parts) + f"""
+    SELECT vec_id, b.k AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.k) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN v USING (i) JOIN c{rounds} c ON c.k = b.k"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": r"""
         WITH d AS (
@@ -261,4 +314,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_shard": _sharding_sql(),
     "op8_media": _media_sql(),
     "op9_simhash": _simhash_sql(),
+    "op11_conversation_repair": _repair_sql(),
+    "op13_centroids": _centroids_sql(),
 }
