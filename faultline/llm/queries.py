@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, exact_dedup, langid, lm_score, media, mixing, packing, repair, sharding, simhash, substring, toxicity
+from . import centroids, exact_dedup, langid, lm_score, media, mixing, packing, repair, sharding, simhash, substring, token_files, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +57,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_digest(_docs(spark, sf_dir), public_tokenizers.path(tokenizer))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_exact_dedup, op4_toxicity, op5_mix_sources, op6_language_id, op7_shard, op8_media, op9_simhash, op10_packing, op11_conversation_repair, op13_centroids)
+    f.__name__: f for f in (op1_substring_dedup, op2_lm_score, op3_exact_dedup, op4_toxicity, op5_mix_sources, op6_language_id, op7_shard, op8_media, op9_simhash, op10_packing, op11_conversation_repair, op12_token_ids, op13_centroids)
 }
 
 def _crc_sql(hexed: str) -> str:
