@@ -54,9 +54,10 @@ def runs(sizes: list[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def words(texts: list[bytes], letters_only: bool = False) -> Words:
-    """With ``letters_only``, ASCII characters other than letters part words too."""
-    raw = _LOWER[np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)]
+def words(texts: list[bytes], letters_only: bool = False, lower: bool = True) -> Words:
+    """With ``letters_only``, ASCII characters other than letters part words too; without ``lower``, A-Z stay."""
+    raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    raw = _LOWER[raw] if lower else raw
     space = (_NO_LETTER if letters_only else _SPACE)[raw]
     keep = ~space
     keep[1:] |= ~space[:-1]  # one space after each word stays

@@ -1,7 +1,7 @@
 """Token-id files: frequency ranks in byte-aligned variable-length coding with separate control bytes.
 
 1. Documents are dealt into ranges of ids, sorted, and encoded by a public tokenizer (``WordIds``:
-   each distinct word once as long as it is kept; white space never joins what stands beside it, so
+   each distinct piece once as long as it is kept; white space never joins what stands beside it, so
    words encode as they do in their text). Ids go into an intermediate table in order.
 2. All ids are counted; the driver gets one count per id, bounded by the vocabulary, and ranks
    them: most frequent first, smaller id first among equals.
@@ -38,61 +38,139 @@ from pyspark.sql import functions as F
 
 from ..tables import shared_folder
 from .common import materialize
+from .textnum import runs, texts_of, words, xxh64
 
 MAGIC = b"FLTOKEN1"
 BLOCK = 4_000_000
 END = 1
 #: Sizes of the four ranks of each control byte.
 SIZES = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
-#: White space of str.split() that is none in the tokenizers' patterns.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: ASCII letters and digits; marks that, behind one of them, stand for a piece of their own.
+_ALNUM, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,;:!?")] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buffer, start, end, first) of pieces: words of texts, a mark behind a Latin letter or digit apart; text i has the pieces first[i]:first[i + 1].
+
+    The tokenizer's patterns part such a mark, too. Words of ASCII alone are lower-cased, as the tokenizer does
+    with all; others are left to it, and so are words with <, which may name special tokens.
+    """
+    w = words(texts, lower=False)
+    if not len(w.start):
+        return w.buf, w.start, w.end, w.first
+    size = w.end - w.start
+    odd = np.concatenate([[0], np.cumsum((w.buf >= 128) | (w.buf == ord("<")))])
+    odd = odd[w.end] > odd[w.start]
+    buf = np.where(np.repeat(odd, size + 1), w.buf, _LOWER[w.buf])
+    last, prev, third = buf[w.end - 1], buf[np.maximum(w.end - 2, 0)], buf[np.maximum(w.end - 3, 0)]
+    letter = (third == 0xC3) & (prev >= 0x80) & (prev != 0x97) & (prev != 0xB7)  # two bytes, U+00C0 to U+00FF without the signs of times and division
+    cut = _MARK[last] & ((size > 1) & _ALNUM[prev] | (size > 2) & letter)
+    upto = np.concatenate([[0], np.cumsum(1 + cut)])
+    start, end = np.repeat(w.start, 1 + cut), np.repeat(w.end, 1 + cut)
+    end[upto[:-1][cut]] -= 1
+    start[upto[:-1][cut] + 1] = w.end[cut] - 1
+    return buf, start, end, upto[w.first]
+
+
+def _plain(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a piece has letters of ASCII or of U+00C0 to U+00FF alone: to the tokenizer's patterns it is one piece, too."""
+    follows = np.append(buf[1:], np.uint8(0))
+    lead = (buf == 0xC3) & (follows >= 0x80) & (follows != 0x97) & (follows != 0xB7)
+    good = _ALNUM[buf] & (buf > 57) | lead
+    good[1:] |= lead[:-1]
+    upto = np.concatenate([[0], np.cumsum(good)])
+    return upto[end] - upto[start] == end - start
+
+
+def _ends(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first and the last eight bytes of each piece and its size, in one number; up to eight bytes it is exact."""
+    padded = np.concatenate([np.zeros(8, np.uint8), buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
+    size = np.minimum(end - start, 8).astype(np.uint64)
+    keep = np.where(size == 8, np.uint64(2**64 - 1), (np.uint64(1) << (size * np.uint64(8) % np.uint64(64))) - np.uint64(1))
+    with np.errstate(over="ignore"):
+        return (eight[start + 8] & keep) + (eight[end] >> (np.uint64(64) - np.maximum(size, 1) * np.uint64(8))) * np.uint64(0x9E3779B185EBCA87) * (end - start > 8) + (end - start).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordIds:
-    """Ids of texts through ids of their words."""
+    """Ids of texts through ids of their pieces, each kept piece encoded once.
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    Pieces are known by XXH64; a piece that shares it with another one is told by its ends and size, and encoded
+    by itself.
+    """
+
+    def __init__(self, path: str, most: int = 600_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known, self.at, self.ends = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
         self.first, self.flat = np.zeros(1, np.int64), np.empty(0, self.width)
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, together: int = 100) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, how many each piece has); plain pieces are encoded many in one text, where an id that ends a word ends a piece."""
+        data, plain = buf.tobytes(), _plain(buf, start, end)
+        order = np.argsort(~plain, kind="stable")
+        made = [data[a:b] for a, b in zip(start[order].tolist(), end[order].tolist(), strict=True)]
+        cut = int(plain.sum())
+        ids = self._ids([b" ".join(made[i : min(i + together, cut)]) for i in range(0, cut, together)])[0]
+        size = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+        if len(size) != cut or size.sum() != len(ids):
+            ids, size = self._ids(made[:cut])
+        more, sizes = self._ids(made[cut:])
+        ids, size = np.concatenate([ids, more]), np.concatenate([size, sizes])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        first = (np.cumsum(size) - size)[back]
+        size = size[back]
+        return ids[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+    def _ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        return np.concatenate([np.array(f, self.width) for f in found]) if found else np.empty(0, self.width), size
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, how many each text has)."""
-        of = [[] if not t else _WORD.findall(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        flat = [w for words in of for w in words]
-        distinct = set(flat)
-        new = list(distinct - self.place.keys())
-        if 2 * len(new) > len(distinct) and len(self.place) > self.most:  # what is kept is no longer of use
+        buf, start, end, first = _pieces(texts)
+        if not len(start):
+            return np.empty(0, self.width), np.zeros(len(texts), np.int64)
+        u, where, back = np.unique(xxh64(buf, start, end), return_index=True, return_inverse=True)
+        ends = _ends(buf, start, end)
+        new = ~np.isin(u, self.known, assume_unique=True)
+        if 2 * new.sum() > len(u) and len(self.known) > self.most:  # what is kept is no longer of use
             self._clear()
-            new = list(distinct)
-        place, first, ids = self.place, self.first, self.flat
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            first = np.concatenate([first, first[-1] + np.cumsum(size)])
-            ids = np.concatenate([ids, np.fromiter((i for f in found for i in f), self.width, int(size.sum()))])
-            place = dict(zip(new, range(len(self.first) - 1, len(first) - 1), strict=True))
-            if len(self.place) < self.most:
-                self.place.update(place)
-                self.first, self.flat = first, ids
-                place = self.place
-            else:  # full: these words are known for this call only
-                known = self.place
-                place = {w: known[w] if w in known else place[w] for w in distinct}
-        at = np.fromiter(map(place.__getitem__, flat), np.int64, len(flat))
-        n = first[at + 1] - first[at]
-        out = ids[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            new[:] = True
+        known, at, told, edges, flat = self.known, self.at, self.ends, self.first, self.flat
+        if new.any():
+            ids, size = self._encode(buf, start[where[new]], end[where[new]])
+            place = np.searchsorted(known, u[new])
+            known, at = np.insert(known, place, u[new]), np.insert(at, place, len(edges) - 1 + np.arange(len(size)))
+            told = np.concatenate([told, ends[where[new]]])
+            edges, flat = np.concatenate([edges, edges[-1] + np.cumsum(size)]), np.concatenate([flat, ids])
+            if len(self.known) < self.most:  # else these pieces are known for this call only
+                self.known, self.at, self.ends, self.first, self.flat = known, at, told, edges, flat
+        which = at[np.searchsorted(known, u)][back]
+        other = np.flatnonzero(told[which] != ends)
+        if len(other):
+            ids, size = self._encode(buf, start[other], end[other])
+            which[other] = len(edges) - 1 + np.arange(len(size))
+            edges, flat = np.concatenate([edges, edges[-1] + np.cumsum(size)]), np.concatenate([flat, ids])
+        n = edges[which + 1] - edges[which]
+        out = flat[np.repeat(edges[which] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         upto = np.concatenate([[0], np.cumsum(n)])
-        edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, of), np.int64, len(of)))])
-        return out, upto[edges[1:]] - upto[edges[:-1]]
+        return out, upto[first[1:]] - upto[first[:-1]]
 
 
 def packed(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -171,9 +249,9 @@ def encoded(df: DataFrame, tokenizer: str, end: int, id_col: str, text_col: str)
         coder = _kept.get(tokenizer) or _kept.setdefault(tokenizer, WordIds(tokenizer))
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            size = pa.compute.utf8_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
-            for start, stop in _runs(size, 2_000_000):
-                ids, n = coder(batch.column("text").slice(start, stop - start).to_pylist())
+            texts = texts_of(batch.column("text"))
+            for start, stop in runs(list(map(len, texts))):
+                ids, n = coder(texts[start:stop])
                 parts = np.split(ids, np.cumsum(n)[:-1])
                 last = np.array([end], coder.width).tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -187,18 +265,6 @@ def encoded(df: DataFrame, tokenizer: str, end: int, id_col: str, text_col: str)
     return rows.repartitionByRange(*order).sortWithinPartitions(*order[:2]).mapInArrow(run, "part int, at long, doc_id long, n long, ids binary")
 
 
-def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of about ``most`` in all; a larger row stands alone."""
-    start = total = 0
-    for i, s in enumerate(sizes.tolist()):
-        if total and total + s > most:
-            yield start, i
-            start, total = i, 0
-        total += s
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def ranked_ids(rows: DataFrame, width: np.dtype, vocabulary: int) -> np.ndarray:
     """All ids that occur, most frequent first."""
 

@@ -53,14 +53,14 @@ def test_blocks_round_trip_and_refuse_damage():
 
 def test_words_encode_as_in_their_text():
     rng = random.Random(1)
-    parts = ["The", "don't", "x'd", "(a)", "1,234", "É", "Å", "İstanbul", "漢字かな", "<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|>", "😀👍🏽", "́", "...", "'s", "x" * 300]
+    parts = ["The", "the.", "THE,", "é,", "×,", "÷.", "a-.", "don't.", "J\u030c", "j\u030c!", "I\u0307.", "A\u030a,", "x>.", "1.", "ß?", "..", "ÿ:", "don't", "x'd", "(a)", "1,234", "É", "Å", "İstanbul", "漢字かな", "<|endoftext|>", "a<|startoftext|>b", "<|ENDOFTEXT|>", "😀👍🏽", "́", "...", "'s", "x" * 300]
     seps = [" ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "​", "﻿", "  "]
     texts = ["".join(rng.choice(parts) + rng.choice(seps) for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", " ", "\x1c"]
     for most in (400_000, 50, 0):
         coder = token_files.WordIds(PATH, most)
         got = []
         for i in range(0, len(texts), 19):
-            ids, n = coder(texts[i : i + 19])
+            ids, n = coder([(x or "").encode() for x in texts[i : i + 19]])
             got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
         assert [[*g, token_files.END] for g in got] == whole(texts)
 
@@ -83,6 +83,15 @@ def test_files_round_trip(spark, odd_rows, most):
     assert manifest.count() > 20 if most == 50 else manifest.count() <= 5
 
 
+def test_pieces_that_share_a_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(token_files, "xxh64", lambda buf, start, end: (end - start).astype(np.uint64) // np.uint64(3))
+    texts = ["one two six ten, a bb ccc dddd", "abcdefghijklmnop abcdefghijklmnoq abcdefgh abcdefgi, ten six", "x" * 40 + " " + "y" * 40, "ten"]
+    coder = token_files.WordIds(PATH)
+    for _ in range(2):
+        ids, n = coder([t.encode() for t in texts])
+        assert [[*x.tolist(), token_files.END] for x in np.split(ids, np.cumsum(n)[:-1])] == whole(texts)
+
+
 def test_ranks_go_by_frequency(spark):
     df = spark.createDataFrame([(1, "b b b a a c"), (2, "b a")], "doc_id long, text string")
     _, ranks = token_files.write(df, PATH)
