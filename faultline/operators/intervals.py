@@ -6,52 +6,118 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import materialize
+from .series import ranged
+
+#: Cells up to which an interval is dealt cell by cell; a longer one goes to its dyadic nodes.
+CELLS = 4
+
+
+def cover(lo: Column, hi: Column, grain: int) -> Column:
+    """Dyadic nodes (level, node) that make up the cells of 2^grain which [lo, hi) touches; a null end is open.
+
+    Node i of level k holds the cells [i 2^k, (i + 1) 2^k). A level gives at most two nodes: the first
+    whole one if its number is odd, the last one if it is even, for these have a parent that is not whole.
+    Up to ``CELLS`` cells come as nodes of level 0. So an interval of n cells has at most 2 log2 n + 1 nodes, an
+    empty one none.
+    """
+    shift = lambda x, k: F.call_function("shiftright", x, F.lit(k) if isinstance(k, int) else k)
+    lo, hi = lo.cast("long"), hi.cast("long")
+    first, last = shift(lo, grain), F.when(hi.isNotNull(), shift(hi - 1, grain))
+    top, open_ = 63 - grain, hi.isNull()
+
+    def of_level(k: Column) -> Column:
+        left, right = -shift(-first, k), shift(last + 1, k)  # whole nodes: [left, right)
+        some = F.when(open_, (k < top) & (left <= shift(F.lit((1 << top) - 1).cast("long"), k))).otherwise(left < right)
+        end = F.when(open_, F.when((k == top) & (left <= 0), F.lit(0).cast("long"))).when(some & (right % 2 != 0), right - 1)
+        return F.array(F.when(some & (left % 2 != 0), F.struct(k.alias("level"), left.alias("node"))), F.when(end.isNotNull(), F.struct(k.alias("level"), end.alias("node"))))
+
+    nodes = F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), of_level)), lambda n: n.isNotNull())
+    cells = F.transform(F.sequence(first, F.least(F.greatest(first, last), first + CELLS - 1)), lambda c: F.struct(F.lit(0).alias("level"), c.alias("node")))
+    return F.when(hi <= lo, F.slice(cells, 1, 0)).when(last - first < CELLS, cells).otherwise(nodes)
+
+
+def _hits(points: DataFrame, at: str, right: DataFrame, lo: str, hi: str, same: list[Column], held: Column, grain: int, how: str) -> DataFrame:
+    """``points`` joined with the rows of ``right`` whose [lo, hi) holds ``at``: both meet in dyadic nodes.
+
+    A point asks one node of each level that occurs (at most 64, usually few). With several levels the
+    points are written once with a number, so that those without a match come out once.
+    """
+    dealt = right.withColumn("_node", F.explode(cover(F.col(lo), F.col(hi), grain))).select(*right.columns, F.col("_node.level").alias("_level"), F.col("_node.node").alias("_node"))
+    levels = sorted(r[0] for r in dealt.select("_level").distinct().collect()) or [0]
+    named = points if len(levels) == 1 else materialize(points.withColumn("_uid", F.monotonically_increasing_id()), "interval-points")
+    asked = F.array(*[F.struct(F.lit(k).alias("k"), F.call_function("shiftright", F.col(at).cast("long"), F.lit(grain + k)).alias("n")) for k in levels])
+    asking = named.withColumn("_asked", F.explode(asked)) if len(levels) > 1 else named.withColumn("_asked", asked[0])
+    cond = (F.col("_asked.k") == F.col("_level")) & (F.col("_asked.n") == F.col("_node"))
+    for s in same:
+        cond &= s
+    if len(levels) == 1:
+        return asking.join(dealt, cond & held, how).drop("_asked", "_level", "_node")
+    met = asking.join(dealt, cond & held, "inner")
+    if how == "left_semi":
+        return named.join(met.select("_uid").distinct(), "_uid", "left_semi").drop("_uid")
+    return named.join(met.select("_uid", *right.columns), "_uid", how).drop("_uid")
+
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, how: str = "left", bucket: int | None = None) -> DataFrame:
-    """Points with the interval of the same key that holds them; an open end is null.
+    """Points with the interval of the same key that holds them; an open end is null. how: left or inner.
 
-    With ``bucket``, intervals are spread over the buckets of that width that they touch, and
-    points meet them by (key, bucket): a key with very many intervals is then split.
+    With ``bucket``, rows of a key meet in cells of about that width, long and open intervals in
+    dyadic nodes above them: a key with very many intervals is then split.
     """
     right = intervals.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in intervals.columns if c not in keys])
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    if bucket:
-        last = F.coalesce(F.col(end) - 1, F.col(start))
-        right = right.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.greatest(F.floor(F.col(start) / bucket), F.floor(last / bucket)))))
-        points = points.withColumn("_at", F.floor(F.col(at) / bucket))
-        same.append(F.col("_at") == F.col("_bucket"))
     held = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
+    if bucket:
+        return _hits(points, at, right, start, end, same, held, bucket.bit_length() - 1, how).drop(*[f"_{k}" for k in keys])
     cond = held
     for s in same:
         cond = s & cond
-    return points.join(right, cond, how).drop(*[f"_{k}" for k in keys], "_bucket", "_at")
+    return points.join(right, cond, how).drop(*[f"_{k}" for k in keys])
+
+
+def _carried(both: DataFrame, keys: list[str], at: str, closing: Column, later: bool, ranges: int) -> DataFrame:
+    """``both`` cut into ranges of ``at``, with ``_carry``: the last ``closing`` (an aggregate of a range) of the ranges before, or the first one of those after."""
+    dealt = ranged(materialize(both, "as-of"), at, ranges)  # read three times: for edges, closing values and rows
+    order = F.desc("_of_part") if later else F.asc("_of_part")
+    before = F.last("_closing", ignorenulls=True).over(W.partitionBy(*[f"_of_{k}" for k in keys]).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    ends = dealt.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_part").alias("_of_part")).agg(closing.alias("_closing")).withColumn("_carry", before).drop("_closing")
+    same = F.col("_part") == F.col("_of_part")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return dealt.join(ends, same).drop("_of_part", *[f"_of_{k}" for k in keys])
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], value: str, strict: bool = False) -> DataFrame:
-    """Each left row with the latest ``value`` of its key: one shuffle, one sort, no join.
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], value: str, strict: bool = False, ranges: int = 256) -> DataFrame:
+    """Each left row with the latest ``value`` of its key; no side is joined with the other.
 
-    Inclusive, a right row at the same order counts; strict, only earlier ones do. Both sides
-    have the columns ``keys`` and ``order``; left's other columns are kept.
+    Inclusive, a right row at the same order counts; strict, only earlier ones do. Of right rows at
+    one order the greatest value counts. Both sides have the columns ``keys`` and ``order``, whose first
+    is a number or a time; left's other columns are kept. A key is cut into up to ``ranges`` ranges of it;
+    each range hands its last value to the next, so a task sorts a range and never a whole key.
     """
     more = [c for c in left.columns if c not in keys + order]
-    rows = left.select(*keys, *order, F.struct(*more).alias("_row") if more else F.lit(None).alias("_row"), F.lit(1).alias("_left"), F.lit(None).alias("_value"))
+    rows = left.select(*keys, *order, F.struct(*more).alias("_row") if more else F.lit(None).cast("int").alias("_row"), F.lit(1).alias("_left"), F.lit(None).alias("_value"))
     facts = right.select(*keys, *order, F.lit(None).alias("_row"), F.lit(0).alias("_left"), F.struct(value).alias("_value"))
-    both = rows.unionByName(facts)
+    fact = F.col("_left") == 0
+    both = _carried(rows.unionByName(facts), keys, order[0], F.max_by(F.when(fact, F.col("_value")), F.when(fact, F.struct(*order, "_value"))), False, ranges)
     # at equal order, facts come first where they count and last where they do not
     tie = F.desc("_left") if strict else F.asc("_left")
-    latest = F.last("_value", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order, tie).rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = both.withColumn("_latest", latest).where("_left = 1")
+    latest = F.last("_value", ignorenulls=True).over(W.partitionBy(*keys, "_part").orderBy(*order, tie, "_value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    out = both.withColumn("_latest", F.coalesce(latest, "_carry")).where("_left = 1")
     return out.select(*keys, *order, *[F.col(f"_row.{c}") for c in more], F.col(f"_latest.{value}").alias(value))
 
 
-def first_after(points: DataFrame, sites: DataFrame, keys: list[str], at: str, site: str) -> DataFrame:
-    """Each point with the least site of its key that is later than it."""
-    rows = points.select(*points.columns, F.col(at).alias("_t"), F.lit(1).alias("_left"), F.lit(None).cast(sites.schema[site].dataType).alias(f"next_{site}"))
-    marks = sites.select(*keys, *[F.lit(None).alias(c) for c in points.columns if c not in keys], F.col(site).alias("_t"), F.lit(0).alias("_left"), F.col(site).alias(f"next_{site}"))
+def first_after(points: DataFrame, sites: DataFrame, keys: list[str], at: str, site: str, ranges: int = 256) -> DataFrame:
+    """Each point with the least site of its key that is later than it; cut into ranges as ``as_of``, from the last to the first."""
+    name = f"next_{site}"
+    rows = points.select(*points.columns, F.col(at).alias("_t"), F.lit(1).alias("_left"), F.lit(None).cast(sites.schema[site].dataType).alias(name))
+    marks = sites.select(*keys, *[F.lit(None).alias(c) for c in points.columns if c not in keys], F.col(site).alias("_t"), F.lit(0).alias("_left"), F.col(site).alias(name))
+    both = _carried(rows.unionByName(marks.select(rows.columns)), keys, "_t", F.min(name), True, ranges)
     # later first: a site at the same time comes after the point in this order, so it does not count
-    order = W.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_left")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = rows.unionByName(marks.select(rows.columns))
-    return both.withColumn(f"next_{site}", F.last(f"next_{site}", ignorenulls=True).over(order)).where("_left = 1").drop("_t", "_left")
+    order = W.partitionBy(*keys, "_part").orderBy(F.desc("_t"), F.desc("_left")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn(name, F.coalesce(F.last(name, ignorenulls=True).over(order), "_carry")).where("_left = 1")
+    return found.select(*points.columns, name)
 
 
 def overlap_semi(a: DataFrame, b: DataFrame, a_lo: str, a_hi: str, b_lo: str, b_hi: str, width: int) -> DataFrame:
@@ -67,17 +133,17 @@ def contained(access: DataFrame, ranges: DataFrame, lo: Column, hi: Column, opti
     """Accesses [lo, hi) inside a range (base, size) of the same space that is valid for them.
 
     optional: (access column, range column), equal unless the range's is null;
-    bounds: (access column, range start, range end), within unless null. Ranges are dealt into
-    the address bins of ``width`` that they touch, in one of which an access starts.
+    bounds: (access column, range start, range end), within unless null. An access meets ranges in the cell of
+    about ``width`` in which it starts and in the dyadic nodes above it, so a range of any size is dealt into few rows.
     """
-    first, last = F.floor(F.col("base") / width), F.floor((F.col("base") + F.greatest(F.col("size"), F.lit(1)) - 1) / width)
-    dealt = ranges.withColumnRenamed("space", "_space").withColumn("_bin", F.explode(F.sequence(first, last)))
-    cond = (F.col("space") == F.col("_space")) & (F.floor(lo / width) == F.col("_bin")) & (lo >= F.col("base")) & (hi <= F.col("base") + F.col("size"))
+    right = ranges.withColumnRenamed("space", "_space").withColumn("_end", F.col("base") + F.col("size"))
+    held = (F.col("_lo") >= F.col("base")) & (F.col("_hi") <= F.col("_end"))
     for x, y in optional:
-        cond &= F.col(y).isNull() | (F.col(x) == F.col(y))
+        held &= F.col(y).isNull() | (F.col(x) == F.col(y))
     for x, start, end in bounds:
-        cond &= (F.col(start).isNull() | (F.col(x) >= F.col(start))) & (F.col(end).isNull() | (F.col(x) < F.col(end)))
-    return access.join(dealt, cond, "left_semi")
+        held &= (F.col(start).isNull() | (F.col(x) >= F.col(start))) & (F.col(end).isNull() | (F.col(x) < F.col(end)))
+    found = _hits(access.withColumns({"_lo": lo, "_hi": hi}), "_lo", right, "base", "_end", [F.col("space") == F.col("_space")], held, width.bit_length() - 1, "left_semi")
+    return found.drop("_lo", "_hi")
 
 
 def pair_ranges(events: DataFrame, keys: list[str], order: str, kind: str, opens: str, closes: str) -> tuple[DataFrame, DataFrame]:

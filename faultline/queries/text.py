@@ -88,6 +88,7 @@ OPCODES = (
     ("min.s32", "MIN_S", 2, 32, 32), ("max.u32", "MAX_U", 2, 32, 32), ("max.f32", "MAX_F32", 2, 32, 32), ("popc.b32", "POPC", 1, 32, 32), ("bfe.s32", "BFE_S", 3, 32, 32), ("lop3.b32", "LOP3", 4, 32, 32), ("setp.lt.s32", "SETP_LT_S", 2, 1, 32),
     ("setp.ltu.f32", "SETP_LTU_F32", 2, 1, 32), ("setp.geu.u32", "SETP_GE_U", 2, 1, 32), ("setp.eq.f64", "SETP_EQ_F64", 2, 1, 32), ("setp.ne.and.b32", "SETP_NE", 2, 1, 32), ("cvt.sat.f32.f32", "CVT_SAT_F32_F32", 1, 32, 32), ("cvt.u64.u32", "CVT_U32_U64", 1, 64, 32),
     ("cvt.u32.u64", "CVT_U64_U32", 1, 32, 64), ("selp.b32", "SELP", 3, 32, 1), ("shr_s", "SHR_S", 2, 32, 32), ("rcp.approx.ftz.f32", "RCP_APPROX_FTZ_F32", 1, 32, 32), ("bar.sync", "BAR.SYNC", 2, 32, 32),
+    ("add_u32", "ADD", 2, 32, 32), ("mov_b32", "IDENTITY", 1, 32, 32), ("setp_lt_s32", "SETP_LT_U", 2, 1, 32), ("setp_lt_s", "SETP_LT_S", 2, 1, 32), ("mul_wide_s32", "MUL_WIDE_S32", 2, 64, 32), ("foo_bar", "FOO_BAR", 2, 32, 32),
 )
 
 

@@ -331,9 +331,12 @@ m AS (SELECT h.trial, h.byte, h.moment, h.live, arg_min(b.idx, (b.cycle, b.idx))
 
 
 @query(f"""WITH {SHARED_SQL} SELECT trial, byte, moment, CASE WHEN live THEN 'dcr' ELSE 'benign' END AS class, CASE WHEN live THEN round(coalesce(site_probability, 1), 12) ELSE 1e0 END AS sic
-FROM m LEFT JOIN site ON program = 0 AND pc = load % 40 * 8""")
+FROM m CROSS JOIN (SELECT max(p_partkey) + 1 AS parts FROM part) q LEFT JOIN site ON program = load % parts // 40 AND pc = load % parts % 40 * 8""")
 def shared_campaign(read):
-    """Points in bytes of shared memory; one whose version is read later counts with the survival of that load's site."""
+    """Points in bytes of shared memory; one whose version is read later counts with the survival of that load's site.
+
+    Loads are dealt over the instructions of all programs. Moments are drawn in steps of a 100,000th of the span, so its end is never drawn.
+    """
     t = trace(read)
     lo, hi, top = t.agg(F.min("cycle"), F.max("cycle"), F.max("addr")).first()
     rows = t.where(F.col("kind").isin("purchase", "view", "click")).select("cycle", "idx", "kind", (F.col("addr") * 2).alias("at"), F.lit(4).cast("long").alias("size"))
@@ -345,8 +348,9 @@ def shared_campaign(read):
     found = found.select("trial", "byte", "moment", F.coalesce(F.col("moment") < F.col("last_read"), F.lit(False)).alias("live"))
     loads = touched.where("kind <> 'purchase'").groupBy("byte", "cycle").agg(F.min("idx").alias("load"))
     after = intervals.first_after(found, loads.select("byte", "cycle"), ["byte"], "moment", "cycle").join(loads.withColumnRenamed("cycle", "next_cycle"), ["byte", "next_cycle"], "left")
-    sites = _sites(read).where("program = 0").select((F.col("pc") / 8).cast("long").alias("_slot"), "site_probability")
-    out = after.join(sites, F.col("load") % 40 == F.col("_slot"), "left")
+    parts = read("part").agg(F.max("p_partkey") + 1).first()[0] or 1
+    sites = _sites(read).select((F.col("program") * 40 + F.col("pc") / 8).cast("long").alias("_slot"), "site_probability")
+    out = after.join(sites, F.col("load") % parts == F.col("_slot"), "left")
     sic = F.when(F.col("live"), F.round(F.coalesce("site_probability", F.lit(1.0)), 12)).otherwise(1.0)
     return out.select("trial", "byte", "moment", F.when(F.col("live"), "dcr").otherwise("benign").alias("class"), sic.alias("sic"))
 

@@ -62,9 +62,10 @@ def occupancy_stream(df: DataFrame, logger: str, at: str, thread: str, pc: str,
     """Stream: (logger, interval, pc, threads) of every interval of ``width`` that has ended, as ``occupancy``.
 
     ``at`` is an integer time. The state of a logger is the open interval and each thread's current
-    pc, with which the next interval is seeded; it grows with the threads of one logger. An
+    pc and its time, with which the next interval is seeded; it grows with the threads of one logger. An
     interval ends when a later row of its logger comes; intervals without rows are left out,
-    their counts being those of the one before. Rows of one trigger may come in any order.
+    their counts being those of the one before. Rows of one trigger may come in any order. A thread stands at
+    the pc of its latest row: a row that comes late never moves a thread back. It counts from the open interval on.
     """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,9 +73,10 @@ def occupancy_stream(df: DataFrame, logger: str, at: str, thread: str, pc: str,
         seat, out = json.loads(held), []
         for t, who, where in sorted(x for f in frames for x in zip(f[at].tolist(), f[thread].tolist(), f[pc].tolist(), strict=True)):
             if now is not None and t // width > now:
-                out += [(k[0], now, p, n) for p, n in sorted(Counter(seat.values()).items())]
+                out += [(k[0], now, p, n) for p, n in sorted(Counter(p for _, p in seat.values()).items())]
             now = t // width if now is None else max(now, t // width)
-            seat[str(who)] = where
+            if str(who) not in seat or seat[str(who)][0] <= t:
+                seat[str(who)] = [t, where]
         state.update((now, json.dumps(seat)))
         yield pd.DataFrame(out, columns=[logger, "interval", pc, "threads"])
 
