@@ -40,6 +40,42 @@ def accumulated(df: DataFrame, keys: list[str], value: str, low: float, high: fl
     return df.withColumn("_v", v).groupBy(*keys).agg(F.count("_v").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.avg("_v").alias("mean"), F.var_pop("_v").alias("variance"))
 
 
+#: Bins of a stored histogram: ``pow2_bin`` of a long is at most 63.
+BINS = 64
+
+
+def accumulators(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per key one ``state`` of whole numbers that can be stored and merged later: n, sum, squares, least, most, bins.
+
+    Sums are decimals, so they are exact in any order. With v = h 2^32 + l, squares has the sums of l l, h l and h h,
+    none of which overflows below 10^18 rows. bins counts by ``pow2_bin``. Nulls are not counted.
+    """
+    v = F.col(value).cast("long")
+    high, low = F.shiftright(v, 32).cast("decimal(10,0)"), v.bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(10,0)")
+    bins = F.array(*[F.count_if(pow2_bin(v) == i) for i in range(BINS)])
+    squares = F.array(*[F.sum(x * y).cast("decimal(38,0)") for x, y in ((low, low), (high, low), (high, high))])
+    sums = [F.count(F.lit(1)).alias("n"), F.sum(v.cast("decimal(19,0)")).cast("decimal(38,0)").alias("sum"), squares.alias("squares"), F.min(v).alias("least"), F.max(v).alias("most"), bins.alias("bins")]
+    return df.where(v.isNotNull()).groupBy(*keys).agg(*sums).select(*keys, F.struct("n", "sum", "squares", "least", "most", "bins").alias("state"))
+
+
+def merged(states: DataFrame, keys: list[str]) -> DataFrame:
+    """States of the same key as one, whatever runs they come from and however they were merged before."""
+    s = lambda n: F.col(f"state.{n}")
+    added = lambda n, size, kind: F.array(*[F.sum(F.get(s(n), F.lit(i))).cast(kind) for i in range(size)])
+    sums = [F.sum(s("n")).alias("n"), F.sum(s("sum")).cast("decimal(38,0)").alias("sum"), added("squares", 3, "decimal(38,0)").alias("squares"), F.min(s("least")).alias("least"), F.max(s("most")).alias("most"), added("bins", BINS, "long").alias("bins")]
+    return states.groupBy(*keys).agg(*sums).select(*keys, F.struct("n", "sum", "squares", "least", "most", "bins").alias("state"))
+
+
+def read_out(states: DataFrame, keys: list[str]) -> DataFrame:
+    """n, total, least, most, mean, population variance and the bins that are not empty."""
+    n, total = F.col("state.n").cast("double"), F.col("state.sum").cast("double")
+    low, mixed, high = (F.get("state.squares", F.lit(i)).cast("double") for i in range(3))
+    mean = total / n
+    squares = low + mixed * float(1 << 33) + high * float(1 << 64)
+    filled = F.filter(F.transform("state.bins", lambda c, i: F.struct(i.alias("bin"), c.alias("count"))), lambda b: b["count"] > 0)
+    return states.select(*keys, "state.n", F.col("state.sum").cast("long").alias("total"), "state.least", "state.most", mean.alias("mean"), F.greatest(squares / n - mean * mean, F.lit(0.0)).alias("variance"), filled.alias("bins"))
+
+
 def interval_means(df: DataFrame, keys: list[str], time: str, value: str, width: int, bin_) -> DataFrame:
     """Means of each interval, then a histogram of the means."""
     means = df.withColumn("_t", F.floor(F.col(time) / width)).groupBy(*keys, "_t").agg(F.avg(value).alias("_mean"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import addresses, compare
-from ..operators import intervals, taint
+from ..operators import history, intervals, taint
 from . import TRACE_SQL, query, trace
 from .scalars import INPUT_SQL, U64, _inputs, _s64
 
@@ -134,3 +134,22 @@ def contained_wide(read):
     rows = read("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p")).distinct()
     rows = rows.select("k", "p", (F.col("p") % 5).alias("space"), ((F.col("k") * 2654435761 + F.col("p") * 7919) % (1 << 40)).alias("address"))
     return intervals.contained(rows, ranges, F.col("address"), F.col("address") + 4)
+
+
+@query(f"""WITH {TRACE_SQL}, a AS (SELECT thread, idx, kind, addr * 4 AS base, addr % 3 * 16843009 + CASE WHEN idx % 5 = 0 THEN 255 ELSE 0 END AS moved FROM t WHERE kind IN ('purchase', 'view') AND idx % 8 <> 0),
+h AS (SELECT thread, idx, base + k AS byte, (moved >> (8 * k)) & 255 AS v FROM a, range(4) r(k)),
+f AS (SELECT *, target + 4 > 512 AS outside FROM (SELECT thread, idx, kind, moved, bit, xor(base, CAST(1 AS BIGINT) << bit) AS target FROM a, range(16) n(bit) WHERE idx % 3 = 0)),
+q AS (SELECT f.*, k, target + k AS byte, idx - CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END AS upto FROM f, range(4) r(k) WHERE NOT outside),
+m AS (SELECT q.*, h.v FROM q ASOF LEFT JOIN h ON q.thread = h.thread AND q.byte = h.byte AND q.upto >= h.idx)
+SELECT thread AS launch, idx AS index, CAST(bit AS INT) AS bit, FALSE AS outside, bool_and(v IS NOT NULL) AS known, CAST(sum(coalesce(xor(v, (moved >> (8 * k)) & 255), 255) << (8 * k)) AS BIGINT) AS differs FROM m GROUP BY thread, idx, bit
+UNION ALL SELECT thread, idx, CAST(bit AS INT), TRUE, FALSE, NULL FROM f WHERE outside""")
+def address_flips(read):
+    """Where each flipped address bit of a load or store leads, and which bits of the value it would have met differ."""
+    t = trace(read)
+    kind = F.when(F.col("kind") == "purchase", "store").when(F.col("kind") == "view", "load").otherwise("inst")
+    moved = F.col("addr") % 3 * 16843009 + F.when(F.col("idx") % 5 == 0, 255).otherwise(0)
+    rows = t.select(
+        F.col("thread").alias("launch"), F.col("idx").alias("index"), kind.alias("kind"), (F.col("idx") % 8 != 0).alias("held"), F.concat(F.lit("local"), F.col("thread").cast("string")).alias("scope"),
+        (F.col("addr") * 4).alias("addr"), F.lit(4).alias("size"), F.when(F.col("idx") % 3 == 0, 1).alias("base"), moved.alias("moved"),
+    )
+    return history.flips(rows, "launch", [(0, 512)], 16)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import stats as S
+from ..tables import materialize
 from . import TRACE_SQL, query, trace
 
 VALUE_SQL = "v AS (SELECT event_type AS kind, CAST(floor(value * 10) AS BIGINT) AS v FROM events)"
@@ -195,3 +196,14 @@ def exposed_latency(read):
 @query(f"""WITH {TRACE_SQL} SELECT max(thread) AS max_thread, max(thread // 32) AS max_warp, bool_or(kind = 'error') AS has_error, list_sort(list(DISTINCT addr % 4)) AS sms, count(DISTINCT cycle) AS cycles FROM t""")
 def trace_metrics(read):
     return trace(read).agg(F.max("thread").alias("max_thread"), F.max(F.floor(F.col("thread") / 32)).alias("max_warp"), F.bool_or(F.col("kind") == "error").alias("has_error"), F.array_sort(F.collect_set(F.col("addr") % 4)).alias("sms"), F.count_distinct("cycle").alias("cycles"))
+
+
+@query("""WITH v AS (SELECT event_type, CAST(floor(value * 100) AS BIGINT) AS v FROM events), b AS (SELECT event_type, CASE WHEN v <= 0 THEN 0 ELSE length(bin(v)) END AS bin, count(*) AS n FROM v GROUP BY 1, 2)
+SELECT event_type, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean, round(var_pop(v), 3) AS variance, (SELECT list(bin || ':' || n ORDER BY bin) FROM b WHERE b.event_type = v.event_type) AS bins FROM v GROUP BY 1""")
+def merged_accumulators(read):
+    """States of every user and day, stored, then merged by user and by type."""
+    rows = read("events").select("event_type", "user_id", F.to_date("ts").alias("day"), F.floor(F.col("value") * 100).cast("long").alias("v"))
+    parts = materialize(S.accumulators(rows, ["event_type", "user_id", "day"], "v"), "accumulators")
+    out = S.read_out(S.merged(S.merged(parts, ["event_type", "user_id"]), ["event_type"]), ["event_type"])
+    bins = F.transform("bins", lambda b: F.concat(b["bin"].cast("string"), F.lit(":"), b["count"].cast("string")))
+    return out.select("event_type", "n", "total", "least", "most", F.round("mean", 6).alias("mean"), F.round("variance", 3).alias("variance"), bins.alias("bins"))

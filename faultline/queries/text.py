@@ -119,3 +119,35 @@ def injection_records(read):
     log = runs.select((F.col("conv_id") % 7).alias("file"), "conv_id", F.posexplode(texts).alias("at", "value")).select("file", (F.col("conv_id") * 10 + F.col("at")).alias("line"), "value")
     return T.injection_log(log)[0]
 
+
+
+#: Definitions of metrics: one of each organization, one that falls and resets, a comment and lines that define nothing.
+DEFINED = ["# name, plot, resets, organization, kind", "", "Cycles, scalar, 1, scalar, int", "perCore,vector,0,implicit,float", "dram, vector, 1, index, int", "bank,vector2d,0,index2d,int", "map, sparse, 0, sparse, float", "odd,pie,0,scalar,int", "cores, vector, 0, scalar, int"]
+
+
+@query("""WITH e AS (SELECT 'run' || user_id % 4 AS file, event_id AS line, event_id % 5 AS m, event_id % 7 AS a, event_id % 11 AS b, event_id % 13 AS c, event_id % 3 = 0 AS short, user_id % 3 AS u FROM events),
+w AS (SELECT file, max(CASE WHEN short THEN 2 ELSE 3 END) AS most FROM e WHERE m = 1 GROUP BY 1),
+p AS (SELECT file, 'cycles' AS metric, '' AS key, line, 0 AS o, a * 1e0 AS value, TRUE AS resets FROM e WHERE m = 0
+  UNION ALL SELECT e.file, 'percore', CAST(j AS VARCHAR), line, 0, CASE WHEN j = 2 AND short THEN 0 ELSE [a + 0.5e0, b, c][j + 1] END, FALSE FROM e JOIN w ON w.file = e.file, range(3) r(j) WHERE m = 1 AND j < most
+  UNION ALL SELECT file, 'dram', CAST(u AS VARCHAR), line, j, [b, c][j + 1], TRUE FROM e, range(2) r(j) WHERE m = 2
+  UNION ALL SELECT file, 'bank', u || '.' || a, line, 0, c, FALSE FROM e WHERE m = 3
+  UNION ALL SELECT file, 'map', CASE j WHEN 0 THEN a || '.' || b ELSE b || '.' || a END, line, j, c + j * 0.25e0, FALSE FROM e, range(2) r(j) WHERE m = 4),
+s AS (SELECT file, metric, key, row_number() OVER (PARTITION BY file, metric, key ORDER BY line, o) - CASE WHEN metric = 'map' THEN 1 ELSE 0 END AS n, value, resets FROM p
+  UNION ALL SELECT DISTINCT file, metric, key, 0, 0e0, resets FROM p WHERE metric <> 'map'),
+l AS (SELECT *, lag(value) OVER (PARTITION BY file, metric, key ORDER BY n) AS was FROM s)
+SELECT file, metric, key, CAST(n AS BIGINT) AS position, value, CASE WHEN resets AND value < was THEN value ELSE value - was END AS rate FROM l""")
+def metric_series(read):
+    """Events as lines of a log, reshaped as the definitions of its metrics say."""
+    e = read("events")
+    i, u = F.col("event_id"), F.col("user_id")
+    text = lambda *xs: F.concat_ws(" ", *[x.cast("string") for x in xs])
+    a, b, c = i % 7, i % 11, i % 13
+    vector = F.when(i % 3 == 0, text(a + F.lit(0.5), b)).otherwise(text(a + F.lit(0.5), b, c))
+    value = (
+        F.when(i % 5 == 0, F.concat(F.lit("cycles: "), text(a))).when(i % 5 == 1, F.concat(F.lit("perCore: "), vector)).when(i % 5 == 2, F.concat(F.lit("dram: "), text(u % 3, b, c)))
+        .when(i % 5 == 3, F.concat(F.lit("bank: "), text(u % 3, a, c))).otherwise(F.concat(F.lit("map: "), text(a, b, c, b, a, c + F.lit(0.25))))
+    )
+    log = e.select(F.concat(F.lit("run"), (u % 4).cast("string")).alias("file"), i.alias("line"), value.alias("value"))
+    definitions, _ = T.metric_definitions(e.sparkSession.createDataFrame([(d,) for d in DEFINED], "value string"))
+    out = T.defined_series(T.interval_log(log), definitions)
+    return out.withColumnRenamed("at", "position").withColumn("metric", F.lower("metric"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, intervals, lifetimes, liveness, ordered, residency, sampling, series
+from ..operators import graphs, history, intervals, lifetimes, liveness, ordered, residency, sampling, series
 from ..streaming import snapshots
 from . import TRACE_SQL, query, trace
 
@@ -444,7 +444,7 @@ def _program(read):
         "thread", "cycle", F.col("idx").alias("index"), op.alias("op"), kind.alias("kind"), F.lit(32).alias("width"), reg(F.col("addr") + 7).alias("dst"), srcs.alias("srcs"), values.alias("values"),
         (F.col("idx") * 40503 % 4294967296).alias("result"), (F.col("idx") * 9973 % 4294967296).alias("old"), F.when(F.col("idx") % 4 == 0, "p0").otherwise("").alias("pred"), (F.col("idx") % 8 != 0).alias("held"),
         F.concat(F.lit("local"), F.col("thread").cast("string")).alias("scope"), (F.col("addr") * 4).alias("addr"), F.lit(4).alias("size"), F.when(F.col("idx") % 3 == 0, 1).alias("base"), F.lit(0).alias("data"), F.lit(1).alias("turns"),
-    )
+    ).withColumn("moved", F.when(F.col("kind") == "load", F.col("result")).when(F.col("kind") == "store", F.get("values", F.lit(0))))
 
 
 @query()
@@ -454,7 +454,7 @@ def live_bits(read):
 
 def _live(read):
     outputs = [(None, a) for a in range(64)]
-    rows = _program(read).withColumn("launch", F.col("thread"))
+    rows = history.with_history(_program(read).withColumn("launch", F.col("thread")), "launch", [(0, 512)])
     return liveness.live_records(rows, "launch", outputs, [(0, 512)])
 
 

@@ -254,11 +254,68 @@ def interval_log(log: DataFrame) -> DataFrame:
     return flat.withColumn("value", F.col("value").try_cast("double")).where("value is not null")
 
 
-def metric_definitions(spark: SparkSession, path: str, plots: tuple[str, ...] = ("scalar", "vector", "stackedbar", "vector2d", "sparse"), kinds: tuple[str, ...] = ("int", "float")) -> tuple[DataFrame, DataFrame]:
-    """(valid, invalid) rows of name, plot, organization, kind, label."""
-    df = spark.read.csv(path, schema="name string, plot string, organization string, kind string, label string", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    ok = F.col("plot").isin(*plots) & F.col("kind").isin(*kinds) & F.col("name").isNotNull() & F.col("organization").isNotNull()
-    return df.where(ok), df.where(~F.coalesce(ok, F.lit(False)))
+#: How a plot's numbers may be organized.
+ORGANIZED = {"scalar": ("scalar",), "vector": ("implicit", "index"), "vector2d": ("index2d",), "sparse": ("sparse",)}
+
+
+def metric_definitions(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, invalid) definitions of metrics from lines (column value): name, plot, resets, organization, kind.
+
+    A line has these five fields between commas, in any case; resets is 1 where a kernel's start sets the
+    counter to 0, kind is int or float. Empty lines and lines that start with # are no definitions; of
+    one name the last valid line counts. Invalid ones come as text.
+    """
+    rows = lines.select(F.trim("value").alias("text")).where((F.col("text") != "") & ~F.col("text").startswith("#")).withColumn("_line", F.monotonically_increasing_id())
+    part = F.transform(F.split("text", ","), lambda t: F.lower(F.trim(t)))
+    rows = rows.withColumn("f", part).select("text", "_line", *[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(("name", "plot", "resets", "organization", "kind"))])
+    fits = F.lit(False)
+    for plot, organizations in ORGANIZED.items():
+        fits |= (F.col("plot") == plot) & F.col("organization").isin(*organizations)
+    fits &= F.col("kind").isin("int", "float") & F.col("resets").isin("0", "1") & (F.col("name") != "")
+    rows = rows.withColumn("_ok", F.coalesce(fits, F.lit(False)))
+    best = rows.where("_ok").groupBy("name").agg(F.max_by(F.struct("plot", (F.col("resets") == "1").alias("resets"), "organization", "kind"), "_line").alias("d"))
+    return best.select("name", "d.*"), rows.where(~F.col("_ok")).select("text")
+
+
+def defined_series(values: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Series of an ``interval_log`` by its metrics' definitions: file, metric, key, at, value, rate.
+
+    scalar: one series of all values. implicit: a series per position, rows that are shorter than the longest of
+    their file filled with 0. index and index2d: the first one or two numbers of a line are the key (``i`` or ``i.j``), the
+    others continue its series. sparse: triples (i, j, value), the series of ``i.j``. Every series but the sparse
+    ones starts with 0 at 0. Values of kind int are cut to integers. rate is the change since the value before;
+    where a metric that resets falls, it started anew.
+
+    One plan serves all definitions, which are few and broadcast; positions are counted per file, metric and key.
+    """
+    keys = ["file", "metric", "key"]
+    known = values.join(F.broadcast(definitions), F.lower("metric") == F.col("name"))
+    lines = known.groupBy("file", "metric", "sample", "organization", "resets", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "value"))), lambda p: p["value"]).alias("v"))
+    lines = lines.withColumn("_most", F.max(F.size("v")).over(W.partitionBy("file", "metric")))
+    as_key = lambda x: F.format_string("%d", x.cast("long"))
+    org, v = F.col("organization"), F.col("v")
+    point = lambda key, order, value: F.struct(key.alias("key"), order.cast("int").alias("order"), value.alias("value"))
+    after = lambda n: F.when(F.size(v) > n, F.slice(v, n + 1, F.greatest(F.size(v) - n, F.lit(1)))).otherwise(F.array().cast("array<double>"))
+    lasting = lambda n, key: F.transform(after(n), lambda x, i: point(key, i, x))
+    pairs = F.when(F.size(v) >= 3, F.sequence(F.lit(0), F.floor(F.size(v) / 3).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    two = lambda a, b: F.concat(as_key(a), F.lit("."), as_key(b))
+    points = (
+        F.when(org == "scalar", F.transform(v, lambda x, i: point(F.lit(""), i, x)))
+        .when(org == "implicit", F.transform(F.sequence(F.lit(0), F.col("_most") - 1), lambda i: point(i.cast("string"), F.lit(0), F.coalesce(F.get(v, i), F.lit(0.0)))))
+        .when(org == "index", lasting(1, as_key(F.get(v, F.lit(0)))))
+        .when(org == "index2d", lasting(2, two(F.get(v, F.lit(0)), F.get(v, F.lit(1)))))
+        .when(org == "sparse", F.transform(pairs, lambda k: point(two(F.get(v, k * 3), F.get(v, k * 3 + 1)), k, F.get(v, k * 3 + 2))))
+    )
+    flat = lines.select("file", "metric", "sample", "organization", "resets", "kind", F.explode(points).alias("p")).select("file", "metric", "sample", "organization", "resets", "kind", "p.*")
+    w = W.partitionBy(*keys).orderBy("sample", "order")
+    at = F.row_number().over(w) - F.when(F.col("organization") == "sparse", 1).otherwise(0)
+    cut = F.when(F.col("kind") == "int", F.when(F.col("value") < 0, F.ceil("value")).otherwise(F.floor("value")).cast("double")).otherwise(F.col("value"))
+    series = flat.select(*keys, at.cast("long").alias("at"), cut.alias("value"), "organization", "resets")
+    zero = series.where("organization <> 'sparse'").select(*keys, "organization", "resets").distinct().select(*keys, F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("value"), "organization", "resets")
+    both = series.unionByName(zero)
+    was = F.lag("value").over(W.partitionBy(*keys).orderBy("at"))
+    rate = F.when(F.col("resets") & (F.col("value") < was), F.col("value")).otherwise(F.col("value") - was)
+    return both.select(*keys, "at", "value", rate.alias("rate"))
 
 
 def line_profile(log: DataFrame) -> DataFrame:

@@ -329,6 +329,17 @@ def test_stateful_streams(spark, tmp_path):
     assert got == sorted((r.t, r.stitched) for r in batch.collect())
 
 
+def test_late_rows_move_no_thread_back(spark, tmp_path):
+    """A row of an earlier time in a later trigger leaves a thread where it stands."""
+    for k, rows in enumerate([[(5, 0, 1, "a"), (12, 0, 1, "b")], [(7, 0, 1, "late"), (13, 0, 2, "c")], [(25, 0, 2, "d")]]):
+        spark.createDataFrame(rows, "t long, core long, thread long, pc string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/late")
+    stream = snapshots.read_events(spark, f"{tmp_path}/late", "t long, core long, thread long, pc string", 1)
+    q = snapshots.occupancy_stream(stream, "core", "t", "thread", "pc", 10).writeStream.outputMode("append").format("memory").queryName("late_seats").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("late_seats").collect())) == [(0, 0, "a", 1), (0, 1, "b", 1), (0, 1, "c", 1)]
+
+
 def test_results_do_not_depend_on_input_order(spark):
     from faultline import queries
 
@@ -342,3 +353,21 @@ def test_results_do_not_depend_on_input_order(spark):
     for f in (traces.register_lifetimes, traces.lru_residency, traces.segment_stitch, statistics.network_statistics, traces.live_bits):
         want = sorted(map(str, queries.QUERIES[f.__name__](spark, sf).collect()))
         assert sorted(map(str, f(shuffled).collect())) == want
+
+
+def test_merged_states_equal_the_whole(spark):
+    rng = random.Random(4)
+    rows = [(i % 3, rng.choice([0, 1, -5, 7, 2**40, rng.getrandbits(62), None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    parts = [stats.accumulators(df.where(F.pmod(F.hash("v"), F.lit(3)) == i), ["k"], "v") for i in range(3)]
+    once = stats.merged(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["k"])
+    twice = stats.merged(stats.merged(parts[2].unionByName(parts[0]), ["k"]).unionByName(parts[1]), ["k"])
+    whole = stats.accumulators(df, ["k"], "v")
+    want = sorted(map(str, whole.collect()))
+    assert sorted(map(str, once.collect())) == want == sorted(map(str, twice.collect()))
+    for r in whole.collect():
+        own = [v for k, v in rows if k == r.k and v is not None]
+        low, mixed, high = map(int, r.state.squares)
+        assert (r.state.n, int(r.state["sum"]), low + (mixed << 33) + (high << 64), r.state.least, r.state.most) == (len(own), sum(own), sum(v * v for v in own), min(own), max(own))
+        assert sum(r.state.bins) == len(own) and r.state.bins[0] == sum(v <= 0 for v in own)
+    assert stats.read_out(stats.accumulators(df.limit(0), ["k"], "v"), ["k"]).count() == 0

@@ -144,9 +144,25 @@ def test_options_geometry_definitions(spark, tmp_path):
     df = spark.createDataFrame([("-l1 N:64:128:6,L:T",), ("-cores 30",)], "v string")
     got = df.select(T.option(F.col("v"), "-cores").alias("cores"), T.cache_geometry(T.option(F.col("v"), "-l1")).alias("g")).collect()
     assert got[1].cores == "30" and tuple(got[0].g) == (64, 128, 6) and got[1].g is None
-    (tmp_path / "d.csv").write_text("ipc, scalar, idx, float, IPC\nbad, pie, idx, int, X\nhits, vector, idx, int, H\n")
-    ok, bad = T.metric_definitions(spark, f"{tmp_path}/d.csv")
-    assert sorted(r.name for r in ok.collect()) == ["hits", "ipc"] and [r.name for r in bad.collect()] == ["bad"]
+    (tmp_path / "d.txt").write_text("# name, plot, resets, organization, kind\n\nIPC, Scalar, 0, scalar, float\nbad, pie, 0, scalar, int\nhits,vector,1,index,int\nhits,vector,0,implicit,int\nw,vector,0,index2d,int\nr,scalar,2,scalar,int\nshort,scalar\n")
+    ok, bad = T.metric_definitions(T.lines(spark, f"{tmp_path}/d.txt"))
+    assert sorted(map(tuple, ok.collect())) == [("hits", "vector", False, "implicit", "int"), ("ipc", "scalar", False, "scalar", "float")]
+    assert sorted(r.text.split(",")[0] for r in bad.collect()) == ["bad", "r", "short", "w"]
+
+
+def test_series_by_definition(spark):
+    log = ["cycles: 5 7.9", "cycles: 2", "core: 1 2", "core: 3", "core: 4 5 6", "dram: 1 8 9", "dram: 0 3", "dram: 1 4", "bank: 1 2 7", "bank: 1 2 9", "map: 0 1 5 2 3 6", "map: 4", "other: 1", "dram: 2"]
+    df = spark.createDataFrame([("f", i, v) for i, v in enumerate(log)], "file string, line long, value string")
+    lines = ["cycles,scalar,1,scalar,int", "core,vector,0,implicit,int", "dram,vector,1,index,int", "bank,vector2d,0,index2d,float", "map,sparse,0,sparse,int"]
+    definitions, _ = T.metric_definitions(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = {}
+    for r in sorted(T.defined_series(T.interval_log(df), definitions).collect(), key=lambda r: (r.metric, r.key, r["at"])):
+        got.setdefault((r.metric, r.key), []).append((r["at"], r.value, r.rate))
+    assert {k: [v for _, v, _ in x] for k, x in got.items()} == {
+        ("cycles", ""): [0, 5, 7, 2], ("core", "0"): [0, 1, 3, 4], ("core", "1"): [0, 2, 0, 5], ("core", "2"): [0, 0, 0, 6], ("dram", "0"): [0, 3], ("dram", "1"): [0, 8, 9, 4], ("bank", "1.2"): [0, 7, 9], ("map", "0.1"): [5], ("map", "2.3"): [6],
+    }
+    assert all([i for i, _, _ in x] == list(range(len(x))) for x in got.values())
+    assert [r for _, _, r in got["cycles", ""]] == [None, 5, 2, 2] and [r for _, _, r in got["core", "1"]] == [None, 2, -2, 5] and [r for _, _, r in got["dram", "1"]] == [None, 8, 1, 4]
 
 
 def test_profiles_source_lines_timings(spark, tmp_path):
