@@ -208,8 +208,9 @@ def _repair_sql() -> str:
     return rf"""WITH h AS (SELECT coalesce('=' || conv_id, '-') AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS hit FROM conversations),
     d AS (SELECT g, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN hit = 3 THEN [1, 2] ELSE [1] END) FROM h WHERE hit <> 0),
     p AS (SELECT g, turn, role, text, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'x' END AS ini, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS tail,
-        row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
-    f AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, ini || lead(ini) OVER (PARTITION BY g ORDER BY pos) AS pair FROM p),
+        row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos FROM d),
+    o AS (SELECT *, row_number() OVER (PARTITION BY g, role, text ORDER BY pos) AS nth FROM p),
+    f AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, ini || lead(ini) OVER (PARTITION BY g ORDER BY pos) AS pair FROM o),
     c AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, list([CASE WHEN fault IN ('blank', 'duplicate') THEN '-' WHEN fault = 'truncated' THEN upper(ini) ELSE ini END] ORDER BY pos) AS codes FROM f GROUP BY 1),
     s AS (SELECT *, list_reduce(list_prepend(['000000', 'Z', '000005I', '000010II'], codes), lambda s, c: {closed}) AS s FROM c),
@@ -219,7 +220,7 @@ def _repair_sql() -> str:
     l AS (SELECT *, max(CASE WHEN k = 0 AND letter = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY g) AS led FROM k),
     r AS (SELECT g, string_agg(CASE WHEN letter = 'K' THEN role WHEN (k - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t FROM l GROUP BY 1)
     SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
-        sha256(coalesce(t, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN b ON b.g = coalesce('=' || o.conv_id, '-') LEFT JOIN r ON r.g = b.g"""
+        sha256(coalesce(t, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN b ON b.g = coalesce('=' || a.conv_id, '-') LEFT JOIN r ON r.g = b.g"""
 
 
 def _centroids_sql(clusters: int = 8, rounds: int = 10) -> str:

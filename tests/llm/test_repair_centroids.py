@@ -120,7 +120,7 @@ def test_search_opens_few_nodes_and_breaks_ties_by_audit():
 
 @pytest.mark.parametrize("name, table", [("op11_conversation_repair", "conversations"), ("op13_centroids", "embeddings")])
 def test_sql(spark, name, table):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
     con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     want = con.execute(queries.ORACLE_SQL[name]).df()
