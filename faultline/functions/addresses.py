@@ -4,8 +4,8 @@ An expression is a struct ``{op, sources, width, offset}``; values and their wid
 number. ``address`` evaluates it, ``influence`` gives per source the bits whose flip changes the address under
 a mask. Sums need no trial: a flip adds or takes 2^b, which changes bit b and the bits that the carry or the
 borrow runs through, ones or zeros of the sum; the runs that reach the mask are found for all b at
-once by doubling steps. Bitwise operators, moves, selections and shifted values are closed forms, too.
-All other operators are tried bit by bit, inside the row.
+once by doubling steps. Bitwise operators, moves, selections, shifted values, minima and maxima are closed forms, too.
+Factors are tried bit by bit, by adding the other factor times 2^b, and the few bits of a shift amount by evaluation.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import scalars as S
 from .binding import let
-from .compare import less, ones
+from .compare import flips_below, flips_equal, less, ones
 
 #: Operators by how many sources they take; ADDR_SUM takes any number.
 ARITY = {"IDENTITY": 1, "NOT": 1, "NEG": 1, "ADD": 2, "SUB": 2, "MUL_LO": 2, "AND": 2, "OR": 2, "XOR": 2, "SHL": 2, "SHR_U": 2, "SHR_S": 2, "MIN_U": 2, "MAX_U": 2, "MAD": 3, "SELP": 3}
@@ -109,24 +109,51 @@ def influence(expr: Column, values: Column, widths: Column, live: Column) -> Col
     def with_base(e: Column, base: Column, seen: Column) -> Column:
         op, width, every, chosen = e["op"], e["width"], e["every"], e["chosen"]
 
-        def moves(place: Column, b: Column) -> Column:
+        def tried(bits: Column, changed: Callable[[Column], Column]) -> Column:
+            """Bits below ``bits`` whose flip gives another value under the mask."""
+            return F.aggregate(F.sequence(F.lit(0), F.greatest(bits - 1, F.lit(0))), _zero(), lambda acc, b: acc.bitwiseOR(F.when(changed(b).bitwiseXOR(base).bitwiseAND(seen) != 0, bit(b)).otherwise(_zero())))
+
+        def moved(place: Column, b: Column) -> Column:
             flipped = F.transform(chosen, lambda x, j: F.when(j == place, x.bitwiseXOR(bit(b))).otherwise(x))
-            return let(flipped, lambda c: _address(e, c)).bitwiseXOR(base).bitwiseAND(seen) != 0
+            return let(flipped, lambda c: _address(e, c))
+
+        def scaled(own: Column, other: Column, b: Column) -> Column:
+            """A product after the flip of bit b of one factor: it changes by the other one times 2^b."""
+            step = F.call_function("shiftleft", other, b)
+            return F.when(own.bitwiseAND(bit(b)) != 0, S.sub(base, step)).otherwise(S.add(base, step)).bitwiseAND(every)
+
+        def of_order(own: Column, other: Column, less_wins: bool) -> Column:
+            """Of the smaller (greater) of two: by the flips after which this source is it."""
+            wins = flips_below(own, other) if less_wins else every.bitwiseAND(F.bitwise_not(flips_below(own, other).bitwiseOR(flips_equal(own, other))))
+            gap = own.bitwiseXOR(other).bitwiseAND(seen)
+            alone = F.when(gap == 0, seen).when(F.bit_count(gap) == 1, F.bitwise_not(gap)).otherwise(F.lit(-1).cast("long"))
+            now = less(own, other) if less_wins else less(other, own)
+            here = let(wins, lambda w: F.when(now, w.bitwiseAND(seen).bitwiseOR(F.when(gap != 0, F.bitwise_not(w)).otherwise(_zero()))).otherwise(w.bitwiseAND(alone)))
+            return here
 
         def of(number: Column, place: Column) -> Column:
-            own, other = F.get(chosen, place), F.get(chosen, 1 - place)
+            return let(F.struct(F.get(chosen, place).alias("own"), F.get(chosen, F.greatest(1 - place, F.lit(0))).alias("other")), lambda q: named(number, place, q["own"], q["other"]))
+
+        def named(number: Column, place: Column, own: Column, other: Column) -> Column:
             amount = _at(chosen, 1).bitwiseAND((width - 1).cast("long")).cast("int")
-            tried = F.aggregate(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), _zero(), lambda acc, b: acc.bitwiseOR(F.when(moves(place, b), bit(b)).otherwise(_zero())))
+            back = F.call_function("shiftleft", seen, amount).bitwiseAND(every)
+            sign = every.bitwiseXOR(F.shiftrightunsigned(every, 1))
+            fill = F.when(F.call_function("shiftrightunsigned", seen, (width - 1 - amount).cast("int")) != 0, sign).otherwise(_zero())
             mask = (
-                F.when(op.isin("ADDR_SUM", "IDENTITY", "ADD") | ((op == "SUB") & (place == 0)), _by_sum(own, base, seen))
+                F.when(op.isin("ADDR_SUM", "IDENTITY", "ADD") | ((op == "SUB") & (place == 0)) | ((op == "MAD") & (place == 2)), _by_sum(own, base, seen))
                 .when(op.isin("SUB", "NEG"), _by_sum(own, base, seen, falls=True))
                 .when(op.isin("XOR", "NOT"), seen)
                 .when(op == "AND", seen.bitwiseAND(other))
                 .when(op == "OR", seen.bitwiseAND(F.bitwise_not(other)))
                 .when((op == "SELP") & (place < 2), F.when((_at(chosen, 2).bitwiseAND(F.lit(1)) != 0) == (place == 0), seen).otherwise(_zero()))
+                .when(op == "SELP", F.when(_at(chosen, 0).bitwiseXOR(_at(chosen, 1)).bitwiseAND(seen) != 0, F.lit(1).cast("long")).otherwise(_zero()))
                 .when((op == "SHL") & (place == 0), F.call_function("shiftrightunsigned", seen, amount))
-                .when((op == "SHR_U") & (place == 0), F.call_function("shiftleft", seen, amount).bitwiseAND(every))
-                .otherwise(tried)
+                .when((op == "SHR_U") & (place == 0), back)
+                .when((op == "SHR_S") & (place == 0), back.bitwiseAND(F.bitwise_not(sign)).bitwiseOR(fill))
+                .when(op.isin("MUL_LO", "MAD"), tried(width, lambda b: scaled(own, other, b)))
+                .when(op == "MIN_U", of_order(own, other, True))
+                .when(op == "MAX_U", of_order(own, other, False))
+                .otherwise(tried(F.least(width, F.lit(6)), lambda b: moved(place, b)))
             )
             wide = ones(F.least(F.coalesce(F.get(widths, number), F.lit(64)), F.lit(64)))
             return F.struct(number.alias("source"), mask.bitwiseAND(every).bitwiseAND(wide).alias("mask"))

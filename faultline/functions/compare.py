@@ -4,7 +4,7 @@ Closed forms, as Catalyst expressions over ``LongType`` patterns: no flip is tri
 one fact about unsigned numbers a <> b whose highest differing bit is t. A flip of a below t
 leaves the order as it is. A flip above t, where both agree, makes a the larger if the bit was 0, else
 the smaller. A flip at t lets the bits below t decide. So the flips k after which a < b are masks
-built from the differing bits smeared down (``_below``).
+built from the differing bits smeared down (``flips_below``).
 
 Signed order is unsigned order after the sign bit of both is inverted, which flips the same bits.
 Floats compare by sign and magnitude: flips of magnitude bits keep the sign, so they reduce to
@@ -43,7 +43,7 @@ def less(a: Column, b: Column) -> Column:
     return a.bitwiseXOR(turn) < b.bitwiseXOR(turn)
 
 
-def _below(a: Column, b: Column) -> Column:
+def flips_below(a: Column, b: Column) -> Column:
     """Bits k for which a with bit k flipped is below b, unsigned; a and b are plain references."""
     gap = a.bitwiseXOR(b)
 
@@ -57,7 +57,7 @@ def _below(a: Column, b: Column) -> Column:
     return F.when(gap == 0, a).otherwise(let(ones(F.length(F.bin(gap))), by_smear))
 
 
-def _equal(a: Column, b: Column) -> Column:
+def flips_equal(a: Column, b: Column) -> Column:
     """The bit whose flip makes a equal to b, if one does."""
     gap = a.bitwiseXOR(b)
     return F.when(F.bit_count(gap) == 1, gap).otherwise(F.lit(0).cast("long"))
@@ -93,7 +93,7 @@ def _float_flips(comparator: Column, a: Column, b: Column, width: Column) -> Col
         every, ma, mb, inf = p["every"], p["ma"], p["mb"], p["inf"]
         minus_a, minus_b, plus_b = p["sa"] != 0, (p["sb"] != 0) & (mb != 0), (p["sb"] == 0) & (mb != 0)
         # flips after which the magnitude does not exceed infinity's, and after which it is below or equal to the other one
-        sets = F.struct(_below(ma, inf).bitwiseOR(_equal(ma, inf)).bitwiseAND(every).alias("fits"), _below(ma, mb).bitwiseAND(every).alias("smaller"), _equal(ma, mb).bitwiseAND(every).alias("same"))
+        sets = F.struct(flips_below(ma, inf).bitwiseOR(flips_equal(ma, inf)).bitwiseAND(every).alias("fits"), flips_below(ma, mb).bitwiseAND(every).alias("smaller"), flips_equal(ma, mb).bitwiseAND(every).alias("same"))
 
         def with_sets(q: Column) -> Column:
             greater = every.bitwiseAND(F.bitwise_not(q["smaller"].bitwiseOR(q["same"])))
@@ -116,7 +116,7 @@ def _float_flips(comparator: Column, a: Column, b: Column, width: Column) -> Col
 
 def _int_flips(comparator: Column, a: Column, b: Column, width: Column) -> Column:
     """{flips of a after which the comparison of unsigned numbers holds, whether it holds as it is}."""
-    sets = F.struct(_below(a, b).alias("b"), _equal(a, b).alias("e"), ones(width).alias("every"))
+    sets = F.struct(flips_below(a, b).alias("b"), flips_equal(a, b).alias("e"), ones(width).alias("every"))
     flips = let(sets, lambda q: _holds(comparator, q["b"].bitwiseAND(q["every"]), q["e"], q["every"]))
     now = let(F.struct(_as_mask(less(a, b)).alias("b"), _as_mask(a == b).alias("e")), lambda q: _holds(comparator, q["b"], q["e"], F.lit(1).cast("long"))) == 1
     return F.struct(flips.alias("flips"), now.alias("now"))

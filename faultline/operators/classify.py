@@ -58,6 +58,30 @@ def compare_observations(df: DataFrame) -> Column:
     )
 
 
+#: Types of errors with a reason of their own.
+ERROR_REASONS = {"outofrangememoryaccess": "out_of_range_memory_access", "maxstepsexceeded": "max_steps_exceeded", "uninitializedload": "uninitialized_load", "missingbytes": "missing_bytes"}
+
+
+def semantic_outcome(df: DataFrame) -> DataFrame:
+    """``df`` with outcome and reason of runs that end with a typed error, without an output, or with outputs to compare.
+
+    Columns: run_failed, run_missing_output, run_error_type, reference (whether there is something to compare
+    with; null: whether there is a golden signature or golden values), and those of ``compare_observations`` but ok.
+    A failed run is due for its error's reason, else as invalid_path if there is no reference, else as run_failed;
+    a run without an expected output is due; all others are compared.
+    """
+    error = F.lower(F.trim(F.coalesce("run_error_type", F.lit(""))))
+    reference = F.coalesce("reference", F.col("golden_signature").isNotNull() | (F.coalesce(F.size("golden_values"), F.lit(0)) > 0))
+    typed = F.coalesce(*[F.when(error == k, r) for k, r in ERROR_REASONS.items()], F.when(reference, "run_failed").otherwise("invalid_path"))
+    failed, missing = F.coalesce("run_failed", F.lit(False)), F.coalesce("run_missing_output", F.lit(False))
+    both = lambda k: F.col(f"golden_{k}").isNotNull() & F.col(f"run_{k}").isNotNull()
+    compared = compare_observations(df.withColumn("ok", F.lit(True)))
+    seen = F.when(both("signature") | both("values") | both("entries"), F.when(F.col("_compared") == "masked", "outputs_equal").otherwise("outputs_differ")).otherwise("nothing_to_compare")
+    rows = df.withColumn("ok", F.lit(True)).withColumn("_compared", compared)
+    rows = rows.withColumn("outcome", F.when(failed | missing, "due").otherwise(F.col("_compared")))
+    return rows.withColumn("reason", F.when(failed, typed).when(missing, "missing_expected_output").otherwise(seen)).drop("_compared", "ok")
+
+
 def missing_outputs(expected: DataFrame, seen: DataFrame) -> DataFrame:
     """Expected (run, base, bytes, name) that a run did not write; without a name, base and bytes decide."""
     a, b = expected.alias("a"), seen.alias("b")

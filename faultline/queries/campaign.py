@@ -235,3 +235,20 @@ def predicted_rates(read):
     rows = read("orders").select(F.col("o_orderpriority").alias("app"), F.when(s == "O", "benign").when(s == "F", "dcr").otherwise("ebc").alias("kind"), F.lit(0.5).alias("sic"))
     out = sampling.predicted(rows, ["app"], "kind", "sic")
     return out.select("app", *[F.round(c, 6).alias(c) for c in out.columns if c != "app"])
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 5 = 0 AS failed, o_orderkey % 7 = 0 AS missing, ['outofrangememoryaccess', 'maxstepsexceeded', 'uninitializedload', 'missingbytes', 'other', ''][o_custkey % 6 + 1] AS error,
+ CASE WHEN o_custkey % 4 <> 0 THEN o_orderstatus END AS golden, CASE WHEN o_custkey % 3 = 0 THEN 'X' WHEN o_custkey % 11 <> 0 THEN o_orderstatus END AS run FROM orders)
+SELECT o_orderkey, CASE WHEN failed OR missing OR golden IS NULL OR run IS NULL THEN 'due' WHEN golden = run THEN 'masked' ELSE 'sdc' END AS outcome,
+ CASE WHEN failed THEN CASE error WHEN 'outofrangememoryaccess' THEN 'out_of_range_memory_access' WHEN 'maxstepsexceeded' THEN 'max_steps_exceeded' WHEN 'uninitializedload' THEN 'uninitialized_load' WHEN 'missingbytes' THEN 'missing_bytes'
+  ELSE CASE WHEN golden IS NULL THEN 'invalid_path' ELSE 'run_failed' END END WHEN missing THEN 'missing_expected_output' WHEN golden IS NULL OR run IS NULL THEN 'nothing_to_compare' WHEN golden = run THEN 'outputs_equal' ELSE 'outputs_differ' END AS reason FROM r""")
+def semantic_outcomes(read):
+    """Runs with typed errors, missing outputs and signatures."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    error = F.element_at(F.array(*[F.lit(e) for e in ("OutOfRangeMemoryAccess", " MaxStepsExceeded", "uninitializedload", "MissingBytes ", "Other", "")]), (cust % 6 + 1).cast("int"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = read("orders").select(
+        "o_orderkey", (key % 5 == 0).alias("run_failed"), (key % 7 == 0).alias("run_missing_output"), error.alias("run_error_type"), none("boolean", "reference"), F.when(cust % 4 != 0, F.col("o_orderstatus")).alias("golden_signature"),
+        F.when(cust % 3 == 0, "X").when(cust % 11 != 0, F.col("o_orderstatus")).alias("run_signature"), none("array<double>", "golden_values"), none("array<double>", "run_values"), none("array<string>", "golden_entries"), none("array<string>", "run_entries"),
+    )
+    return classify.semantic_outcome(rows).select("o_orderkey", "outcome", "reason")

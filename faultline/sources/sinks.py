@@ -26,9 +26,15 @@ def write_sparse(df: DataFrame, path: str) -> list[str]:
     return kept
 
 
+#: Rows of a rendered table that the driver takes at most, if no limit is given.
+MOST = 100_000
+
+
 def _cells(df: DataFrame, limit: int | None) -> tuple[list[list[str]], str]:
-    """(texts of the rows, a note on the rows that are left out, empty where none is)."""
-    rows = (df if limit is None else df.limit(limit + 1)).collect()
+    """(texts of the rows, a note on the rows that are left out, empty where none is); without a limit, more than ``MOST`` rows are refused."""
+    rows = df.limit((MOST if limit is None else limit) + 1).collect()
+    if limit is None and len(rows) > MOST:
+        raise ValueError(f"a table of over {MOST} rows is not rendered; give a limit or write it as CSV or Parquet")
     over = 0 if limit is None or len(rows) <= limit else df.count() - limit
     return [["-" if v is None else str(v) for v in r] for r in (rows[:limit] if over else rows)], f"... {over} more rows\n" if over else ""
 

@@ -364,13 +364,15 @@ RECORD = np.dtype([("cycle", "<u8"), ("thread", "<u4"), ("register", "<u4")])
 def register_trace(spark: SparkSession, path: str) -> DataFrame:
     """(file, record, cycle, thread, register, is_write) from 16-byte records: u64 cycle, u32 thread, u32 register with its top bit for writes.
 
-    A file is decoded in one task, in pieces; bytes after its last whole record are left out.
+    A file is decoded in one task, in pieces (``splits.register_records`` splits it); a header of 16 bytes that begins with
+    RFTR is passed over, bytes after the last whole record are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = memoryview(content.as_buffer())
+                data = data[16:] if bytes(data[:4]) == b"RFTR" else data
                 for at in range(0, len(data) // 16, 1 << 20):
                     x = np.frombuffer(data, RECORD, min(1 << 20, len(data) // 16 - at), at * 16)
                     columns = [np.arange(at, at + len(x)), x["cycle"].astype(np.int64), x["thread"].astype(np.int64), (x["register"] & np.uint32(0x7FFFFFFF)).astype(np.int64), x["register"] >= np.uint32(1 << 31)]
