@@ -40,4 +40,4 @@ def trace(read) -> DataFrame:
     )
 
 
-from . import campaign, influence, scalars, statistics, text, traces  # noqa: E402, F401
+from . import campaign, influence, readers, scalars, statistics, text, traces  # noqa: E402, F401

@@ -322,7 +322,7 @@ def line_profile(log: DataFrame) -> DataFrame:
     """(file, source, line, counter, value): the header names the counters, rows are ``source:line``."""
     head = log.where("line = 0").select("file", F.filter(F.split(F.element_at(F.split("value", ":", 2), -1), r"[\s,]+"), lambda v: v != "").alias("names"))
     p = r"^\s*(.+?)[ ,:]+(\d+)\s*:\s*(.*)$"
-    rows = log.where((F.col("line") > 0) & F.col("value").rlike(p)).select("file", F.regexp_extract("value", p, 1).alias("source"), F.regexp_extract("value", p, 2).cast("int").alias("at"), F.filter(F.split(F.regexp_extract("value", p, 3), r"[\s,]+"), lambda v: v != "").alias("values"))
+    rows = log.where((F.col("line") > 0) & F.col("value").rlike(p)).select("file", F.regexp_extract("value", p, 1).alias("source"), F.regexp_extract("value", p, 2).try_cast("int").alias("at"), F.filter(F.split(F.regexp_extract("value", p, 3), r"[\s,]+"), lambda v: v != "").alias("values"))
     pairs = rows.join(head, "file").select("file", "source", F.col("at").alias("line"), F.explode(F.arrays_zip("names", "values")).alias("x"))
     return pairs.select("file", "source", "line", F.col("x.names").alias("counter"), F.col("x.values").try_cast("long").alias("value"))
 
