@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import floats
+from ..functions import convert, floats
 from ..functions import scalars as B
 from . import query
 
@@ -153,3 +153,17 @@ SELECT k, p, s, (a[14] + a[11] + a[10] + a[6] + a[1] + c[4]) % 2 + (a[13] + a[12
  + (a[12] + a[11] + a[9] + a[4] + c[3]) % 2 * 8 + (a[13] + a[10] + a[9] + a[6] + a[5] + c[2] + c[1] + c[5]) % 2 * 16 AS page FROM b""")
 def page_set_index(read):
     return _over(read, page=B.set_index_page(_c("x"), _c("n") % 32))
+
+
+@query("""WITH e AS (SELECT event_id, (value - 100) * 0.25e0 AS x, event_id * 1048583 * 977 - 5000000000000 AS i FROM events)
+SELECT event_id, CAST(round_even(x, 0) AS BIGINT) & 4294967295 AS rn, CAST(trunc(x) AS BIGINT) & 4294967295 AS rz, CAST(floor(x) AS BIGINT) & 4294967295 AS rm, CAST(ceil(x) AS BIGINT) & 4294967295 AS rp,
+ CAST(least(greatest(ceil(x), 0), 255) AS BIGINT) AS clamped, CAST(CAST(x AS FLOAT) AS DOUBLE) AS single, CAST(CAST(i AS FLOAT) AS DOUBLE) AS from_integer, i & 65535 AS narrow, CASE WHEN i < 0 THEN 0 ELSE least(i, 65535) END AS saturated FROM e""")
+def rounded_conversions(read):
+    """Doubles to integers by all roundings, to floats, and integers to floats and narrower integers."""
+    rows = read("events").select("event_id", ((F.col("value") - 100) * 0.25).alias("x"), (F.col("event_id") * (1048583 * 977) - 5000000000000).alias("i"))
+    rows = rows.withColumn("bits", floats.to_bits(F.col("x"), 64))
+    to = lambda kind, mode="rn", source="f64", of="bits", saturate=False: convert.convert(F.col(of), source, kind, mode, saturate)
+    return rows.select(
+        "event_id", *[to("s32", m).alias(m) for m in convert.MODES], to("u8", "rp").alias("clamped"), floats.from_bits(to("f32")).alias("single"), floats.from_bits(to("f32", source="s64", of="i")).alias("from_integer"),
+        to("u16", source="s64", of="i").alias("narrow"), to("u16", source="s64", of="i", saturate=True).alias("saturated"),
+    )
