@@ -73,6 +73,47 @@ def cache_bits(sets: int, ways: int, line: int, tag_bits: int = 57) -> int:
     return sets * ways * (line * 8 + tag_bits)
 
 
+def _log2(x: Column) -> Column:
+    """The floor of log2 of a positive number."""
+    return F.length(F.bin(x.cast("long"))) - 1
+
+
+def derived_tag_bits(cache: Column, address_bits: int = 64) -> Column:
+    """Tag bits of a cache {sets, line, ways}: the address less the bits of line offset and set; 0 without a geometry."""
+    known = (cache["sets"] > 0) & (cache["line"] > 0)
+    return F.when(F.coalesce(known, F.lit(False)), F.greatest(F.lit(0), F.lit(address_bits) - _log2(cache["line"]) - _log2(cache["sets"]))).otherwise(0)
+
+
+def geometry_bits(cache: Column, tag_bits: Column) -> Column:
+    """Bits of a cache {sets, line, ways} with the tags of its lines; 0 without a geometry."""
+    known = (cache["sets"] > 0) & (cache["line"] > 0) & (cache["ways"] > 0)
+    return F.when(F.coalesce(known, F.lit(False)), cache["sets"].cast("long") * cache["ways"] * (cache["line"] * 8 + tag_bits)).otherwise(F.lit(0).cast("long"))
+
+
+def component_domains(apps: DataFrame, keys: list[str]) -> DataFrame:
+    """The sampling space of each component: keys, component, seeds, bits (of a seed), total (over all cycles and seeds).
+
+    apps: keys, cycles, threads, blocks, shaders, shared_seen, registers, datatype_bits, l1d and l2 ({sets, line, ways}),
+    memories, partitions, and what a program states itself, null or 0 where it does not: smem_bits, l1d_bits, l2_bits, tag_bits.
+    Registers are drawn per thread, shared memory per block (a program that never touches it has none; one that
+    does has a bit at least), the first cache per core, the second once. Stated sizes come before geometry. The tags
+    of both caches follow from the first cache's geometry.
+    """
+    stated = lambda c: F.when(F.col(c) > 0, F.col(c))
+    rows = apps.withColumn("_tag", F.coalesce(stated("tag_bits"), derived_tag_bits(F.col("l1d"))))
+    l2 = geometry_bits(F.col("l2"), F.col("_tag")) * F.greatest(F.col("memories"), F.lit(1)) * F.greatest(F.col("partitions"), F.lit(1))
+    parts = {
+        "rf": (F.col("threads"), F.col("registers") * F.coalesce(stated("datatype_bits"), F.lit(32))),
+        "smem_rf": (F.col("blocks"), F.when(F.coalesce("shared_seen", F.lit(False)), F.greatest(F.coalesce("smem_bits", F.lit(0)), F.lit(1))).otherwise(0)),
+        "l1d": (F.greatest(F.col("shaders"), F.lit(1)), F.coalesce(stated("l1d_bits"), geometry_bits(F.col("l1d"), F.col("_tag")))),
+        "l2": (F.lit(1), F.coalesce(stated("l2_bits"), l2)),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("component"), seeds.cast("long").alias("seeds"), bits.cast("long").alias("bits")) for n, (seeds, bits) in parts.items()]))
+    out = rows.select(*keys, "cycles", each.alias("c")).select(*keys, "cycles", "c.*")
+    total = F.col("cycles").cast("decimal(19,0)") * F.col("seeds").cast("decimal(12,0)")
+    return out.select(*keys, "component", "seeds", "bits", (total.cast("decimal(25,0)") * F.col("bits").cast("decimal(12,0)")).cast("decimal(38,0)").alias("total"))
+
+
 def decode_tag_first(bit: Column, tag_bits: int = 57) -> tuple[Column, Column]:
     """(is tag, data bit) where a line's tag comes before its data."""
     return bit < tag_bits, F.greatest(bit - tag_bits, F.lit(0))

@@ -73,12 +73,13 @@ def interval_log_reshape(read):
     return T.interval_log(log).select(F.col("file").cast("long").alias("doc_id"), "position", "value")
 
 
-@query("""SELECT conv_id, max(turn) FILTER (role = 'user') AS last_user, bool_or(role = 'user') AS success, count(*) AS n FROM conversations GROUP BY conv_id""")
+@query("""SELECT conv_id, max(turn) FILTER (role = 'user') AS last_user, bool_or(role = 'user') AS success, count(*) AS n,
+ coalesce(list_transform(list_sort(list(DISTINCT turn * 16) FILTER (role <> 'user')), lambda b: b || ':' || (b // 16 % 3)), []) AS outputs FROM conversations GROUP BY conv_id""")
 def run_summary(read):
-    log = read("conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line"), F.when(F.col("role") == "user", F.concat(F.lit("Success cycle = "), F.col("turn").cast("string"))).otherwise("-").alias("value"))
+    log = read("conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("line"), F.when(F.col("role") == "user", F.concat(F.lit("Success cycle = "), F.col("turn").cast("string"))).otherwise(F.concat(F.lit("OUTPUT base="), (F.col("turn") * 16).cast("string"), F.lit(" bytes="), (F.col("turn") % 3).cast("string"))).alias("value"))
     out = T.run_summaries(log)
     sizes = log.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
-    return out.join(sizes, "file").select(F.col("file").cast("long").alias("conv_id"), F.col("last_cycle").alias("last_user"), "success", "n")
+    return out.join(sizes, "file").select(F.col("file").cast("long").alias("conv_id"), F.col("last_cycle").alias("last_user"), "success", "n", F.transform("outputs", lambda o: F.concat(o["base"].cast("string"), F.lit(":"), o["bytes"].cast("string"))).alias("outputs"))
 
 
 #: Instruction texts with their operator, sources, result width and width of the third source, of 32-bit instructions.

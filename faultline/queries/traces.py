@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graphs, history, intervals, lifetimes, liveness, ordered, residency, sampling, series
+from ..sources import text as T
 from ..streaming import snapshots
 from . import TRACE_SQL, query, trace
 
@@ -42,6 +43,28 @@ def shared_lifetimes(read):
     return lifetimes.versions(lifetimes.byte_accesses(rows, "at", "size"), ["byte"], "cycle", "idx", F.col("kind") == "purchase")
 
 
+@query(f"""WITH {TRACE_SQL}, a AS (SELECT thread % 10 AS app, count(DISTINCT cycle) AS cycles, count(DISTINCT thread) AS threads, count(DISTINCT thread % 7) AS blocks, count(DISTINCT addr % 5) AS shaders, bool_or(kind = 'purchase' AND thread % 3 = 0) AS seen, count(DISTINCT addr) AS registers FROM t GROUP BY 1),
+g AS (SELECT *, [64, 32, 0][app % 3 + 1] AS sets, app + 1 AS ways, CASE WHEN app % 4 = 0 THEN 57 WHEN app % 3 = 2 THEN 0 ELSE 64 - 7 - [6, 5][app % 3 + 1] END AS tag FROM a),
+c AS (SELECT app, cycles, unnest(['rf', 'smem_rf', 'l1d', 'l2']) AS component, unnest([threads, blocks, shaders, 1]) AS seeds,
+  unnest([registers * CASE WHEN app % 2 = 0 THEN 32 ELSE 64 END, CASE WHEN seen THEN greatest(app * 100, 1) ELSE 0 END, CASE WHEN app = 5 THEN 4096 ELSE sets * ways * CASE WHEN sets > 0 THEN 1024 + tag ELSE 0 END END, 128 * 4 * (1024 + tag) * 2 * 3]) AS bits FROM g)
+SELECT app, component, seeds, CAST(bits AS BIGINT) AS bits, CAST(CAST(cycles AS HUGEINT) * seeds * bits AS BIGINT) AS total FROM c""")
+def component_domains(read):
+    """Sampling spaces of registers, shared memory and both caches of every program."""
+    t = trace(read).withColumn("app", F.col("thread") % 10)
+    a = t.groupBy("app").agg(
+        F.count_distinct("cycle").alias("cycles"), F.count_distinct("thread").alias("threads"), F.count_distinct(F.col("thread") % 7).alias("blocks"), F.count_distinct(F.col("addr") % 5).alias("shaders"),
+        F.bool_or((F.col("kind") == "purchase") & (F.col("thread") % 3 == 0)).alias("shared_seen"), F.count_distinct("addr").alias("registers"),
+    )
+    app = F.col("app")
+    sets = F.element_at(F.array(F.lit(64), F.lit(32), F.lit(0)), (app % 3 + 1).cast("int"))
+    geometry = lambda s, w: T.cache_geometry(F.concat(F.lit("S:"), s.cast("string"), F.lit(":128:"), w.cast("string")))
+    facts = a.withColumns({
+        "datatype_bits": F.when(app % 2 == 0, 0).otherwise(64), "smem_bits": app * 100, "l1d": geometry(sets, app + 1), "l2": geometry(F.lit(128), F.lit(4)), "memories": F.lit(2), "partitions": F.lit(3),
+        "tag_bits": F.when(app % 4 == 0, 57), "l1d_bits": F.when(app == 5, 4096).otherwise(0), "l2_bits": F.lit(None).cast("long"),
+    })
+    return sampling.component_domains(facts, ["app"]).withColumn("total", F.col("total").cast("long"))
+
+
 @query(f"""WITH {VERSIONS_SQL}, w AS (SELECT *, lead(start) OVER (PARTITION BY thread ORDER BY version) AS stop FROM v WHERE version > 0), p AS (SELECT thread, cycle AS moment FROM t WHERE kind = 'signup')
 SELECT p.thread, moment, version, CASE WHEN version IS NULL THEN NULL WHEN moment < last_read THEN 'dcr' ELSE 'benign' END AS class
 FROM p LEFT JOIN w ON p.thread = w.thread AND start <= moment AND (stop IS NULL OR moment < stop)""")

@@ -153,10 +153,12 @@ def outputs(df: DataFrame, text: str = "value", marker: str = "OUTPUT") -> DataF
     return found.withColumns({"base": tolerant_int(part("base", "(0[xX][0-9a-fA-F]+|[0-9]+)")), "bytes": tolerant_int(part("bytes", "([0-9]+)")), "name": F.nullif(part("name", r"(\S+)"), F.lit(""))}).drop(text)
 
 
-def run_summaries(log: DataFrame, success: str = "Success", failed: str = "Failed", cycle: str = r"cycle\s*=\s*([0-9]+)") -> DataFrame:
-    """Per file: size, sentinels, and the last cycle count."""
+def run_summaries(log: DataFrame, success: str = "Success", failed: str = "Failed", cycle: str = r"cycle\s*=\s*([0-9]+)", marker: str = "OUTPUT") -> DataFrame:
+    """Per file: size, sentinels, the last cycle count, and the set of outputs it declares (as ``outputs``) in order of base, bytes and name."""
     count = F.when(F.col("value").rlike(cycle), F.regexp_extract("value", cycle, 1).cast("long"))
-    return log.groupBy("file").agg(
+    part = lambda k, p: F.regexp_extract("value", rf"{k}={p}", 1)
+    output = F.when(F.col("value").rlike(rf"{marker}\s+base="), F.struct(tolerant_int(part("base", "(0[xX][0-9a-fA-F]+|[0-9]+)")).alias("base"), tolerant_int(part("bytes", "([0-9]+)")).alias("bytes"), F.nullif(part("name", r"(\S+)"), F.lit("")).alias("name")))
+    return log.groupBy("file").agg(F.array_sort(F.collect_set(output)).alias("outputs"),
         F.sum(F.length("value") + 1).alias("size"), F.bool_or(F.col("value").contains(success)).alias("success"), F.bool_or(F.col("value").contains(failed)).alias("failed"), F.max_by(count, F.when(count.isNotNull(), F.col("line"))).alias("last_cycle"),
     )
 

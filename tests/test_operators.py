@@ -371,3 +371,34 @@ def test_merged_states_equal_the_whole(spark):
         assert (r.state.n, int(r.state["sum"]), low + (mixed << 33) + (high << 64), r.state.least, r.state.most) == (len(own), sum(own), sum(v * v for v in own), min(own), max(own))
         assert sum(r.state.bins) == len(own) and r.state.bins[0] == sum(v <= 0 for v in own)
     assert stats.read_out(stats.accumulators(df.limit(0), ["k"], "v"), ["k"]).count() == 0
+
+
+def test_component_domains(spark):
+    """Stated sizes come first, shared memory needs a touch, both caches have the tags of the first."""
+    geometry = "struct<sets:int,line:int,ways:int>"
+    schema = f"app string, cycles long, threads long, blocks long, shaders long, shared_seen boolean, registers long, datatype_bits long, smem_bits long, l1d {geometry}, l2 {geometry}, memories int, partitions int, l1d_bits long, l2_bits long, tag_bits int"
+    rows = [
+        ("a", 10, 4, 2, 3, True, 7, None, 0, (64, 128, 6), (64, 128, 16), 8, 2, None, 0, None),
+        ("b", 10, 4, 2, 0, False, 7, 64, 500, None, (32, 128, 4), 0, None, 999, 0, 57),
+        ("c", 0, 4, 2, 1, None, 7, 8, 500, (0, 128, 6), None, 1, 1, 0, 77, 0),
+    ]
+    got = {(r.app, r.component): (r.seeds, r.bits, int(r.total)) for r in sampling.component_domains(spark.createDataFrame(rows, schema), ["app"]).collect()}
+    tag = 64 - 7 - 6
+    assert got["a", "rf"] == (4, 224, 10 * 4 * 224) and got["a", "smem_rf"] == (2, 1, 20)
+    assert got["a", "l1d"] == (3, 64 * 6 * (1024 + tag), 30 * 64 * 6 * (1024 + tag)) and got["a", "l2"] == (1, 64 * 16 * (1024 + tag) * 16, 10 * 64 * 16 * (1024 + tag) * 16)
+    assert got["b", "rf"][1] == 448 and got["b", "smem_rf"] == (2, 0, 0) and got["b", "l1d"] == (1, 999, 9990) and got["b", "l2"][1] == 32 * 4 * (1024 + 57)
+    assert got["c", "l1d"] == (1, 0, 0) and got["c", "l2"] == (1, 77, 0) and got["c", "smem_rf"][1] == 0
+
+
+def test_semantic_outcomes(spark):
+    schema = "i int, run_failed boolean, run_missing_output boolean, run_error_type string, reference boolean, golden_signature string, run_signature string, golden_values array<double>, run_values array<double>, golden_entries array<string>, run_entries array<string>"
+    rows = [
+        (0, True, True, " OutOfRangeMemoryAccess ", None, None, None, None, None, None, None), (1, True, False, "odd", None, None, None, None, None, None, None), (2, True, None, None, True, None, None, None, None, None, None),
+        (3, True, None, "", None, None, None, [1.0], None, None, None), (4, None, True, "MissingBytes", None, "a", "a", None, None, None, None), (5, None, None, None, None, "a", "a", None, None, None, None), (6, False, False, None, None, "a", "b", [1.0], [1.0], None, None),
+        (7, False, False, None, None, None, None, [1.0, math.nan], [1.0, math.nan], None, None), (8, False, False, None, None, None, "x", None, None, None, None), (9, False, False, None, None, None, None, None, None, ["x", "x"], ["x"]),
+    ]
+    got = {r.i: (r.outcome, r.reason) for r in classify.semantic_outcome(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        0: ("due", "out_of_range_memory_access"), 1: ("due", "invalid_path"), 2: ("due", "run_failed"), 3: ("due", "run_failed"), 4: ("due", "missing_expected_output"), 5: ("masked", "outputs_equal"), 6: ("sdc", "outputs_differ"),
+        7: ("sdc", "outputs_differ"), 8: ("due", "nothing_to_compare"), 9: ("masked", "outputs_equal"),
+    }
