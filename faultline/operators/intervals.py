@@ -52,11 +52,11 @@ def _hits(points: DataFrame, at: str, right: DataFrame, lo: str, hi: str, same:
     for s in same:
         cond &= s
     if len(levels) == 1:
-        return asking.join(dealt, cond & held, how).drop("_asked", "_level", "_node")
-    met = asking.join(dealt, cond & held, "inner")
+        return asking.join(dealt.hint("merge"), cond & held, how).drop("_asked", "_level", "_node")
+    met = asking.join(dealt.hint("merge"), cond & held, "inner")
     if how == "left_semi":
-        return named.join(met.select("_uid").distinct(), "_uid", "left_semi").drop("_uid")
-    return named.join(met.select("_uid", *right.columns), "_uid", how).drop("_uid")
+        return named.join(met.select("_uid").hint("merge"), "_uid", "left_semi").drop("_uid")
+    return named.join(met.select("_uid", *right.columns).hint("merge"), "_uid", how).drop("_uid")
 
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, how: str = "left", bucket: int | None = None) -> DataFrame:
@@ -85,7 +85,7 @@ def _carried(both: DataFrame, keys: list[str], at: str, closing: Column, later:
     same = F.col("_part") == F.col("_of_part")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    return dealt.join(ends, same).drop("_of_part", *[f"_of_{k}" for k in keys])
+    return dealt.join(ends.hint("merge"), same).drop("_of_part", *[f"_of_{k}" for k in keys])
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], value: str, strict: bool = False, ranges: int = 256) -> DataFrame:

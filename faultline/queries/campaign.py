@@ -77,11 +77,12 @@ def unknown_share(read):
     return R.unknown_share(_errors(read), ["app"], ["masked_rate", "sdc_rate"]).select("app", F.round("unknown_share", 6).alias("unknown_share"))
 
 
-@query("""WITH c AS (SELECT c_custkey AS key FROM customer WHERE c_acctbal < 1000), o AS (SELECT DISTINCT o_custkey AS key FROM orders WHERE o_totalprice > 200000)
+@query("""WITH c AS (SELECT c_custkey * 2 AS key FROM customer), o AS (SELECT DISTINCT o_custkey * 3 AS key FROM orders)
 SELECT key, 'right' AS missing FROM c WHERE key NOT IN (SELECT key FROM o) UNION ALL SELECT key, 'left' FROM o WHERE key NOT IN (SELECT key FROM c)""")
 def missing_pairs(read):
-    customers = read("customer").where("c_acctbal < 1000").select(F.col("c_custkey").alias("key"))
-    return intervals.missing_pairs(customers, read("orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("key")), ["key"])
+    """Twofold keys of customers and threefold ones of orders, of which each side lacks some."""
+    customers = read("customer").select((F.col("c_custkey") * 2).alias("key"))
+    return intervals.missing_pairs(customers, read("orders").select((F.col("o_custkey") * 3).alias("key")), ["key"])
 
 
 @query("""WITH s AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS k FROM events WHERE value > 50 GROUP BY user_id)
