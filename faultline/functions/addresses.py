@@ -1,8 +1,9 @@
-"""Address expressions: an operator over chosen source values plus an offset, in columns, and which source bits move the address.
+"""Address expressions: an operator over chosen source values plus an offset, and which source bits move the address.
 
 An expression is a struct ``{op, sources, width, offset}``; values and their widths are arrays by source
 number. ``address`` evaluates it, ``influence`` gives per source the bits whose flip changes the address under
-a mask. Sums need no trial: a flip adds or takes 2^b, which changes bit b and the bits that the carry or the
+a mask. Both are Arrow functions: numpy over the rows of a batch, operator by operator, on 64-bit patterns.
+Sums need no trial: a flip adds or takes 2^b, which changes bit b and the bits that the carry or the
 borrow runs through, ones or zeros of the sum; the runs that reach the mask are found for all b at
 once by doubling steps. Bitwise operators, moves, selections, shifted values, minima and maxima are closed forms, too.
 Factors are tried bit by bit, by adding the other factor times 2^b, and the few bits of a shift amount by evaluation.
@@ -12,39 +13,92 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import scalars as S
-from .binding import let
-from .compare import flips_below, flips_equal, less, ones
+from .compare import ones
 
 #: Operators by how many sources they take; ADDR_SUM takes any number.
 ARITY = {"IDENTITY": 1, "NOT": 1, "NEG": 1, "ADD": 2, "SUB": 2, "MUL_LO": 2, "AND": 2, "OR": 2, "XOR": 2, "SHL": 2, "SHR_U": 2, "SHR_S": 2, "MIN_U": 2, "MAX_U": 2, "MAD": 3, "SELP": 3}
 
 
-def _zero() -> Column:
-    return F.lit(0).cast("long")
-
-
-def _at(values: Column, i: int) -> Column:
-    return F.coalesce(F.get(values, F.lit(i)), _zero())
-
-
-def _signed(x: Column, width: Column) -> Column:
-    by = (64 - width).cast("int")
-    return F.call_function("shiftright", F.call_function("shiftleft", x, by), by)
+OPERATORS = ["ADDR_SUM", *ARITY]
+_U, _ALL = np.uint64, np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class _Rows:
+    """Expressions and values of a batch: values cut to the width, one by one (``own``) and the first three of each row."""
+
+    def __init__(self, expr: pa.StructArray, values: pa.ListArray) -> None:
+        field = {f.name: x for f, x in zip(expr.type, expr.flatten(), strict=True)}
+        self.op = np.asarray(pc.fill_null(pc.index_in(field["op"], value_set=pa.array(OPERATORS)), -1))
+        width = field["width"]
+        self.width = np.clip(np.asarray(pc.fill_null(width, 0)).astype(np.int64), 0, 64)
+        self.every = np.where(self.width > 0, _ALL >> (64 - np.maximum(self.width, 1)).astype(_U), _U(0))
+        self.offset = _patterns(field["offset"]) & self.every
+        sources, begin, self.count = _lists(field["sources"])
+        known, first, size = _lists(values)
+        self.row = np.repeat(np.arange(len(self.count)), self.count)
+        self.place = np.arange(len(self.row)) - np.repeat(np.cumsum(self.count) - self.count, self.count)
+        at = begin[self.row] + self.place
+        self.number = np.asarray(pc.fill_null(sources, -1)).astype(np.int64)[at]
+        inside = (self.number >= 0) & (self.number < size[self.row])
+        where = np.where(inside, first[self.row] + self.number, 0)
+        there = np.append(np.asarray(known.is_valid()), False)[np.where(inside, where, -1)]
+        self.own = np.where(there, np.append(_patterns(known), _U(0))[np.where(inside, where, -1)], _U(0)) & self.every[self.row]
+        self.v = np.zeros((max(3, int(self.count.max(initial=0))), len(self.count)), _U)
+        self.v[self.place, self.row] = self.own
+        arity = np.array([-1, *ARITY.values()])[self.op]
+        self.ok = (self.op >= 0) & np.asarray(width.is_valid()) & np.asarray(field["sources"].is_valid()) & ((self.op == 0) | (self.count == arity))
+        self.ok[self.row[~there]] = False
+
+    def of(self, name: str) -> np.ndarray:
+        return np.flatnonzero(self.ok & (self.op == OPERATORS.index(name)))
+
+    def address(self) -> np.ndarray:
+        out = np.zeros(len(self.op), _U)
+        for name in OPERATORS:
+            at = self.of(name)
+            if len(at):
+                out[at] = _result(name, self.v[:, at], self.width[at], self.offset[at]) & self.every[at]
+        return out
+
+
+def _patterns(x: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(x, 0)).astype(np.int64).view(_U)
+
+
+def _lists(x: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(all elements, where each row begins, how many it has: none if it is null)."""
+    edge = np.asarray(x.offsets).astype(np.int64)
+    return x.values, edge[:-1], np.where(np.asarray(x.is_valid()), np.diff(edge), 0)
+
+
+def _amount(v: np.ndarray, width: np.ndarray) -> np.ndarray:
+    return v & (np.maximum(width, 1) - 1).astype(_U)
+
+
+def _result(name: str, v: np.ndarray, width: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """The raw result of an operator over values that are cut to the width, by place and row."""
+    a, b, c = v[:3]
+    if name in ("SHL", "SHR_U", "SHR_S"):
+        n = _amount(b, width)
+        if name == "SHR_S":
+            by = ((64 - width) % 64).astype(_U)
+            return ((a << by).view(np.int64) >> by.view(np.int64) >> n.view(np.int64)).view(_U)
+        return a << n if name == "SHL" else a >> n
+    return {
+        "ADDR_SUM": lambda: v.sum(0, dtype=_U) + offset, "IDENTITY": lambda: a + offset, "NOT": lambda: ~a, "NEG": lambda: _U(0) - a, "ADD": lambda: a + b, "SUB": lambda: a - b, "MUL_LO": lambda: a * b, "MAD": lambda: a * b + c,
+        "AND": lambda: a & b, "OR": lambda: a | b, "XOR": lambda: a ^ b, "MIN_U": lambda: np.minimum(a, b), "MAX_U": lambda: np.maximum(a, b), "SELP": lambda: np.where(c & _U(1) != 0, a, b),
+    }[name]()
 
 
-def _results(v: Callable[[int], Column], width: Column) -> dict[str, Column]:
-    """The raw result of each operator over values that are cut to the width."""
-    amount = v(1).bitwiseAND((width - 1).cast("long")).cast("int")
-    return {
-        "IDENTITY": v(0), "NOT": F.bitwise_not(v(0)), "NEG": S.neg(v(0)), "ADD": S.add(v(0), v(1)), "SUB": S.sub(v(0), v(1)), "MUL_LO": S.mul_lo(v(0), v(1)), "MAD": S.mad(v(0), v(1), v(2)),
-        "AND": v(0).bitwiseAND(v(1)), "OR": v(0).bitwiseOR(v(1)), "XOR": v(0).bitwiseXOR(v(1)), "SHL": F.call_function("shiftleft", v(0), amount), "SHR_U": F.call_function("shiftrightunsigned", v(0), amount),
-        "SHR_S": F.call_function("shiftright", _signed(v(0), width), amount), "MIN_U": F.when(less(v(1), v(0)), v(1)).otherwise(v(0)), "MAX_U": F.when(less(v(0), v(1)), v(1)).otherwise(v(0)),
-        "SELP": F.when(v(2).bitwiseAND(F.lit(1)) != 0, v(0)).otherwise(v(1)),
-    }
+def _address(expr: pa.Array, values: pa.Array) -> pa.Array:
+    rows = _Rows(expr, values)
+    return pa.array(rows.address().view(np.int64), mask=~rows.ok)
 
 
 def address(expr: Column, values: Column) -> Column:
@@ -52,24 +106,7 @@ def address(expr: Column, values: Column) -> Column:
 
     The offset is added for IDENTITY and ADDR_SUM alone.
     """
-    return let(_named(expr, values), lambda e: _address(e, e["chosen"]))
-
-
-def _named(expr: Column, values: Column) -> Column:
-    every = ones(expr["width"])
-    chosen = F.transform(expr["sources"], lambda i: F.get(values, i).bitwiseAND(every))
-    return F.struct(expr["op"].alias("op"), expr["width"].alias("width"), every.alias("every"), F.coalesce(expr["offset"], _zero()).bitwiseAND(every).alias("offset"), chosen.alias("chosen"), expr["sources"].alias("sources"))
-
-
-def _address(e: Column, chosen: Column) -> Column:
-    """The address over values that are cut to the width; ``chosen`` is a plain reference."""
-    op, every = e["op"], e["every"]
-    total = F.aggregate(chosen, e["offset"], lambda a, x: S.add(a, x).bitwiseAND(every))
-    out = F.when((op == "ADDR_SUM") | ((op == "IDENTITY") & (F.size(chosen) == 1)), total)
-    for name, result in _results(lambda i: _at(chosen, i), e["width"]).items():
-        if name != "IDENTITY":
-            out = out.when((op == name) & (F.size(chosen) == ARITY[name]), result.bitwiseAND(every))
-    return F.when(F.exists(chosen, lambda x: x.isNull()), F.lit(None).cast("long")).otherwise(out)
+    return F.arrow_udf(_address, "long")(expr, values)
 
 
 def effective_mask(space: Column, mask: Column, bits: Column, width: Column) -> Column:
@@ -78,86 +115,105 @@ def effective_mask(space: Column, mask: Column, bits: Column, width: Column) ->
     return F.coalesce(mask, F.when(bits > 0, ones(bits)), F.when(known, ones(F.least(width, F.lit(32)))), ones(width))
 
 
-def _reaching(total: Column, live: Column, through_ones: bool) -> Column:
+def _reaching(total: np.ndarray, live: np.ndarray, through_ones: bool) -> np.ndarray:
     """Bits from which a carry (a borrow) that starts there changes a live bit of the sum."""
-
-    def step(g: Column, k: int) -> Column:
-        if k > 32:
-            return g["got"]
-        got = g["got"].bitwiseOR(F.shiftrightunsigned(g["got"], k).bitwiseAND(g["run"]))
-        run = g["run"].bitwiseAND(F.shiftrightunsigned(g["run"], k))
-        return let(F.struct(got.alias("got"), run.alias("run")), lambda h: step(h, 2 * k))
-
-    return let(F.struct(live.alias("got"), (total if through_ones else F.bitwise_not(total)).alias("run")), lambda g: step(g, 1))
+    got, run = live, total if through_ones else ~total
+    for k in (1, 2, 4, 8, 16, 32):
+        got = got | ((got >> _U(k)) & run)
+        run = run & (run >> _U(k))
+    return got
 
 
-def _by_sum(value: Column, total: Column, live: Column, falls: bool = False) -> Column:
+def _by_sum(value: np.ndarray, total: np.ndarray, live: np.ndarray, falls: bool = False) -> np.ndarray:
     """Bits of a summand whose flip changes a live bit; ``falls``: the summand is taken away."""
-    up, down = _reaching(total, live, True), _reaching(total, live, False)
-    if falls:
-        up, down = down, up
-    return F.bitwise_not(value).bitwiseAND(up).bitwiseOR(value.bitwiseAND(down))
+    up, down = _reaching(total, live, not falls), _reaching(total, live, falls)
+    return (~value & up) | (value & down)
+
+
+def _flips_below(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits k for which a with bit k flipped is below b, as ``compare.flips_below``."""
+    gap = a ^ b
+    smear = gap
+    for k in (1, 2, 4, 8, 16, 32):
+        smear = smear | (smear >> _U(k))
+    low = smear >> _U(1)
+    out = (~smear & a) | np.where((a & low) < (b & low), smear ^ low, _U(0)) | np.where(a < b, low, _U(0))
+    return np.where(gap == 0, a, out)
+
+
+def _of_order(own: np.ndarray, other: np.ndarray, every: np.ndarray, seen: np.ndarray, less_wins: bool) -> np.ndarray:
+    """Of the smaller (greater) of two: by the flips after which this source is it."""
+    wins, apart = _flips_below(own, other), own ^ other
+    if not less_wins:
+        wins = every & ~(wins | np.where(apart & (apart - _U(1)) == 0, apart, _U(0)))
+    gap = apart & seen
+    alone = np.where(gap == 0, seen, np.where(gap & (gap - _U(1)) == 0, ~gap, _ALL))
+    now = own < other if less_wins else other < own
+    return np.where(now, (wins & seen) | np.where(gap != 0, ~wins, _U(0)), wins & alone)
+
+
+def _tried(bits: int, base: np.ndarray, seen: np.ndarray, changed: Callable[[np.uint64], np.ndarray]) -> np.ndarray:
+    """Bits below ``bits`` whose flip gives another value under the mask."""
+    out = np.zeros(len(base), _U)
+    for b in range(bits):
+        out |= np.where((changed(_U(b)) ^ base) & seen != 0, _U(1) << _U(b), _U(0))
+    return out
+
+
+def _moving(name: str, place: int, v: np.ndarray, width: np.ndarray, every: np.ndarray, base: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Bits of the source in a place whose flip changes a bit of ``seen``, for rows of one operator."""
+    own, other = v[place], v[max(1 - place, 0)]
+    if name in ("ADDR_SUM", "IDENTITY", "ADD") or (name, place) in (("SUB", 0), ("MAD", 2)):
+        return _by_sum(own, base, seen)
+    if name in ("SUB", "NEG"):
+        return _by_sum(own, base, seen, falls=True)
+    if name in ("XOR", "NOT"):
+        return seen
+    if name in ("AND", "OR"):
+        return seen & (other if name == "AND" else ~other)
+    if name == "SELP":
+        if place < 2:
+            return np.where((v[2] & _U(1) != 0) == (place == 0), seen, _U(0))
+        return np.where((v[0] ^ v[1]) & seen != 0, _U(1), _U(0))
+    if name in ("MIN_U", "MAX_U"):
+        return _of_order(own, other, every, seen, name == "MIN_U")
+    if name in ("MUL_LO", "MAD"):  # a product changes by the other factor times 2^b
+        return _tried(int(width.max()), base, seen, lambda b: np.where(own >> b & _U(1) != 0, base - (other << b), base + (other << b)) & every)
+    amount = _amount(v[1], width)
+    if place == 1:
+        return _tried(6, base, seen, lambda b: _result(name, np.stack([v[0], (own ^ (_U(1) << b)) & every, v[2]]), width, base) & every)
+    if name == "SHL":
+        return seen >> amount
+    back, sign = (seen << amount) & every, every ^ (every >> _U(1))
+    if name == "SHR_U":
+        return back
+    top = (np.maximum(width, 1) - 1).astype(_U) - amount
+    return (back & ~sign) | np.where(seen >> top != 0, sign, _U(0))
+
+
+def _influence(expr: pa.Array, values: pa.Array, widths: pa.Array, live: pa.Array) -> pa.Array:
+    rows = _Rows(expr, values)
+    base, seen = rows.address(), _patterns(live) & rows.every
+    moved = np.zeros(rows.v.shape, _U)
+    for name in OPERATORS:
+        at = rows.of(name)
+        for place in range(int(rows.count[at].max(initial=0))):
+            here = at[rows.count[at] > place]
+            moved[place, here] = _moving(name, place, rows.v[:, here], rows.width[here], rows.every[here], base[here], seen[here])
+    wide, first, size = _lists(widths)
+    inside = (rows.number >= 0) & (rows.number < size[rows.row])
+    bits = np.append(np.asarray(pc.fill_null(wide, 64)).astype(np.int64), 64)[np.where(inside, first[rows.row] + rows.number, -1)]
+    own = np.where(bits > 0, _ALL >> (64 - np.clip(bits, 1, 64)).astype(_U), _U(0)) & rows.every[rows.row]
+    kept = rows.ok[rows.row]
+    mask = pa.array((moved[rows.place, rows.row] & own)[kept].view(np.int64), mask=~np.asarray(live.is_valid())[rows.row][kept])
+    found = pa.StructArray.from_arrays([pa.array(rows.number[kept].astype(np.int32)), mask], ["source", "mask"])
+    edge = np.concatenate([[0], np.cumsum(np.where(rows.ok, rows.count, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edge, mask=np.append(~rows.ok, False)), found)
 
 
 def influence(expr: Column, values: Column, widths: Column, live: Column) -> Column:
     """An array of {source, mask}: per source of the expression the bits whose flip changes the address under ``live``.
 
-    A source that stands twice is flipped in one place at a time. Null where ``address`` is.
+    A source that stands twice is flipped in one place at a time. Null where ``address`` is; masks are null where ``live`` is.
     """
-    bit = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
-
-    def with_base(e: Column, base: Column, seen: Column) -> Column:
-        op, width, every, chosen = e["op"], e["width"], e["every"], e["chosen"]
-
-        def tried(bits: Column, changed: Callable[[Column], Column]) -> Column:
-            """Bits below ``bits`` whose flip gives another value under the mask."""
-            return F.aggregate(F.sequence(F.lit(0), F.greatest(bits - 1, F.lit(0))), _zero(), lambda acc, b: acc.bitwiseOR(F.when(changed(b).bitwiseXOR(base).bitwiseAND(seen) != 0, bit(b)).otherwise(_zero())))
-
-        def moved(place: Column, b: Column) -> Column:
-            flipped = F.transform(chosen, lambda x, j: F.when(j == place, x.bitwiseXOR(bit(b))).otherwise(x))
-            return let(flipped, lambda c: _address(e, c))
-
-        def scaled(own: Column, other: Column, b: Column) -> Column:
-            """A product after the flip of bit b of one factor: it changes by the other one times 2^b."""
-            step = F.call_function("shiftleft", other, b)
-            return F.when(own.bitwiseAND(bit(b)) != 0, S.sub(base, step)).otherwise(S.add(base, step)).bitwiseAND(every)
-
-        def of_order(own: Column, other: Column, less_wins: bool) -> Column:
-            """Of the smaller (greater) of two: by the flips after which this source is it."""
-            wins = flips_below(own, other) if less_wins else every.bitwiseAND(F.bitwise_not(flips_below(own, other).bitwiseOR(flips_equal(own, other))))
-            gap = own.bitwiseXOR(other).bitwiseAND(seen)
-            alone = F.when(gap == 0, seen).when(F.bit_count(gap) == 1, F.bitwise_not(gap)).otherwise(F.lit(-1).cast("long"))
-            now = less(own, other) if less_wins else less(other, own)
-            here = let(wins, lambda w: F.when(now, w.bitwiseAND(seen).bitwiseOR(F.when(gap != 0, F.bitwise_not(w)).otherwise(_zero()))).otherwise(w.bitwiseAND(alone)))
-            return here
-
-        def of(number: Column, place: Column) -> Column:
-            return let(F.struct(F.get(chosen, place).alias("own"), F.get(chosen, F.greatest(1 - place, F.lit(0))).alias("other")), lambda q: named(number, place, q["own"], q["other"]))
-
-        def named(number: Column, place: Column, own: Column, other: Column) -> Column:
-            amount = _at(chosen, 1).bitwiseAND((width - 1).cast("long")).cast("int")
-            back = F.call_function("shiftleft", seen, amount).bitwiseAND(every)
-            sign = every.bitwiseXOR(F.shiftrightunsigned(every, 1))
-            fill = F.when(F.call_function("shiftrightunsigned", seen, (width - 1 - amount).cast("int")) != 0, sign).otherwise(_zero())
-            mask = (
-                F.when(op.isin("ADDR_SUM", "IDENTITY", "ADD") | ((op == "SUB") & (place == 0)) | ((op == "MAD") & (place == 2)), _by_sum(own, base, seen))
-                .when(op.isin("SUB", "NEG"), _by_sum(own, base, seen, falls=True))
-                .when(op.isin("XOR", "NOT"), seen)
-                .when(op == "AND", seen.bitwiseAND(other))
-                .when(op == "OR", seen.bitwiseAND(F.bitwise_not(other)))
-                .when((op == "SELP") & (place < 2), F.when((_at(chosen, 2).bitwiseAND(F.lit(1)) != 0) == (place == 0), seen).otherwise(_zero()))
-                .when(op == "SELP", F.when(_at(chosen, 0).bitwiseXOR(_at(chosen, 1)).bitwiseAND(seen) != 0, F.lit(1).cast("long")).otherwise(_zero()))
-                .when((op == "SHL") & (place == 0), F.call_function("shiftrightunsigned", seen, amount))
-                .when((op == "SHR_U") & (place == 0), back)
-                .when((op == "SHR_S") & (place == 0), back.bitwiseAND(F.bitwise_not(sign)).bitwiseOR(fill))
-                .when(op.isin("MUL_LO", "MAD"), tried(width, lambda b: scaled(own, other, b)))
-                .when(op == "MIN_U", of_order(own, other, True))
-                .when(op == "MAX_U", of_order(own, other, False))
-                .otherwise(tried(F.least(width, F.lit(6)), lambda b: moved(place, b)))
-            )
-            wide = ones(F.least(F.coalesce(F.get(widths, number), F.lit(64)), F.lit(64)))
-            return F.struct(number.alias("source"), mask.bitwiseAND(every).bitwiseAND(wide).alias("mask"))
-
-        return F.when(base.isNotNull(), F.transform(e["sources"], of))
-
-    return let(_named(expr, values), lambda e: let(F.struct(_address(e, e["chosen"]).alias("base"), live.bitwiseAND(e["every"]).alias("seen")), lambda b: with_base(e, b["base"], b["seen"])))
+    return F.arrow_udf(_influence, "array<struct<source:int,mask:long>>")(expr, values, widths, live)
